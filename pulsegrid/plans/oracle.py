@@ -112,3 +112,206 @@ SELECT device_id, device_type, total_readings, first_seen, last_seen, unique_pat
   CAST(least(100, greatest(0, 100 - critical_alerts * 5
        - CASE WHEN sd_hr > 30 THEN 20 ELSE 0 END)) AS BIGINT) AS device_health_score
 FROM agg"""
+
+SQL["vital_alerts_basic"] = with_ctes(READINGS) + """
+SELECT event_id,
+  concat_ws(',', CASE WHEN heart_rate > 120 OR heart_rate < 50 THEN 'abnormal_heart_rate' END,
+                 CASE WHEN blood_oxygen < 92 THEN 'low_blood_oxygen' END) AS alert_types,
+  CAST(CASE WHEN heart_rate > 120 OR heart_rate < 50 THEN 1 ELSE 0 END
+       + CASE WHEN blood_oxygen < 92 THEN 1 ELSE 0 END AS INTEGER) AS alert_count
+FROM readings"""
+
+SQL["alert_notifications"] = BASE + """
+SELECT event_id, device_id, 'ANOMALY_DETECTED' AS alert_type,
+  CASE WHEN alert_count > 1 THEN 'HIGH' ELSE 'MEDIUM' END AS severity,
+  'Healthcare Alert: ' || concat_ws(', ', a_hr, a_o2, a_bp, a_temp, a_glu) AS subject,
+  alert_count AS alerts_sent
+FROM flat WHERE alert_count > 0"""
+
+SQL["alert_counts"] = BASE + """
+SELECT alert, count(*) AS n FROM (
+  SELECT a_hr AS alert FROM flat UNION ALL SELECT a_o2 FROM flat
+  UNION ALL SELECT a_bp FROM flat UNION ALL SELECT a_temp FROM flat
+  UNION ALL SELECT a_glu FROM flat) u
+WHERE alert IS NOT NULL GROUP BY alert"""
+
+SQL["topic_route"] = with_ctes(READINGS) + """
+SELECT split_part(topic, '/', 2) AS channel, split_part(topic, '/', 3) AS topic_device,
+  count(*) AS n
+FROM readings
+WHERE regexp_full_match(topic, 'iomt/wearables/[^/]+') OR regexp_full_match(topic, 'iomt/home-health/[^/]+')
+GROUP BY 1, 2"""
+
+_N_VITALS = """CAST((heart_rate IS NOT NULL)::INT + (blood_oxygen IS NOT NULL)::INT
+      + (systolic_bp IS NOT NULL)::INT + (diastolic_bp IS NOT NULL)::INT
+      + (temperature IS NOT NULL)::INT + (blood_glucose IS NOT NULL)::INT
+      + (respiratory_rate IS NOT NULL)::INT AS INTEGER)"""
+
+SQL["message_defaults"] = BASE + f"""
+SELECT event_id,
+  CASE WHEN event_id % 53 = 0 THEN 'unknown' ELSE device_id END AS device_id,
+  CASE WHEN event_id % 19 = 0 THEN 'unknown' ELSE device_type END AS device_type,
+  patient_id,
+  event_id % 61 <> 0 AS timestamp_given,
+  CASE WHEN event_id % 67 = 0 THEN 0 ELSE {_N_VITALS} END AS n_readings,
+  CASE WHEN event_id % 67 = 0 THEN '' ELSE alert_types END AS alert_types,
+  CASE WHEN event_id % 67 = 0 THEN 'normal' ELSE alert_severity END AS alert_severity,
+  CAST(0 AS INTEGER) AS n_metadata,
+  TRUE AS has_processed_at
+FROM flat"""
+
+
+def _value_text(v: str) -> str:
+    return (f"CASE WHEN {v} = floor({v}) AND abs({v}) < 1e15 "
+            f"THEN CAST(CAST({v} AS BIGINT) AS VARCHAR) ELSE CAST({v} AS VARCHAR) END")
+
+
+# metric, column, critical_min, min, max, critical_max (NULL = no bound)
+_SCORER = [
+    ("heart_rate", "heart_rate", "40", "50", "120", "150"),
+    ("blood_oxygen", "blood_oxygen", "88", "92", None, None),
+    ("blood_pressure_systolic", "systolic_bp", "80", "90", "140", "180"),
+    ("blood_pressure_diastolic", "diastolic_bp", "50", "60", "90", "120"),
+    ("temperature", "temperature", "35", "36.1", "37.8", "39.5"),
+    ("respiratory_rate", "respiratory_rate", "8", "12", "20", "30"),
+]
+
+
+def _band(col, cmin, mn, mx, cmax):
+    arms = []
+    if cmin:
+        arms.append(f"WHEN {col} < {cmin} THEN 'CRITICAL|critically low'")
+    if cmax:
+        arms.append(f"WHEN {col} > {cmax} THEN 'CRITICAL|critically high'")
+    if mn:
+        arms.append(f"WHEN {col} < {mn} THEN 'WARNING|below normal'")
+    if mx:
+        arms.append(f"WHEN {col} > {mx} THEN 'WARNING|above normal'")
+    return "CASE " + " ".join(arms) + " END"
+
+
+_BANDS = with_ctes(READINGS) + ",\nbands AS (\n" + "\n  UNION ALL\n".join(
+    f"  SELECT event_id, patient_id, {i} AS pos, '{m}' AS metric, {c} AS value, "
+    f"{_band(c, *b)} AS band FROM readings"
+    for i, (m, c, *b) in enumerate(_SCORER)) + ")"
+
+SQL["threshold_anomalies"] = _BANDS + f"""
+SELECT event_id, metric, value, split_part(band, '|', 1) AS severity,
+  metric || ' ' || split_part(band, '|', 2) || ': ' || {_value_text('value')} AS message
+FROM bands WHERE band IS NOT NULL"""
+
+_RISK = _BANDS + f""",
+per_event AS (
+  SELECT r.event_id, coalesce(r.patient_id, 'unknown') AS patient_id,
+    {_N_VITALS.replace('heart_rate', 'r.heart_rate').replace('blood_oxygen', 'r.blood_oxygen')
+     .replace('systolic_bp', 'r.systolic_bp').replace('diastolic_bp', 'r.diastolic_bp')
+     .replace('temperature', 'r.temperature').replace('blood_glucose', 'r.blood_glucose')
+     .replace('respiratory_rate', 'r.respiratory_rate')} AS readings_analyzed,
+    CAST(count(CASE WHEN b.band LIKE 'CRITICAL%' THEN 1 END) AS INTEGER) AS n_crit,
+    CAST(count(CASE WHEN b.band LIKE 'WARNING%' THEN 1 END) AS INTEGER) AS n_warn,
+    coalesce(string_agg(CASE WHEN b.band IS NOT NULL THEN b.metric END, ',' ORDER BY b.pos), '')
+      AS anomaly_metrics
+  FROM readings r JOIN bands b ON b.event_id = r.event_id
+  GROUP BY r.event_id, r.patient_id, r.heart_rate, r.blood_oxygen, r.systolic_bp,
+    r.diastolic_bp, r.temperature, r.blood_glucose, r.respiratory_rate),
+risk AS (
+  SELECT *, least(10, 4 * n_crit + 2 * n_warn) AS tenths FROM per_event)"""
+
+SQL["anomaly_risk"] = _RISK + """
+SELECT event_id, patient_id, round(CAST(tenths AS DOUBLE) / 10e0, 6) AS risk_score,
+  CASE WHEN tenths >= 6 THEN 'CRITICAL' WHEN tenths >= 3 THEN 'WARNING' ELSE 'NORMAL' END AS alert_level,
+  CAST(n_crit + n_warn AS INTEGER) AS n_anomalies, readings_analyzed, anomaly_metrics
+FROM risk"""
+
+SQL["anomaly_metrics"] = _RISK + """,
+m AS (
+  SELECT 'AnomalyCount' AS metric_name, 'Count' AS unit, CAST(n_crit + n_warn AS DOUBLE) AS value FROM risk
+  UNION ALL
+  SELECT 'RiskScore', 'None', CAST(tenths AS DOUBLE) / 10e0 FROM risk)
+SELECT metric_name, unit, count(*) AS n, round(sum(value), 6) AS total,
+  round(avg(value), 6) AS avg_value, round(max(value), 6) AS max_value
+FROM m GROUP BY metric_name, unit"""
+
+SQL["hourly_trends"] = BASE + """
+SELECT date, hour, device_type, count(*) AS reading_count,
+  round(avg(heart_rate), 6) AS avg_heart_rate, round(avg(blood_oxygen), 6) AS avg_blood_oxygen,
+  round(avg(systolic_bp), 6) AS avg_systolic_bp, round(avg(diastolic_bp), 6) AS avg_diastolic_bp,
+  CAST(sum(alert_count) AS BIGINT) AS total_alerts,
+  count(DISTINCT device_id) AS active_devices, count(DISTINCT patient_id) AS active_patients
+FROM flat GROUP BY date, hour, device_type"""
+
+PATIENTS = """
+patients AS (
+  SELECT 'patient-' || CAST(c_custkey AS VARCHAR) AS patient_id, c_custkey,
+    c_name AS name, c_nationkey AS nation_key,
+    CASE c_custkey % 2 WHEN 0 THEN 'female' ELSE 'male' END AS gender,
+    CASE WHEN c_custkey % 13 = 0 THEN NULL ELSE CAST(25 + (c_custkey * 7) % 65 AS INT) END AS age,
+    CASE WHEN c_custkey % 17 = 0 THEN NULL ELSE CAST((c_custkey * 5) % 6 AS INT) END AS chronic_conditions,
+    CASE WHEN c_custkey % 19 = 0 THEN NULL ELSE CAST((c_custkey * 3) % 4 AS INT) END AS recent_hospitalizations,
+    CASE WHEN c_custkey % 9 = 0 THEN NULL ELSE CAST((c_custkey * 3) % 11 AS DOUBLE) / 10e0 END AS medication_adherence,
+    CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE CAST((c_custkey * 3) % 25 AS DOUBLE) END AS heart_rate_variance,
+    CASE WHEN c_custkey % 14 = 0 THEN NULL ELSE CAST((c_custkey * 7) % 30 AS DOUBLE) END AS bp_variance
+  FROM customer)"""
+
+_READM = """least(
+    CASE WHEN coalesce(age, 50) > 75 THEN 0.2::DOUBLE + 0.15::DOUBLE
+         WHEN coalesce(age, 50) > 65 THEN 0.2::DOUBLE + 0.1::DOUBLE ELSE 0.2::DOUBLE END
+    + least(coalesce(chronic_conditions, 0) * 0.08::DOUBLE, 0.3::DOUBLE)
+    + least(coalesce(recent_hospitalizations, 0) * 0.15::DOUBLE, 0.3::DOUBLE)
+    + (1 - coalesce(medication_adherence, 0.8::DOUBLE)) * 0.2::DOUBLE, 1.0::DOUBLE)"""
+
+_READM_LEVEL = """CASE WHEN score > 0.7 THEN 'HIGH' WHEN score > 0.4 THEN 'MEDIUM' ELSE 'LOW' END"""
+_READM_TEXT = """CASE WHEN score > 0.7 THEN 'Schedule follow-up within 48 hours. Consider care management program enrollment.'
+       WHEN score > 0.4 THEN 'Schedule follow-up within 7 days. Review medication adherence.'
+       ELSE 'Standard follow-up. Continue remote monitoring.' END"""
+
+SQL["readmission_risk"] = with_ctes(PATIENTS) + f""",
+s AS (SELECT patient_id, {_READM} AS score FROM patients)
+SELECT patient_id, 'readmission_risk' AS prediction_type, round(score, 6) AS score,
+  {_READM_LEVEL} AS risk_level, {_READM_TEXT} AS recommendation,
+  'lambda-v1.0' AS model_version
+FROM s"""
+
+_DET = """least(0.15::DOUBLE + hrv / 100 + bpv / 100
+    + least(coalesce(chronic_conditions, 0) * 0.1::DOUBLE, 0.3::DOUBLE), 1.0::DOUBLE)"""
+_DET_LEVEL = """CASE WHEN score > 0.6 THEN 'HIGH' WHEN score > 0.3 THEN 'MEDIUM' ELSE 'LOW' END"""
+
+SQL["deterioration_risk"] = with_ctes(READINGS, PATIENTS) + f""",
+hist AS (
+  SELECT patient_id, var_samp(heart_rate) AS hv, var_samp(systolic_bp) AS bv
+  FROM readings WHERE patient_id IS NOT NULL GROUP BY patient_id),
+f AS (
+  SELECT p.patient_id, p.chronic_conditions,
+    coalesce(h.hv, p.heart_rate_variance, 10e0) AS hrv,
+    coalesce(h.bv, p.bp_variance, 15e0) AS bpv
+  FROM patients p LEFT JOIN hist h ON h.patient_id = p.patient_id),
+s AS (SELECT *, {_DET} AS score FROM f)
+SELECT patient_id, 'deterioration_risk' AS prediction_type, round(score, 6) AS score,
+  {_DET_LEVEL} AS risk_level,
+  CAST(CASE WHEN score > 0.6 THEN 7 ELSE 14 END AS INTEGER) AS alert_threshold_days,
+  round(hrv, 6) AS heart_rate_variance, round(bpv, 6) AS bp_variance
+FROM s"""
+
+SQL["prediction_dispatch"] = with_ctes(PATIENTS) + f""",
+req AS (
+  SELECT *, coalesce(CASE WHEN c_custkey % 7 = 0 THEN NULL
+                          WHEN c_custkey % 3 = 0 THEN 'readmission_risk'
+                          WHEN c_custkey % 3 = 1 THEN 'deterioration_risk'
+                          ELSE 'batch_analysis' END, 'readmission_risk') AS prediction_type,
+    coalesce(heart_rate_variance, 10e0) AS hrv, coalesce(bp_variance, 15e0) AS bpv
+  FROM patients),
+s AS (
+  SELECT patient_id, prediction_type, {_READM} AS r_score, {_DET} AS d_score FROM req)
+SELECT patient_id, prediction_type,
+  round(CASE prediction_type WHEN 'readmission_risk' THEN r_score
+             WHEN 'deterioration_risk' THEN d_score END, 6) AS score,
+  CASE prediction_type
+    WHEN 'readmission_risk' THEN {_READM_LEVEL.replace('score', 'r_score')}
+    WHEN 'deterioration_risk' THEN {_DET_LEVEL.replace('score', 'd_score')} END AS risk_level,
+  CASE WHEN prediction_type = 'readmission_risk' THEN {_READM_TEXT.replace('score', 'r_score')} END
+    AS recommendation,
+  CAST(CASE WHEN prediction_type = 'deterioration_risk'
+            THEN CASE WHEN d_score > 0.6 THEN 7 ELSE 14 END END AS INTEGER) AS alert_threshold_days,
+  CASE WHEN prediction_type NOT IN ('readmission_risk', 'deterioration_risk')
+       THEN 'Unknown prediction type' END AS error
+FROM s"""

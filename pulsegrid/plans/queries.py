@@ -70,3 +70,123 @@ def q_device_analytics(spark, sf_dir):
     d = gold.device_analytics(readings(spark, sf_dir))
     return ntz(round6(d, "avg_heart_rate_reading", "heart_rate_stddev"),
                "first_seen", "last_seen")
+
+
+@query("vital_alerts_basic")
+def q_vital_alerts_basic(spark, sf_dir):
+    r = readings(spark, sf_dir, rules="basic")
+    return r.select("event_id", "alert_types", "alert_count")
+
+
+@query("alert_notifications")
+def q_alert_notifications(spark, sf_dir):
+    n = enrich.notifications(readings(spark, sf_dir))
+    return n.select("event_id", "device_id", "alert_type", "severity", "subject",
+                    "alerts_sent")
+
+
+@query("alert_counts")
+def q_alert_counts(spark, sf_dir):
+    r = readings(spark, sf_dir)
+    return (r.select(F.explode("alerts").alias("alert"))
+            .groupBy("alert").agg(F.count(F.lit(1)).alias("n")))
+
+
+@query("topic_route")
+def q_topic_route(spark, sf_dir):
+    from ..sources import topics
+    msgs = testdata.load_messages(spark, sf_dir)
+    return (topics.subscribe(msgs)
+            .groupBy("channel", "topic_device").agg(F.count(F.lit(1)).alias("n")))
+
+
+@query("message_defaults")
+def q_message_defaults(spark, sf_dir):
+    events = testdata.load_table(spark, sf_dir, "events")
+    m = testdata.sparse_messages(events).withColumn(
+        "timestamp_given", F.col("timestamp").isNotNull())
+    e = enrich.enrich_messages(m)
+    return e.select(
+        "event_id",
+        F.col("deviceId").alias("device_id"), F.col("deviceType").alias("device_type"),
+        F.col("patientId").alias("patient_id"), "timestamp_given",
+        F.size("readings").alias("n_readings"),
+        F.array_join("alerts", ",").alias("alert_types"),
+        F.col("alertSeverity").alias("alert_severity"),
+        F.size("metadata").alias("n_metadata"),
+        F.col("processedAt").isNotNull().alias("has_processed_at"))
+
+
+def _scored(spark, sf_dir):
+    from ..operators import anomaly
+    return anomaly.score_readings(testdata.load_messages(spark, sf_dir))
+
+
+@query("threshold_anomalies")
+def q_threshold_anomalies(spark, sf_dir):
+    from ..operators import anomaly
+    return anomaly.explode_anomalies(_scored(spark, sf_dir), "event_id")
+
+
+@query("anomaly_risk")
+def q_anomaly_risk(spark, sf_dir):
+    s = _scored(spark, sf_dir)
+    return round6(s.select(
+        "event_id", "patient_id", "risk_score", "alert_level", "n_anomalies",
+        "readings_analyzed",
+        F.array_join(F.transform("anomalies", lambda a: a["metric"]), ",")
+        .alias("anomaly_metrics")), "risk_score")
+
+
+@query("anomaly_metrics")
+def q_anomaly_metrics(spark, sf_dir):
+    from ..operators import anomaly
+    m = anomaly.summarize_metrics(anomaly.anomaly_metric_rows(_scored(spark, sf_dir)))
+    return round6(m, "total", "avg_value", "max_value")
+
+
+@query("hourly_trends")
+def q_hourly_trends(spark, sf_dir):
+    h = gold.hourly_trends(readings(spark, sf_dir))
+    return round6(h, "avg_heart_rate", "avg_blood_oxygen", "avg_systolic_bp",
+                  "avg_diastolic_bp")
+
+
+@query("readmission_risk")
+def q_readmission_risk(spark, sf_dir):
+    from ..operators import predict
+    f = predict.build_features(testdata.load_patients(spark, sf_dir))
+    p = predict.predict(f, F.lit("readmission_risk"))
+    return round6(p.select("patient_id", "prediction_type", "score", "risk_level",
+                           "recommendation", "model_version"), "score")
+
+
+@query("deterioration_risk")
+def q_deterioration_risk(spark, sf_dir):
+    from ..operators import predict
+    f = predict.build_features(testdata.load_patients(spark, sf_dir),
+                               readings(spark, sf_dir))
+    p = predict.predict(f, F.lit("deterioration_risk"))
+    return round6(p.select("patient_id", "prediction_type", "score", "risk_level",
+                           "alert_threshold_days",
+                           F.col("f_hr_variance").alias("heart_rate_variance"),
+                           F.col("f_bp_variance").alias("bp_variance")),
+                  "score", "heart_rate_variance", "bp_variance")
+
+
+@query("prediction_dispatch")
+def q_prediction_dispatch(spark, sf_dir):
+    """Mixed request types per patient: readmission, deterioration, an unknown
+    type (error row) and no type (defaults to readmission)."""
+    from ..operators import predict
+    cust = testdata.load_table(spark, sf_dir, "customer")
+    ck = F.col("c_custkey")
+    req_type = (F.when(ck % 7 == 0, F.lit(None).cast("string"))
+                .when(ck % 3 == 0, F.lit("readmission_risk"))
+                .when(ck % 3 == 1, F.lit("deterioration_risk"))
+                .otherwise(F.lit("batch_analysis")))
+    patients = testdata.patients_from_customer(cust, req_type.alias("requested_type"))
+    f = predict.build_features(patients, keep=("requested_type",))
+    p = predict.predict(f, F.col("requested_type"))
+    return round6(p.select("patient_id", "prediction_type", "score", "risk_level",
+                           "recommendation", "alert_threshold_days", "error"), "score")

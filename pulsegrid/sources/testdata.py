@@ -95,7 +95,8 @@ def messages_from_events(events: DataFrame) -> DataFrame:
     return messages_from_readings(readings_from_events(events))
 
 
-def patients_from_customer(customer: DataFrame) -> DataFrame:
+def patients_from_customer(customer: DataFrame, *extra: Column) -> DataFrame:
+    """Patient registry rows; ``extra`` columns (over customer) are appended."""
     ck = F.col("c_custkey")
     null_int = F.lit(None).cast("int")
     null_dbl = F.lit(None).cast("double")
@@ -114,7 +115,7 @@ def patients_from_customer(customer: DataFrame) -> DataFrame:
         F.when(ck % 11 == 0, null_dbl).otherwise(((ck * 3) % 25).cast("double"))
         .alias("heart_rate_variance"),
         F.when(ck % 14 == 0, null_dbl).otherwise(((ck * 7) % 30).cast("double"))
-        .alias("bp_variance"))
+        .alias("bp_variance"), *extra)
 
 
 def load_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -127,3 +128,20 @@ def load_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def load_patients(spark: SparkSession, sf_dir: str) -> DataFrame:
     return patients_from_customer(load_table(spark, sf_dir, "customer"))
+
+
+def sparse_messages(events: DataFrame) -> DataFrame:
+    """Messages with some fields left out, to exercise message defaults:
+    no deviceId every 53rd event, no deviceType every 19th, no timestamp every
+    61st, no readings every 67th."""
+    m = messages_from_events(events)
+    eid = F.col("event_id")
+
+    def drop_when(cond, name, dtype):
+        return F.when(cond, F.lit(None).cast(dtype)).otherwise(F.col(name))
+    return m.withColumns({
+        "deviceId": drop_when(eid % 53 == 0, "deviceId", "string"),
+        "deviceType": drop_when(eid % 19 == 0, "deviceType", "string"),
+        "timestamp": drop_when(eid % 61 == 0, "timestamp", "string"),
+        "readings": drop_when(eid % 67 == 0, "readings", "map<string,double>"),
+    })
