@@ -315,3 +315,172 @@ SELECT patient_id, prediction_type,
   CASE WHEN prediction_type NOT IN ('readmission_risk', 'deterioration_risk')
        THEN 'Unknown prediction type' END AS error
 FROM s"""
+
+# ------------------------------------------------------------ observations
+_ISO = "strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ')"
+# (column, code, unit, basic display or None), in component order
+_COMP = [
+    ("heart_rate", "8867-4", "beats/minute", "Heart rate"),
+    ("blood_oxygen", "59408-5", "%", "Oxygen saturation"),
+    ("systolic_bp", "8480-6", "mmHg", None),
+    ("diastolic_bp", "8462-4", "mmHg", None),
+    ("temperature", "8310-5", "°C", None),
+    ("blood_glucose", "2339-0", "mg/dL", None),
+    ("respiratory_rate", "9279-1", "breaths/minute", None),
+]
+
+OBS = BASE + f""",
+obs AS (
+  SELECT *,
+    sha256(concat_ws('|', device_id, {_ISO}, CAST(event_id AS VARCHAR))) AS observation_id,
+    {_ISO} AS effective_date_time,
+    CASE WHEN length(patient_id) > 0 THEN 'Patient/' || patient_id END AS patient_reference,
+    lower(replace(device_type, ' ', '_')) AS type_key,
+    CAST(ts AS DATE) AS observation_date
+  FROM flat),
+obsk AS (
+  SELECT *, 'observations/' || type_key || '/' || strftime(observation_date, '%Y/%m/%d')
+            || '/' || observation_id || '.json' AS object_key
+  FROM obs)"""
+
+SQL["observation_build"] = OBS + f"""
+SELECT observation_id, 'Observation' AS resource_type, 'final' AS status, '1' AS version_id,
+  'http://hl7.org/fhir/StructureDefinition/vitalsigns' AS profile,
+  observation_id AS identifier_value, 'vital-signs' AS category_code,
+  effective_date_time, device_id, device_type AS device_display,
+  patient_reference AS subject_reference,
+  CASE WHEN length(patient_id) > 0 THEN patient_id END AS subject_identifier,
+  {_N_VITALS} AS n_components,
+  concat_ws(',', {", ".join(f"CASE WHEN {c} IS NOT NULL THEN '{code}' END" for c, code, _u, _d in _COMP)}) AS component_codes,
+  concat_ws(',', {", ".join(f"CASE WHEN {c} IS NOT NULL THEN '{u}' END" for c, _code, u, _d in _COMP)}) AS component_units,
+  CASE WHEN alert_count > 0 THEN 'A' END AS interpretation_code,
+  CASE WHEN alert_count > 0 THEN concat_ws(', ', a_hr, a_o2, a_bp, a_temp, a_glu) END AS interpretation_text,
+  type_key AS device_type, observation_date, object_key,
+  coalesce(patient_id, 'unknown') AS meta_patient_id
+FROM obsk"""
+
+SQL["observation_build_basic"] = OBS + """
+SELECT observation_id,
+  CAST((heart_rate IS NOT NULL)::INT + (blood_oxygen IS NOT NULL)::INT AS INTEGER) AS n_components,
+  concat_ws(',', CASE WHEN heart_rate IS NOT NULL THEN 'Heart rate' END,
+                 CASE WHEN blood_oxygen IS NOT NULL THEN 'Oxygen saturation' END) AS component_displays,
+  FALSE AS has_subject, FALSE AS has_interpretation, CAST(NULL AS VARCHAR) AS device_display
+FROM obsk"""
+
+
+def _components_sql() -> str:
+    arms = []
+    for i, (c, code, unit, _d) in enumerate(_COMP):
+        before = " + ".join(f"({p} IS NOT NULL)::INT" for p, *_ in _COMP[:i]) or "0"
+        arms.append(f"  SELECT observation_id, CAST({before} AS INTEGER) AS pos, '{code}' AS loinc_code, "
+                    f"{c} AS value, '{unit}' AS unit FROM obsk WHERE {c} IS NOT NULL")
+    none = " AND ".join(f"{c} IS NULL" for c, *_ in _COMP)
+    arms.append("  SELECT observation_id, CAST(NULL AS INTEGER), CAST(NULL AS VARCHAR), "
+                f"CAST(NULL AS DOUBLE), CAST(NULL AS VARCHAR) FROM obsk WHERE {none}")
+    return OBS + "\n" + "\n  UNION ALL\n".join(arms)
+
+
+SQL["observation_components"] = _components_sql()
+
+SQL["observation_wide"] = OBS + """
+SELECT observation_id, 'final' AS status, ts AS effective_timestamp, patient_reference, device_id,
+  heart_rate, blood_oxygen, systolic_bp, diastolic_bp, temperature, blood_glucose, respiratory_rate
+FROM obsk"""
+SQL["observation_wide_grouped"] = SQL["observation_wide"]
+
+SQL["observation_partition_counts"] = OBS + """
+SELECT type_key AS device_type, observation_date, count(*) AS n
+FROM obsk GROUP BY 1, 2"""
+
+SQL["patient_summary"] = OBS + """,
+s AS (
+  SELECT patient_reference, count(observation_id) AS total_observations,
+    min(ts) AS first_reading, max(ts) AS last_reading,
+    avg(heart_rate) AS ahr, min(heart_rate) AS min_heart_rate, max(heart_rate) AS max_heart_rate,
+    avg(blood_oxygen) AS ao2, min(blood_oxygen) AS min_blood_oxygen,
+    avg(systolic_bp) AS asys, avg(diastolic_bp) AS adia, avg(blood_glucose) AS aglu,
+    count(DISTINCT device_id) AS unique_devices
+  FROM obsk GROUP BY patient_reference)
+SELECT patient_reference, total_observations, first_reading, last_reading,
+  round(ahr, 6) AS avg_heart_rate, min_heart_rate, max_heart_rate,
+  round(ao2, 6) AS avg_blood_oxygen, min_blood_oxygen,
+  round(asys, 6) AS avg_systolic_bp, round(adia, 6) AS avg_diastolic_bp,
+  round(aglu, 6) AS avg_blood_glucose, unique_devices,
+  CASE WHEN ahr > 100 THEN 'elevated' WHEN ahr < 60 THEN 'low' ELSE 'normal' END AS heart_rate_risk,
+  CASE WHEN ao2 < 95 THEN 'concerning' WHEN ao2 < 92 THEN 'critical' ELSE 'normal' END AS oxygen_risk,
+  CASE WHEN asys > 140 THEN 'hypertension' WHEN asys < 90 THEN 'hypotension' ELSE 'normal' END AS bp_risk
+FROM s"""
+
+SQL["patient_summary_strict"] = OBS + """,
+s AS (SELECT patient_reference, avg(blood_oxygen) AS ao2 FROM obsk GROUP BY patient_reference)
+SELECT patient_reference, round(ao2, 6) AS avg_blood_oxygen,
+  CASE WHEN ao2 < 92 THEN 'critical' WHEN ao2 < 95 THEN 'concerning' ELSE 'normal' END AS oxygen_risk
+FROM s"""
+
+# ------------------------------------------------------------------ search
+_SEARCH_SELECT = """SELECT observation_id, patient_reference, device_id, effective_date_time, object_key
+FROM obsk"""
+
+
+def _search_sql(where: str, n: int = 100) -> str:
+    return OBS + f"\n{_SEARCH_SELECT}\nWHERE {where}\nORDER BY object_key, observation_id LIMIT {n}"
+
+
+SQL["search_by_patient"] = _search_sql("contains(coalesce(patient_reference, ''), 'patient-1')")
+SQL["search_by_device"] = _search_sql("device_id = 'device-42'")
+SQL["search_by_date"] = _search_sql(
+    "coalesce(effective_date_time, '') >= '2024-01-10' "
+    "AND coalesce(effective_date_time, '') <= '2024-01-12T12:00:00'")
+SQL["search_combined"] = _search_sql(
+    "contains(coalesce(patient_reference, ''), 'patient-7') "
+    "AND coalesce(effective_date_time, '') >= '2024-01-05'", 20)
+SQL["search_strict_patient"] = _search_sql("coalesce(patient_reference, '') = 'Patient/patient-1'")
+
+SQL["search_bundle"] = OBS + """,
+hits AS (
+  SELECT * FROM obsk
+  WHERE coalesce(effective_date_time, '') >= '2024-01-10'
+    AND coalesce(effective_date_time, '') <= '2024-01-12T12:00:00'
+  ORDER BY object_key, observation_id LIMIT 100)
+SELECT 'Bundle' AS resource_type, 'searchset' AS bundle_type, count(*) AS total,
+  'urn:uuid:' || min_by(observation_id, object_key) AS first_full_url,
+  'urn:uuid:' || max_by(observation_id, object_key) AS last_full_url
+FROM hits"""
+
+SQL["read_observation"] = OBS + """,
+req AS (
+  SELECT CASE WHEN event_id % 5 = 0 THEN 'missing-' || CAST(event_id AS VARCHAR)
+              ELSE observation_id END AS requested_id
+  FROM obsk)
+SELECT r.requested_id, o.observation_id IS NOT NULL AS found, o.observation_id,
+  o.device_id,
+  CASE WHEN o.observation_id IS NULL THEN 'error' END AS outcome_severity,
+  CASE WHEN o.observation_id IS NULL THEN 'not-found' END AS outcome_code,
+  CASE WHEN o.observation_id IS NULL THEN 'Observation/' || r.requested_id || ' not found' END
+    AS outcome_diagnostics
+FROM req r LEFT JOIN obsk o ON o.observation_id = r.requested_id"""
+
+SQL["create_observation"] = OBS + """
+SELECT event_id, 'Observation' AS resource_type, event_id % 4 <> 0 AS id_given,
+  CASE WHEN event_id % 4 <> 0 THEN observation_id END AS given_id,
+  CAST(CASE WHEN event_id % 4 <> 0 THEN 64 ELSE 36 END AS INTEGER) AS id_length,
+  'observations/api/' AS key_prefix, 'api' AS source
+FROM obsk"""
+
+SQL["patient_read"] = with_ctes(PATIENTS) + """,
+req AS (
+  SELECT CASE WHEN c_custkey % 6 = 0 THEN 'patient-x' || CAST(c_custkey AS VARCHAR)
+              ELSE 'patient-' || CAST(c_custkey AS VARCHAR) END AS requested_id
+  FROM customer)
+SELECT r.requested_id, p.patient_id IS NOT NULL AS found, p.name, p.gender,
+  CASE WHEN p.patient_id IS NULL THEN 'not-found' END AS outcome_code,
+  CASE WHEN p.patient_id IS NULL THEN 'Patient/' || r.requested_id || ' not found' END
+    AS outcome_diagnostics
+FROM req r LEFT JOIN patients p ON p.patient_id = r.requested_id"""
+
+SQL["patient_search"] = with_ctes(PATIENTS) + """
+SELECT patient_id, name, gender, nation_key, age FROM patients
+WHERE gender = 'female' AND CAST(nation_key AS VARCHAR) = '3'"""
+
+SQL["patient_create"] = with_ctes(PATIENTS) + """
+SELECT patient_id, 'Patient' AS resource_type, name FROM patients"""

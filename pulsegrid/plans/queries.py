@@ -190,3 +190,220 @@ def q_prediction_dispatch(spark, sf_dir):
     p = predict.predict(f, F.col("requested_type"))
     return round6(p.select("patient_id", "prediction_type", "score", "risk_level",
                            "recommendation", "alert_threshold_days", "error"), "score")
+
+
+# ------------------------------------------------------------- observations
+def observations(spark, sf_dir, basic: bool = False) -> DataFrame:
+    """events -> messages -> enriched -> Observation rows (+ event_id)."""
+    from ..operators import observations as O
+    e = enrich.enrich_messages(testdata.load_messages(spark, sf_dir))
+    return O.build_observations(e, basic=basic, keep=("event_id",))
+
+
+@query("observation_build")
+def q_observation_build(spark, sf_dir):
+    o = observations(spark, sf_dir)
+    comp = F.col("component")
+    return o.select(
+        F.col("id").alias("observation_id"),
+        F.col("resourceType").alias("resource_type"), "status",
+        F.col("meta.versionId").alias("version_id"),
+        F.get(F.col("meta.profile"), 0).alias("profile"),
+        F.get(F.col("identifier"), 0)["value"].alias("identifier_value"),
+        F.get(F.get(F.col("category"), 0)["coding"], 0)["code"].alias("category_code"),
+        F.col("effectiveDateTime").alias("effective_date_time"),
+        F.col("device.identifier.value").alias("device_id"),
+        F.col("device.display").alias("device_display"),
+        F.col("subject.reference").alias("subject_reference"),
+        F.col("subject.identifier.value").alias("subject_identifier"),
+        F.size(comp).alias("n_components"),
+        F.array_join(F.transform(comp, lambda c: F.get(c["code"]["coding"], 0)["code"]), ",")
+        .alias("component_codes"),
+        F.array_join(F.transform(comp, lambda c: c["valueQuantity"]["unit"]), ",")
+        .alias("component_units"),
+        F.get(F.get(F.col("interpretation"), 0)["coding"], 0)["code"]
+        .alias("interpretation_code"),
+        F.get(F.col("interpretation"), 0)["text"].alias("interpretation_text"),
+        "device_type", "observation_date", "object_key", "meta_patient_id")
+
+
+@query("observation_build_basic")
+def q_observation_build_basic(spark, sf_dir):
+    o = observations(spark, sf_dir, basic=True)
+    comp = F.col("component")
+    return o.select(
+        F.col("id").alias("observation_id"),
+        F.size(comp).alias("n_components"),
+        F.array_join(F.transform(comp, lambda c: F.get(c["code"]["coding"], 0)["display"]),
+                     ",").alias("component_displays"),
+        F.col("subject").isNotNull().alias("has_subject"),
+        F.col("interpretation").isNotNull().alias("has_interpretation"),
+        F.col("device.display").alias("device_display"))
+
+
+@query("observation_components")
+def q_observation_components(spark, sf_dir):
+    from ..operators import observations as O
+    c = O.observation_components(observations(spark, sf_dir))
+    return c.select("observation_id", "pos", "loinc_code", "value", "unit")
+
+
+@query("observation_wide")
+def q_observation_wide(spark, sf_dir):
+    from ..operators import observations as O
+    return ntz(O.observations_wide(observations(spark, sf_dir)), "effective_timestamp")
+
+
+@query("observation_wide_grouped")
+def q_observation_wide_grouped(spark, sf_dir):
+    from ..operators import observations as O
+    return ntz(O.observations_wide(observations(spark, sf_dir), mode="grouped"),
+               "effective_timestamp")
+
+
+@query("observation_partition_counts")
+def q_observation_partition_counts(spark, sf_dir):
+    o = observations(spark, sf_dir)
+    return o.groupBy("device_type", "observation_date").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _wide(spark, sf_dir):
+    from ..operators import observations as O
+    return O.observations_wide(observations(spark, sf_dir))
+
+
+@query("patient_summary")
+def q_patient_summary(spark, sf_dir):
+    s = gold.patient_summary(_wide(spark, sf_dir))
+    return ntz(round6(s, "avg_heart_rate", "avg_blood_oxygen", "avg_systolic_bp",
+                      "avg_diastolic_bp", "avg_blood_glucose"),
+               "first_reading", "last_reading")
+
+
+@query("patient_summary_strict")
+def q_patient_summary_strict(spark, sf_dir):
+    s = gold.patient_summary(_wide(spark, sf_dir), strict=True)
+    return round6(s.select("patient_reference", "avg_blood_oxygen", "oxygen_risk"),
+                  "avg_blood_oxygen")
+
+
+# ------------------------------------------------------------------- search
+def search_cols():
+    return [F.col("id").alias("observation_id"),
+            F.col("subject.reference").alias("patient_reference"),
+            F.col("device.identifier.value").alias("device_id"),
+            F.col("effectiveDateTime").alias("effective_date_time"), "object_key"]
+
+SEARCHES = {
+    "search_by_patient": dict(patient="patient-1"),
+    "search_by_device": dict(device="device-42"),
+    "search_by_date": dict(date_from="2024-01-10", date_to="2024-01-12T12:00:00"),
+    "search_combined": dict(patient="patient-7", date_from="2024-01-05", count=20),
+    "search_strict_patient": dict(patient="patient-1", strict=True),
+}
+
+
+def _search_query(params):
+    def run(spark, sf_dir):
+        from ..operators import search as Q
+        return Q.search_observations(observations(spark, sf_dir), **params).select(*search_cols())
+    return run
+
+
+for _name, _params in SEARCHES.items():
+    query(_name)(_search_query(_params))
+
+
+@query("search_bundle")
+def q_search_bundle(spark, sf_dir):
+    from ..operators import search as Q
+    hits = Q.search_observations(observations(spark, sf_dir), **SEARCHES["search_by_date"])
+    b = Q.bundle(hits)
+    return b.select(F.col("resourceType").alias("resource_type"),
+                    F.col("type").alias("bundle_type"), "total",
+                    F.get(F.col("entry"), 0)["fullUrl"].alias("first_full_url"),
+                    F.get(F.col("entry"), F.size("entry") - 1)["fullUrl"].alias("last_full_url"))
+
+
+@query("read_observation")
+def q_read_observation(spark, sf_dir):
+    """Read-by-id for a batch of ids: every Observation id plus missing ones."""
+    from ..functions import fhir as H
+    from ..operators import search as Q
+    msgs = testdata.load_messages(spark, sf_dir)
+    req = msgs.select(F.when(F.col("event_id") % 5 == 0,
+                             F.concat(F.lit("missing-"), F.col("event_id").cast("string")))
+                      .otherwise(H.observation_id(F.col("deviceId"), F.col("timestamp"),
+                                                  F.col("messageId")))
+                      .alias("requested_id"))
+    r = Q.read_by_id(observations(spark, sf_dir), req, "Observation")
+    return r.select("requested_id", "found", F.col("id").alias("observation_id"),
+                    F.col("device.identifier.value").alias("device_id"),
+                    "outcome_severity", "outcome_code", "outcome_diagnostics")
+
+
+@query("create_observation")
+def q_create_observation(spark, sf_dir):
+    """POSTed Observations (every 4th without an id) -> forced type, filled id,
+    appended under observations/api/<date>/, read back."""
+    from ..operators import search as Q
+    from ..session import scratch_path
+    from ..sinks.tables import append_table
+    o = observations(spark, sf_dir)
+    posted = o.withColumns({
+        "resourceType": F.lit(None).cast("string"),
+        "id": F.when(F.col("event_id") % 4 == 0, F.lit(None).cast("string"))
+        .otherwise(F.col("id"))}).withColumn("id_given", F.col("id").isNotNull())
+    created = Q.api_storage_columns(Q.create_resources(posted, "Observation"))
+    path = scratch_path(spark, "observations_api")
+    append_table(created.select("event_id", "id_given", "resourceType", "id", "object_key",
+                                "source", "observation_date"), path,
+                 partition_cols=["observation_date"])
+    back = spark.read.parquet(path)
+    return back.select(
+        "event_id", F.col("resourceType").alias("resource_type"), "id_given",
+        F.when(F.col("id_given"), F.col("id")).alias("given_id"),
+        F.length("id").alias("id_length"),
+        F.substring("object_key", 1, 17).alias("key_prefix"), "source")
+
+
+# ----------------------------------------------------------------- patients
+def _patient_table(spark, sf_dir):
+    return testdata.load_patients(spark, sf_dir).withColumn("id", F.col("patient_id"))
+
+
+@query("patient_read")
+def q_patient_read(spark, sf_dir):
+    from ..operators import search as Q
+    cust = testdata.load_table(spark, sf_dir, "customer")
+    ck = F.col("c_custkey").cast("string")
+    req = cust.select(F.when(F.col("c_custkey") % 6 == 0, F.concat(F.lit("patient-x"), ck))
+                      .otherwise(F.concat(F.lit("patient-"), ck)).alias("requested_id"))
+    r = Q.read_by_id(_patient_table(spark, sf_dir), req, "Patient", order_col=None)
+    return r.select("requested_id", "found", "name", "gender", "outcome_code",
+                    "outcome_diagnostics")
+
+
+PATIENT_SEARCH = "gender=female&nation_key=3"
+
+
+@query("patient_search")
+def q_patient_search(spark, sf_dir):
+    from ..operators import search as Q
+    p = Q.search_patients(testdata.load_patients(spark, sf_dir), PATIENT_SEARCH)
+    return p.select("patient_id", "name", "gender", "nation_key", "age")
+
+
+@query("patient_create")
+def q_patient_create(spark, sf_dir):
+    """POSTed Patients -> resourceType forced -> appended -> read back."""
+    from ..operators import search as Q
+    from ..session import scratch_path
+    from ..sinks.tables import append_table
+    posted = testdata.load_patients(spark, sf_dir).withColumn(
+        "resourceType", F.lit("Person"))
+    created = Q.create_resources(posted, "Patient", fill_id=False)
+    path = scratch_path(spark, "patients")
+    append_table(created, path)
+    return spark.read.parquet(path).select(
+        "patient_id", F.col("resourceType").alias("resource_type"), "name")
