@@ -484,3 +484,37 @@ WHERE gender = 'female' AND CAST(nation_key AS VARCHAR) = '3'"""
 
 SQL["patient_create"] = with_ctes(PATIENTS) + """
 SELECT patient_id, 'Patient' AS resource_type, name FROM patients"""
+
+# ------------------------------------------------------ sources and sinks
+SQL["conversion_counts"] = """
+SELECT count(*) FILTER (WHERE event_id % 97 <> 0) AS processed,
+       count(*) FILTER (WHERE event_id % 97 = 0) AS errors
+FROM events"""
+
+SQL["parquet_roundtrip"] = BASE + """
+SELECT date, device_type, count(*) AS n FROM flat WHERE event_id % 97 <> 0
+GROUP BY date, device_type"""
+
+SQL["etl_table_counts"] = OBS + """,
+good AS (SELECT * FROM flat WHERE event_id % 97 <> 0)
+SELECT 'device_readings' AS table_name, count(*) AS rows FROM good
+UNION ALL SELECT 'fhir_observations', count(*) FROM obsk
+UNION ALL SELECT 'patient_summary', count(*) FROM (SELECT DISTINCT patient_reference FROM obsk)
+UNION ALL SELECT 'device_analytics', count(*) FROM (SELECT DISTINCT device_id, device_type FROM good)
+UNION ALL SELECT 'hourly_trends', count(*) FROM (SELECT DISTINCT date, hour, device_type FROM good)"""
+
+SQL["catalog_sql"] = BASE + """,
+good AS (SELECT * FROM flat WHERE event_id % 97 <> 0),
+d AS (
+  SELECT device_id, device_type, count(*) AS total_readings,
+    CAST(sum(alert_count) AS BIGINT) AS total_alerts,
+    CAST(sum(CASE WHEN has_critical_alert THEN 1 ELSE 0 END) AS BIGINT) AS critical_alerts,
+    stddev_samp(heart_rate) AS sd
+  FROM good GROUP BY device_id, device_type),
+ds AS (
+  SELECT *, CAST(least(100, greatest(0, 100 - critical_alerts * 5
+    - CASE WHEN sd > 30 THEN 20 ELSE 0 END)) AS BIGINT) AS device_health_score FROM d)
+SELECT device_type, count(*) AS devices, CAST(sum(total_readings) AS BIGINT) AS readings,
+  CAST(sum(total_alerts) AS BIGINT) AS alerts, min(device_health_score) AS min_health_score,
+  max(device_health_score) AS max_health_score
+FROM ds GROUP BY device_type"""

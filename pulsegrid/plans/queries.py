@@ -407,3 +407,56 @@ def q_patient_create(spark, sf_dir):
     append_table(created, path)
     return spark.read.parquet(path).select(
         "patient_id", F.col("resourceType").alias("resource_type"), "name")
+
+
+# ---------------------------------------------------------- sources / sinks
+@query("conversion_counts")
+def q_conversion_counts(spark, sf_dir):
+    """Queue bodies (every 97th cut in half) -> decode -> processed / errors."""
+    from ..sources import files
+    msgs = testdata.load_messages(spark, sf_dir)
+    bodies = testdata.message_lines(msgs).withColumnRenamed("value", "body")
+    return files.parse_counts(files.read_body_messages(bodies))
+
+
+def _etl(spark, sf_dir):
+    from ..session import scratch_path
+    from . import etl
+    landing = testdata.write_message_files(testdata.load_messages(spark, sf_dir),
+                                           scratch_path(spark, "landing"))
+    return etl.run_etl(spark, scratch_path(spark, "etl"), raw_path=landing,
+                       observations=observations(spark, sf_dir))
+
+
+@query("parquet_roundtrip")
+def q_parquet_roundtrip(spark, sf_dir):
+    """Raw JSON landing -> ETL -> partitioned device_readings read back."""
+    res = _etl(spark, sf_dir)
+    back = spark.read.parquet(res.path("device_readings"))
+    return back.groupBy("date", "device_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("etl_table_counts")
+def q_etl_table_counts(spark, sf_dir):
+    from . import etl
+    return etl.read_back_counts(spark, _etl(spark, sf_dir))
+
+
+CATALOG_SQL = """
+SELECT d.device_type, count(*) AS devices, sum(d.total_readings) AS readings,
+       sum(d.total_alerts) AS alerts, min(d.device_health_score) AS min_health_score,
+       max(d.device_health_score) AS max_health_score
+FROM {db}.device_analytics d
+GROUP BY d.device_type"""
+
+
+@query("catalog_sql")
+def q_catalog_sql(spark, sf_dir):
+    """ETL tables registered in a catalog database, then SQL over them."""
+    from ..session import scratch_path
+    from ..sources import catalog
+    res = _etl(spark, sf_dir)
+    db = catalog.create_database(spark)
+    catalog.register_etl_tables(spark, db, res)
+    return catalog.run_sql(spark, CATALOG_SQL.format(db=db),
+                           result_location=scratch_path(spark, "sql_result"))

@@ -145,3 +145,26 @@ def sparse_messages(events: DataFrame) -> DataFrame:
         "timestamp": drop_when(eid % 61 == 0, "timestamp", "string"),
         "readings": drop_when(eid % 67 == 0, "readings", "map<string,double>"),
     })
+
+
+MESSAGE_JSON_FIELDS = ["deviceId", "deviceType", "patientId", "timestamp", "readings",
+                       "messageId", "topic"]
+
+
+def message_lines(msgs: DataFrame, corrupt_every: int = 97) -> DataFrame:
+    """One JSON text line per message; every ``corrupt_every``-th message
+    (by message id) is cut in half to exercise quarantine."""
+    body = F.to_json(F.struct(*[F.col(c) for c in MESSAGE_JSON_FIELDS]))
+    cut = F.col("event_id") % corrupt_every == 0 if corrupt_every else F.lit(False)
+    line = F.when(cut, F.substring(body, 1, F.length(body) / 2)).otherwise(body)
+    return msgs.select(F.col("event_id"), line.alias("value"))
+
+
+def write_message_files(msgs: DataFrame, path: str, corrupt_every: int = 97,
+                        files: int | None = None) -> str:
+    """Land device messages as JSON-lines files (the raw landing area)."""
+    lines = message_lines(msgs, corrupt_every).select("value")
+    if files:
+        lines = lines.repartition(files)
+    lines.write.mode("overwrite").text(path)
+    return path
