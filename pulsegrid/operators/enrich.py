@@ -79,7 +79,10 @@ def flatten_messages(msgs: DataFrame, rules: str = "full") -> DataFrame:
     date, hour, channel.
     Pass-through = any column that is not part of the message (e.g. event_id).
     """
-    keep = [c for c in msgs.columns if c not in RAW_FIELDS]
+    produced = {"device_id", "device_type", "patient_id", "ts", "alerts", "channel",
+                "message_id", "alert_count", "alert_types", "alert_severity", "date", "hour",
+                "has_critical_alert", *[c[1] for c in LOINC_COMPONENTS]}
+    keep = [c for c in msgs.columns if c not in RAW_FIELDS and c not in produced]
     r = F.col("readings")
     alerts_col = message_alerts(msgs, rules)
     base = msgs.select(
@@ -90,6 +93,7 @@ def flatten_messages(msgs: DataFrame, rules: str = "full") -> DataFrame:
         F.try_to_timestamp(F.col("timestamp")).alias("ts"),
         *[r[key].alias(col) for key, col, *_ in LOINC_COMPONENTS],
         alerts_col.alias("alerts"),
+        _opt(msgs, "messageId", "string").alias("message_id"),
         (F.split_part(F.col("topic"), F.lit("/"), F.lit(2)) if _has(msgs, "topic")
          else F.lit(None).cast("string")).alias("channel"),
     )

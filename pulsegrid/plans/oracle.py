@@ -518,3 +518,38 @@ SELECT device_type, count(*) AS devices, CAST(sum(total_readings) AS BIGINT) AS
   CAST(sum(total_alerts) AS BIGINT) AS alerts, min(device_health_score) AS min_health_score,
   max(device_health_score) AS max_health_score
 FROM ds GROUP BY device_type"""
+
+# --------------------------------------------------------------- streaming
+GOOD = BASE + """,
+good AS (SELECT * FROM flat WHERE event_id % 97 <> 0)"""
+
+SQL["stream_silver"] = GOOD + """
+SELECT CAST(event_id AS VARCHAR) AS message_id, device_id, device_type, patient_id, ts,
+  alert_types, alert_severity, channel
+FROM good"""
+
+SQL["stream_quarantine"] = """
+SELECT 'unparseable' AS reason, count(*) AS n FROM events WHERE event_id % 97 = 0"""
+
+SQL["stream_bronze"] = with_ctes(READINGS) + """
+SELECT CASE WHEN event_id % 97 = 0 THEN 'unknown' ELSE split_part(topic, '/', 2) END AS channel,
+  count(*) AS n, count(*) FILTER (WHERE event_id % 97 = 0) AS unparsed
+FROM readings GROUP BY 1"""
+
+SQL["stream_observations"] = OBS + """
+SELECT observation_id, type_key AS device_type, observation_date,
+  {n} AS n_components, object_key
+FROM obsk WHERE event_id % 97 <> 0""".replace("{n}", _N_VITALS)
+
+SQL["stream_alerts"] = GOOD + """
+SELECT CAST(event_id AS VARCHAR) AS message_id,
+  CASE WHEN alert_count > 1 THEN 'HIGH' ELSE 'MEDIUM' END AS severity,
+  'Healthcare Alert: ' || concat_ws(', ', a_hr, a_o2, a_bp, a_temp, a_glu) AS subject,
+  alert_count AS alerts_sent
+FROM good WHERE alert_count > 0"""
+
+SQL["stream_hourly"] = GOOD + """
+SELECT date_trunc('hour', ts) AS window_start, device_type, count(*) AS n,
+  CAST(sum(alert_count) AS BIGINT) AS total_alerts,
+  round(avg(heart_rate), 6) AS avg_heart_rate
+FROM good GROUP BY 1, 2"""

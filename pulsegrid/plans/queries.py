@@ -460,3 +460,67 @@ def q_catalog_sql(spark, sf_dir):
     catalog.register_etl_tables(spark, db, res)
     return catalog.run_sql(spark, CATALOG_SQL.format(db=db),
                            result_location=scratch_path(spark, "sql_result"))
+
+
+# ---------------------------------------------------------------- streaming
+def _ingest(spark, sf_dir):
+    from ..session import scratch_path
+    from ..streaming import pipeline as P
+    landing = testdata.write_message_files(testdata.load_messages(spark, sf_dir),
+                                           scratch_path(spark, "landing"), files=4)
+    return P.run_ingest(spark, landing)
+
+
+@query("stream_silver")
+def q_stream_silver(spark, sf_dir):
+    """Landing files -> availableNow stream -> enriched sink, read back flat."""
+    paths = _ingest(spark, sf_dir)
+    flat = enrich.flatten_messages(spark.read.parquet(paths.sink("enriched")))
+    return ntz(flat.select("message_id", "device_id", "device_type", "patient_id", "ts",
+                           "alert_types", "alert_severity", "channel"), "ts")
+
+
+@query("stream_quarantine")
+def q_stream_quarantine(spark, sf_dir):
+    paths = _ingest(spark, sf_dir)
+    q = spark.read.parquet(paths.sink("quarantine"))
+    return q.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("stream_bronze")
+def q_stream_bronze(spark, sf_dir):
+    paths = _ingest(spark, sf_dir)
+    b = spark.read.parquet(paths.sink("bronze"))
+    return b.groupBy("channel").agg(F.count(F.lit(1)).alias("n"),
+                                    F.count_if(~F.col("parsed")).alias("unparsed"))
+
+
+@query("stream_observations")
+def q_stream_observations(spark, sf_dir):
+    from ..streaming import pipeline as P
+    paths = _ingest(spark, sf_dir)
+    P.run_to_completion(P.start_observations(P.enriched_source(spark, paths), paths))
+    o = spark.read.parquet(paths.sink("observations"))
+    return o.select(F.col("id").alias("observation_id"), "device_type", "observation_date",
+                    F.size("component").alias("n_components"), "object_key")
+
+
+@query("stream_alerts")
+def q_stream_alerts(spark, sf_dir):
+    from ..streaming import pipeline as P
+    paths = _ingest(spark, sf_dir)
+    P.run_to_completion(P.start_alerts(P.enriched_source(spark, paths), paths))
+    a = spark.read.parquet(paths.sink("alerts"))
+    return a.select("message_id", "severity", "subject", "alerts_sent")
+
+
+@query("stream_hourly")
+def q_stream_hourly(spark, sf_dir):
+    from ..streaming import pipeline as P
+    paths = _ingest(spark, sf_dir)
+    P.run_to_completion(P.start_hourly(P.enriched_source(spark, paths), paths))
+    h = P.latest_hourly(spark, paths)
+    return ntz(round6(h.select(
+        "window_start", "device_type", "n", "total_alerts",
+        (F.col("sum_heart_rate") / F.col("n_heart_rate")).alias("avg_heart_rate")),
+        "avg_heart_rate"), "window_start")
