@@ -553,3 +553,27 @@ SELECT date_trunc('hour', ts) AS window_start, device_type, count(*) AS n,
   CAST(sum(alert_count) AS BIGINT) AS total_alerts,
   round(avg(heart_rate), 6) AS avg_heart_rate
 FROM good GROUP BY 1, 2"""
+
+# ---------------------------------------------------------------------- ML
+SQL["next_reading"] = BASE + """
+SELECT event_id, device_id,
+  lead(event_id) OVER (PARTITION BY device_id ORDER BY ts, event_id) AS next_event_id,
+  lead(ts) OVER (PARTITION BY device_id ORDER BY ts, event_id) AS next_ts
+FROM flat"""
+
+SQL["model_latest"] = BASE + """,
+daily AS (
+  SELECT date, count(*) AS a, count(*) FILTER (WHERE patient_id IS NOT NULL) AS r
+  FROM flat GROUP BY date),
+cum AS (
+  SELECT date, sum(a) OVER (ORDER BY date) AS a, sum(r) OVER (ORDER BY date) AS r FROM daily),
+last AS (SELECT * FROM cum ORDER BY date DESC LIMIT 1),
+recs AS (
+  SELECT 'anomaly_detection' AS model_type, CAST(date + INTERVAL 1 DAY + INTERVAL 2 HOUR AS TIMESTAMP) AS ts,
+    CAST(a AS BIGINT) AS training_samples FROM last
+  UNION ALL
+  SELECT 'readmission_risk', CAST(date + INTERVAL 1 DAY + INTERVAL 2 HOUR AS TIMESTAMP),
+    CAST(r AS BIGINT) FROM last)
+SELECT model_type, model_type || '-' || strftime(ts, '%Y%m%d-%H%M%S') AS model_id,
+  training_samples, ts AS updated_at
+FROM recs"""

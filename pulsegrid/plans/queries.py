@@ -524,3 +524,62 @@ def q_stream_hourly(spark, sf_dir):
         "window_start", "device_type", "n", "total_alerts",
         (F.col("sum_heart_rate") / F.col("n_heart_rate")).alias("avg_heart_rate")),
         "avg_heart_rate"), "window_start")
+
+
+# ----------------------------------------------------------------------- ML
+@query("next_reading")
+def q_next_reading(spark, sf_dir):
+    """Next reading of the same device (time-bucketed lead, skew-safe)."""
+    from ..operators.sequence import with_next
+    r = readings(spark, sf_dir)
+    n = with_next(r, "device_id", ["ts", "event_id"], ["event_id", "ts"],
+                  F.date_trunc("day", F.col("ts")))
+    return ntz(n.select("event_id", "device_id", F.col("next.event_id").alias("next_event_id"),
+                        F.col("next.ts").alias("next_ts")), "next_ts")
+
+
+@query("train_model")
+def q_train_model(spark, sf_dir):
+    """GBT on next-reading abnormality; metrics read back from the registry."""
+    from ..operators import ml
+    from ..session import scratch_path
+    reg = ml.train_and_register(spark, testdata.load_messages(spark, sf_dir),
+                                scratch_path(spark, "models"))
+    return reg.select("model_type", F.explode("metrics").alias("metric", "value"),
+                      "training_samples", "validation_samples")
+
+
+@query("model_latest")
+def q_model_latest(spark, sf_dir):
+    """Registry append + latest pointer over the daily retraining schedule:
+    one record per model type and day (02:00 after the day, samples seen so
+    far); the latest record per type wins."""
+    from ..session import scratch_path
+    from ..sinks import registry as R
+    r = readings(spark, sf_dir).where(F.col("ts").isNotNull())
+    types = {"anomaly_detection": F.lit(True), "readmission_risk": F.col("patient_id").isNotNull()}
+    daily = r.select("date", *[F.when(c, 1).otherwise(0).alias(t) for t, c in types.items()]) \
+        .groupBy("date").agg(*[F.sum(t).alias(t) for t in types])
+    from pyspark.sql import Window
+    w = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    cum = daily.select("date", *[F.sum(t).over(w).alias(t) for t in types])
+    stack = F.explode(F.array(*[F.struct(F.lit(t).alias("model_type"),
+                                         F.col(t).cast("bigint").alias("training_samples"))
+                                for t in types]))
+    root = scratch_path(spark, "registry")
+    ts = F.to_timestamp(F.concat(F.date_add("date", 1).cast("string"), F.lit(" 02:00:00")))
+    recs = cum.select(ts.alias("training_timestamp"), stack.alias("s")).select(
+        "s.model_type", "training_timestamp", "s.training_samples")
+    recs = recs.select(
+        "model_type",
+        R.model_id(F.col("model_type"), F.col("training_timestamp")).alias("model_id"),
+        "training_timestamp",
+        F.lit(None).cast("map<string,double>").alias("metrics"),
+        F.lit(None).cast("map<string,double>").alias("hyperparameters"),
+        "training_samples", F.lit(None).cast("bigint").alias("validation_samples"),
+        R.model_path(root, F.col("model_type"), F.col("training_timestamp")).alias("model_path"),
+        F.col("training_timestamp").alias("updated_at"))
+    R.append_records(recs, f"{root}/registry")
+    latest = R.latest(spark.read.parquet(f"{root}/registry"))
+    return ntz(latest.select("model_type", "model_id", "training_samples", "updated_at"),
+               "updated_at")
