@@ -93,15 +93,19 @@ def read_by_id(table: DataFrame, requests: DataFrame, resource_type: str,
     The table is first reduced to the requested ids with a semi join, so the
     de-duplicating aggregate only sees matching rows.
     """
+    from pyspark.sql import Window
     ids = requests.select(F.col(id_col).alias("id")).where(F.col("id").isNotNull())
     matched = table.join(ids, "id", "left_semi")
     other = [c for c in matched.columns if c != "id"]
     if order_col and order_col in matched.columns:
-        first = matched.groupBy("id").agg(
-            F.min_by(F.struct(*other), F.col(order_col)).alias("_r"))
+        # first match per id; a row_number() == 1 filter is planned as a
+        # group limit applied before the shuffle as well as after it
+        w = Window.partitionBy("id").orderBy(F.col(order_col).asc_nulls_last())
+        matched = (matched.withColumn("_rn", F.row_number().over(w))
+                   .where(F.col("_rn") == 1).drop("_rn"))
     else:
-        first = matched.groupBy("id").agg(F.first(F.struct(*other)).alias("_r"))
-    first = first.select(F.col("id").alias("_id"), "_r")
+        matched = matched.dropDuplicates(["id"])
+    first = matched.select(F.col("id").alias("_id"), F.struct(*other).alias("_r"))
     joined = requests.join(first, requests[id_col] == first["_id"], "left")
     found = F.col("_id").isNotNull()
     return joined.select(

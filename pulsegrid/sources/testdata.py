@@ -56,14 +56,27 @@ def readings_from_events(events: DataFrame) -> DataFrame:
     rr = F.when(eid % 4 == 0, F.lit(None).cast("double")).otherwise(dbl(
         12 + (eid * 19 + k) % 9 + _case(eid % 47, {17: 20, 18: -7, 19: 6}, 0)))
 
-    return e.select(
+    return fixture_barrier(e.select(
         "event_id", "ts",
         F.concat(F.lit("device-"), dn.cast("string")).alias("device_id"),
         device_type.alias("device_type"), topic.alias("topic"),
         patient.alias("patient_id"),
         hr.alias("heart_rate"), o2.alias("blood_oxygen"), sys_bp.alias("systolic_bp"),
         dia_bp.alias("diastolic_bp"), temp.alias("temperature"),
-        glu.alias("blood_glucose"), rr.alias("respiratory_rate"))
+        glu.alias("blood_glucose"), rr.alias("respiratory_rate")))
+
+
+def fixture_barrier(df: DataFrame) -> DataFrame:
+    """Stop predicate pushdown at the end of a derived fixture.
+
+    The fixture is one large expression tree over ``events``; a downstream
+    filter pushed through it would be rewritten in terms of that tree and
+    evaluate it once per reference (no common-subexpression elimination in
+    a pushed predicate). A one-row generator is a narrow, codegen'd node that
+    filters cannot pass, so the mapping runs exactly once per row -- the
+    same shape as a real source, whose columns are stored, not derived.
+    """
+    return df.select(F.inline(F.array(F.struct(*[F.col(c) for c in df.columns]))))
 
 
 def iso_timestamp(ts: Column) -> Column:
@@ -80,7 +93,7 @@ def messages_from_readings(readings: DataFrame) -> DataFrame:
     for key, col, *_ in LOINC_COMPONENTS:
         pairs += [F.lit(key), F.col(col)]
     readings_map = F.map_filter(F.create_map(*pairs), lambda _k, v: v.isNotNull())
-    return readings.select(
+    return fixture_barrier(readings.select(
         F.col("event_id"),
         F.col("topic"),
         F.col("device_id").alias("deviceId"),
@@ -88,7 +101,7 @@ def messages_from_readings(readings: DataFrame) -> DataFrame:
         F.col("patient_id").alias("patientId"),
         iso_timestamp(F.col("ts")).alias("timestamp"),
         readings_map.alias("readings"),
-        F.col("event_id").cast("string").alias("messageId"))
+        F.col("event_id").cast("string").alias("messageId")))
 
 
 def messages_from_events(events: DataFrame) -> DataFrame:
