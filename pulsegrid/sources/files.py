@@ -27,11 +27,10 @@ def read_json(spark: SparkSession, path: str | list[str], schema: StructType,
     raw text is then always at hand for quarantine, and unused fields are
     still pruned from the parser's schema by the optimizer.
     """
-    reader = spark.read.option("recursiveFileLookup", str(recursive).lower())
-    if multiline:
-        reader = reader.option("wholetext", "true")
     try:
-        text = reader.text(path)
+        # keyword arguments: text() would reset an earlier .option("wholetext")
+        text = spark.read.text(path, wholetext=multiline,
+                               recursiveFileLookup=str(recursive).lower())
     except AnalysisException as e:  # missing landing area: nothing to process
         if "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e):
             return spark.createDataFrame([], schema)
