@@ -33,20 +33,24 @@ def search_predicate(patient: str | None = None, device: str | None = None,
     upper one). ``prune`` adds observation_date bounds for partition pruning
     (exact for every row whose timestamp parsed).
     """
+    # Written so that Parquet can evaluate each predicate from row-group
+    # statistics. For a non-empty value v, coalesce(x, '') >= v is x >= v
+    # (null never passes), coalesce(x, '') <= v is (x IS NULL OR x <= v), and
+    # a substring test of coalesce(x, '') is the substring test of x.
     preds = []
+    ref = F.col("subject.reference")
     if patient:
-        ref = F.coalesce(F.col("subject.reference"), F.lit(""))
         preds.append(ref == F.lit(f"Patient/{patient}") if strict
                      else ref.contains(F.lit(patient)))
     if device:
         preds.append(F.col("device.identifier.value") == F.lit(device))
-    eff = F.coalesce(F.col("effectiveDateTime"), F.lit(""))
+    eff = F.col("effectiveDateTime")
     if date_from:
         preds.append(eff >= F.lit(date_from))
         if prune:
             preds.append(F.col("observation_date") >= F.try_to_date(F.lit(date_from[:10])))
     if date_to:
-        preds.append(eff <= F.lit(date_to))
+        preds.append(eff.isNull() | (eff <= F.lit(date_to)))
         if prune:
             preds.append(F.col("observation_date") <= F.try_to_date(F.lit(date_to[:10])))
     return _and(preds)
