@@ -577,3 +577,6 @@ recs AS (
 SELECT model_type, model_type || '-' || strftime(ts, '%Y%m%d-%H%M%S') AS model_id,
   training_samples, ts AS updated_at
 FROM recs"""
+
+SQL["search_stored"] = SQL["search_by_date"]
+SQL["observation_json_roundtrip"] = SQL["observation_wide"]

@@ -586,3 +586,31 @@ def q_model_latest(spark, sf_dir):
     latest = R.latest(spark.read.parquet(f"{root}/registry"))
     return ntz(latest.select("model_type", "model_id", "training_samples", "updated_at"),
                "updated_at")
+
+
+@query("search_stored")
+def q_search_stored(spark, sf_dir):
+    """Observation store written partitioned by type / date, then searched
+    with partition pruning: same rows as the in-flight search."""
+    from ..operators import search as Q
+    from ..session import scratch_path
+    from ..sinks.tables import write_observations
+    path = scratch_path(spark, "observation_store")
+    write_observations(observations(spark, sf_dir), path)
+    stored = spark.read.parquet(path)
+    return Q.search_observations(stored, prune=True,
+                                 **SEARCHES["search_by_date"]).select(*search_cols())
+
+
+@query("observation_json_roundtrip")
+def q_observation_json_roundtrip(spark, sf_dir):
+    """Documents exported as JSON under type / date folders, read back
+    recursively, parsed and unpivoted."""
+    from ..operators import observations as O
+    from ..session import scratch_path
+    from ..sinks.tables import export_documents
+    from ..sources import files
+    path = scratch_path(spark, "observation_json")
+    export_documents(observations(spark, sf_dir), path)
+    back = files.valid_rows(files.read_observations(spark, path, multiline=False))
+    return ntz(O.observations_wide(back), "effective_timestamp")

@@ -16,17 +16,23 @@ from pyspark.sql import functions as F
 def write_table(df: DataFrame | None, path: str, mode: str = "overwrite",
                 partition_cols: list[str] | tuple = (), fmt: str = "parquet",
                 dynamic_overwrite: bool = False, skip_if_empty: bool = False,
-                max_records_per_file: int | None = None) -> int | None:
+                max_records_per_file: int | None = None, rebalance: bool = True) -> int | None:
     """Write ``df`` to ``path``; return the number of rows written.
 
     ``None`` input (an upstream guard found nothing) skips the write. With
     ``skip_if_empty`` an empty frame also skips it (one cheap limit-1 probe).
+    A partitioned write is preceded by a REBALANCE on the partition columns:
+    AQE then sizes the write tasks, splitting a hot partition value over
+    several tasks and merging small ones, so each value gets a few
+    right-sized files instead of one file per input task.
     """
     if df is None:
         return None
     if skip_if_empty and df.isEmpty():
         return 0
     metric = Observation("write_rows")
+    if partition_cols and rebalance:
+        df = df.hint("rebalance", *partition_cols)
     observed = df.observe(metric, F.count(F.lit(1)).alias("rows"))
     w = observed.write.mode(mode).format(fmt)
     if dynamic_overwrite:
@@ -48,3 +54,33 @@ def quarantine_rows(df: DataFrame, reason: str, raw_col: str = "_corrupt_record"
     """Quarantine schema: raw text, reason, batch id."""
     return df.select(F.col(raw_col).alias("raw"), F.lit(reason).alias("reason"),
                      F.lit(batch_id).cast("bigint").alias("batch_id"))
+
+
+OBSERVATION_PARTITIONS = ["device_type", "observation_date"]
+
+
+def write_observations(obs: DataFrame, path: str, mode: str = "append") -> int | None:
+    """Observation store: partitioned by device type and event date (plus the
+    metadata columns), the layout search prunes on."""
+    return write_table(obs, path, mode=mode, partition_cols=OBSERVATION_PARTITIONS)
+
+
+def export_documents(obs: DataFrame, path: str) -> None:
+    """Observation documents as JSON text (one per line), same partition layout."""
+    from ..operators.observations import OBSERVATION_FIELDS
+    present = [c for c in OBSERVATION_FIELDS if c in obs.columns]
+    docs = obs.select(*OBSERVATION_PARTITIONS,
+                      F.to_json(F.struct(*present)).alias("value"))
+    docs.hint("rebalance", *OBSERVATION_PARTITIONS).write.mode("overwrite") \
+        .partitionBy(*OBSERVATION_PARTITIONS).text(path)
+
+
+def write_alerts(notifications: DataFrame, path: str) -> int | None:
+    """Alert notifications table (what the notifier publishes), by date."""
+    return write_table(notifications, path, mode="append", partition_cols=["date"])
+
+
+def write_metrics(metrics: DataFrame, path: str) -> int | None:
+    """Metric rows (name, value, unit, ...), appended."""
+    return write_table(metrics.withColumn("recorded_at", F.current_timestamp()), path,
+                       mode="append")
