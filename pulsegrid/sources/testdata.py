@@ -135,12 +135,26 @@ def load_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+_BUILT: dict = {}
+
+
+def _memo(kind: str, spark: SparkSession, sf_dir: str, build) -> DataFrame:
+    """Reuse the built fixture plan per session and folder (plans are immutable)."""
+    key = (kind, id(spark), sf_dir)
+    df = _BUILT.get(key)
+    if df is None or df.sparkSession is not spark:
+        df = _BUILT[key] = build()
+    return df
+
+
 def load_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return messages_from_events(load_table(spark, sf_dir, "events"))
+    return _memo("messages", spark, sf_dir,
+                 lambda: messages_from_events(load_table(spark, sf_dir, "events")))
 
 
 def load_patients(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return patients_from_customer(load_table(spark, sf_dir, "customer"))
+    return _memo("patients", spark, sf_dir,
+                 lambda: patients_from_customer(load_table(spark, sf_dir, "customer")))
 
 
 def sparse_messages(events: DataFrame) -> DataFrame:
