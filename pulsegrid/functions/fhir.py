@@ -79,8 +79,14 @@ def components(readings: Column, basic: bool = False) -> Column:
         items = [component(readings[k], code, disp, text, unit, ucum)
                  for k, _col, code, disp, text, unit, ucum in V.LOINC_COMPONENTS]
         keys = V.READING_KEYS
-    arr = F.array(*[F.when(F.map_contains_key(readings, k), c) for k, c in zip(keys, items)])
-    return F.filter(arr, lambda x: x.isNotNull())
+    empty = F.array().cast(_COMPONENT_ARRAY)
+    return F.concat(*[F.when(F.map_contains_key(readings, k), F.array(c)).otherwise(empty)
+                      for k, c in zip(keys, items)])
+
+
+_COMPONENT_ARRAY = ("array<struct<code:struct<coding:array<struct<system:string,code:string,"
+                    "display:string>>,text:string>,valueQuantity:struct<value:double,"
+                    "unit:string,system:string,code:string>>>")
 
 
 def interpretation(alerts: Column) -> Column:

@@ -61,16 +61,22 @@ def metric_anomaly(metric: Column, v: Column) -> Column:
     return out
 
 
-def metric_readings(readings: Column) -> Column:
-    """Rename message keys to scorer metric names; other keys are kept."""
-    m = F.create_map(*[x for k, v in KEY_TO_METRIC.items() for x in (F.lit(k), F.lit(v))])
-    return F.transform_keys(readings, lambda k, _v: F.coalesce(m[k], k))
+def metric_name(key: Column) -> Column:
+    """Message reading key -> scorer metric name (other keys unchanged)."""
+    out = None
+    for k, v in KEY_TO_METRIC.items():
+        out = F.when(key == F.lit(k), F.lit(v)) if out is None else out.when(key == F.lit(k),
+                                                                            F.lit(v))
+    return out.otherwise(key)
 
 
 def threshold_anomalies(readings: Column) -> Column:
-    """array<struct<metric,value,severity,message>> in reading order."""
+    """array<struct<metric,value,severity,message>> in reading order.
+
+    Message keys are mapped to metric names per entry (renaming the map's
+    keys instead could collide, e.g. 'heartRate' next to 'heart_rate')."""
     scored = F.transform(F.map_entries(readings),
-                         lambda e: metric_anomaly(e["key"], e["value"]))
+                         lambda e: metric_anomaly(metric_name(e["key"]), e["value"]))
     return F.filter(scored, lambda a: a.isNotNull())
 
 

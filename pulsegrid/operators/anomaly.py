@@ -22,7 +22,7 @@ def score_readings(msgs: DataFrame, readings_col: str = "readings",
     are counted in ``readings_analyzed`` but never scored.
     """
     r = F.col(readings_col)
-    out = msgs.withColumn("anomalies", S.threshold_anomalies(S.metric_readings(r)))
+    out = msgs.withColumn("anomalies", S.threshold_anomalies(r))
     return out.withColumns({
         "patient_id": F.coalesce(F.col(patient_col), F.lit("unknown")),
         "n_anomalies": F.size("anomalies"),

@@ -27,7 +27,7 @@ FEATURES = [*VITAL_COLUMNS, "alert_count", "hour"]
 def training_set(messages: DataFrame, bucket: str = "1 day") -> DataFrame:
     """Device messages -> features of each reading + label of the device's next one."""
     scored = flatten_messages(messages.withColumn(
-        "abnormal", S.alert_level(S.threshold_anomalies(S.metric_readings(F.col("readings"))))
+        "abnormal", S.alert_level(S.threshold_anomalies(F.col("readings")))
         != F.lit("NORMAL")))
     nxt = with_next(scored.where(F.col("ts").isNotNull()), "device_id", ["ts", "message_id"],
                     ["abnormal"], F.date_trunc(_unit(bucket), F.col("ts")))

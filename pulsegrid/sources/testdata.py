@@ -89,10 +89,11 @@ def messages_from_readings(readings: DataFrame) -> DataFrame:
 
     ``messageId`` carries the event id; absent vitals are absent map keys.
     """
-    pairs = []
-    for key, col, *_ in LOINC_COMPONENTS:
-        pairs += [F.lit(key), F.col(col)]
-    readings_map = F.map_filter(F.create_map(*pairs), lambda _k, v: v.isNotNull())
+    from ..functions.alerts import compact
+    entries = [F.when(F.col(col).isNotNull(),
+                      F.struct(F.lit(key).alias("key"), F.col(col).alias("value")))
+               for key, col, *_ in LOINC_COMPONENTS]
+    readings_map = F.map_from_entries(compact(entries, "struct<key:string,value:double>"))
     return fixture_barrier(readings.select(
         F.col("event_id"),
         F.col("topic"),
