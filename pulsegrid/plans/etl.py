@@ -53,13 +53,18 @@ def silver_readings(messages: DataFrame, keep: tuple = ()) -> DataFrame:
 def run_etl(spark: SparkSession, output: str, messages: DataFrame | None = None,
             observations: DataFrame | None = None, raw_path: str | list | None = None,
             fhir_path: str | list | None = None, keep: tuple = (),
-            skip_if_empty: bool = True) -> EtlResult:
+            incremental: bool = False) -> EtlResult:
     """Write the five tables below ``output``.
 
     Inputs are either DataFrames (``messages``, ``observations``) or landing
-    paths read with explicit schemas. An empty input skips its writes.
+    paths read with explicit schemas. An input without rows writes an empty
+    silver table (fixed schema) and skips the gold tables built from it.
+    ``incremental``: partitioned tables replace only the partitions present
+    in this run's input (dynamic partition overwrite), so a run over new
+    landing files does not erase history.
     """
     res = EtlResult(output)
+    dyn = {"dynamic_overwrite": incremental}
     if messages is None and raw_path is not None:
         messages = files.read_device_messages(spark, raw_path)
     if observations is None and fhir_path is not None:
@@ -69,11 +74,11 @@ def run_etl(spark: SparkSession, output: str, messages: DataFrame | None = None,
         readings = silver_readings(messages, keep)
         res.rows["device_readings"] = write_table(
             readings, res.path("device_readings"), partition_cols=["date", "device_type"],
-            skip_if_empty=skip_if_empty)
+            **dyn)
     if observations is not None:
         res.rows["fhir_observations"] = write_table(
             O.observations_wide(observations), res.path("fhir_observations"),
-            skip_if_empty=skip_if_empty)
+            mode="append" if incremental else "overwrite")
 
     if res.rows.get("fhir_observations"):
         wide = spark.read.parquet(res.path("fhir_observations"))
@@ -99,3 +104,25 @@ def read_back_counts(spark: SparkSession, res: EtlResult) -> DataFrame:
     for f in frames[1:]:
         out = out.unionByName(f)
     return out
+
+
+def main(argv=None) -> int:
+    """spark-submit entry: python -m pulsegrid.plans.etl --raw R --fhir F --out O"""
+    import argparse
+    import json
+
+    from ..session import build_session
+    ap = argparse.ArgumentParser(description="device readings / observations ETL")
+    ap.add_argument("--raw", nargs="*", default=None, help="raw message landing path(s)")
+    ap.add_argument("--fhir", nargs="*", default=None, help="Observation document path(s)")
+    ap.add_argument("--out", required=True, help="output root")
+    ap.add_argument("--incremental", action="store_true")
+    a = ap.parse_args(argv)
+    spark = build_session(app="pulsegrid-etl")
+    res = run_etl(spark, a.out, raw_path=a.raw, fhir_path=a.fhir, incremental=a.incremental)
+    print(json.dumps({"output": res.output, "rows": res.rows}))
+    return 0
+
+
+if __name__ == "__main__":
+    raise SystemExit(main())

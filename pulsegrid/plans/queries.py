@@ -637,3 +637,14 @@ def q_observation_json_roundtrip(spark, sf_dir):
     export_documents(observations(spark, sf_dir), path)
     back = files.valid_rows(files.read_observations(spark, path, multiline=False))
     return ntz(O.observations_wide(back), "effective_timestamp")
+
+
+@query("stream_metrics")
+def q_stream_metrics(spark, sf_dir):
+    """Scoring stage of the stream: metric rows per evaluation, summarised."""
+    from ..operators import anomaly
+    from ..streaming import pipeline as P
+    paths = _ingest(spark, sf_dir)
+    P.run_to_completion(P.start_scoring(P.enriched_source(spark, paths), paths))
+    m = spark.read.parquet(paths.sink("scoring") + "/metrics")
+    return round6(anomaly.summarize_metrics(m), "total", "avg_value", "max_value")

@@ -173,6 +173,27 @@ def start_hourly(enriched: DataFrame, paths: StreamPaths, available_now: bool =
     return _trigger(w, available_now, interval).start()
 
 
+def start_scoring(enriched: DataFrame, paths: StreamPaths, available_now: bool = True,
+                  interval: str | None = None) -> StreamingQuery:
+    """Threshold scoring per message: anomaly rows and the two metric rows
+    (AnomalyCount, RiskScore) per evaluation, written per batch id."""
+    from ..operators import anomaly
+    scored = anomaly.score_readings(enriched)
+    target = paths.sink("scoring")
+
+    def write(batch: DataFrame, batch_id: int):
+        batch = batch.select("messageId", "patient_id", "n_anomalies", "risk_score",
+                             "alert_level", "readings_analyzed", "anomalies")
+        metrics = anomaly.anomaly_metric_rows(batch, "messageId", "patient_id")
+        (metrics.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+         .write.mode("overwrite").parquet(f"{target}/metrics/batch={batch_id}"))
+        (anomaly.explode_anomalies(batch, "messageId", "patient_id")
+         .write.mode("overwrite").parquet(f"{target}/anomalies/batch={batch_id}"))
+    w = (scored.writeStream.foreachBatch(write)
+         .option("checkpointLocation", paths.checkpoint("scoring")))
+    return _trigger(w, available_now, interval).start()
+
+
 def latest_hourly(spark: SparkSession, paths: StreamPaths) -> DataFrame:
     """Latest state of each (window, device type) across batch snapshots."""
     snap = spark.read.parquet(paths.sink("hourly"))
@@ -203,3 +224,45 @@ def run_ingest(spark: SparkSession, landing: str, paths: StreamPaths | None = No
         qs.append(start_quarantine(raw, paths))
     run_to_completion(*qs)
     return paths
+
+
+def main(argv=None) -> int:
+    """spark-submit entry: python -m pulsegrid.streaming.pipeline --landing L --root R
+    [--continuous 30s]. Without --continuous each run processes the new files
+    and stops (availableNow)."""
+    import argparse
+
+    from ..session import build_session
+    ap = argparse.ArgumentParser(description="device message streaming pipeline")
+    ap.add_argument("--landing", required=True)
+    ap.add_argument("--root", required=True, help="sinks and checkpoints root")
+    ap.add_argument("--continuous", default=None, help="processing-time trigger interval")
+    ap.add_argument("--max-files-per-trigger", type=int, default=None)
+    a = ap.parse_args(argv)
+    spark = build_session(app="pulsegrid-stream")
+    paths = StreamPaths(a.landing, a.root)
+    once = a.continuous is None
+    raw = raw_stream(spark, a.landing, a.max_files_per_trigger)
+    qs = [start_enriched(raw, paths, once, a.continuous),
+          start_bronze(raw, paths, once, a.continuous),
+          start_quarantine(raw, paths, once, a.continuous)]
+    if once:
+        run_to_completion(*qs)
+        enriched = enriched_source(spark, paths)
+        run_to_completion(start_observations(enriched, paths),
+                          start_alerts(enriched_source(spark, paths), paths),
+                          start_scoring(enriched_source(spark, paths), paths),
+                          start_hourly(enriched_source(spark, paths), paths))
+        return 0
+    # continuous: downstream stages read the enriched table once it exists
+    qs[0].processAllAvailable()
+    qs += [start_observations(enriched_source(spark, paths), paths, False, a.continuous),
+           start_alerts(enriched_source(spark, paths), paths, False, a.continuous),
+           start_scoring(enriched_source(spark, paths), paths, False, a.continuous),
+           start_hourly(enriched_source(spark, paths), paths, False, a.continuous)]
+    spark.streams.awaitAnyTermination()
+    return 0
+
+
+if __name__ == "__main__":
+    raise SystemExit(main())
