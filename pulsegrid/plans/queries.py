@@ -489,18 +489,21 @@ def q_catalog_sql(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- streaming
-def _ingest(spark, sf_dir):
+def _ingest(spark, sf_dir, bronze: bool = False, quarantine: bool = False):
+    """Land the messages as JSON files, then run the enriched stream (and the
+    bronze / quarantine streams when the query reports on them)."""
     from ..session import scratch_path
     from ..streaming import pipeline as P
     landing = testdata.write_message_files(testdata.load_messages(spark, sf_dir),
                                            scratch_path(spark, "landing"), files=4)
-    return P.run_ingest(spark, landing)
+    return P.run_ingest(spark, landing, bronze=bronze, quarantine=quarantine)
 
 
 @query("stream_silver")
 def q_stream_silver(spark, sf_dir):
-    """Landing files -> availableNow stream -> enriched sink, read back flat."""
-    paths = _ingest(spark, sf_dir)
+    """Landing files -> availableNow streams (enriched + bronze + quarantine in
+    parallel) -> enriched sink, read back flat."""
+    paths = _ingest(spark, sf_dir, bronze=True, quarantine=True)
     flat = enrich.flatten_messages(spark.read.parquet(paths.sink("enriched")))
     return ntz(flat.select("message_id", "device_id", "device_type", "patient_id", "ts",
                            "alert_types", "alert_severity", "channel"), "ts")
@@ -508,14 +511,14 @@ def q_stream_silver(spark, sf_dir):
 
 @query("stream_quarantine")
 def q_stream_quarantine(spark, sf_dir):
-    paths = _ingest(spark, sf_dir)
+    paths = _ingest(spark, sf_dir, quarantine=True)
     q = spark.read.parquet(paths.sink("quarantine"))
     return q.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("stream_bronze")
 def q_stream_bronze(spark, sf_dir):
-    paths = _ingest(spark, sf_dir)
+    paths = _ingest(spark, sf_dir, bronze=True)
     b = spark.read.parquet(paths.sink("bronze"))
     return b.groupBy("channel").agg(F.count(F.lit(1)).alias("n"),
                                     F.count_if(~F.col("parsed")).alias("unparsed"))
