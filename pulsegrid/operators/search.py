@@ -158,11 +158,30 @@ def parse_search_params(params: str | dict | None) -> dict:
 
 
 def search_patients(patients: DataFrame, params: str | dict | None) -> DataFrame:
-    """Conjunction of equality predicates on patient columns."""
+    """Conjunction of equality predicates on patient columns.
+
+    The value is cast to the column's type (not the column to text), so the
+    predicate stays pushable into the scan; a value that does not parse as
+    that type matches nothing."""
+    types = dict(patients.dtypes)
     preds = []
     for k, v in parse_search_params(params).items():
-        if k not in patients.columns:
+        if k not in types:
             raise ValueError(f"unknown search parameter: {k}")
-        preds.append(F.col(k).cast("string") == F.lit(str(v)))
+        preds.append(F.col(k) == F.lit(str(v)).try_cast(types[k]))
     p = _and(preds)
     return patients.where(p) if p is not None else patients
+
+
+def read_resources(tables: dict, resource_type: str, requests: DataFrame,
+                   id_col: str = "requested_id") -> DataFrame:
+    """Read-by-id with the table chosen by resource type ({'Patient': df, ...}).
+    An unsupported type yields one outcome row per request."""
+    table = tables.get(resource_type)
+    if table is None:
+        return requests.select(
+            "*", F.lit(False).alias("found"), F.lit("error").alias("outcome_severity"),
+            F.lit("not-supported").alias("outcome_code"),
+            F.lit(f"Resource type {resource_type} not supported").alias("outcome_diagnostics"))
+    order = "object_key" if "object_key" in table.columns else None
+    return read_by_id(table, requests, resource_type, id_col=id_col, order_col=order)

@@ -50,3 +50,16 @@ def run_sql(spark: SparkSession, text: str, result_location: str | None = None)
         df.write.mode("overwrite").parquet(result_location)
         return spark.read.parquet(result_location)
     return df
+
+
+def register_landing(spark: SparkSession, database: str, table: str, path: str,
+                     schema=None) -> str:
+    """The raw JSON landing area as a catalog table with an explicit schema
+    (not inferred), read recursively so nested arrival folders are included."""
+    from ..schemas import RAW_MESSAGE
+    full = f"{database}.{table}"
+    if not spark.catalog.tableExists(full):
+        spark.catalog.createTable(full, path=path, source="json",
+                                  schema=schema or RAW_MESSAGE,
+                                  recursiveFileLookup="true", mode="PERMISSIVE")
+    return full

@@ -170,3 +170,12 @@ def test_multiline_documents_in_nested_folders(spark):
 def test_missing_landing_area_is_empty(spark):
     df = files.read_device_messages(spark, "/nonexistent/pulsegrid/landing")
     assert df.count() == 0 and "readings" in df.columns
+
+
+def test_resource_dispatch(spark):
+    docs = _docs(spark)
+    req = spark.createDataFrame([(docs.first()["id"],)], "requested_id string")
+    ok = search.read_resources({"Observation": docs}, "Observation", req).first()
+    assert ok["found"]
+    bad = search.read_resources({"Observation": docs}, "Device", req).first()
+    assert not bad["found"] and bad["outcome_code"] == "not-supported"

@@ -91,3 +91,14 @@ def test_catalog_registration(spark, sf_small):
     names = catalog.register_etl_tables(spark, db, res)
     n = spark.sql(f"SELECT count(*) AS n FROM {names['device_readings']}").first()["n"]
     assert n == res.rows["device_readings"]
+
+
+def test_landing_registered_with_schema(spark, sf_small):
+    from pulsegrid.sources import catalog
+    msgs = testdata.load_messages(spark, sf_small)
+    landing = testdata.write_message_files(msgs, scratch_path(spark, "t_reg_landing"))
+    db = catalog.create_database(spark)
+    name = catalog.register_landing(spark, db, "raw_messages", landing)
+    got = spark.sql(f"SELECT count(*) AS n, count(deviceId) AS d FROM {name}").first()
+    assert got["n"] == msgs.count()
+    assert got["d"] == msgs.where("event_id % 97 <> 0").count()
