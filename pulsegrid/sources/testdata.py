@@ -190,7 +190,8 @@ def message_lines(msgs: DataFrame, corrupt_every: int = 97) -> DataFrame:
 
 def write_message_files(msgs: DataFrame, path: str, corrupt_every: int = 97,
                         files: int | None = None) -> str:
-    """Land device messages as JSON-lines files (the raw landing area)."""
+    """Land device messages as JSON-lines files (the raw landing area), one
+    file per input partition; ``files`` forces a count (small tests only)."""
     lines = message_lines(msgs, corrupt_every).select("value")
     if files:
         lines = lines.repartition(files)
