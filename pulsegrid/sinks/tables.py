@@ -84,3 +84,11 @@ def write_metrics(metrics: DataFrame, path: str) -> int | None:
     """Metric rows (name, value, unit, ...), appended."""
     return write_table(metrics.withColumn("recorded_at", F.current_timestamp()), path,
                        mode="append")
+
+
+def compact(spark, path: str, out_path: str, partition_cols=()) -> int | None:
+    """Small-file compaction: rewrite a table (e.g. a streaming sink with
+    one file per task and micro-batch) into a few right-sized files per
+    partition. Writes to ``out_path``; swapping locations is left to the
+    storage layer (reading and overwriting one path in a job is unsafe)."""
+    return write_table(spark.read.parquet(path), out_path, partition_cols=partition_cols)
