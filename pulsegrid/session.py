@@ -59,18 +59,23 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder named by ``spark.checkpoint.dir``.
 
     Read from the session; set our own only when unset (tests, local runs).
+    Works on a classic session and on a Connect session (no SparkContext).
     """
-    sc = spark.sparkContext
-    d = sc.getCheckpointDir()
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: configuration only
+        sc = None
+    d = sc.getCheckpointDir() if sc is not None else None
     if not d:
-        d = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get(
-            "spark.checkpoint.dir", None)
+        d = spark.conf.get("spark.checkpoint.dir", None)
+        if not d and sc is not None:
+            d = sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
         d = tempfile.mkdtemp(prefix="pulsegrid-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
-    if not sc.getCheckpointDir():
+    if sc is not None and not sc.getCheckpointDir():
         sc.setCheckpointDir(d)
-    d = sc.getCheckpointDir() or d
+        d = sc.getCheckpointDir() or d
     return d.rstrip("/")
 
 

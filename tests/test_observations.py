@@ -179,3 +179,16 @@ def test_resource_dispatch(spark):
     assert ok["found"]
     bad = search.read_resources({"Observation": docs}, "Device", req).first()
     assert not bad["found"] and bad["outcome_code"] == "not-supported"
+
+
+def test_device_type_defaults_per_place(spark):
+    """D20: the processor defaults a missing type to 'unknown'; a converter
+    given no type displays 'Unknown Device' and files it under 'unknown'."""
+    raw = spark.createDataFrame([("d1", None, "p", "2024-01-02T00:00:00Z", {}, "1")],
+                                "deviceId string, deviceType string, patientId string, "
+                                "timestamp string, readings map<string,double>, messageId string")
+    direct = O.build_observations(raw).first()
+    assert direct["device"]["display"] == "Unknown Device"
+    assert direct["device_type"] == "unknown"
+    enriched = O.build_observations(enrich.enrich_messages(raw)).first()
+    assert enriched["device"]["display"] == "unknown"

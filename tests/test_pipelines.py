@@ -102,3 +102,19 @@ def test_landing_registered_with_schema(spark, sf_small):
     got = spark.sql(f"SELECT count(*) AS n, count(deviceId) AS d FROM {name}").first()
     assert got["n"] == msgs.count()
     assert got["d"] == msgs.where("event_id % 97 <> 0").count()
+
+
+def test_incremental_etl_keeps_other_partitions(spark, sf_small):
+    """D11: an incremental run replaces only the partitions in its input."""
+    msgs = testdata.load_messages(spark, sf_small)
+    out = scratch_path(spark, "t_incr")
+    first = msgs.where("event_id % 2 = 0 AND timestamp < '2024-01-03'")
+    second = msgs.where("timestamp >= '2024-01-03'")
+    etl.run_etl(spark, out, messages=first)
+    etl.run_etl(spark, out, messages=second, incremental=True)
+    back = spark.read.parquet(f"{out}/{etl.TABLE_PATHS['device_readings']}")
+    assert back.count() == first.count() + second.count()
+    # a full refresh replaces everything
+    etl.run_etl(spark, out, messages=second)
+    assert spark.read.parquet(f"{out}/{etl.TABLE_PATHS['device_readings']}").count() \
+        == second.count()

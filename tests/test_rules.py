@@ -113,3 +113,14 @@ def test_notifications(spark):
     assert [r["severity"] for r in n] == ["HIGH", "MEDIUM"]
     assert n[0]["subject"] == "Healthcare Alert: tachycardia, hypoxemia"
     assert [r["alerts_sent"] for r in n] == [2, 1]
+
+
+def test_null_alert_list_counts_zero(spark):
+    """D9: a missing alert list counts 0 and joins to '' (ANSI-safe)."""
+    m = _msgs(spark, [{"heartRate": 72.0}])
+    m = m.withColumn("alerts", F.lit(None).cast("array<string>"))
+    from pulsegrid.functions import alerts as A
+    r = m.select(A.alert_count(F.col("alerts")).alias("n"),
+                 A.alert_types(F.col("alerts")).alias("t"),
+                 A.alert_severity(F.col("alerts")).alias("s")).first()
+    assert (r["n"], r["t"], r["s"]) == (0, "", "normal")
