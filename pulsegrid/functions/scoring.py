@@ -24,7 +24,6 @@ KEY_TO_METRIC = {
     "bloodGlucose": "blood_glucose",
     "respiratoryRate": "respiratory_rate",
 }
-METRIC_TO_COLUMN = {t[0]: t[1] for t in SCORER_THRESHOLDS}
 
 
 def value_text(v: Column) -> Column:

@@ -111,5 +111,3 @@ TRAIN_LEARNING_RATE = 0.1
 
 READING_KEYS = [c[0] for c in LOINC_COMPONENTS]
 VITAL_COLUMNS = [c[1] for c in LOINC_COMPONENTS]
-KEY_TO_COLUMN = {c[0]: c[1] for c in LOINC_COMPONENTS}
-CODE_TO_COLUMN = {c[2]: c[1] for c in LOINC_COMPONENTS}

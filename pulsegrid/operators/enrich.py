@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import alerts as A
-from ..functions.vocab import LOINC_COMPONENTS
+from ..functions.vocab import LOINC_COMPONENTS, NOTIFY_ALERT_TYPE
 from ..schemas import RAW_MESSAGE
 
 RAW_FIELDS = {f.name for f in RAW_MESSAGE.fields} | {"_corrupt_record"}
@@ -110,7 +110,7 @@ def notifications(readings: DataFrame) -> DataFrame:
     """Alert notifications for rows with at least one alert."""
     return (readings.where(F.size(F.col("alerts")) > 0)
             .withColumns({
-                "alert_type": F.lit("ANOMALY_DETECTED"),
+                "alert_type": F.lit(NOTIFY_ALERT_TYPE),
                 "severity": A.notification_severity(F.col("alerts")),
                 "subject": A.notification_subject(F.col("alerts")),
                 "alerts_sent": F.size(F.col("alerts")),

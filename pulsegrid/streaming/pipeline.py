@@ -100,12 +100,12 @@ def start_quarantine(raw: DataFrame, paths: StreamPaths, available_now: bool = T
                      interval: str | None = None) -> StreamingQuery:
     """Unparseable records, kept with a reason and the batch id (not retried:
     a parse error is deterministic)."""
+    from ..sinks.tables import quarantine_rows
     bad = raw.where(F.col(files.CORRUPT).isNotNull()).select("raw")
     target = paths.sink("quarantine")
 
     def write(batch: DataFrame, batch_id: int):
-        (batch.select("raw", F.lit("unparseable").alias("reason"),
-                      F.lit(batch_id).cast("bigint").alias("batch_id"))
+        (quarantine_rows(batch, "unparseable", raw_col="raw", batch_id=batch_id)
          .write.mode("overwrite").parquet(f"{target}/batch={batch_id}"))
     w = (bad.writeStream.foreachBatch(write)
          .option("checkpointLocation", paths.checkpoint("quarantine")))

@@ -62,3 +62,40 @@ def test_stream_hourly_equals_batch(spark, sf_small):
     b = gold.hourly_trends(Q.readings(spark, sf_small).where("event_id % 97 <> 0")).select(
         "date", "hour", "device_type", "reading_count", "total_alerts")
     assert s.exceptAll(b).count() == 0 and b.exceptAll(s).count() == 0
+
+
+def test_schemas_of_outputs(spark, sf_small):
+    from pulsegrid import schemas
+    from pulsegrid.operators import anomaly
+    from pulsegrid.sinks.tables import quarantine_rows
+    from pulsegrid.sources import testdata
+    def same(a, b):  # names and types; nullability may differ (literals are non-null)
+        return a.simpleString() == b.simpleString()
+    assert same(testdata.load_patients(spark, sf_small).schema, schemas.PATIENT)
+    scored = anomaly.score_readings(testdata.load_messages(spark, sf_small))
+    assert same(scored.schema["anomalies"].dataType.elementType, schemas.ANOMALY)
+    q = quarantine_rows(spark.createDataFrame([("{x",)], "_corrupt_record string"), "bad")
+    assert same(q.schema, schemas.QUARANTINE)
+
+
+def test_alert_vocabulary_is_closed(spark, sf_small):
+    from pulsegrid.functions.vocab import ALERT_NAMES, BASIC_ALERT_NAMES
+    from pulsegrid.plans import queries as Q
+    full = {r[0] for r in Q.readings(spark, sf_small).select(F.explode("alerts")).collect()}
+    basic = {r[0] for r in Q.readings(spark, sf_small, rules="basic")
+             .select(F.explode("alerts")).collect()}
+    assert full <= set(ALERT_NAMES) and basic <= set(BASIC_ALERT_NAMES) and full
+
+
+def test_batch_alert_and_metric_writers(spark, sf_small, tmp_path):
+    from pulsegrid.operators import anomaly, enrich
+    from pulsegrid.plans import queries as Q
+    from pulsegrid.sinks.tables import write_alerts, write_metrics
+    from pulsegrid.sources import testdata
+    n = write_alerts(enrich.notifications(Q.readings(spark, sf_small)), str(tmp_path / "a"))
+    assert n == Q.readings(spark, sf_small).where("alert_count > 0").count()
+    scored = anomaly.score_readings(testdata.load_messages(spark, sf_small))
+    m = write_metrics(anomaly.anomaly_metric_rows(scored, "messageId"), str(tmp_path / "m"))
+    assert m == 2 * scored.count()
+    s = enrich.message_summary(enrich.enrich_messages(testdata.load_messages(spark, sf_small)))
+    assert s.columns == ["deviceId", "alerts", "alertSeverity", "messageId"]
