@@ -101,14 +101,14 @@ def read_by_id(table: DataFrame, requests: DataFrame, resource_type: str,
     ids = requests.select(F.col(id_col).alias("id")).where(F.col("id").isNotNull())
     matched = table.join(ids, "id", "left_semi")
     other = [c for c in matched.columns if c != "id"]
-    if order_col and order_col in matched.columns:
-        # first match per id; a row_number() == 1 filter is planned as a
-        # group limit applied before the shuffle as well as after it
-        w = Window.partitionBy("id").orderBy(F.col(order_col).asc_nulls_last())
-        matched = (matched.withColumn("_rn", F.row_number().over(w))
-                   .where(F.col("_rn") == 1).drop("_rn"))
-    else:
-        matched = matched.dropDuplicates(["id"])
+    # first match per id (in storage-key order when the table has one); a
+    # row_number() == 1 filter is planned as a group limit applied before the
+    # shuffle as well as after it, so copies of one id never pile up in a task
+    order = (F.col(order_col).asc_nulls_last() if order_col and order_col in matched.columns
+             else F.col("id"))
+    w = Window.partitionBy("id").orderBy(order)
+    matched = (matched.withColumn("_rn", F.row_number().over(w))
+               .where(F.col("_rn") == 1).drop("_rn"))
     first = matched.select(F.col("id").alias("_id"), F.struct(*other).alias("_r"))
     joined = requests.join(first, requests[id_col] == first["_id"], "left")
     found = F.col("_id").isNotNull()

@@ -18,13 +18,14 @@ def with_next(df: DataFrame, key: str, order: list[str], fields: list[str],
     """Adds ``out`` = struct(fields) of the next row with the same ``key``
     ordered by ``order`` (null for the key's last row)."""
     payload = F.struct(*[F.col(c) for c in fields])
-    sort_key = F.struct(*[F.col(c) for c in order])
     b = df.withColumn("_bucket", bucket)
     w = Window.partitionBy(key, "_bucket").orderBy(*[F.col(c) for c in order])
-    b = b.withColumn(out, F.lead(payload).over(w))
-    firsts = b.groupBy(key, "_bucket").agg(F.min_by(payload, sort_key).alias("_first"))
+    b = b.withColumns({out: F.lead(payload).over(w), "_rn": F.row_number().over(w)})
+    # first row of each (key, bucket) straight from the same window (no
+    # aggregate, no extra shuffle), then the next non-empty bucket's first
+    firsts = b.where(F.col("_rn") == 1).select(key, "_bucket", payload.alias("_first"))
     w2 = Window.partitionBy(key).orderBy("_bucket")
     firsts = firsts.select(key, "_bucket", F.lead("_first").over(w2).alias("_next_first"))
     return (b.join(firsts, [key, "_bucket"], "left")
             .withColumn(out, F.coalesce(F.col(out), F.col("_next_first")))
-            .drop("_bucket", "_next_first"))
+            .drop("_bucket", "_next_first", "_rn"))
