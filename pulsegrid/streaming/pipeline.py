@@ -196,11 +196,12 @@ def start_scoring(enriched: DataFrame, paths: StreamPaths, available_now: bool =
 
 def latest_hourly(spark: SparkSession, paths: StreamPaths) -> DataFrame:
     """Latest state of each (window, device type) across batch snapshots."""
+    from pyspark.sql import Window
     snap = spark.read.parquet(paths.sink("hourly"))
-    latest = snap.groupBy("window_start", "device_type").agg(
-        F.max_by(F.struct("n", "sum_heart_rate", "n_heart_rate", "total_alerts",
-                          "active_devices_approx"), F.col("batch_id")).alias("s"))
-    return latest.select("window_start", "device_type", "s.*")
+    w = Window.partitionBy("window_start", "device_type").orderBy(F.col("batch_id").desc())
+    return (snap.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1)
+            .select("window_start", "device_type", "n", "sum_heart_rate", "n_heart_rate",
+                    "total_alerts", "active_devices_approx"))
 
 
 def run_to_completion(*queries: StreamingQuery, timeout_s: int = 600) -> None:
