@@ -119,13 +119,23 @@ def enriched_source(spark: SparkSession, paths: StreamPaths) -> DataFrame:
 
 
 def start_observations(enriched: DataFrame, paths: StreamPaths, available_now: bool = True,
-                       interval: str | None = None,
-                       dedupe_delay: str = "1 hour") -> StreamingQuery:
-    """Enriched messages -> Observations, partitioned by type and event date."""
+                       interval: str | None = None, dedupe_delay: str = "1 hour",
+                       writers_per_partition: int | None = 2) -> StreamingQuery:
+    """Enriched messages -> Observations, partitioned by type and event date.
+
+    ``writers_per_partition``: each micro-batch is redistributed on the
+    partition columns plus a small hash salt of the id, so a batch writes a
+    few files per (type, date) instead of one per task and value, while a hot
+    (type, date) still spreads over that many tasks. None keeps the
+    dedupe's partitioning (more, smaller files; compact later).
+    """
     obs = O.build_observations(enriched.withWatermark("processedAt", dedupe_delay),
                                keep=("processedAt",))
     obs = obs.withColumn("processed_at", F.current_timestamp())
     obs = obs.dropDuplicatesWithinWatermark(["id"])
+    if writers_per_partition:
+        salt = F.pmod(F.xxhash64("id"), F.lit(writers_per_partition))
+        obs = obs.repartition("device_type", "observation_date", salt)
     w = (obs.writeStream.format("parquet").partitionBy("device_type", "observation_date")
          .option("path", paths.sink("observations"))
          .option("checkpointLocation", paths.checkpoint("observations")))
