@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
 from collections.abc import Iterable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +17,27 @@ ARROW_ROWS = 512
 ARROW_BYTES = 8 * 1024 * 1024
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Let Python workers import this package wherever the driver got it from.
+
+    The zip goes to executors through Spark's own file distribution, once per
+    application; nothing reads the driver's copy later.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_pulsegrid_shipped", False):
+        return
+    root = Path(__file__).resolve().parent.parent
+    out = Path(tempfile.mkdtemp(prefix="pulsegrid-")) / "pulsegrid_src.zip"
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(str(out))
+    sc._pulsegrid_shipped = True
+
+
 def arrow_conf(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
+    """Batch bounds and importable code for the Python stages that follow."""
+    ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, secrets
+from . import exact_dedup, packing, secrets
 from .common import table
 
 
+def op1_packing(spark, sf_dir):
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -15,6 +19,7 @@ def op9_secret_scan(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_packing": op1_packing,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_secret_scan": op9_secret_scan,
 }
