@@ -62,7 +62,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                   .withColumn("next", F.monotonically_increasing_id()))
         groups = durable(groups, f"radix-groups-{depth}")
         whole = f"length(digit) < {width}"  # the text has ended in this digit
-        joined = rows.join(groups, ["gid", "digit"], "left").select(
+        # never broadcast: the groups grow with the input, and the plan is to stay one
+        # and the same at every size
+        joined = rows.join(groups.hint("merge"), ["gid", "digit"], "left").select(
             "doc_id", "uid", "text_sha256",
             F.coalesce("n", F.lit(1).cast("long")).alias("group_size"),
             F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("top")).alias("keep_id"),
@@ -83,14 +85,13 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         width *= widen
     out = reduce(DataFrame.unionByName, done)
     # identical rows share the largest id: one of them stays
-    tied = (out.where("group IS NOT NULL AND (doc_id <=> keep_id)")
-            .groupBy("depth", "group").agg(F.max("uid").alias("stay")))
-    single = out.where("group IS NULL").withColumn("kept", F.lit(True))
-    several = (out.where("group IS NOT NULL")
-               .join(tied, ["depth", "group"], "left")
-               .withColumn("kept", F.expr("(doc_id <=> keep_id) AND uid = stay")))
+    top = out.where("group IS NOT NULL AND (doc_id <=> keep_id)")
+    stay = top.groupBy("depth", "group").agg(F.max("uid").alias("stay"))
+    tops = top.join(stay, ["depth", "group"]).withColumn("kept", F.expr("uid = stay"))
+    rest = out.where("group IS NULL OR NOT (doc_id <=> keep_id)").withColumn(
+        "kept", F.expr("group IS NULL"))
     cols = ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
-    return single.select(*cols).unionByName(several.select(*cols))
+    return rest.select(*cols).unionByName(tops.select(*cols))
 
 
 def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
