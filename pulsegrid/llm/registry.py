@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing, secrets
+from . import bpe_sql, exact_dedup, packing, secrets, token_counts
 from .common import table
 
 
@@ -10,6 +10,10 @@ def op1_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_bpe_codec(spark, sf_dir):
+    return bpe_sql.encode_documents(table(spark, sf_dir, "documents"), digests=True)
+
+
 def op8_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -18,10 +22,16 @@ def op9_secret_scan(spark, sf_dir):
     return secrets.secret_report(table(spark, sf_dir, "documents"))
 
 
+def op10_token_counts(spark, sf_dir):
+    return token_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
+    "op4_bpe_codec": op4_bpe_codec,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_secret_scan": op9_secret_scan,
+    "op10_token_counts": op10_token_counts,
 }
 
 ORACLES = {
