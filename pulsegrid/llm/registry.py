@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_sql, exact_dedup, packing, secrets, token_counts
+from . import bpe_sql, exact_dedup, language_id, packing, secrets, token_counts, toxicity
 from .common import table
 
 
@@ -14,6 +14,14 @@ def op4_bpe_codec(spark, sf_dir):
     return bpe_sql.encode_documents(table(spark, sf_dir, "documents"), digests=True)
 
 
+def op5_toxicity(spark, sf_dir):
+    return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_language_id(spark, sf_dir):
+    return language_id.report(table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -29,6 +37,8 @@ def op10_token_counts(spark, sf_dir):
 QUERIES = {
     "op1_packing": op1_packing,
     "op4_bpe_codec": op4_bpe_codec,
+    "op5_toxicity": op5_toxicity,
+    "op6_language_id": op6_language_id,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_secret_scan": op9_secret_scan,
     "op10_token_counts": op10_token_counts,
