@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_sql, exact_dedup, language_id, packing, secrets, token_counts, toxicity
+from . import bpe_sql, exact_dedup, language_id, lsh_forest, packing, secrets, token_counts, toxicity
 from .common import table
 
 
@@ -10,6 +10,10 @@ def op1_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_near_dedup(spark, sf_dir):
+    return lsh_forest.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_bpe_codec(spark, sf_dir):
     return bpe_sql.encode_documents(table(spark, sf_dir, "documents"), digests=True)
 
@@ -36,6 +40,7 @@ def op10_token_counts(spark, sf_dir):
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op3_near_dedup": op3_near_dedup,
     "op4_bpe_codec": op4_bpe_codec,
     "op5_toxicity": op5_toxicity,
     "op6_language_id": op6_language_id,
