@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import bpe_sql, exact_dedup, language_id, lsh_forest, packing, secrets, token_counts, toxicity
+from . import (bpe_sql, exact_dedup, language_id, lsh_forest, packing, secrets,
+               substring_dedup, token_counts, toxicity)
 from .common import table
 
 
@@ -26,6 +27,10 @@ def op6_language_id(spark, sf_dir):
     return language_id.report(table(spark, sf_dir, "documents"))
 
 
+def op7_substring_dedup(spark, sf_dir):
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -44,6 +49,7 @@ QUERIES = {
     "op4_bpe_codec": op4_bpe_codec,
     "op5_toxicity": op5_toxicity,
     "op6_language_id": op6_language_id,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_secret_scan": op9_secret_scan,
     "op10_token_counts": op10_token_counts,
