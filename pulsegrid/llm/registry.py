@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import (bpe_sql, exact_dedup, language_id, lsh_forest, packing, secrets,
+from pyspark.sql import functions as F
+
+from . import (bpe_sql, exact_dedup, language_id, lsh_forest, packing, projected_search, secrets,
                substring_dedup, token_counts, toxicity)
 from .common import table
 
@@ -11,6 +13,11 @@ def op1_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_nearest_neighbours(spark, sf_dir):
+    return projected_search.nearest_neighbours(table(spark, sf_dir, "embeddings"),
+                                               F.col("vec_id") % 50 == 0, k=5)
+
+
 def op3_near_dedup(spark, sf_dir):
     return lsh_forest.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -45,6 +52,7 @@ def op10_token_counts(spark, sf_dir):
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_nearest_neighbours": op2_nearest_neighbours,
     "op3_near_dedup": op3_near_dedup,
     "op4_bpe_codec": op4_bpe_codec,
     "op5_toxicity": op5_toxicity,
