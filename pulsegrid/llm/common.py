@@ -66,3 +66,11 @@ def crc_bucket(id_col: str | Column, n: int) -> Column:
     """crc32 of the id written as text, modulo n (the fixed hold-out rule)."""
     c = F.col(id_col) if isinstance(id_col, str) else id_col
     return F.crc32(c.cast("string").cast("binary")) % F.lit(n)
+
+
+def free_name(df: DataFrame, base: str) -> str:
+    """A column name that df does not use (names differ beyond case)."""
+    used = {c.lower() for c in df.columns}
+    while base.lower() in used:
+        base += "_"
+    return base

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_conf, durable, id_text
+from .common import arrow_conf, durable, free_name, id_text
 
 FIRST_DIGIT = 64
 WIDEN = 16
@@ -101,15 +101,16 @@ def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     the same keys (id and digest of the normalised text).
     """
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    key, digest = free_name(docs, "_id"), free_name(docs, "_sha")
     keyed = docs.withColumns({
-        "_id": F.col(id_col).cast("long"),
-        "_sha": F.sha2(F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")),
+        key: F.col(id_col).cast("long"),
+        digest: F.sha2(F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")),
                                    upper, lower), 256)})
     stay = (exact_groups(docs, id_col, text_col).where("kept")
-            .select(F.col("doc_id").alias("_id2"), F.col("text_sha256").alias("_sha2")))
-    return (keyed.join(stay, F.col("_id").eqNullSafe(F.col("_id2"))
-                       & (F.col("_sha") == F.col("_sha2")), "left_semi")
-            .dropDuplicates(["_id", "_sha"]).drop("_id", "_sha"))
+            .select(F.col("doc_id").alias(key + "2"), F.col("text_sha256").alias(digest + "2")))
+    return (keyed.join(stay, F.col(key).eqNullSafe(F.col(key + "2"))
+                       & (F.col(digest) == F.col(digest + "2")), "left_semi")
+            .dropDuplicates([key, digest]).drop(key, digest))
 
 
 SQL = """

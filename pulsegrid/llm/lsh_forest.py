@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_conf, durable, id_text
+from .common import arrow_conf, durable, free_name, id_text
 from .token_counts import batches_of
 from .wordhash import mixed, word_hashes
 
@@ -66,7 +66,7 @@ def shingle_sets(texts: list[str], words: int = WORDS) -> list[np.ndarray]:
         with np.errstate(over="ignore"):
             rolled = np.zeros(max(0, len(h) - words + 1), np.uint64)
             for i in range(words):
-                rolled += h[i:len(h) - words + 1 + i] * _PLACES[i]
+                rolled += h[i:i + len(rolled)] * _PLACES[i]
             rolled = mixed(rolled)
             for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                 if z - a >= words:
@@ -382,6 +382,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
 
 def drop_near(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """docs with one document, the smallest id, of every component."""
+    name = free_name(docs, "_gone")
     gone = (near_duplicates(docs, percent).where("NOT kept")
-            .select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(gone.hint("merge"), F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+            .select(F.col("doc_id").alias(name)).distinct())
+    return docs.join(gone.hint("merge"), F.col("doc_id").cast("long") == F.col(name), "left_anti")

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from .common import id_text
+from .common import free_name, id_text
 
 
 @dataclass(frozen=True)
@@ -163,12 +163,13 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    key, hits = free_name(docs, "_blob"), free_name(docs, "_findings")
     blobs = docs.select(F.sha2(text, 256).alias("path"), text.alias("text"))
     found = (scan_versions(blobs, scratch_path(spark, "blob-ledger"))
              .where(F.size("findings") > 0)
-             .groupBy("path").agg(F.first("findings").alias("_findings"))
-             .withColumnRenamed("path", "_blob"))
-    joined = docs.withColumn("_blob", F.sha2(text, 256)).join(found, "_blob", "left")
+             .groupBy("path").agg(F.first("findings").alias(hits))
+             .withColumnRenamed("path", key))
+    joined = docs.withColumn(key, F.sha2(text, 256)).join(found, key, "left")
     state = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -179,12 +180,12 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             F.when(fresh, F.concat(acc["out"], lead, F.lit(mark))).otherwise(acc["out"]).alias("out"),
             F.greatest(acc["at"], x["e"]).alias("at"))
 
-    clean = F.aggregate("_findings", state, step, lambda acc: F.concat(
+    clean = F.aggregate(hits, state, step, lambda acc: F.concat(
         acc["out"], F.substring(F.col(text_col), (acc["at"] + 1).cast("int"),
                                 F.lit(2147483647))))
-    return (joined.withColumn(text_col, F.when(F.col("_findings").isNotNull(), clean)
+    return (joined.withColumn(text_col, F.when(F.col(hits).isNotNull(), clean)
                               .otherwise(F.col(text_col)))
-            .drop("_blob", "_findings"))
+            .drop(key, hits))
 
 
 def _sql_spans(rule: Rule, k: int) -> str:

@@ -58,7 +58,7 @@ def rolling(h: np.ndarray, size: int) -> np.ndarray:
     out = np.zeros(max(0, len(h) - size + 1), np.uint64)
     with np.errstate(over="ignore"):
         for i in range(size):
-            out += h[i:len(h) - size + 1 + i] * _PLACES[i]
+            out += h[i:i + len(out)] * _PLACES[i]
     return mixed(out)
 
 
