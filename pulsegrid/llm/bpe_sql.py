@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding with DuckDB recursive queries per partition.
 
 Each worker process holds an in-memory DuckDB with the vocabulary and the merge
-table (every split of a token into two tokens, with its rank).  The words a
+table (the splits of a token into two tokens of lower rank, with its rank).  The words a
 batch of documents brings in become token-position rows; a recursive query joins
 neighbours with the merge table and contracts each word's minimum-rank pair,
 leftmost first, until no pair of the word can merge.  An ordered aggregation
@@ -34,40 +34,43 @@ from .bpe_files import default_path, read_ranks
 from .common import arrow_conf, id_text
 from .token_counts import batches_of
 
-MAX_WORDS = 300_000
+MAX_WORDS = 600_000
 BATCH_BYTES = 400_000  # of new words in one recursive query
 BATCH_CHARS = 1_000_000
 
 ENCODE = """
-WITH RECURSIVE rounds(word, pos, token, round) AS (
-  SELECT word, pos, token, 0 FROM fresh
+WITH RECURSIVE rounds(word, pos, token, done) AS (
+  SELECT word, pos, token, false FROM fresh
   UNION ALL
-  SELECT word, (row_number() OVER (PARTITION BY word ORDER BY pos) - 1)::INTEGER, token, round + 1
-  FROM (
-    SELECT word, pos, round, CASE WHEN hit THEN least_rank ELSE token END AS token,
-           coalesce(lag(hit) OVER (PARTITION BY word ORDER BY pos), false) AS gone
-    FROM (
-      SELECT word, pos, token, round, least_rank,
-             -- of pairs that overlap in a run of one token, every second one
-             merged IS NOT NULL AND merged = least_rank
-             AND (pos - max(CASE WHEN merged IS DISTINCT FROM least_rank THEN pos ELSE -1 END)
-                        OVER (PARTITION BY word ORDER BY pos)) % 2 = 1 AS hit
-      FROM (
-        SELECT p.word, p.pos, p.token, p.round, m.merged,
-               min(m.merged) OVER (PARTITION BY p.word) AS least_rank
-        FROM (SELECT word, pos, token, round,
-                     lead(token) OVER (PARTITION BY word ORDER BY pos) AS following
-              FROM rounds) p
-        LEFT JOIN merges m ON m.a = p.token AND m.b = p.following)
-      WHERE least_rank IS NOT NULL))
-  WHERE NOT gone
-),
-final AS (
-  SELECT word, pos, token FROM rounds
-  WHERE (word, round) IN (SELECT (word, max(round)) FROM rounds GROUP BY word))
+  (WITH near AS (
+     SELECT word, pos, token, lag(token) OVER w AS before, lead(token) OVER w AS following
+     FROM rounds WHERE NOT done WINDOW w AS (PARTITION BY word ORDER BY pos)),
+   pairs AS (
+     SELECT n.*, m.merged, l.merged AS closed
+     FROM near n LEFT JOIN merges m ON m.a = n.token AND m.b = n.following
+                 LEFT JOIN merges l ON l.a = n.before AND l.b = n.token),
+   best AS (  -- run: pairs of one token may overlap
+     SELECT word, min(merged) AS least, coalesce(bool_or(token = following AND before = token), false) AS run
+     FROM pairs GROUP BY word),
+   chosen AS (SELECT p.*, b.least, b.run FROM pairs p JOIN best b USING (word)),
+   straight AS (
+     SELECT word, pos, token, least, merged IS NOT DISTINCT FROM least AND least IS NOT NULL AS hit,
+            closed IS NOT DISTINCT FROM least AND least IS NOT NULL AS gone
+     FROM chosen WHERE NOT run),
+   twisted AS (  -- every second pair of a run, from its left end
+     SELECT word, pos, token, least, hit, coalesce(lag(hit) OVER (PARTITION BY word ORDER BY pos), false) AS gone
+     FROM (
+       SELECT word, pos, token, least, merged IS NOT DISTINCT FROM least AND least IS NOT NULL
+              AND (nth - max(CASE WHEN merged IS DISTINCT FROM least THEN nth ELSE 0 END)
+                         OVER (PARTITION BY word ORDER BY pos)) % 2 = 1 AS hit
+       FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY pos) AS nth FROM chosen WHERE run)))
+   -- a word without a pair to merge leaves as done
+   SELECT word, pos, CASE WHEN hit THEN least ELSE token END, least IS NULL
+   FROM (SELECT * FROM straight UNION ALL SELECT * FROM twisted) WHERE NOT gone)
+)
 SELECT word, list(token ORDER BY pos) AS ids,
        from_hex(string_agg(digits, '' ORDER BY pos)) AS body
-FROM final JOIN vocabulary USING (token)
+FROM (SELECT word, pos, token FROM rounds WHERE done) JOIN vocabulary USING (token)
 GROUP BY word ORDER BY word
 """
 
@@ -78,7 +81,7 @@ def engine(ranks_path: str):
     import duckdb
     ranks = read_ranks(ranks_path)
     splits = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items()
-              for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
+              for i in range(1, len(t)) if ranks.get(t[:i], r) < r and ranks.get(t[i:], r) < r]
     con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "500MB",
                                              "temp_directory": ""})
     vocabulary = pa.table({"token": pa.array(list(ranks.values()), pa.int32()),
