@@ -12,8 +12,8 @@ hashes long, and longer (up to ``DEEPEST``) where a region holds more than
 * then, until nothing is left, the pairs of a region that lie in different
   components so far and were not tested yet.  Members are compared in blocks, by
   size and by a small sketch; per document and other component the best few pairs
-  go to the test, the rest wait for the next round, and a pair is dropped only
-  when a test has linked its components.
+  go to the test, the rest wait for the next round, which takes ``WIDEN`` times as
+  many, and a pair is dropped only when a test has linked its components.
 
 Every candidate is confirmed on the full sets.  Equal sets are one node from the
 start, so copies are never expanded into pairs.  Regions without a second
@@ -49,7 +49,8 @@ REGION = 64
 SKETCH = 64           # bytes of a node's sketch
 SKETCH_AGREE = 42     # of these, for similarity 0.85: 54.7 expected, deviation 2.8
 BLOCK = 2048          # members compared at once
-BEST = 3              # pairs per document and other component in one round
+BEST = 4              # pairs per document and other component in the first round
+WIDEN = 8             # times as many in each further round
 
 _rng = np.random.default_rng(20240229)
 _FACTORS = (_rng.integers(0, 1 << 32, TREES * DEEPEST, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)[:, None]
@@ -285,8 +286,8 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def open_pairs(members: DataFrame, labels: DataFrame, nodes: DataFrame, tested: DataFrame,
-               percent: int) -> DataFrame:
-    """Best untested pairs of different components inside a region."""
+               percent: int, most: int) -> DataFrame:
+    """Best ``most`` untested pairs of each document and other component in a region."""
     placed = (members.select("region", "node").join(labels.hint("merge"), "node", "left")
               .withColumn("component", F.coalesce("component", "node")))
     mixed_up = (placed.groupBy("region").agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
@@ -331,7 +332,7 @@ def open_pairs(members: DataFrame, labels: DataFrame, nodes: DataFrame, tested:
     found = cells.groupBy("region", "i", "j").applyInArrow(run, "a long, b long, other long, agree long")
     fresh = found.dropDuplicates(["a", "b"]).join(tested.hint("merge"), ["a", "b"], "left_anti")
     best = Window.partitionBy("a", "other").orderBy(F.desc("agree"), "b")
-    return (fresh.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= BEST)
+    return (fresh.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= most)
             .select("a", "b"))
 
 
@@ -359,12 +360,12 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
              .where("a < b").select("a", "b"))
     tested = durable(_likely(first_pairs(members), nodes, percent), "forest-pairs")
     links = durable(confirm(tested, sets, percent).unionByName(twice), "forest-links")
-    labels = components(links)
+    labels, most = components(links), BEST
     while True:
-        pairs = durable(open_pairs(members, labels, nodes, tested, percent), "forest-pairs")
+        pairs = durable(open_pairs(members, labels, nodes, tested, percent, most), "forest-pairs")
         if pairs.isEmpty():
             break
-        tested = tested.unionByName(pairs)
+        tested, most = tested.unionByName(pairs), most * WIDEN
         more = durable(confirm(pairs, sets, percent), "forest-links")
         if more.isEmpty():
             continue
