@@ -286,8 +286,8 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def open_pairs(members: DataFrame, labels: DataFrame, nodes: DataFrame, tested: DataFrame,
-               percent: int, most: int) -> DataFrame:
-    """Best ``most`` untested pairs of each document and other component in a region."""
+               percent: int) -> DataFrame:
+    """a, b, agree: likely untested pairs of different components inside a region."""
     placed = (members.select("region", "node").join(labels.hint("merge"), "node", "left")
               .withColumn("component", F.coalesce("component", "node")))
     mixed_up = (placed.groupBy("region").agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
@@ -315,7 +315,7 @@ def open_pairs(members: DataFrame, labels: DataFrame, nodes: DataFrame, tested:
         side, node, comp, n = (t.column(c).to_numpy() for c in ("side", "node", "component", "n"))
         sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
         l, r = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        out = [[], [], [], []]
+        out = [[], [], []]
         for k in l.tolist():
             fits = r[(comp[r] != comp[k]) & (100 * np.minimum(n[r], n[k]) >= percent * np.maximum(n[r], n[k]))]
             if not len(fits):
@@ -324,15 +324,22 @@ def open_pairs(members: DataFrame, labels: DataFrame, nodes: DataFrame, tested:
             fits, agree = fits[agree >= SKETCH_AGREE], agree[agree >= SKETCH_AGREE]
             out[0].append(np.minimum(node[fits], node[k]))
             out[1].append(np.maximum(node[fits], node[k]))
-            out[2].append(np.where(node[fits] < node[k], comp[k], comp[fits]))  # component of b
-            out[3].append(agree)
+            out[2].append(agree)
         cols = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in out]
-        return pa.table([pa.array(c.astype(np.int64)) for c in cols], names=["a", "b", "other", "agree"])
+        return pa.table([pa.array(c.astype(np.int64)) for c in cols], names=["a", "b", "agree"])
 
-    found = cells.groupBy("region", "i", "j").applyInArrow(run, "a long, b long, other long, agree long")
-    fresh = found.dropDuplicates(["a", "b"]).join(tested.hint("merge"), ["a", "b"], "left_anti")
-    best = Window.partitionBy("a", "other").orderBy(F.desc("agree"), "b")
-    return (fresh.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= most)
+    found = cells.groupBy("region", "i", "j").applyInArrow(run, "a long, b long, agree long")
+    return found.dropDuplicates(["a", "b"]).join(tested.hint("merge"), ["a", "b"], "left_anti")
+
+
+def best_pairs(likely: DataFrame, labels: DataFrame, tested: DataFrame, most: int) -> DataFrame:
+    """The ``most`` best untested pairs per document and other component."""
+    side = lambda x: labels.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
+    still = (likely.join(side("a").hint("merge"), "a", "left").join(side("b").hint("merge"), "b", "left")
+             .withColumns({"c_a": F.coalesce("c_a", "a"), "c_b": F.coalesce("c_b", "b")}).where("c_a <> c_b")
+             .join(tested.hint("merge"), ["a", "b"], "left_anti"))
+    best = Window.partitionBy("a", "c_b").orderBy(F.desc("agree"), "b")
+    return (still.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= most)
             .select("a", "b"))
 
 
@@ -361,8 +368,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
     tested = durable(_likely(first_pairs(members), nodes, percent), "forest-pairs")
     links = durable(confirm(tested, sets, percent).unionByName(twice), "forest-links")
     labels, most = components(links), BEST
+    likely = durable(open_pairs(members, labels, nodes, tested, percent), "forest-open")
     while True:
-        pairs = durable(open_pairs(members, labels, nodes, tested, percent, most), "forest-pairs")
+        pairs = durable(best_pairs(likely, labels, tested, most), "forest-pairs")
         if pairs.isEmpty():
             break
         tested, most = tested.unionByName(pairs), most * WIDEN
