@@ -11,14 +11,17 @@ with the same minimizer can share a window.  Minimizers of one document alone
 leave the job before any text moves.  Documents with the same word sequence as a
 smaller one are settled by that alone and take no further part.
 
-Shards.  Segments are dealt out by their minimizer.  Equal segments are one, with
-its smallest document, before they are shuffled; the other holders lose all its
-windows.  A minimizer with more than ``HOT`` segments is first cut down to the
-stretches whose windows repeat at all (counted by window, pre-aggregated), so its
-segments become equal and collapse too.  Each shard builds a compressed FM-index
-(wavelet matrix over the word symbols) of its segments and streams them through
-backward search: matching statistics restricted to smaller documents, reported
-where they reach the window length.
+Collapse.  Equal segments are one, owned by its smallest document (pre-aggregated);
+the other holders lose all its windows.  A minimizer that still has more than
+``HOT`` different segments has them split: windows at neighbouring distances from
+the minimizer stay together (``SPLITS``: five, then single ones) and are dealt out
+anew by the words they all share.  Pieces outside the common passage become
+single and leave, pieces inside become equal and collapse.
+
+Shards.  What is left is dealt out by minimizer.  Each shard builds a compressed
+FM-index (wavelet matrix over the word symbols) of its pieces and streams them
+through backward search: matching statistics restricted to smaller documents,
+reported where they reach the window length.
 
 Words are compared by 32 bits of their hash: different windows pass for equal
 only if every word that differs collides.
@@ -31,10 +34,11 @@ lose words; rows with a null id neither lose words nor cost others any.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_conf, durable, id_text
@@ -45,6 +49,7 @@ from .wordhash import mixed, word_hashes
 WINDOW = 50
 GRAM = 10
 HOT = 1000
+SPLITS = (5, 1)
 SHARD_WORDS = 400_000
 
 _rng = np.random.default_rng(7)
@@ -62,8 +67,9 @@ def rolling(h: np.ndarray, size: int) -> np.ndarray:
     return mixed(out)
 
 
-def minimizers(grams: np.ndarray, window: int, gram: int) -> np.ndarray:
-    """(m, a) per segment: its windows start at a up to the next segment's a - 1."""
+def minimizers(grams: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """(m, a) per segment: its windows start at a up to the next segment's a - 1;
+    and the place of each minimizer."""
     span = window - gram + 1
     starts = len(grams) - span + 1
     step = 4096
@@ -73,7 +79,7 @@ def minimizers(grams: np.ndarray, window: int, gram: int) -> np.ndarray:
     first = np.flatnonzero(np.diff(place, prepend=-1))
     out = np.empty(len(first), _MINIMIZER)
     out["m"], out["a"] = grams[place[first]].view(np.int64), first
-    return out
+    return out, place[first]
 
 
 def sketch_documents(docs: DataFrame, window: int, gram: int) -> DataFrame:
@@ -91,7 +97,7 @@ def sketch_documents(docs: DataFrame, window: int, gram: int) -> DataFrame:
                     cols[0].append(z - a)
                     cols[1].append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
                     cols[2].append(hashlib.sha256(b" ".join(body.split())).hexdigest())
-                    cols[3].append(minimizers(rolling(own, gram), window, gram).tobytes()
+                    cols[3].append(minimizers(rolling(own, gram), window, gram)[0].tobytes()
                                    if z - a >= window else None)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()),
@@ -119,121 +125,130 @@ def explode_segments(owners: DataFrame) -> DataFrame:
 
 
 def cut_segments(texts: DataFrame, window: int, gram: int) -> DataFrame:
-    """m, doc_id, print, a, words (32-bit hashes): the segments named in ``wanted``."""
+    """m, doc_id, print, a, rel (of the minimizer), words (32-bit hashes): the
+    segments named in ``wanted``."""
     def run(batches):
         for b in batches:
             ids, prints = b.column(0).to_pylist(), b.column(1).to_pylist()
             bodies, wanted = [t.encode() for t in b.column(2).to_pylist()], b.column(3).to_pylist()
             h, cuts = word_hashes(bodies)
-            cols: list[list] = [[], [], [], [], []]
+            cols: list[list] = [[], [], [], [], [], []]
             for i, keep in enumerate(wanted):
                 own = h[cuts[i]:cuts[i + 1]]
                 if hashlib.blake2b(own.tobytes(), digest_size=16).digest() != prints[i]:
                     continue  # another text under the same id
-                found = minimizers(rolling(own, gram), window, gram)
+                found, places = minimizers(rolling(own, gram), window, gram)
                 last = np.append(found["a"][1:], len(own) - window + 1) + window - 1
                 short = (own >> np.uint64(32)).astype("<u4")
                 for a in set(keep):
                     k = int(np.searchsorted(found["a"], a))
                     for col, v in zip(cols, (int(found["m"][k]), ids[i], prints[i], a,
-                                             short[a:last[k]].tobytes())):
+                                             int(places[k]) - a, short[a:last[k]].tobytes())):
                         col.append(v)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary(),
+                [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.int32(),
                                                        pa.int32(), pa.binary()))],
-                names=["m", "doc_id", "print", "a", "words"])
+                names=["m", "doc_id", "print", "a", "rel", "words"])
 
     return texts.select("doc_id", "print", "text", "wanted").mapInArrow(
-        run, "m long, doc_id long, print binary, a int, words binary")
-
-
-def cool_down(segments: DataFrame, window: int) -> DataFrame:
-    """Segments of hot minimizers, cut to the stretches whose windows repeat."""
-    hot = segments.groupBy("m").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > HOT).select("m")
-    hot = durable(hot, "passage-hot")
-    if hot.isEmpty():
-        return segments
-    mild = segments.join(hot.hint("merge"), "m", "left_anti")
-    warm = segments.join(hot.hint("merge"), "m", "left_semi")
+        run, "m long, doc_id long, print binary, a int, rel int, words binary")
 
-    def prints_of(words):
-        return rolling(np.frombuffer(words, "<u4").astype(np.uint64), window).view(np.int64)
 
-    def each_window(batches):
-        for b in batches:
-            p = [prints_of(w) for w in b.column(1).to_pylist()]
-            at = pa.array(np.repeat(np.arange(len(p)), [len(x) for x in p]))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(p) if p else np.zeros(0, np.int64)), b.column(0).take(at)],
-                names=["w", "doc_id"])
-
-    repeated = (warm.select("doc_id", "words").mapInArrow(each_window, "w long, doc_id long")
-                .groupBy("w").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-                .where("lo < hi").select("w"))
-
-    def numbered(batches):
-        for b in batches:
-            p = [prints_of(w) for w in b.column(4).to_pylist()]
-            at = pa.array(np.repeat(np.arange(len(p)), [len(x) for x in p]))
-            k = np.concatenate([np.arange(len(x)) for x in p]) if p else np.zeros(0, int)
-            yield pa.RecordBatch.from_arrays(
-                [*[b.column(i).take(at) for i in range(4)], pa.array(k.astype(np.int32)),
-                 pa.array(np.concatenate(p) if p else np.zeros(0, np.int64))],
-                names=["m", "doc_id", "print", "a", "k", "w"])
-
-    alive = (warm.mapInArrow(numbered, "m long, doc_id long, print binary, a int, k int, w long")
-             .join(repeated.hint("merge"), "w", "left_semi")
-             .groupBy("m", "doc_id", "print", "a").agg(F.array_sort(F.collect_set("k")).alias("alive")))
-
-    def trim(batches):
+def split_pieces(rows: DataFrame, window: int, size: int) -> DataFrame:
+    """Pieces of at most ``size`` windows at neighbouring distances from the
+    minimizer, under a new m: a hash of the words that all such windows share."""
+    def run(batches):
         for b in batches:
-            cols: list[list] = [[], [], [], [], []]
-            for m, doc, pr, a, words, ks in zip(*(b.column(i).to_pylist() for i in range(6))):
-                ks = np.array(ks)
-                for run in np.split(ks, np.flatnonzero(np.diff(ks) > 1) + 1):
-                    s, e = int(run[0]), int(run[-1]) + window
-                    for col, v in zip(cols, (m, doc, pr, a + s, words[4 * s:4 * e])):
+            cols: list[list] = [[], [], [], [], [], []]
+            for content, owner, shift, m, rel, words in zip(*(b.column(i).to_pylist() for i in range(6))):
+                windows = len(words) // 4 - window + 1
+                for c in range((rel - windows + 1) // size, rel // size + 1):
+                    s0, s1 = max(0, rel - size * c - size + 1), min(windows - 1, rel - size * c)
+                    share = rel - size * c
+                    key = words[4 * share:4 * (share + window - size + 1)]
+                    new = hashlib.blake2b(m.to_bytes(8, "little", signed=True) + bytes((c,)) + key,
+                                          digest_size=8).digest()
+                    for col, v in zip(cols, (content, owner, shift + s0, int.from_bytes(new, "little", signed=True),
+                                             rel - s0, words[4 * s0:4 * (s1 + window)])):
                         col.append(v)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary(),
+                [pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.int64(), pa.int32(), pa.int64(),
                                                        pa.int32(), pa.binary()))],
-                names=["m", "doc_id", "print", "a", "words"])
-
-    cut = (warm.join(alive.hint("merge"), ["m", "doc_id", "print", "a"])
-           .select("m", "doc_id", "print", "a", "words", "alive")
-           .mapInArrow(trim, "m long, doc_id long, print binary, a int, words binary"))
-    return mild.unionByName(cut)
+                names=PIECE)
+
+    return rows.select(*PIECE).mapInArrow(
+        run, "content binary, owner long, shift int, m long, rel int, words binary")
+
+
+PIECE = ["content", "owner", "shift", "m", "rel", "words"]
+
+
+def _digest(*cols) -> Column:
+    return F.unhex(F.substring(F.sha2(F.concat(*[F.col(c).cast("string").cast("binary") if c == "m"
+                                                 else F.col(c) for c in cols]), 256), 1, 32))
+
+
+def resolve(tops: DataFrame, window: int) -> DataFrame:
+    """tops (content, owner, m, rel, words) -> content, first, last: the stretches
+    of each that a smaller owner has as well."""
+    rows = tops.withColumn("shift", F.lit(0)).select(*PIECE)
+    settled, calm = [], []
+    for size in (*SPLITS, None):
+        several = (rows.groupBy("m").agg(F.min("owner").alias("lo"), F.max("owner").alias("hi"))
+                   .where("lo < hi").select("m"))
+        rows = durable(rows.join(several.hint("merge"), "m", "left_semi")
+                       .withColumn("piece", _digest("m", "words")), "passage-pieces")
+        pieces = durable(rows.groupBy("piece").agg(F.min("owner").alias("least"), F.first("m").alias("m")),
+                         "passage-least")
+        placed = rows.join(pieces.select("piece", "least").hint("merge"), "piece")
+        settled.append(placed.where("owner > least").select(
+            "content", F.col("shift").alias("first"),
+            F.expr("shift + CAST(length(words) / 4 AS INT) - 1").alias("last")))
+        first = placed.where("owner = least")
+        hot = durable(pieces.groupBy("m").agg(F.count(F.lit(1)).alias("c"))
+                      .where(F.col("c") > HOT).select("m"), "passage-hot")
+        if size is None or hot.isEmpty():
+            calm.append(first.select(*PIECE, "piece"))
+            break
+        calm.append(first.join(hot.hint("merge"), "m", "left_anti").select(*PIECE, "piece"))
+        rows = split_pieces(first.join(hot.hint("merge"), "m", "left_semi"), window, size)
+    left = durable(reduce(DataFrame.unionByName, calm), "passage-calm")
+    distinct = left.groupBy("piece").agg(F.first("m").alias("m"), F.first("owner").alias("owner"),
+                                         F.first("words").alias("words"))
+    # a minimizer with one piece left has nothing to be searched in
+    alone = distinct.groupBy("m").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("m")
+    distinct = durable(distinct.join(alone.hint("merge"), "m", "left_semi"), "passage-distinct")
+    total = distinct.agg(F.sum(F.length("words") / 4)).first()[0] or 0
+    found = search_shards(distinct, window, max(1, -(-int(total) // SHARD_WORDS)))
+    searched = left.select("content", "shift", "piece").join(found.hint("merge"), "piece").select(
+        "content", F.expr("shift + first").alias("first"), F.expr("shift + last").alias("last"))
+    return reduce(DataFrame.unionByName, [*settled, searched])
 
 
 def search_shards(distinct: DataFrame, window: int, shards: int) -> DataFrame:
-    """content, first, last: stretches that a smaller document has as well."""
+    """piece, first, last: stretches that a smaller owner has as well."""
     def run(t: pa.Table) -> pa.Table:
         words = [np.frombuffer(w, "<u4") for w in t.column("words").to_pylist()]
         seg, first, last = SegmentIndex(words, t.column("owner").to_numpy()).covered(window)
-        return pa.table({"content": t.column("content").take(pa.array(seg)),
+        return pa.table({"piece": t.column("piece").take(pa.array(seg)),
                          "first": first.astype(np.int32), "last": last.astype(np.int32)})
 
     return (distinct.withColumn("shard", F.pmod("m", F.lit(shards)))
-            .select("shard", "content", "owner", "words")
-            .groupBy("shard").applyInArrow(run, "content binary, first int, last int"))
+            .select("shard", "piece", "owner", "words")
+            .groupBy("shard").applyInArrow(run, "piece binary, first int, last int"))
 
 
 def repeated_stretches(segments: DataFrame, window: int) -> DataFrame:
     """doc_id, print, first, last (word numbers) of what goes."""
-    segments = durable(segments.withColumn(
-        "content", F.unhex(F.substring(F.sha2(F.concat(F.col("m").cast("string").cast("binary"),
-                                                       "words"), 256), 1, 32))), "passage-segments")
-    distinct = durable(segments.groupBy("content").agg(
-        F.first("m").alias("m"), F.min("doc_id").alias("owner"), F.first("words").alias("words")),
-        "passage-distinct")
-    total = distinct.agg(F.sum(F.length("words") / 4)).first()[0] or 0
-    found = search_shards(distinct, window, max(1, -(-int(total) // SHARD_WORDS)))
+    segments = durable(segments.withColumn("content", _digest("m", "words")), "passage-segments")
+    tops = durable(segments.groupBy("content").agg(
+        F.min("doc_id").alias("owner"), F.first("m").alias("m"), F.first("rel").alias("rel"),
+        F.first("words").alias("words")), "passage-tops")
     holders = segments.select("content", "doc_id", "print", "a", (F.length("words") / 4).cast("int").alias("size"))
-    owners = distinct.select("content", "owner")
-    placed = holders.join(owners.hint("merge"), "content")
+    placed = holders.join(tops.select("content", "owner").hint("merge"), "content")
     whole = placed.where("doc_id > owner").select(
         "doc_id", "print", F.col("a").alias("first"), F.expr("a + size - 1").alias("last"))
-    part = placed.where("doc_id = owner").join(found.hint("merge"), "content").select(
+    part = placed.where("doc_id = owner").join(resolve(tops, window).hint("merge"), "content").select(
         "doc_id", "print", F.expr("a + first").alias("first"), F.expr("a + last").alias("last"))
     return whole.unionByName(part)
 
@@ -256,9 +271,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM,
                      .groupBy("doc_id", "print").agg(F.collect_set("a").alias("wanted")), "passage-wanted")
     texts = durable(docs.join(wanted.hint("merge"), "doc_id").select("doc_id", "print", "text", "wanted"),
                     "passage-texts")
-    segments = durable(cut_segments(texts.dropDuplicates(["doc_id", "print", "text"]), window, gram),
-                       "passage-cut")
-    gone = (repeated_stretches(cool_down(segments, window), window)
+    segments = cut_segments(texts.dropDuplicates(["doc_id", "print", "text"]), window, gram)
+    gone = (repeated_stretches(segments, window)
             .groupBy("doc_id", "print").agg(F.collect_set(F.struct("first", "last")).alias("gone")))
 
     def rewrite(batches):
