@@ -4,8 +4,9 @@ Folding comes first: lower case, compatibility forms, look-alike letters of othe
 scripts, digits and signs that stand for letters, accents off; whatever is no
 letter then separates words.  Lexicon and text are folded alike.
 
-Training counts, over all labelled training rows and distinct texts, in how many
-toxic and clean texts each term occurs; a term is a word or a word's beginning.
+Training uses the labelled rows, or a hash sample of about ``TRAIN_ROWS`` where
+there are more; it counts, over their distinct texts, in how many toxic and clean
+texts each term occurs; a term is a word or a word's beginning.
 A term's weight is the lower confidence bound of its log-odds, and the terms
 above ``LEAST_WEIGHT`` form the lexicon.  Exception phrases are learned next: a
 lexicon word with its neighbour that occurs mostly in clean texts; a hit inside
@@ -13,9 +14,10 @@ one counts nothing.  The score is a logistic curve of the summed weights of the
 best term per word, as they are and per word of the text, fitted on at most
 ``FIT_ROWS`` training rows.
 
-Bounded by parameters, not by the input: the lexicon (``MAX_TERMS``), the phrases
-(``MAX_PHRASES``) and the rows of the logistic fit (``FIT_ROWS``, a hash sample).
-Counts cover all training rows.
+Bounded by parameters, not by the input: the labelled rows learned from
+(``TRAIN_ROWS``), so that their ids can be broadcast and no text is shuffled to
+find them; the lexicon (``MAX_TERMS``), the phrases (``MAX_PHRASES``) and the rows
+of the logistic fit (``FIT_ROWS``). Every document is scored.
 
 Defined results: null and empty texts get the score of a text without hits; with
 no toxic training row every score is 0; repeated rows are scored each.
@@ -36,6 +38,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_conf, crc_bucket, durable, id_text
 
+TRAIN_ROWS = 100_000
 STEMS = (4, 5, 6, 7)
 LEAST_WEIGHT = 2.0
 LEAST_TEXTS = 5
@@ -261,9 +264,19 @@ def score(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id",
         run, "doc_id long, score double, predicted int")
 
 
+def training_labels(labels: DataFrame, bound: int = TRAIN_ROWS) -> DataFrame:
+    """doc_id, toxic of about ``bound`` labelled rows at most, picked by the hash of
+    their id; a document that has several labels is toxic if one says so."""
+    each = (labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL")
+            .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic")))
+    grain = 1 << 20
+    share = min(1.0, bound / max(1, each.count()))
+    return each if share == 1 else each.where(F.pmod(F.xxhash64("doc_id"), F.lit(grain)) < int(share * grain))
+
+
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Learn from labelled rows outside the hold-out fifth, score all rows."""
     held = crc_bucket("doc_id", 5) == 0
-    labelled = (docs.select("doc_id", "text").where(~F.coalesce(held, F.lit(True)))
-                .join(labels.select("doc_id", "toxic"), "doc_id").select("text", "toxic"))
+    chosen = training_labels(labels.where(~F.coalesce(held, F.lit(True))))
+    labelled = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
     return score(docs, learn(labelled)).select("doc_id", held.alias("held_out"), "score", "predicted")
