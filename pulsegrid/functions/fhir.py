@@ -18,8 +18,13 @@ def now_iso_z() -> Column:
                     F.lit("Z"))
 
 
-def observation_id(device_id: Column, timestamp: Column, message_id: Column) -> Column:
-    """Deterministic id: a replayed message maps to the same Observation."""
+def observation_id(device_id: Column, timestamp: Column, message_id: Column,
+                   readings: Column | None = None) -> Column:
+    """Deterministic id: a replayed message maps to the same Observation. Without
+    a message id the readings tell messages of one device and second apart."""
+    if readings is not None:
+        message_id = F.coalesce(message_id.cast("string"), F.to_json(F.map_from_entries(
+            F.array_sort(F.map_entries(readings)))))
     parts = [F.coalesce(c.cast("string"), F.lit("")) for c in (device_id, timestamp, message_id)]
     return F.sha2(F.concat_ws("|", *parts), 256)
 
@@ -97,11 +102,16 @@ def interpretation(alerts: Column) -> Column:
 
 
 def event_date(timestamp: Column) -> Column:
-    """Calendar date of the message's own timestamp (wall date as written), or
-    the processing date when the timestamp is missing or malformed."""
+    """Calendar date of the message's own timestamp (wall date as written); null
+    when the timestamp is missing or malformed."""
     valid = F.try_to_timestamp(timestamp).isNotNull()
-    return F.coalesce(F.when(valid, F.try_to_date(F.substring(timestamp, 1, 10))),
-                      F.current_date())
+    return F.when(valid & timestamp.rlike(r"^\d{4}-\d{2}-\d{2}"),
+                  F.try_to_date(F.substring(timestamp, 1, 10)))
+
+
+def storage_date(timestamp: Column) -> Column:
+    """Date in the object key: the event date, else the processing date."""
+    return F.coalesce(event_date(timestamp), F.current_date())
 
 
 def partition_key(device_type: Column) -> Column:

@@ -16,7 +16,8 @@ from ..functions import scoring as S
 
 def score_readings(msgs: DataFrame, readings_col: str = "readings",
                    patient_col: str = "patientId") -> DataFrame:
-    """Adds anomalies, n_anomalies, risk_score, alert_level, readings_analyzed.
+    """Adds anomalies, n_anomalies, risk_score, alert_level, readings_analyzed and
+    the time of the evaluation.
 
     ``readings_col`` holds the message readings (camelCase keys); unknown keys
     are counted in ``readings_analyzed`` but never scored.
@@ -29,6 +30,7 @@ def score_readings(msgs: DataFrame, readings_col: str = "readings",
         "risk_score": S.risk_score(F.col("anomalies")),
         "alert_level": S.alert_level(F.col("anomalies")),
         "readings_analyzed": S.readings_analyzed(r),
+        "evaluated_at": F.current_timestamp(),
     })
 
 

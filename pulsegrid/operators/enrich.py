@@ -40,29 +40,32 @@ def apply_message_defaults(msgs: DataFrame) -> DataFrame:
     })
 
 
-def message_alerts(msgs: DataFrame, rules: str = "full") -> Column:
-    """Alerts of a message: given ones if the message carries them, else computed."""
+def message_alerts(msgs: DataFrame, rules: str = "full", given: bool = True) -> Column:
+    """Alerts of a message; with ``given`` those it carries come first (a message
+    that was enriched before), without it they are always computed."""
     r = F.col("readings")
     if rules == "basic":
         computed = A.validate_readings_basic(r["heartRate"], r["bloodOxygen"])
     else:
         computed = A.validate_readings(r["heartRate"], r["bloodOxygen"], r["systolicBP"],
                                        r["diastolicBP"], r["temperature"], r["bloodGlucose"])
-    if _has(msgs, "alerts"):
+    if given and _has(msgs, "alerts"):
         return F.coalesce(F.col("alerts"), computed)
     return computed
 
 
 def enrich_messages(msgs: DataFrame, rules: str = "full",
                     request_id: Column | None = None) -> DataFrame:
-    """Enriched message envelope: + alerts, alertSeverity, processedAt, request id."""
+    """Enriched message envelope: + alerts, alertSeverity, processedAt, request id.
+
+    Alerts are computed from the readings, whatever the device sent along."""
     m = apply_message_defaults(msgs)
-    m = m.withColumn("alerts", message_alerts(m, rules))
+    m = m.withColumn("alerts", message_alerts(m, rules, given=False))
     return m.withColumns({
         "alertSeverity": A.alert_severity(F.col("alerts")),
         "processedAt": F.current_timestamp(),
         "processingRequestId": request_id if request_id is not None
-        else F.lit(None).cast("string"),
+        else F.expr("uuid()"),
     })
 
 

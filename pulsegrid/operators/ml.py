@@ -11,6 +11,7 @@ recall and F1 of the abnormal class, ROC AUC.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,7 +25,7 @@ from .sequence import with_next
 FEATURES = [*VITAL_COLUMNS, "alert_count", "hour"]
 
 
-def training_set(messages: DataFrame, bucket: str = "1 day") -> DataFrame:
+def training_set(messages: DataFrame, bucket: str = "1 hour") -> DataFrame:
     """Device messages -> features of each reading + label of the device's next one."""
     scored = flatten_messages(messages.withColumn(
         "abnormal", S.alert_level(S.threshold_anomalies(F.col("readings")))
@@ -42,8 +43,10 @@ def _unit(bucket: str) -> str:
 
 
 def split(ds: DataFrame, holdout_mod: int = 5):
-    """Deterministic ~1/holdout_mod validation split by message id hash."""
-    v = F.pmod(F.xxhash64("message_id"), F.lit(holdout_mod)) == 0
+    """Deterministic ~1/holdout_mod validation split: the first eight hex digits
+    of the message id's MD5, modulo."""
+    bucket = F.conv(F.substring(F.md5(F.col("message_id")), 1, 8), 16, 10).cast("bigint")
+    v = F.pmod(bucket, F.lit(holdout_mod)) == 0
     return ds.where(~v), ds.where(v)
 
 
@@ -55,7 +58,10 @@ class TrainResult:
     validation_samples: int
 
 
-def train(train_df: DataFrame, valid_df: DataFrame, seed: int = 42) -> TrainResult:
+def train(train_df: DataFrame, valid_df: DataFrame, predictions_path: str, seed: int = 42,
+          trees: int = TRAIN_N_ESTIMATORS) -> TrainResult:
+    """Fit and evaluate; the validation predictions are written once and every
+    metric reads them."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.evaluation import (BinaryClassificationEvaluator,
@@ -65,10 +71,12 @@ def train(train_df: DataFrame, valid_df: DataFrame, seed: int = 42) -> TrainResu
     pipe = Pipeline(stages=[
         VectorAssembler(inputCols=FEATURES, outputCol="features"),
         GBTClassifier(labelCol="label", featuresCol="features", maxDepth=TRAIN_MAX_DEPTH,
-                      maxIter=TRAIN_N_ESTIMATORS, stepSize=TRAIN_LEARNING_RATE, seed=seed),
+                      maxIter=trees, stepSize=TRAIN_LEARNING_RATE, seed=seed),
     ])
     model = pipe.fit(train_df)
-    pred = model.transform(valid_df).select("label", "prediction", "rawPrediction")
+    (model.transform(valid_df).select("message_id", "label", "prediction", "rawPrediction")
+     .write.mode("overwrite").parquet(predictions_path))
+    pred = train_df.sparkSession.read.parquet(predictions_path)
     mc = MulticlassClassificationEvaluator(labelCol="label", predictionCol="prediction")
     metrics = {
         "accuracy": mc.evaluate(pred, {mc.metricName: "accuracy"}),
@@ -81,38 +89,27 @@ def train(train_df: DataFrame, valid_df: DataFrame, seed: int = 42) -> TrainResu
             labelCol="label", rawPredictionCol="rawPrediction",
             metricName="areaUnderROC").evaluate(pred),
     }
-    return TrainResult(model, metrics, train_df.count(), valid_df.count())
+    return TrainResult(model, metrics, train_df.count(), pred.count())
 
 
 def train_and_register(spark: SparkSession, messages: DataFrame, root: str,
-                       model_type: str = "anomaly_detection") -> DataFrame:
-    """Train, save the model, append a registry record; return the record."""
+                       model_type: str = "anomaly_detection", trees: int = TRAIN_N_ESTIMATORS,
+                       at: datetime | None = None) -> DataFrame:
+    """Train, save the model and its info file, append a registry record; return
+    the registry. ``at``: time of the run (now), the same in all of them."""
     from ..sinks import registry as R
 
+    at = at or datetime.now(timezone.utc)
+    folder = f"{root.rstrip('/')}/models/{model_type}/{at:%Y%m%d-%H%M%S}"
     # Materialise the labelled set once (a durable table, not a cache): the
-    # booster and five evaluators re-read it instead of re-running the windows.
-    training_set(messages).write.mode("overwrite").parquet(f"{root}/training_set")
-    ds = spark.read.parquet(f"{root}/training_set")
-    tr, va = split(ds)
-    res = train(tr, va)
-    rec = spark.range(1).select(
-        F.lit(model_type).alias("model_type"),
-        F.current_timestamp().alias("training_timestamp"))
-    rec = rec.select(
-        "model_type",
-        R.model_id(F.col("model_type"), F.col("training_timestamp")).alias("model_id"),
-        "training_timestamp",
-        F.create_map(*[x for k, v in res.metrics.items() for x in (F.lit(k), F.lit(float(v)))])
-        .alias("metrics"),
-        F.create_map(F.lit("max_depth"), F.lit(float(TRAIN_MAX_DEPTH)),
-                     F.lit("n_estimators"), F.lit(float(TRAIN_N_ESTIMATORS)),
-                     F.lit("learning_rate"), F.lit(float(TRAIN_LEARNING_RATE)))
-        .alias("hyperparameters"),
-        F.lit(res.training_samples).cast("bigint").alias("training_samples"),
-        F.lit(res.validation_samples).cast("bigint").alias("validation_samples"),
-        R.model_path(root, F.col("model_type"), F.col("training_timestamp")).alias("model_path"),
-        F.current_timestamp().alias("updated_at"))
-    row = rec.first()
-    res.model.write().overwrite().save(row["model_path"].rsplit("/", 1)[0] + "/model")
-    R.append_records(rec, f"{root}/registry")
+    # booster re-reads it instead of re-running the windows.
+    training_set(messages).write.mode("overwrite").parquet(f"{folder}/training_set")
+    tr, va = split(spark.read.parquet(f"{folder}/training_set"))
+    res = train(tr, va, f"{folder}/predictions", trees=trees)
+    res.model.write().overwrite().save(f"{folder}/model")
+    record = R.record(spark, root, model_type, at, res.metrics, {
+        "max_depth": TRAIN_MAX_DEPTH, "n_estimators": trees, "learning_rate": TRAIN_LEARNING_RATE},
+        res.training_samples, res.validation_samples)
+    R.write_info(record)
+    R.append_records(record, f"{root}/registry")
     return spark.read.parquet(f"{root}/registry")

@@ -39,7 +39,7 @@ def build_observations(enriched: DataFrame, basic: bool = False,
     alerts = (F.coalesce(F.col("alerts"), F.array().cast("array<string>"))
               if "alerts" in enriched.columns else F.array().cast("array<string>"))
     message_id = F.col("messageId") if "messageId" in enriched.columns else F.lit(None)
-    obs_id = H.observation_id(F.col("deviceId"), ts, message_id)
+    obs_id = H.observation_id(F.col("deviceId"), ts, message_id, readings)
     no_struct = F.lit(None)
     cols = {
         "resourceType": F.lit("Observation"),
@@ -75,11 +75,12 @@ def build_observations(enriched: DataFrame, basic: bool = False,
         }
     else:
         tkey = H.partition_key(F.col("_device_type"))
-        date = H.event_date(F.col("effectiveDateTime"))
+        # the pruning column is exact: rows without an event date stand in the
+        # null partition, whatever date their key carries
         storage = {
             "device_type": tkey,
-            "observation_date": date,
-            "object_key": H.object_key(tkey, date, F.col("id")),
+            "observation_date": H.event_date(F.col("effectiveDateTime")),
+            "object_key": H.object_key(tkey, H.storage_date(F.col("effectiveDateTime")), F.col("id")),
         }
     storage.update({
         "meta_device_id": F.coalesce(F.col("_device_id"), F.lit("unknown")),

@@ -11,6 +11,7 @@
 
 from __future__ import annotations
 
+from datetime import date
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -21,6 +22,13 @@ def _and(preds: list[Column]) -> Column | None:
     return reduce(lambda a, b: a & b, preds) if preds else None
 
 
+def _day(bound: str) -> date | None:
+    try:
+        return date.fromisoformat(bound[:10]) if len(bound) >= 10 else None
+    except ValueError:
+        return None
+
+
 def search_predicate(patient: str | None = None, device: str | None = None,
                      date_from: str | None = None, date_to: str | None = None,
                      strict: bool = False, prune: bool = False) -> Column | None:
@@ -30,8 +38,9 @@ def search_predicate(patient: str | None = None, device: str | None = None,
     missing subject never matches. device: exact identifier value.
     date_from / date_to: inclusive string comparison on effectiveDateTime,
     a missing value compares as '' (dropped by a lower bound, kept by an
-    upper one). ``prune`` adds observation_date bounds for partition pruning
-    (exact for every row whose timestamp parsed).
+    upper one). ``prune`` adds observation_date bounds for partition pruning;
+    rows without an event date are in the null partition and always looked at,
+    so the result is the same. A bound that starts with no date does not prune.
     """
     # Written so that Parquet can evaluate each predicate from row-group
     # statistics. For a non-empty value v, coalesce(x, '') >= v is x >= v
@@ -47,12 +56,12 @@ def search_predicate(patient: str | None = None, device: str | None = None,
     eff = F.col("effectiveDateTime")
     if date_from:
         preds.append(eff >= F.lit(date_from))
-        if prune:
-            preds.append(F.col("observation_date") >= F.try_to_date(F.lit(date_from[:10])))
+        if prune and (day := _day(date_from)):
+            preds.append(F.col("observation_date").isNull() | (F.col("observation_date") >= F.lit(day)))
     if date_to:
         preds.append(eff.isNull() | (eff <= F.lit(date_to)))
-        if prune:
-            preds.append(F.col("observation_date") <= F.try_to_date(F.lit(date_to[:10])))
+        if prune and (day := _day(date_to)):
+            preds.append(F.col("observation_date").isNull() | (F.col("observation_date") <= F.lit(day)))
     return _and(preds)
 
 
@@ -69,22 +78,31 @@ def search_observations(obs: DataFrame, patient: str | None = None,
     return hits.orderBy(F.col("object_key").asc_nulls_last(), F.col("id").asc_nulls_last()).limit(n)
 
 
+MAX_PAGE = 1000
+
+
 def bundle(resources: DataFrame, bundle_type: str = "searchset") -> DataFrame:
-    """One-row Bundle over an already bounded result (e.g. a search page):
-    total = number returned, entries with fullUrl 'urn:uuid:<id>' in key order."""
-    entries = resources.select(F.struct(
+    """One-row Bundle of a search page: total = number returned, entries with
+    fullUrl 'urn:uuid:<id>' and the resource, in key order. A page is at most
+    ``MAX_PAGE`` resources; more is an error, not a shorter bundle."""
+    from .observations import OBSERVATION_FIELDS
+    present = [c for c in OBSERVATION_FIELDS if c in resources.columns] or resources.columns
+    entries = resources.limit(MAX_PAGE + 1).select(F.struct(
         F.col("object_key").alias("k"),
         F.concat(F.lit("urn:uuid:"), F.coalesce(F.col("id"), F.expr("uuid()"))).alias("fullUrl"),
-        F.col("id").alias("id")).alias("_e"))
+        F.to_json(F.struct(*present)).alias("resource")).alias("_e"))
     agg = entries.agg(F.count(F.lit(1)).alias("total"),
                       F.sort_array(F.collect_list("_e")).alias("_entries"))
+    now = F.concat(F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z"))
     return agg.select(
         F.lit("Bundle").alias("resourceType"),
         F.expr("uuid()").alias("id"),
+        F.struct(now.alias("lastUpdated")).alias("meta"),
         F.lit(bundle_type).alias("type"),
-        "total",
+        F.when(F.col("total") <= MAX_PAGE, F.col("total")).otherwise(F.raise_error(
+            F.lit(f"a bundle holds at most {MAX_PAGE} resources"))).cast("bigint").alias("total"),
         F.transform("_entries", lambda e: F.struct(e["fullUrl"].alias("fullUrl"),
-                                                   e["id"].alias("resource_id")))
+                                                   e["resource"].alias("resource")))
         .alias("entry"))
 
 
@@ -131,11 +149,13 @@ def create_resources(resources: DataFrame, resource_type: str,
 
 
 def api_storage_columns(created: DataFrame) -> DataFrame:
-    """Storage key for API-created Observations: observations/api/<today>/<id>.json."""
+    """Storage key for API-created Observations: observations/api/<today>/<id>.json;
+    the pruning column is the event date, as for device documents."""
+    from ..functions.fhir import event_date
     today = F.current_date()
     return created.withColumns({
         "device_type": F.lit("api"),
-        "observation_date": today,
+        "observation_date": event_date(F.col("effectiveDateTime")),
         "object_key": F.concat(F.lit("observations/api/"), F.date_format(today, "yyyy/MM/dd"),
                                F.lit("/"), F.col("id"), F.lit(".json")),
         "source": F.lit("api"),
@@ -173,6 +193,30 @@ def search_patients(patients: DataFrame, params: str | dict | None) -> DataFrame
     return patients.where(p) if p is not None else patients
 
 
+def search_resources(tables: dict, resource_type: str, params: str | dict | None = None) -> DataFrame:
+    """Search with the table chosen by resource type: Observations by the date,
+    patient, device and count parameters, other types by column equality."""
+    if resource_type not in tables:
+        raise ValueError(f"Resource type {resource_type} not supported")
+    p = parse_search_params(params)
+    if resource_type != "Observation":
+        return search_patients(tables[resource_type], p)
+    known = {"patient": "patient", "device": "device", "date_from": "date_from",
+             "date_to": "date_to", "_count": "count"}
+    unknown = set(p) - set(known)
+    if unknown:
+        raise ValueError(f"unknown search parameter: {sorted(unknown)[0]}")
+    return search_observations(tables[resource_type], **{known[k]: v for k, v in p.items()})
+
+
+def create_by_type(resources: DataFrame, resource_type: str, supported=("Observation", "Patient")) -> DataFrame:
+    """Create with the storage layout of the type; every resource gets an id."""
+    if resource_type not in supported:
+        raise ValueError(f"Resource type {resource_type} not supported")
+    created = create_resources(resources, resource_type)
+    return api_storage_columns(created) if resource_type == "Observation" else created
+
+
 def read_resources(tables: dict, resource_type: str, requests: DataFrame,
                    id_col: str = "requested_id") -> DataFrame:
     """Read-by-id with the table chosen by resource type ({'Patient': df, ...}).

@@ -26,6 +26,9 @@ def with_next(df: DataFrame, key: str, order: list[str], fields: list[str],
     firsts = b.where(F.col("_rn") == 1).select(key, "_bucket", payload.alias("_first"))
     w2 = Window.partitionBy(key).orderBy("_bucket")
     firsts = firsts.select(key, "_bucket", F.lead("_first").over(w2).alias("_next_first"))
-    return (b.join(firsts, [key, "_bucket"], "left")
+    firsts = firsts.select(F.col(key).alias("_key"), F.col("_bucket").alias("_from"), "_next_first")
+    # null keys and null times are values like any other
+    same = F.col(key).eqNullSafe(F.col("_key")) & F.col("_bucket").eqNullSafe(F.col("_from"))
+    return (b.join(firsts, same, "left")
             .withColumn(out, F.coalesce(F.col(out), F.col("_next_first")))
-            .drop("_bucket", "_next_first", "_rn"))
+            .drop("_bucket", "_next_first", "_rn", "_key", "_from"))

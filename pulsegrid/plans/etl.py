@@ -13,10 +13,13 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions.fhir import observation_id
 from ..operators import enrich, gold
 from ..operators import observations as O
-from ..sinks.tables import write_table
+from ..session import scratch_path
+from ..sinks.tables import quarantine_rows, table_exists, write_table
 from ..sources import files
 
 DEVICE_READINGS_COLUMNS = [
@@ -28,12 +31,18 @@ DEVICE_READINGS_COLUMNS = [
 
 @dataclass
 class EtlResult:
+    """Rows written per table (0: nothing to write, the table is as it was) and
+    rejected records per table."""
     output: str
     rows: dict = field(default_factory=dict)
+    rejects: dict = field(default_factory=dict)
 
     def path(self, table: str) -> str:
         return f"{self.output}/{TABLE_PATHS[table]}"
 
+    def reject_path(self, table: str) -> str:
+        return f"{self.output}/quarantine/{table}"
+
 
 TABLE_PATHS = {
     "device_readings": "processed/device_readings",
@@ -45,61 +54,101 @@ TABLE_PATHS = {
 
 
 def silver_readings(messages: DataFrame, keep: tuple = ()) -> DataFrame:
-    """Readable messages -> flat enriched readings."""
-    flat = enrich.flatten_messages(files.valid_rows(messages))
-    return flat.select(*keep, *DEVICE_READINGS_COLUMNS)
+    """Readable messages -> flat enriched readings, each with the id of its message
+    (the same for a message that is read again)."""
+    msgs = files.valid_rows(messages)
+    mid = F.col("messageId") if "messageId" in msgs.columns else F.lit(None)
+    msgs = msgs.withColumn("reading_id", observation_id(
+        F.col("deviceId"), F.col("timestamp"), mid, F.col("readings")))
+    return enrich.flatten_messages(msgs).select(*keep, "reading_id", *DEVICE_READINGS_COLUMNS)
+
+
+def _store(res: EtlResult, table: str, new: DataFrame, key: str, incremental: bool,
+           partition_cols: tuple = ()) -> None:
+    """Overwrite ``table``, or add the rows whose key it does not hold yet; nothing
+    is touched if there are none."""
+    spark, path = new.sparkSession, res.path(table)
+    if incremental and table_exists(spark, path):
+        old = spark.read.parquet(path)
+        # the partition columns take part in the join, so only the partitions
+        # that the new rows touch are read, and of them only the key
+        same = F.lit(True)
+        for c in (key, *partition_cols):
+            same = same & new[c].eqNullSafe(old[c])
+        new = new.join(old.select(key, *partition_cols), same, "left_anti")
+        # a staged copy: the write must not read the table it adds to
+        staged = scratch_path(spark, f"etl-{table}")
+        new.write.parquet(staged)
+        res.rows[table] = write_table(spark.read.parquet(staged), path, mode="append",
+                                      partition_cols=list(partition_cols), skip_if_empty=True)
+    else:
+        res.rows[table] = write_table(new, path, partition_cols=list(partition_cols),
+                                      skip_if_empty=True)
+
+
+def _reject(res: EtlResult, table: str, records: DataFrame, incremental: bool) -> None:
+    if files.CORRUPT in records.columns:
+        bad = quarantine_rows(files.corrupt_rows(records), "unparseable")
+        res.rejects[table] = write_table(bad, res.reject_path(table), skip_if_empty=True,
+                                         mode="append" if incremental else "overwrite")
 
 
 def run_etl(spark: SparkSession, output: str, messages: DataFrame | None = None,
             observations: DataFrame | None = None, raw_path: str | list | None = None,
             fhir_path: str | list | None = None, keep: tuple = (),
-            incremental: bool = False) -> EtlResult:
-    """Write the five tables below ``output``.
+            incremental: bool = False, tables: tuple | None = None,
+            multiline: bool = False, missing_ok: bool = False) -> EtlResult:
+    """Write the tables below ``output`` (all five, or those named in ``tables``
+    and the silver tables they come from).
 
     Inputs are either DataFrames (``messages``, ``observations``) or landing
-    paths read with explicit schemas. An input without rows writes an empty
-    silver table (fixed schema) and skips the gold tables built from it.
-    ``incremental``: partitioned tables replace only the partitions present
-    in this run's input (dynamic partition overwrite), so a run over new
-    landing files does not erase history.
+    paths read with explicit schemas; ``multiline`` says that a file holds one
+    observation document, else every line does. A missing path is an error
+    unless ``missing_ok``. An input without rows changes no table.
+
+    Unreadable records are kept in ``quarantine/<table>`` and counted.
+
+    ``incremental``: rows of messages that the silver tables do not hold yet are
+    added, whatever their date, so a run over the same files changes nothing;
+    the gold tables are then computed from all silver rows.
     """
     res = EtlResult(output)
-    dyn = {"dynamic_overwrite": incremental}
+    wanted = set(tables or TABLE_PATHS)
     if messages is None and raw_path is not None:
-        messages = files.read_device_messages(spark, raw_path)
+        messages = files.read_device_messages(spark, raw_path, missing_ok)
     if observations is None and fhir_path is not None:
-        observations = files.valid_rows(files.read_observations(spark, fhir_path))
-
-    if messages is not None:
-        readings = silver_readings(messages, keep)
-        res.rows["device_readings"] = write_table(
-            readings, res.path("device_readings"), partition_cols=["date", "device_type"],
-            **dyn)
-    if observations is not None:
-        res.rows["fhir_observations"] = write_table(
-            O.observations_wide(observations), res.path("fhir_observations"),
-            mode="append" if incremental else "overwrite")
-
-    if res.rows.get("fhir_observations"):
+        observations = files.read_observations(spark, fhir_path, multiline, missing_ok)
+
+    if messages is not None and wanted & {"device_readings", "device_analytics", "hourly_trends"}:
+        _reject(res, "device_readings", messages, incremental)
+        _store(res, "device_readings", silver_readings(messages, keep), "reading_id",
+               incremental, ("date", "device_type"))
+    if observations is not None and wanted & {"fhir_observations", "patient_summary"}:
+        _reject(res, "fhir_observations", observations, incremental)
+        _store(res, "fhir_observations", O.observations_wide(files.valid_rows(observations)),
+               "observation_id", incremental)
+
+    if res.rows.get("fhir_observations") and "patient_summary" in wanted:
         wide = spark.read.parquet(res.path("fhir_observations"))
         res.rows["patient_summary"] = write_table(gold.patient_summary(wide),
                                                   res.path("patient_summary"))
     if res.rows.get("device_readings"):
         silver = spark.read.parquet(res.path("device_readings"))
-        res.rows["device_analytics"] = write_table(gold.device_analytics(silver),
-                                                   res.path("device_analytics"))
-        res.rows["hourly_trends"] = write_table(gold.hourly_trends(silver),
-                                                res.path("hourly_trends"),
-                                                partition_cols=["date"])
+        if "device_analytics" in wanted:
+            res.rows["device_analytics"] = write_table(gold.device_analytics(silver),
+                                                       res.path("device_analytics"))
+        if "hourly_trends" in wanted:
+            res.rows["hourly_trends"] = write_table(gold.hourly_trends(silver),
+                                                    res.path("hourly_trends"),
+                                                    partition_cols=["date"])
     return res
 
 
 def read_back_counts(spark: SparkSession, res: EtlResult) -> DataFrame:
     """(table, rows) for every written table, counted from the files."""
-    from pyspark.sql import functions as F
     frames = [spark.read.parquet(res.path(t)).agg(F.count(F.lit(1)).alias("rows"))
               .select(F.lit(t).alias("table_name"), "rows")
-              for t in TABLE_PATHS if res.rows.get(t) is not None]
+              for t in TABLE_PATHS if res.rows.get(t)]
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f)
@@ -117,10 +166,13 @@ def main(argv=None) -> int:
     ap.add_argument("--fhir", nargs="*", default=None, help="Observation document path(s)")
     ap.add_argument("--out", required=True, help="output root")
     ap.add_argument("--incremental", action="store_true")
+    ap.add_argument("--multiline", action="store_true", help="one observation document per file")
+    ap.add_argument("--missing-ok", action="store_true", help="a missing landing path is no error")
     a = ap.parse_args(argv)
     spark = build_session(app="pulsegrid-etl")
-    res = run_etl(spark, a.out, raw_path=a.raw, fhir_path=a.fhir, incremental=a.incremental)
-    print(json.dumps({"output": res.output, "rows": res.rows}))
+    res = run_etl(spark, a.out, raw_path=a.raw, fhir_path=a.fhir, incremental=a.incremental,
+                  multiline=a.multiline, missing_ok=a.missing_ok)
+    print(json.dumps({"output": res.output, "rows": res.rows, "rejects": res.rejects}))
     return 0
 
 

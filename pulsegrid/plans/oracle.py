@@ -157,7 +157,7 @@ SELECT event_id,
   CASE WHEN event_id % 67 = 0 THEN '' ELSE alert_types END AS alert_types,
   CASE WHEN event_id % 67 = 0 THEN 'normal' ELSE alert_severity END AS alert_severity,
   CAST(0 AS INTEGER) AS n_metadata,
-  TRUE AS has_processed_at
+  TRUE AS has_processed_at, TRUE AS has_request_id
 FROM flat"""
 
 
@@ -443,6 +443,8 @@ hits AS (
     AND coalesce(effective_date_time, '') <= '2024-01-12T12:00:00'
   ORDER BY object_key, observation_id LIMIT 100)
 SELECT 'Bundle' AS resource_type, 'searchset' AS bundle_type, count(*) AS total,
+  TRUE AS has_last_updated, min_by(observation_id, object_key) AS first_resource_id,
+  max_by(effective_date_time, object_key) AS last_effective,
   'urn:uuid:' || min_by(observation_id, object_key) AS first_full_url,
   'urn:uuid:' || max_by(observation_id, object_key) AS last_full_url
 FROM hits"""
@@ -483,7 +485,7 @@ SELECT patient_id, name, gender, nation_key, age FROM patients
 WHERE gender = 'female' AND CAST(nation_key AS VARCHAR) = '3'"""
 
 SQL["patient_create"] = with_ctes(PATIENTS) + """
-SELECT patient_id, 'Patient' AS resource_type, name FROM patients"""
+SELECT patient_id, 'Patient' AS resource_type, name, CAST(36 AS INTEGER) AS id_length FROM patients"""
 
 # ------------------------------------------------------ sources and sinks
 SQL["conversion_counts"] = """
@@ -492,11 +494,11 @@ SELECT count(*) FILTER (WHERE event_id % 97 <> 0) AS processed,
 FROM events"""
 
 SQL["parquet_roundtrip"] = BASE + """
-SELECT date, device_type, count(*) AS n FROM flat WHERE event_id % 97 <> 0
+SELECT date, device_type, count(*) AS n FROM flat
 GROUP BY date, device_type"""
 
 SQL["etl_table_counts"] = OBS + """,
-good AS (SELECT * FROM flat WHERE event_id % 97 <> 0)
+good AS (SELECT * FROM flat)
 SELECT 'device_readings' AS table_name, count(*) AS rows FROM good
 UNION ALL SELECT 'fhir_observations', count(*) FROM obsk
 UNION ALL SELECT 'patient_summary', count(*) FROM (SELECT DISTINCT patient_reference FROM obsk)
@@ -504,7 +506,7 @@ UNION ALL SELECT 'device_analytics', count(*) FROM (SELECT DISTINCT device_id, d
 UNION ALL SELECT 'hourly_trends', count(*) FROM (SELECT DISTINCT date, hour, device_type FROM good)"""
 
 SQL["catalog_sql"] = BASE + """,
-good AS (SELECT * FROM flat WHERE event_id % 97 <> 0),
+good AS (SELECT * FROM flat),
 d AS (
   SELECT device_id, device_type, count(*) AS total_readings,
     CAST(sum(alert_count) AS BIGINT) AS total_alerts,
@@ -521,7 +523,7 @@ FROM ds GROUP BY device_type"""
 
 # --------------------------------------------------------------- streaming
 GOOD = BASE + """,
-good AS (SELECT * FROM flat WHERE event_id % 97 <> 0)"""
+good AS (SELECT * FROM flat)"""
 
 SQL["stream_silver"] = GOOD + """
 SELECT CAST(event_id AS VARCHAR) AS message_id, device_id, device_type, patient_id, ts,
@@ -532,14 +534,14 @@ SQL["stream_quarantine"] = """
 SELECT 'unparseable' AS reason, count(*) AS n FROM events WHERE event_id % 97 = 0"""
 
 SQL["stream_bronze"] = with_ctes(READINGS) + """
-SELECT CASE WHEN event_id % 97 = 0 THEN 'unknown' ELSE split_part(topic, '/', 2) END AS channel,
-  count(*) AS n, count(*) FILTER (WHERE event_id % 97 = 0) AS unparsed
+SELECT split_part(topic, '/', 2) AS channel,
+  count(*) AS n, count(*) FILTER (WHERE event_id % 97 = 0) AS unparsed, count(*) AS with_arrival
 FROM readings GROUP BY 1"""
 
 SQL["stream_observations"] = OBS + """
 SELECT observation_id, type_key AS device_type, observation_date,
   {n} AS n_components, object_key
-FROM obsk WHERE event_id % 97 <> 0""".replace("{n}", _N_VITALS)
+FROM obsk""".replace("{n}", _N_VITALS)
 
 SQL["stream_alerts"] = GOOD + """
 SELECT CAST(event_id AS VARCHAR) AS message_id,
@@ -548,11 +550,7 @@ SELECT CAST(event_id AS VARCHAR) AS message_id,
   alert_count AS alerts_sent
 FROM good WHERE alert_count > 0"""
 
-SQL["stream_hourly"] = GOOD + """
-SELECT date_trunc('hour', ts) AS window_start, device_type, count(*) AS n,
-  CAST(sum(alert_count) AS BIGINT) AS total_alerts,
-  round(avg(heart_rate), 6) AS avg_heart_rate
-FROM good GROUP BY 1, 2"""
+SQL["stream_hourly"] = SQL["hourly_trends"]
 
 # ---------------------------------------------------------------------- ML
 SQL["next_reading"] = BASE + """
@@ -561,26 +559,66 @@ SELECT event_id, device_id,
   lead(ts) OVER (PARTITION BY device_id ORDER BY ts, event_id) AS next_ts
 FROM flat"""
 
-SQL["model_latest"] = BASE + """,
-daily AS (
-  SELECT date, count(*) AS a, count(*) FILTER (WHERE patient_id IS NOT NULL) AS r
-  FROM flat GROUP BY date),
-cum AS (
-  SELECT date, sum(a) OVER (ORDER BY date) AS a, sum(r) OVER (ORDER BY date) AS r FROM daily),
-last AS (SELECT * FROM cum ORDER BY date DESC LIMIT 1),
-recs AS (
-  SELECT 'anomaly_detection' AS model_type, CAST(date + INTERVAL 1 DAY + INTERVAL 2 HOUR AS TIMESTAMP) AS ts,
-    CAST(a AS BIGINT) AS training_samples FROM last
-  UNION ALL
-  SELECT 'readmission_risk', CAST(date + INTERVAL 1 DAY + INTERVAL 2 HOUR AS TIMESTAMP),
-    CAST(r AS BIGINT) FROM last)
-SELECT model_type, model_type || '-' || strftime(ts, '%Y%m%d-%H%M%S') AS model_id,
-  training_samples, ts AS updated_at
-FROM recs"""
-
-SQL["search_stored"] = SQL["search_by_date"]
+# next reading of the device, its label and the hold-out bucket of the message
+_SAMPLES = """,
+seq AS (
+  SELECT event_id, lead(event_id) OVER (PARTITION BY device_id ORDER BY ts, CAST(event_id AS VARCHAR)) AS next_id
+  FROM readings WHERE ts IS NOT NULL),
+samples AS (
+  SELECT s.event_id, k.tenths >= 3 AS label,
+    CAST('0x' || substr(md5(CAST(s.event_id AS VARCHAR)), 1, 8) AS UBIGINT) % 5 = 0 AS held
+  FROM seq s JOIN risk k ON k.event_id = s.next_id)"""
+
+SQL["train_model"] = _RISK + _SAMPLES + """
+SELECT 'anomaly_detection' AS model_type, count(*) FILTER (NOT held) AS training_samples,
+  count(*) FILTER (held) AS validation_samples, TRUE AS metrics_in_range, TRUE AS model_loads,
+  count(*) FILTER (label) AS abnormal_next
+FROM samples"""
+
+SQL["model_latest"] = _RISK + _SAMPLES + """
+SELECT 'anomaly_detection' AS model_type, 'anomaly_detection-20240202-020000' AS model_id,
+  count(*) FILTER (NOT held) AS training_samples, TIMESTAMP '2024-02-02 02:00:00' AS updated_at
+FROM samples"""
+
+_STORE = OBS + """,
+store AS (
+  SELECT 'device' AS source, CASE WHEN event_id % 50 <> 7 THEN effective_date_time END AS eff FROM obsk
+  UNION ALL SELECT 'api', effective_date_time FROM obsk WHERE event_id % 10 = 0),
+found AS (
+  SELECT 'between' AS search, * FROM store WHERE eff >= '2024-01-10' AND eff <= '2024-01-12T12:00:00'
+  UNION ALL SELECT 'until', * FROM store WHERE coalesce(eff, '') <= '2024-01-12T12:00:00')"""
+SQL["search_stored"] = _STORE + """
+SELECT search, pruned, source, count(*) AS n, count(eff) AS dated
+FROM found, (VALUES (TRUE), (FALSE)) p(pruned) GROUP BY search, pruned, source"""
 SQL["observation_json_roundtrip"] = SQL["observation_wide"]
 
-SQL["stream_metrics"] = SQL["anomaly_metrics"].replace(
-    "FROM readings r JOIN bands b ON b.event_id = r.event_id",
-    "FROM readings r JOIN bands b ON b.event_id = r.event_id WHERE r.event_id % 97 <> 0")
+SQL["stream_metrics"] = SQL["anomaly_metrics"]
+
+# ------------------------------------------------ stored tables, value by value
+SQL["etl_device_readings"] = BASE + """
+SELECT device_id, device_type, patient_id, ts, heart_rate, blood_oxygen, systolic_bp, diastolic_bp,
+  round(temperature, 6) AS temperature, blood_glucose, respiratory_rate, alert_count, alert_types,
+  alert_severity, has_critical_alert, date, hour, channel
+FROM flat"""
+SQL["etl_fhir_observations"] = SQL["observation_wide"]
+SQL["etl_patient_summary"] = SQL["patient_summary"]
+SQL["etl_device_analytics"] = SQL["device_analytics"]
+SQL["etl_hourly_trends"] = SQL["hourly_trends"]
+SQL["etl_incremental"] = SQL["device_analytics"]
+SQL["etl_rejects"] = """
+SELECT count(*) FILTER (event_id % 97 = 0) AS rejects, count(*) FILTER (event_id % 97 = 0) AS with_text,
+  count(*) FILTER (event_id % 97 = 0) AS reported, count(*) FILTER (event_id % 97 <> 0) AS readings
+FROM events"""
+SQL["etl_empty_input"] = BASE + """
+SELECT device_type, count(*) AS n FROM flat GROUP BY device_type"""
+
+SQL["message_summary"] = BASE + """
+SELECT CAST(event_id AS VARCHAR) AS message_id, device_id, alert_types, alert_severity FROM flat"""
+SQL["search_by_type"] = OBS + """,
+o AS (
+  SELECT observation_id FROM obsk WHERE device_id = 'device-42' AND effective_date_time >= '2024-01-05'
+  ORDER BY object_key, observation_id LIMIT 50)
+SELECT 'Observation' AS resource_type, observation_id AS resource_id FROM o
+UNION ALL
+SELECT 'Patient', 'patient-' || CAST(c_custkey AS VARCHAR) FROM customer
+WHERE c_custkey % 2 <> 0 AND c_nationkey = 7"""

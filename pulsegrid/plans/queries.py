@@ -136,7 +136,19 @@ def q_message_defaults(spark, sf_dir):
         F.array_join("alerts", ",").alias("alert_types"),
         F.col("alertSeverity").alias("alert_severity"),
         F.size("metadata").alias("n_metadata"),
-        F.col("processedAt").isNotNull().alias("has_processed_at"))
+        F.col("processedAt").isNotNull().alias("has_processed_at"),
+        (F.length("processingRequestId") == 36).alias("has_request_id"))
+
+
+@query("message_summary")
+def q_message_summary(spark, sf_dir):
+    """Per-message response of the processor, metadata passed through it."""
+    msgs = testdata.load_messages(spark, sf_dir).withColumn("metadata", F.create_map(
+        F.lit("firmware"), F.concat(F.lit("1."), (F.col("event_id") % 7).cast("string"))))
+    e = enrich.enrich_messages(msgs)
+    return enrich.message_summary(e).select(
+        F.col("messageId").alias("message_id"), F.col("deviceId").alias("device_id"),
+        F.array_join("alerts", ",").alias("alert_types"), F.col("alertSeverity").alias("alert_severity"))
 
 
 def _scored(spark, sf_dir):
@@ -329,10 +341,26 @@ SEARCHES = {
 }
 
 
+def stored_observations(spark, sf_dir) -> DataFrame:
+    """The Observation store: written once per session and folder, then read.
+
+    Within a date the files are sorted by id and carry a Bloom filter on it, so
+    reads by id skip row groups; dates and types are partitions."""
+    from ..session import scratch_path
+    from ..sinks.tables import write_observations
+
+    def build():
+        path = scratch_path(spark, "observation_store")
+        write_observations(observations(spark, sf_dir), path)
+        return spark.read.parquet(path)
+    return plan_cache("stored_observations", spark, sf_dir, build)
+
+
 def _search_query(params):
     def run(spark, sf_dir):
         from ..operators import search as Q
-        return Q.search_observations(observations(spark, sf_dir), **params).select(*search_cols())
+        return Q.search_observations(stored_observations(spark, sf_dir), prune=True,
+                                     **params).select(*search_cols())
     return run
 
 
@@ -343,12 +371,16 @@ for _name, _params in SEARCHES.items():
 @query("search_bundle")
 def q_search_bundle(spark, sf_dir):
     from ..operators import search as Q
-    hits = Q.search_observations(observations(spark, sf_dir), **SEARCHES["search_by_date"])
+    hits = Q.search_observations(stored_observations(spark, sf_dir), prune=True,
+                                 **SEARCHES["search_by_date"])
     b = Q.bundle(hits)
+    first, last = F.get(F.col("entry"), 0), F.get(F.col("entry"), F.size("entry") - 1)
     return b.select(F.col("resourceType").alias("resource_type"),
                     F.col("type").alias("bundle_type"), "total",
-                    F.get(F.col("entry"), 0)["fullUrl"].alias("first_full_url"),
-                    F.get(F.col("entry"), F.size("entry") - 1)["fullUrl"].alias("last_full_url"))
+                    F.col("meta.lastUpdated").isNotNull().alias("has_last_updated"),
+                    first["fullUrl"].alias("first_full_url"), last["fullUrl"].alias("last_full_url"),
+                    F.get_json_object(first["resource"], "$.id").alias("first_resource_id"),
+                    F.get_json_object(last["resource"], "$.effectiveDateTime").alias("last_effective"))
 
 
 @query("read_observation")
@@ -362,29 +394,30 @@ def q_read_observation(spark, sf_dir):
                       .otherwise(H.observation_id(F.col("deviceId"), F.col("timestamp"),
                                                   F.col("messageId")))
                       .alias("requested_id"))
-    r = Q.read_by_id(observations(spark, sf_dir), req, "Observation")
+    r = Q.read_by_id(stored_observations(spark, sf_dir), req, "Observation")
     return r.select("requested_id", "found", F.col("id").alias("observation_id"),
                     F.col("device.identifier.value").alias("device_id"),
                     "outcome_severity", "outcome_code", "outcome_diagnostics")
 
 
-@query("create_observation")
-def q_create_observation(spark, sf_dir):
-    """POSTed Observations (every 4th without an id) -> forced type, filled id,
-    appended under observations/api/<date>/, read back."""
-    from ..operators import search as Q
-    from ..session import scratch_path
-    from ..sinks.tables import append_table
+def _posted(spark, sf_dir) -> DataFrame:
+    """POSTed Observations, every 4th without an id."""
     o = observations(spark, sf_dir)
-    posted = o.withColumns({
+    return o.withColumns({
         "resourceType": F.lit(None).cast("string"),
         "id": F.when(F.col("event_id") % 4 == 0, F.lit(None).cast("string"))
         .otherwise(F.col("id"))}).withColumn("id_given", F.col("id").isNotNull())
-    created = Q.api_storage_columns(Q.create_resources(posted, "Observation"))
+
+
+@query("create_observation")
+def q_create_observation(spark, sf_dir):
+    """POSTed Observations -> forced type, filled id, the whole document stored
+    under observations/api/<date>/, read back."""
+    from ..operators import search as Q
+    from ..session import scratch_path
+    from ..sinks.tables import write_observations
     path = scratch_path(spark, "observations_api")
-    append_table(created.select("event_id", "id_given", "resourceType", "id", "object_key",
-                                "source", "observation_date"), path,
-                 partition_cols=["observation_date"])
+    write_observations(Q.create_by_type(_posted(spark, sf_dir), "Observation"), path)
     back = spark.read.parquet(path)
     return back.select(
         "event_id", F.col("resourceType").alias("resource_type"), "id_given",
@@ -428,11 +461,25 @@ def q_patient_create(spark, sf_dir):
     from ..sinks.tables import append_table
     posted = testdata.load_patients(spark, sf_dir).withColumn(
         "resourceType", F.lit("Person"))
-    created = Q.create_resources(posted, "Patient", fill_id=False)
+    created = Q.create_by_type(posted, "Patient")
     path = scratch_path(spark, "patients")
     append_table(created, path)
     return spark.read.parquet(path).select(
-        "patient_id", F.col("resourceType").alias("resource_type"), "name")
+        "patient_id", F.col("resourceType").alias("resource_type"), "name",
+        F.length("id").alias("id_length"))
+
+
+@query("search_by_type")
+def q_search_by_type(spark, sf_dir):
+    """The same search call for two resource types."""
+    from ..operators import search as Q
+    tables = {"Observation": stored_observations(spark, sf_dir),
+              "Patient": testdata.load_patients(spark, sf_dir)}
+    found = [Q.search_resources(tables, "Observation", "device=device-42&date_from=2024-01-05&_count=50")
+             .select(F.lit("Observation").alias("resource_type"), F.col("id").alias("resource_id")),
+             Q.search_resources(tables, "Patient", "gender=male&nation_key=7")
+             .select(F.lit("Patient").alias("resource_type"), F.col("patient_id").alias("resource_id"))]
+    return found[0].unionByName(found[1])
 
 
 # ---------------------------------------------------------- sources / sinks
@@ -445,21 +492,28 @@ def q_conversion_counts(spark, sf_dir):
     return files.parse_counts(files.read_body_messages(bodies))
 
 
-def _etl(spark, sf_dir, with_observations: bool = True):
-    """Land the messages as JSON files and run the ETL job over them (and
-    over the Observations when the query reads those tables)."""
+def _landing(spark, sf_dir, corrupt_every: int = 0) -> str:
+    from ..session import scratch_path
+    return testdata.write_message_files(testdata.load_messages(spark, sf_dir),
+                                        scratch_path(spark, "landing"), corrupt_every=corrupt_every)
+
+
+def _etl(spark, sf_dir, *tables: str):
+    """Land the messages as JSON files and run the ETL job for the given tables."""
     from ..session import scratch_path
     from . import etl
-    landing = testdata.write_message_files(testdata.load_messages(spark, sf_dir),
-                                           scratch_path(spark, "landing"))
-    obs = observations(spark, sf_dir) if with_observations else None
-    return etl.run_etl(spark, scratch_path(spark, "etl"), raw_path=landing, observations=obs)
+    obs = {"fhir_observations", "patient_summary"} & set(tables or etl.TABLE_PATHS)
+    dev = {"device_readings", "device_analytics", "hourly_trends"} & set(tables or etl.TABLE_PATHS)
+    return etl.run_etl(spark, scratch_path(spark, "etl"),
+                       raw_path=_landing(spark, sf_dir) if dev else None,
+                       observations=observations(spark, sf_dir) if obs else None,
+                       tables=tables or None)
 
 
 @query("parquet_roundtrip")
 def q_parquet_roundtrip(spark, sf_dir):
     """Raw JSON landing -> ETL -> partitioned device_readings read back."""
-    res = _etl(spark, sf_dir, with_observations=False)
+    res = _etl(spark, sf_dir, "device_readings")
     back = spark.read.parquet(res.path("device_readings"))
     return back.groupBy("date", "device_type").agg(F.count(F.lit(1)).alias("n"))
 
@@ -470,6 +524,89 @@ def q_etl_table_counts(spark, sf_dir):
     return etl.read_back_counts(spark, _etl(spark, sf_dir))
 
 
+READING_VALUES = ["device_id", "device_type", "patient_id", "ts", "heart_rate", "blood_oxygen",
+                  "systolic_bp", "diastolic_bp", "temperature", "blood_glucose", "respiratory_rate",
+                  "alert_count", "alert_types", "alert_severity", "has_critical_alert", "date", "hour",
+                  "channel"]
+
+
+@query("etl_device_readings")
+def q_etl_device_readings(spark, sf_dir):
+    """Silver readings as stored, value by value."""
+    res = _etl(spark, sf_dir, "device_readings")
+    return ntz(round6(spark.read.parquet(res.path("device_readings")).select(*READING_VALUES),
+                      "temperature"), "ts")
+
+
+@query("etl_fhir_observations")
+def q_etl_fhir_observations(spark, sf_dir):
+    res = _etl(spark, sf_dir, "fhir_observations")
+    return ntz(spark.read.parquet(res.path("fhir_observations")), "effective_timestamp")
+
+
+@query("etl_patient_summary")
+def q_etl_patient_summary(spark, sf_dir):
+    res = _etl(spark, sf_dir, "patient_summary")
+    return ntz(round6(spark.read.parquet(res.path("patient_summary")), "avg_heart_rate",
+                      "avg_blood_oxygen", "avg_systolic_bp", "avg_diastolic_bp", "avg_blood_glucose"),
+               "first_reading", "last_reading")
+
+
+@query("etl_device_analytics")
+def q_etl_device_analytics(spark, sf_dir):
+    res = _etl(spark, sf_dir, "device_analytics")
+    return ntz(round6(spark.read.parquet(res.path("device_analytics")), "avg_heart_rate_reading",
+                      "heart_rate_stddev"), "first_seen", "last_seen")
+
+
+@query("etl_hourly_trends")
+def q_etl_hourly_trends(spark, sf_dir):
+    res = _etl(spark, sf_dir, "hourly_trends")
+    return round6(spark.read.parquet(res.path("hourly_trends")), "avg_heart_rate",
+                  "avg_blood_oxygen", "avg_systolic_bp", "avg_diastolic_bp")
+
+
+@query("etl_incremental")
+def q_etl_incremental(spark, sf_dir):
+    """Two incremental runs over the same dates, the second one repeated: the
+    stored analytics equal one full run."""
+    from ..session import scratch_path
+    from . import etl
+    msgs = testdata.load_messages(spark, sf_dir)
+    out = scratch_path(spark, "etl-incremental")
+    for part in ("event_id % 2 = 0", "event_id % 2 = 1", "event_id % 2 = 1"):
+        res = etl.run_etl(spark, out, messages=msgs.where(part), incremental=True,
+                          tables=("device_readings", "device_analytics"))
+    return ntz(round6(spark.read.parquet(res.path("device_analytics")), "avg_heart_rate_reading",
+                      "heart_rate_stddev"), "first_seen", "last_seen")
+
+
+@query("etl_rejects")
+def q_etl_rejects(spark, sf_dir):
+    """Every 97th landed line is cut in half: kept in quarantine and counted."""
+    from ..session import scratch_path
+    from . import etl
+    res = etl.run_etl(spark, scratch_path(spark, "etl"), raw_path=_landing(spark, sf_dir, 97),
+                      tables=("device_readings",))
+    kept = spark.read.parquet(res.reject_path("device_readings"))
+    return kept.agg(F.count(F.lit(1)).alias("rejects"), F.count("raw").alias("with_text"),
+                    F.lit(res.rejects["device_readings"]).cast("bigint").alias("reported"),
+                    F.lit(res.rows["device_readings"]).cast("bigint").alias("readings"))
+
+
+@query("etl_empty_input")
+def q_etl_empty_input(spark, sf_dir):
+    """A run without rows leaves the tables of the run before as they are."""
+    from ..session import scratch_path
+    from . import etl
+    out = scratch_path(spark, "etl")
+    msgs = testdata.load_messages(spark, sf_dir)
+    first = etl.run_etl(spark, out, messages=msgs, tables=("device_readings",))
+    etl.run_etl(spark, out, messages=msgs.where("false"), tables=("device_readings",))
+    return spark.read.parquet(first.path("device_readings")).groupBy("device_type").agg(
+        F.count(F.lit(1)).alias("n"))
+
+
 CATALOG_SQL = """
 SELECT d.device_type, count(*) AS devices, sum(d.total_readings) AS readings,
        sum(d.total_alerts) AS alerts, min(d.device_health_score) AS min_health_score,
@@ -483,21 +620,25 @@ def q_catalog_sql(spark, sf_dir):
     """ETL tables registered in a catalog database, then SQL over them."""
     from ..session import scratch_path
     from ..sources import catalog
-    res = _etl(spark, sf_dir, with_observations=False)
+    res = _etl(spark, sf_dir, "device_readings", "device_analytics")
     db = catalog.create_database(spark)
-    catalog.register_etl_tables(spark, db, res)
-    return catalog.run_sql(spark, CATALOG_SQL.format(db=db),
-                           result_location=scratch_path(spark, "sql_result"))
+    try:
+        catalog.register_etl_tables(spark, db, res)
+        return catalog.run_sql(spark, CATALOG_SQL.format(db=db),
+                               result_location=scratch_path(spark, "sql_result"))
+    finally:  # external tables: their files stay
+        spark.sql(f"DROP DATABASE IF EXISTS {db} CASCADE")
 
 
 # ---------------------------------------------------------------- streaming
-def _ingest(spark, sf_dir, bronze: bool = False, quarantine: bool = False):
-    """Land the messages as JSON files, then run the enriched stream (and the
-    bronze / quarantine streams when the query reports on them)."""
+def _ingest(spark, sf_dir, bronze: bool = False, quarantine: bool = False, corrupt_every: int = 0):
+    """Land the messages as published -- below <channel>/<device group>/ folders,
+    without a topic in the body -- then run the enriched stream (and the bronze
+    and quarantine streams when the query reports on them)."""
     from ..session import scratch_path
     from ..streaming import pipeline as P
-    landing = testdata.write_message_files(testdata.load_messages(spark, sf_dir),
-                                           scratch_path(spark, "landing"))
+    landing = testdata.write_published_files(testdata.load_messages(spark, sf_dir),
+                                             scratch_path(spark, "landing"), corrupt_every)
     return P.run_ingest(spark, landing, bronze=bronze, quarantine=quarantine)
 
 
@@ -513,17 +654,18 @@ def q_stream_silver(spark, sf_dir):
 
 @query("stream_quarantine")
 def q_stream_quarantine(spark, sf_dir):
-    paths = _ingest(spark, sf_dir, quarantine=True)
+    paths = _ingest(spark, sf_dir, quarantine=True, corrupt_every=97)
     q = spark.read.parquet(paths.sink("quarantine"))
     return q.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("stream_bronze")
 def q_stream_bronze(spark, sf_dir):
-    paths = _ingest(spark, sf_dir, bronze=True)
+    paths = _ingest(spark, sf_dir, bronze=True, corrupt_every=97)
     b = spark.read.parquet(paths.sink("bronze"))
     return b.groupBy("channel").agg(F.count(F.lit(1)).alias("n"),
-                                    F.count_if(~F.col("parsed")).alias("unparsed"))
+                                    F.count_if(~F.col("parsed")).alias("unparsed"),
+                                    F.count_if(F.col("arrival_ms") > 0).alias("with_arrival"))
 
 
 @query("stream_observations")
@@ -547,14 +689,17 @@ def q_stream_alerts(spark, sf_dir):
 
 @query("stream_hourly")
 def q_stream_hourly(spark, sf_dir):
+    """Partial states of several bounded batches, in shuffled time order, merged:
+    the same rows as the batch table."""
+    from ..session import scratch_path
     from ..streaming import pipeline as P
-    paths = _ingest(spark, sf_dir)
-    P.run_to_completion(P.start_hourly(P.enriched_source(spark, paths), paths))
-    h = P.latest_hourly(spark, paths)
-    return ntz(round6(h.select(
-        "window_start", "device_type", "n", "total_alerts",
-        (F.col("sum_heart_rate") / F.col("n_heart_rate")).alias("avg_heart_rate")),
-        "avg_heart_rate"), "window_start")
+    msgs = testdata.load_messages(spark, sf_dir).repartition(4, F.xxhash64("event_id"))
+    landing = testdata.write_message_files(msgs, scratch_path(spark, "landing"), corrupt_every=0)
+    paths = P.new_paths(spark, landing)
+    P.run_to_completion(P.start_enriched(P.raw_stream(spark, landing, 1), paths))
+    P.run_to_completion(P.start_hourly(P.enriched_source(spark, paths, 1), paths))
+    return round6(P.hourly_trends(spark, paths), "avg_heart_rate", "avg_blood_oxygen",
+                  "avg_systolic_bp", "avg_diastolic_bp")
 
 
 # ----------------------------------------------------------------------- ML
@@ -564,70 +709,78 @@ def q_next_reading(spark, sf_dir):
     from ..operators.sequence import with_next
     r = readings(spark, sf_dir)
     n = with_next(r, "device_id", ["ts", "event_id"], ["event_id", "ts"],
-                  F.date_trunc("day", F.col("ts")))
+                  F.date_trunc("hour", F.col("ts")))
     return ntz(n.select("event_id", "device_id", F.col("next.event_id").alias("next_event_id"),
                         F.col("next.ts").alias("next_ts")), "next_ts")
 
 
 @query("train_model")
 def q_train_model(spark, sf_dir):
-    """GBT on next-reading abnormality; metrics read back from the registry."""
+    """GBT on next-reading abnormality: sample and label counts, and whether the
+    registered metrics are proper rates and the model can be loaded."""
+    from pyspark.ml import PipelineModel
+
     from ..operators import ml
     from ..session import scratch_path
     reg = ml.train_and_register(spark, testdata.load_messages(spark, sf_dir),
                                 scratch_path(spark, "models"))
-    return reg.select("model_type", F.explode("metrics").alias("metric", "value"),
-                      "training_samples", "validation_samples")
+    folder = reg.first()["model_path"].rsplit("/", 1)[0]
+    data = spark.read.parquet(f"{folder}/training_set")
+    loaded = len(PipelineModel.load(f"{folder}/model").stages) == 2
+    info = spark.read.json(f"{folder}/model_info.json").select("model_id").first()["model_id"]
+    rates = F.forall(F.map_values("metrics"), lambda v: (v >= 0) & (v <= 1))
+    return reg.select("model_type", "training_samples", "validation_samples",
+                      (rates & (F.size("metrics") == 5)).alias("metrics_in_range"),
+                      (F.lit(loaded) & (F.col("model_id") == F.lit(info))).alias("model_loads")).crossJoin(
+        F.broadcast(data.agg(F.sum("label").cast("bigint").alias("abnormal_next"))))
 
 
 @query("model_latest")
 def q_model_latest(spark, sf_dir):
-    """Registry append + latest pointer over the daily retraining schedule:
-    one record per model type and day (02:00 after the day, samples seen so
-    far); the latest record per type wins."""
+    """Two real training runs (a few trees each) over the messages so far: the
+    latest record per model type wins."""
+    from datetime import datetime, timezone
+
+    from ..operators import ml
     from ..session import scratch_path
     from ..sinks import registry as R
-    r = readings(spark, sf_dir).where(F.col("ts").isNotNull())
-    types = {"anomaly_detection": F.lit(True), "readmission_risk": F.col("patient_id").isNotNull()}
-    daily = r.select("date", *[F.when(c, 1).otherwise(0).alias(t) for t, c in types.items()]) \
-        .groupBy("date").agg(*[F.sum(t).alias(t) for t in types])
-    from pyspark.sql import Window
-    w = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    cum = daily.select("date", *[F.sum(t).over(w).alias(t) for t in types])
-    stack = F.explode(F.array(*[F.struct(F.lit(t).alias("model_type"),
-                                         F.col(t).cast("bigint").alias("training_samples"))
-                                for t in types]))
+    msgs = testdata.load_messages(spark, sf_dir)
     root = scratch_path(spark, "registry")
-    ts = F.to_timestamp(F.concat(F.date_add("date", 1).cast("string"), F.lit(" 02:00:00")))
-    recs = cum.select(ts.alias("training_timestamp"), stack.alias("s")).select(
-        "s.model_type", "training_timestamp", "s.training_samples")
-    recs = recs.select(
-        "model_type",
-        R.model_id(F.col("model_type"), F.col("training_timestamp")).alias("model_id"),
-        "training_timestamp",
-        F.lit(None).cast("map<string,double>").alias("metrics"),
-        F.lit(None).cast("map<string,double>").alias("hyperparameters"),
-        "training_samples", F.lit(None).cast("bigint").alias("validation_samples"),
-        R.model_path(root, F.col("model_type"), F.col("training_timestamp")).alias("model_path"),
-        F.col("training_timestamp").alias("updated_at"))
-    R.append_records(recs, f"{root}/registry")
-    latest = R.latest(spark.read.parquet(f"{root}/registry"))
+    ml.train_and_register(spark, msgs.where("event_id % 3 = 0"), root, trees=2,
+                          at=datetime(2024, 2, 1, 2, tzinfo=timezone.utc))
+    reg = ml.train_and_register(spark, msgs, root, trees=2,
+                                at=datetime(2024, 2, 2, 2, tzinfo=timezone.utc))
+    latest = R.latest(reg)
     return ntz(latest.select("model_type", "model_id", "training_samples", "updated_at"),
                "updated_at")
 
 
 @query("search_stored")
 def q_search_stored(spark, sf_dir):
-    """Observation store written partitioned by type / date, then searched
-    with partition pruning: same rows as the in-flight search."""
+    """One store with device documents, API-created ones (every 10th, without an id)
+    and documents without a date; a pruned search finds what an unpruned one does."""
     from ..operators import search as Q
     from ..session import scratch_path
     from ..sinks.tables import write_observations
     path = scratch_path(spark, "observation_store")
-    write_observations(observations(spark, sf_dir), path)
+    o = observations(spark, sf_dir)
+    no_date = F.when(F.col("event_id") % 50 != 7, F.col("effectiveDateTime"))
+    write_observations(o.withColumns({
+        "effectiveDateTime": no_date,
+        "observation_date": F.when(no_date.isNotNull(), F.col("observation_date"))}), path)
+    write_observations(Q.create_by_type(o.where("event_id % 10 = 0").withColumn(
+        "id", F.concat(F.lit("api-"), F.col("event_id").cast("string"))), "Observation"), path)
     stored = spark.read.parquet(path)
-    return Q.search_observations(stored, prune=True,
-                                 **SEARCHES["search_by_date"]).select(*search_cols())
+    dates = dict(SEARCHES["search_by_date"], count=1_000_000)
+    found = [Q.search_observations(stored, prune=p, **d).groupBy("source").agg(
+        F.count(F.lit(1)).alias("n"), F.count("effectiveDateTime").alias("dated")).select(
+        F.lit(name).alias("search"), F.lit(p).alias("pruned"), "source", "n", "dated")
+        for p in (True, False) for name, d in (
+            ("between", dates), ("until", {"date_to": dates["date_to"], "count": 1_000_000}))]
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out
 
 
 @query("observation_json_roundtrip")

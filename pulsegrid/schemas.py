@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import types as T
 
 S = T.StringType()
@@ -79,3 +81,54 @@ ANOMALY = T.StructType([
 QUARANTINE = T.StructType([
     T.StructField("raw", S), T.StructField("reason", S),
     T.StructField("batch_id", T.LongType())])
+
+
+@dataclass(frozen=True)
+class Rollup:
+    """A gold table: keys, entities it counts, and outputs (name, kind, column)."""
+    keys: tuple[str, ...]
+    entities: tuple[str, ...]
+    outputs: tuple[tuple[str, str, str | None], ...]
+
+
+# FIXED VALUES: column names and meaning of the gold tables, as their readers
+# expect them.
+ROLLUPS = {
+    "patient_summary": Rollup(
+        keys=("patient_reference",), entities=("device_id",),
+        outputs=(
+            ("total_observations", "count", "observation_id"),
+            ("first_reading", "least", "effective_timestamp"),
+            ("last_reading", "greatest", "effective_timestamp"),
+            ("avg_heart_rate", "mean", "heart_rate"),
+            ("min_heart_rate", "least", "heart_rate"),
+            ("max_heart_rate", "greatest", "heart_rate"),
+            ("avg_blood_oxygen", "mean", "blood_oxygen"),
+            ("min_blood_oxygen", "least", "blood_oxygen"),
+            ("avg_systolic_bp", "mean", "systolic_bp"),
+            ("avg_diastolic_bp", "mean", "diastolic_bp"),
+            ("avg_blood_glucose", "mean", "blood_glucose"),
+            ("unique_devices", "distinct", "device_id"))),
+    "device_analytics": Rollup(
+        keys=("device_id", "device_type"), entities=("patient_id",),
+        outputs=(
+            ("total_readings", "rows", None),
+            ("first_seen", "least", "ts"),
+            ("last_seen", "greatest", "ts"),
+            ("unique_patients", "distinct", "patient_id"),
+            ("total_alerts", "total", "alert_count"),
+            ("critical_alerts", "total", "has_critical_alert"),
+            ("avg_heart_rate_reading", "mean", "heart_rate"),
+            ("heart_rate_stddev", "spread", "heart_rate"))),
+    "hourly_trends": Rollup(
+        keys=("date", "hour", "device_type"), entities=("device_id", "patient_id"),
+        outputs=(
+            ("reading_count", "rows", None),
+            ("avg_heart_rate", "mean", "heart_rate"),
+            ("avg_blood_oxygen", "mean", "blood_oxygen"),
+            ("avg_systolic_bp", "mean", "systolic_bp"),
+            ("avg_diastolic_bp", "mean", "diastolic_bp"),
+            ("total_alerts", "total", "alert_count"),
+            ("active_devices", "distinct", "device_id"),
+            ("active_patients", "distinct", "patient_id"))),
+}

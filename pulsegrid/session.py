@@ -2,8 +2,8 @@
 
 The engine never writes to a machine-local folder on its own: intermediate
 tables go below ``spark.checkpoint.dir``, which a cluster points at shared
-storage. Only when the setting is absent (unit tests, a laptop) is a local
-temporary folder chosen and recorded in the session.
+storage. Only on a local master without the setting (unit tests, a laptop) is a
+temporary folder chosen and recorded in the session; elsewhere that is an error.
 """
 
 from __future__ import annotations
@@ -71,6 +71,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if not d and sc is not None:
             d = sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
+        master = sc.master if sc is not None else spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         d = tempfile.mkdtemp(prefix="pulsegrid-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if sc is not None and not sc.getCheckpointDir():

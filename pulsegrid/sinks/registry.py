@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from datetime import datetime
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,6 +30,33 @@ def model_path(root: str, model_type: F.Column, ts: F.Column) -> F.Column:
                     F.date_format(ts, "yyyyMMdd-HHmmss"), F.lit("/model_info.json"))
 
 
+def record(spark: SparkSession, root: str, model_type: str, at: datetime, metrics: dict,
+           hyperparameters: dict, training_samples: int, validation_samples: int) -> DataFrame:
+    """One registry record; ``model_path`` names the run's info file, beside its model."""
+    kind, ts = F.lit(model_type), F.lit(at)
+    numbers = lambda d: F.create_map(*[x for k, v in d.items() for x in (F.lit(k), F.lit(float(v)))])
+    return spark.range(1).select(
+        kind.alias("model_type"), model_id(kind, ts).alias("model_id"), ts.alias("training_timestamp"),
+        numbers(metrics).alias("metrics"), numbers(hyperparameters).alias("hyperparameters"),
+        F.lit(training_samples).cast("bigint").alias("training_samples"),
+        F.lit(validation_samples).cast("bigint").alias("validation_samples"),
+        model_path(root, kind, ts).alias("model_path"), ts.alias("updated_at"))
+
+
+def write_info(one: DataFrame) -> str:
+    """The record as a JSON document at its ``model_path``."""
+    spark = one.sparkSession
+    row = one.select("model_path", F.to_json(F.struct(*one.columns)).alias("body")).first()
+    path = spark._jvm.org.apache.hadoop.fs.Path(row["model_path"])
+    fs = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    out = fs.create(path, True)
+    try:
+        out.write(bytearray(row["body"].encode()))
+    finally:
+        out.close()
+    return row["model_path"]
+
+
 def append_records(records: DataFrame, registry_path: str) -> None:
     cols = [f.name for f in REGISTRY.fields]
     records.select(*cols).write.mode("append").parquet(registry_path)

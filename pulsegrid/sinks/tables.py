@@ -45,6 +45,11 @@ def write_table(df: DataFrame | None, path: str, mode: str = "overwrite",
     return int(metric.get.get("rows", 0))
 
 
+def table_exists(spark, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(p)
+
+
 def append_table(df: DataFrame, path: str, partition_cols=()) -> int | None:
     return write_table(df, path, mode="append", partition_cols=partition_cols)
 
@@ -75,6 +80,19 @@ def export_documents(obs: DataFrame, path: str) -> None:
         .partitionBy(*OBSERVATION_PARTITIONS).text(path)
 
 
+def export_by_processing_date(obs: DataFrame, path: str) -> None:
+    """Documents of the basic variant: below their processing date (year, month,
+    day folders), without a type level."""
+    from ..operators.observations import OBSERVATION_FIELDS
+    present = [c for c in OBSERVATION_FIELDS if c in obs.columns]
+    day = F.date_format("observation_date", "yyyy/MM/dd")
+    docs = obs.select(*[F.split_part(day, F.lit("/"), F.lit(i + 1)).alias(n)
+                        for i, n in enumerate(("year", "month", "day"))],
+                      F.to_json(F.struct(*present)).alias("value"))
+    docs.hint("rebalance", "year", "month", "day").write.mode("append") \
+        .partitionBy("year", "month", "day").text(path)
+
+
 def write_alerts(notifications: DataFrame, path: str) -> int | None:
     """Alert notifications table (what the notifier publishes), by date."""
     return write_table(notifications, path, mode="append", partition_cols=["date"])

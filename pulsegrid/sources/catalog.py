@@ -38,7 +38,7 @@ def register_etl_tables(spark: SparkSession, database: str, etl_result) -> dict:
     partitioned = {"device_readings", "hourly_trends"}
     out = {}
     for t in TABLE_PATHS:
-        if etl_result.rows.get(t) is not None:
+        if etl_result.rows.get(t):
             out[t] = register_table(spark, database, t, etl_result.path(t), t in partitioned)
     return out
 

@@ -188,6 +188,18 @@ def message_lines(msgs: DataFrame, corrupt_every: int = 97) -> DataFrame:
     return msgs.select(F.col("event_id"), line.alias("value"))
 
 
+def write_published_files(msgs: DataFrame, path: str, corrupt_every: int = 0) -> str:
+    """Land messages the way devices publish them: no topic in the body, files
+    below <channel>/<device group>/ (a few groups, not a folder per device)."""
+    body = F.to_json(F.struct(*[F.col(c) for c in MESSAGE_JSON_FIELDS if c != "topic"]))
+    cut = F.col("event_id") % corrupt_every == 0 if corrupt_every else F.lit(False)
+    line = F.when(cut, F.substring(body, 1, F.length(body) / 2)).otherwise(body)
+    for channel in ("wearables", "home-health"):
+        (msgs.where(F.split_part("topic", F.lit("/"), F.lit(2)) == channel).select(line.alias("value"))
+         .write.mode("overwrite").text(f"{path}/{channel}/fleet"))
+    return path
+
+
 def write_message_files(msgs: DataFrame, path: str, corrupt_every: int = 97,
                         files: int | None = None) -> str:
     """Land device messages as JSON-lines files (the raw landing area), one

@@ -37,6 +37,17 @@ def topic_segment(topic: Column, n: int) -> Column:
     return F.split_part(topic, F.lit("/"), F.lit(n))
 
 
+def landed_topic(topic: Column, path: Column, filters=TOPIC_FILTERS) -> Column:
+    """The body's topic; without one, the topic the landing folders stand for:
+    ``.../<channel>/<device>/...`` with a channel of the filters."""
+    prefix = filters[0].split("/")[0]
+    channels = "|".join(sorted({re.escape(f.split("/")[1]) for f in filters}))
+    device = f"/({channels})/([^/]+)/"
+    found = F.regexp_extract(path, device, 1)
+    return F.coalesce(topic, F.when(found != "", F.concat_ws(
+        "/", F.lit(prefix), found, F.regexp_extract(path, device, 2))))
+
+
 def subscribe(messages: DataFrame, filters=TOPIC_FILTERS, topic_col: str = "topic") -> DataFrame:
     """Messages on any of the filters, with channel (level 2) and topic_device (level 3)."""
     t = F.col(topic_col)

@@ -2,8 +2,8 @@
 
     landing JSON ──> bronze (raw copy, by channel / ingest date)
                 └──> enriched messages (validated, alerts, severity) ──> observations
-                └──> quarantine (unparseable)                     ├──> alert notifications
-                                                                  └──> hourly trends (watermark)
+                └──> quarantine (unparseable, unsubscribed)       ├──> alert notifications
+                                                                  └──> hourly partial states
 
 * Every stage is a separate query with its own checkpoint, so each can be
   restarted independently; a restart replays from the checkpoint.
@@ -24,10 +24,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import enrich
+from ..operators import enrich, gold
 from ..operators import observations as O
-from ..schemas import RAW_MESSAGE_WITH_CORRUPT
+from ..schemas import RAW_MESSAGE_WITH_CORRUPT, ROLLUPS
 from ..session import scratch_path
+from ..sinks.tables import OBSERVATION_PARTITIONS
 from ..sources import files, topics
 
 
@@ -59,10 +60,13 @@ def raw_stream(spark: SparkSession, landing: str,
     r = spark.readStream.format("text")
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    text = r.load(landing)
-    parsed = F.from_json(F.col("value"), RAW_MESSAGE_WITH_CORRUPT,
-                         {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": files.CORRUPT})
-    return text.select(F.col("value").alias("raw"), parsed.alias("_m")).select("raw", "_m.*")
+    text = (r.option("recursiveFileLookup", "true").load(landing)
+            .where(F.trim("value") != "")
+            .select(F.col("value").alias("raw"), F.col("value").alias("_body"),
+                    F.col("_metadata.file_path").alias("_path")))
+    parsed = files.parse_json_column(text, "_body", RAW_MESSAGE_WITH_CORRUPT)
+    # a published message names no topic: its landing folders do
+    return parsed.withColumn("topic", topics.landed_topic(F.col("topic"), F.col("_path"))).drop("_path")
 
 
 def enriched_stream(raw: DataFrame, rules: str = "full") -> DataFrame:
@@ -71,11 +75,17 @@ def enriched_stream(raw: DataFrame, rules: str = "full") -> DataFrame:
     return enrich.enrich_messages(msgs, rules=rules)
 
 
+def enriched_schema(spark: SparkSession):
+    """Schema of the enriched table, known before anything is written."""
+    raw = spark.createDataFrame([], RAW_MESSAGE_WITH_CORRUPT).withColumn("raw", F.lit(""))
+    return enriched_stream(raw).schema
+
+
 def start_bronze(raw: DataFrame, paths: StreamPaths, available_now: bool = True,
                  interval: str | None = None) -> StreamingQuery:
     """Raw copy keyed by channel and arrival date (device id stays a column)."""
     parsed = F.col(files.CORRUPT).isNull()
-    topic = F.when(parsed, F.col("topic"))
+    topic = F.col("topic")  # of an unreadable record: what its folder says
     bronze = raw.select(
         "raw", parsed.alias("parsed"), F.when(parsed, F.col("deviceId")).alias("deviceId"),
         topic.alias("topic"),
@@ -98,46 +108,52 @@ def start_enriched(raw: DataFrame, paths: StreamPaths, available_now: bool = Tru
 
 def start_quarantine(raw: DataFrame, paths: StreamPaths, available_now: bool = True,
                      interval: str | None = None) -> StreamingQuery:
-    """Unparseable records, kept with a reason and the batch id (not retried:
-    a parse error is deterministic)."""
-    from ..sinks.tables import quarantine_rows
-    bad = raw.where(F.col(files.CORRUPT).isNotNull()).select("raw")
+    """Records that go no further, with a reason and the batch id (not retried:
+    both reasons are deterministic): unparseable text, and messages on no
+    subscribed topic."""
+    bad = raw.select("raw", F.when(F.col(files.CORRUPT).isNotNull(), F.lit("unparseable"))
+                     .when(~topics.topic_matches(F.col("topic")), F.lit("unsubscribed"))
+                     .alias("reason")).where(F.col("reason").isNotNull())
     target = paths.sink("quarantine")
 
     def write(batch: DataFrame, batch_id: int):
-        (quarantine_rows(batch, "unparseable", raw_col="raw", batch_id=batch_id)
+        (batch.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
          .write.mode("overwrite").parquet(f"{target}/batch={batch_id}"))
     w = (bad.writeStream.foreachBatch(write)
          .option("checkpointLocation", paths.checkpoint("quarantine")))
     return _trigger(w, available_now, interval).start()
 
 
-def enriched_source(spark: SparkSession, paths: StreamPaths) -> DataFrame:
-    """The enriched-message table as a stream (reads the sink's commit log)."""
-    schema = spark.read.parquet(paths.sink("enriched")).schema
-    return spark.readStream.schema(schema).parquet(paths.sink("enriched"))
+def enriched_source(spark: SparkSession, paths: StreamPaths,
+                    max_files_per_trigger: int | None = None) -> DataFrame:
+    """The enriched-message table as a stream (reads the sink's commit log); the
+    schema is declared, so the sink may still be empty."""
+    r = spark.readStream.schema(enriched_schema(spark))
+    if max_files_per_trigger:
+        r = r.option("maxFilesPerTrigger", str(max_files_per_trigger))
+    spark._jvm.org.apache.hadoop.fs.Path(paths.sink("enriched")).getFileSystem(
+        spark._jsparkSession.sessionState().newHadoopConf()).mkdirs(
+        spark._jvm.org.apache.hadoop.fs.Path(paths.sink("enriched")))
+    return r.parquet(paths.sink("enriched"))
 
 
 def start_observations(enriched: DataFrame, paths: StreamPaths, available_now: bool = True,
-                       interval: str | None = None, dedupe_delay: str = "1 hour",
-                       writers_per_partition: int | None = 2) -> StreamingQuery:
+                       interval: str | None = None, dedupe_delay: str = "1 hour") -> StreamingQuery:
     """Enriched messages -> Observations, partitioned by type and event date.
 
-    ``writers_per_partition``: each micro-batch is redistributed on the
-    partition columns plus a small hash salt of the id, so a batch writes a
-    few files per (type, date) instead of one per task and value, while a hot
-    (type, date) still spreads over that many tasks. None keeps the
-    dedupe's partitioning (more, smaller files; compact later).
+    Each micro-batch is rebalanced on the partition columns before it is written
+    under its batch id (a replay overwrites it): a hot (type, date) is split over
+    as many tasks as its volume needs, small ones share one.
     """
     obs = O.build_observations(enriched.withWatermark("processedAt", dedupe_delay),
                                keep=("processedAt",))
-    obs = obs.withColumn("processed_at", F.current_timestamp())
-    obs = obs.dropDuplicatesWithinWatermark(["id"])
-    if writers_per_partition:
-        salt = F.pmod(F.xxhash64("id"), F.lit(writers_per_partition))
-        obs = obs.repartition("device_type", "observation_date", salt)
-    w = (obs.writeStream.format("parquet").partitionBy("device_type", "observation_date")
-         .option("path", paths.sink("observations"))
+    obs = obs.withColumn("processed_at", F.current_timestamp()).dropDuplicatesWithinWatermark(["id"])
+    target = paths.sink("observations")
+
+    def write(batch: DataFrame, batch_id: int):
+        (batch.hint("rebalance", *OBSERVATION_PARTITIONS).write.mode("overwrite")
+         .partitionBy(*OBSERVATION_PARTITIONS).parquet(f"{target}/batch={batch_id}"))
+    w = (obs.writeStream.foreachBatch(write)
          .option("checkpointLocation", paths.checkpoint("observations")))
     return _trigger(w, available_now, interval).start()
 
@@ -159,26 +175,16 @@ def start_alerts(enriched: DataFrame, paths: StreamPaths, available_now: bool =
 
 
 def start_hourly(enriched: DataFrame, paths: StreamPaths, available_now: bool = True,
-                 interval: str | None = None, lateness: str = "2 hours") -> StreamingQuery:
-    """Hourly trends per device type with a watermark; update mode, each
-    batch's updated windows written under its batch id."""
-    flat = enrich.flatten_messages(enriched)
-    agg = (flat.withWatermark("ts", lateness)
-           .groupBy(F.window("ts", "1 hour"), "device_type")
-           .agg(F.count(F.lit(1)).alias("n"),
-                F.sum("heart_rate").alias("sum_heart_rate"),
-                F.count("heart_rate").alias("n_heart_rate"),
-                F.sum("alert_count").alias("total_alerts"),
-                F.approx_count_distinct("device_id").alias("active_devices_approx"))
-           .select(F.col("window.start").alias("window_start"),
-                   F.col("window.end").alias("window_end"), "device_type", "n",
-                   "sum_heart_rate", "n_heart_rate", "total_alerts", "active_devices_approx"))
+                 interval: str | None = None) -> StreamingQuery:
+    """Hourly trends as mergeable partial states: every micro-batch writes its own
+    under its batch id. No watermark and no state, so a late row, or one without
+    a time, counts whenever it comes."""
     target = paths.sink("hourly")
 
     def write(batch: DataFrame, batch_id: int):
-        (batch.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+        (gold.partial_state(batch, ROLLUPS["hourly_trends"])
          .write.mode("overwrite").parquet(f"{target}/batch={batch_id}"))
-    w = (agg.writeStream.outputMode("update").foreachBatch(write)
+    w = (enrich.flatten_messages(enriched).writeStream.foreachBatch(write)
          .option("checkpointLocation", paths.checkpoint("hourly")))
     return _trigger(w, available_now, interval).start()
 
@@ -193,8 +199,8 @@ def start_scoring(enriched: DataFrame, paths: StreamPaths, available_now: bool =
 
     def write(batch: DataFrame, batch_id: int):
         batch = batch.select("messageId", "patient_id", "n_anomalies", "risk_score",
-                             "alert_level", "readings_analyzed", "anomalies")
-        metrics = anomaly.anomaly_metric_rows(batch, "messageId", "patient_id")
+                             "alert_level", "readings_analyzed", "anomalies", "evaluated_at")
+        metrics = anomaly.anomaly_metric_rows(batch, "messageId", "patient_id", "evaluated_at")
         (metrics.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
          .write.mode("overwrite").parquet(f"{target}/metrics/batch={batch_id}"))
         (anomaly.explode_anomalies(batch, "messageId", "patient_id")
@@ -204,23 +210,16 @@ def start_scoring(enriched: DataFrame, paths: StreamPaths, available_now: bool =
     return _trigger(w, available_now, interval).start()
 
 
-def latest_hourly(spark: SparkSession, paths: StreamPaths) -> DataFrame:
-    """Latest state of each (window, device type) across batch snapshots."""
-    from pyspark.sql import Window
-    snap = spark.read.parquet(paths.sink("hourly"))
-    w = Window.partitionBy("window_start", "device_type").orderBy(F.col("batch_id").desc())
-    return (snap.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1)
-            .select("window_start", "device_type", "n", "sum_heart_rate", "n_heart_rate",
-                    "total_alerts", "active_devices_approx"))
+def hourly_trends(spark: SparkSession, paths: StreamPaths) -> DataFrame:
+    """The trends over all batches so far: the same columns as in batch."""
+    rollup = ROLLUPS["hourly_trends"]
+    return gold.finish(gold.merge_state(spark.read.parquet(paths.sink("hourly")), rollup), rollup)
 
 
-def run_to_completion(*queries: StreamingQuery, timeout_s: int = 600) -> None:
+def run_to_completion(*queries: StreamingQuery) -> None:
+    """Wait for every query; a failed one raises its own error."""
     for q in queries:
-        if not q.awaitTermination(timeout_s):
-            q.stop()
-            raise TimeoutError(f"stream {q.name or q.id} did not finish")
-        if q.exception():
-            raise q.exception()
+        q.awaitTermination()
 
 
 def run_ingest(spark: SparkSession, landing: str, paths: StreamPaths | None = None,
@@ -265,8 +264,6 @@ def main(argv=None) -> int:
                           start_scoring(enriched_source(spark, paths), paths),
                           start_hourly(enriched_source(spark, paths), paths))
         return 0
-    # continuous: downstream stages read the enriched table once it exists
-    qs[0].processAllAvailable()
     qs += [start_observations(enriched_source(spark, paths), paths, False, a.continuous),
            start_alerts(enriched_source(spark, paths), paths, False, a.continuous),
            start_scoring(enriched_source(spark, paths), paths, False, a.continuous),

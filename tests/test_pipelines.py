@@ -25,9 +25,119 @@ def test_etl_writes_five_tables(spark, sf_small):
     assert counts == {k: v for k, v in res.rows.items()}
 
 
-def test_empty_input_skips_writes(spark):
-    res = etl.run_etl(spark, scratch_path(spark, "t_empty"), raw_path="/nonexistent/pg/raw")
+def test_empty_input_skips_writes(spark, sf_small):
+    import pytest
+    out = scratch_path(spark, "t_empty")
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        etl.run_etl(spark, out, raw_path="/nonexistent/pg/raw")
+    msgs = testdata.load_messages(spark, sf_small)
+    full = etl.run_etl(spark, out, messages=msgs)
+    before = {t: spark.read.parquet(full.path(t)).count() for t in full.rows}
+    res = etl.run_etl(spark, out, raw_path="/nonexistent/pg/raw", missing_ok=True)
     assert res.rows == {"device_readings": 0}
+    assert {t: spark.read.parquet(full.path(t)).count() for t in full.rows} == before
+
+
+def test_blank_lines_and_rejects(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text(
+        '{"deviceId": "d1", "timestamp": "2024-01-01T00:00:00Z", "readings": {"heartRate": 70}}\n'
+        '\n   \n[]\nnull\n{"deviceId": \n')
+    res = etl.run_etl(spark, str(tmp_path / "out"), raw_path=str(tmp_path / "in"))
+    assert res.rows["device_readings"] == 1 and res.rejects["device_readings"] == 3
+    kept = spark.read.parquet(res.reject_path("device_readings"))
+    assert {r.raw for r in kept.collect()} == {"[]", "null", '{"deviceId": '}
+
+
+def test_documents_are_read_whole(spark, sf_small, tmp_path):
+    from pulsegrid.sinks.tables import export_documents
+    obs = Q.observations(spark, sf_small)
+    export_documents(obs, str(tmp_path / "lines"))
+    res = etl.run_etl(spark, str(tmp_path / "a"), fhir_path=str(tmp_path / "lines"))
+    assert res.rows["fhir_observations"] == obs.count() and res.rejects["fhir_observations"] == 0
+    # read as one document per file, files with several are rejects, not shorter
+    res = etl.run_etl(spark, str(tmp_path / "b"), fhir_path=str(tmp_path / "lines"), multiline=True)
+    files_in = len(list((tmp_path / "lines").rglob("*.txt")))
+    assert res.rows["fhir_observations"] + res.rejects["fhir_observations"] == files_in
+    text = "".join(r.raw for r in spark.read.parquet(res.reject_path("fhir_observations")).collect())
+    assert text.count('"resourceType"') + res.rows["fhir_observations"] == obs.count()
+
+
+def test_published_messages_keep_their_rows(spark, tmp_path):
+    """No topic and no message id in the body; alerts sent along are not trusted."""
+    import json
+    body = {"deviceId": "w1", "deviceType": "smartwatch", "timestamp": "2024-01-01T00:00:00Z",
+            "readings": {"heartRate": 180, "bloodOxygen": 70}, "alerts": []}
+    for folder, extra in (("wearables/w1", {}), ("wearables/w1", {"readings": {"heartRate": 60}}),
+                          ("elsewhere/w1", {"deviceId": "w2"})):
+        d = tmp_path / "in" / folder
+        d.mkdir(parents=True, exist_ok=True)
+        with open(d / "m.json", "a") as f:
+            f.write(json.dumps({**body, **extra}) + "\n")
+    paths = P.run_ingest(spark, str(tmp_path / "in"), P.StreamPaths(str(tmp_path / "in"), str(tmp_path / "out")))
+    rows = spark.read.parquet(paths.sink("enriched")).collect()
+    assert {(r.topic, r.alertSeverity) for r in rows} == {("iomt/wearables/w1", "critical"),
+                                                          ("iomt/wearables/w1", "normal")}
+    assert all(len(r.processingRequestId) == 36 for r in rows)
+    bad = spark.read.parquet(paths.sink("quarantine")).collect()
+    assert [r.reason for r in bad] == ["unsubscribed"]
+    P.run_to_completion(P.start_observations(P.enriched_source(spark, paths), paths))
+    assert spark.read.parquet(paths.sink("observations")).select("id").distinct().count() == 2
+
+
+def test_next_row_of_null_keys_and_times(spark):
+    from pulsegrid.operators.sequence import with_next
+    df = spark.createDataFrame([(1, None, "2024-01-01 00:00:00"), (2, None, "2024-01-01 03:00:00"),
+                                (3, "a", None), (4, "a", "2024-01-01 00:00:00")], "id int, k string, t string")
+    df = df.withColumn("t", F.to_timestamp("t"))
+    got = with_next(df, "k", ["t", "id"], ["id"], F.date_trunc("hour", "t"))
+    assert {r.id: r.next and r.next.id for r in got.collect()} == {1: 2, 2: None, 3: 4, 4: None}
+
+
+def test_model_registry_can_be_followed(spark, sf_small, tmp_path):
+    import json
+
+    from pyspark.ml import PipelineModel
+
+    from pulsegrid.operators import ml
+    reg = ml.train_and_register(spark, testdata.load_messages(spark, sf_small), str(tmp_path), trees=2)
+    path = reg.first()["model_path"]
+    info = json.loads(open(path).read())
+    assert info["model_id"] == reg.first()["model_id"] and set(info["metrics"]) == {
+        "accuracy", "precision", "recall", "f1_score", "auc_roc"}
+    assert len(PipelineModel.load(path.rsplit("/", 1)[0] + "/model").stages) == 2
+
+
+def test_basic_documents_below_processing_date(spark, sf_small, tmp_path):
+    from pulsegrid.sinks.tables import export_by_processing_date
+    obs = Q.observations(spark, sf_small, basic=True).limit(20)
+    export_by_processing_date(obs, str(tmp_path / "p"))
+    back = spark.read.text(str(tmp_path / "p"))
+    assert back.count() == 20 and {"year", "month", "day"} <= set(back.columns)
+
+
+def test_local_folder_only_on_a_local_master(monkeypatch, spark):
+    import pytest
+
+    from pulsegrid import session
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+        def getConf(self):
+            return Conf()
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.checkpoint_dir(Session())
 
 
 def test_hourly_sums_equal_device_totals(spark, sf_small):
@@ -105,15 +215,16 @@ def test_landing_registered_with_schema(spark, sf_small):
 
 
 def test_incremental_etl_keeps_other_partitions(spark, sf_small):
-    """D11: an incremental run replaces only the partitions in its input."""
+    """An incremental run keeps all earlier rows, of the same dates too, and a
+    repeated one adds nothing."""
     msgs = testdata.load_messages(spark, sf_small)
     out = scratch_path(spark, "t_incr")
-    first = msgs.where("event_id % 2 = 0 AND timestamp < '2024-01-03'")
-    second = msgs.where("timestamp >= '2024-01-03'")
+    first, second = msgs.where("event_id % 2 = 0"), msgs.where("event_id % 2 = 1")
     etl.run_etl(spark, out, messages=first)
-    etl.run_etl(spark, out, messages=second, incremental=True)
+    for _ in range(2):
+        etl.run_etl(spark, out, messages=second, incremental=True)
     back = spark.read.parquet(f"{out}/{etl.TABLE_PATHS['device_readings']}")
-    assert back.count() == first.count() + second.count()
+    assert back.count() == msgs.count()
     # a full refresh replaces everything
     etl.run_etl(spark, out, messages=second)
     assert spark.read.parquet(f"{out}/{etl.TABLE_PATHS['device_readings']}").count() \

@@ -56,10 +56,18 @@ def test_stream_hourly_equals_batch(spark, sf_small):
                                            corrupt_every=0)
     paths = P.run_ingest(spark, landing, bronze=False, quarantine=False)
     P.run_to_completion(P.start_hourly(P.enriched_source(spark, paths), paths))
-    s = P.latest_hourly(spark, paths).select(
-        F.col("window_start").cast("date").alias("date"), F.hour("window_start").alias("hour"),
-        "device_type", F.col("n").alias("reading_count"), "total_alerts")
-    b = gold.hourly_trends(Q.readings(spark, sf_small).where("event_id % 97 <> 0")).select(
+    # later files with older times, and a row without a time, still count
+    late = testdata.load_messages(spark, sf_small).where("event_id % 97 = 0").withColumn(
+        "timestamp", F.when(F.col("event_id") > 0, F.col("timestamp")).otherwise("no time"))
+    testdata.write_message_files(late, f"{landing}/late", corrupt_every=0)
+    P.run_to_completion(P.start_enriched(P.raw_stream(spark, landing), paths))
+    P.run_to_completion(P.start_hourly(P.enriched_source(spark, paths), paths))
+    s = P.hourly_trends(spark, paths)
+    assert s.agg(F.sum("reading_count")).first()[0] == testdata.load_messages(spark, sf_small).count()
+    s = s.select("date", "hour", "device_type", "reading_count", "total_alerts")
+    b = gold.hourly_trends(Q.readings(spark, sf_small).withColumn(
+        "ts", F.when((F.col("event_id") % 97 != 0) | (F.col("event_id") > 0), F.col("ts"))).withColumns(
+        {"date": F.to_date("ts"), "hour": F.hour("ts")})).select(
         "date", "hour", "device_type", "reading_count", "total_alerts")
     assert s.exceptAll(b).count() == 0 and b.exceptAll(s).count() == 0
 
