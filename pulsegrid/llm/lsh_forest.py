@@ -144,7 +144,9 @@ def region_members(nodes: DataFrame) -> DataFrame:
     # sizes per prefix, deepest first: each is a sum over the one before
     counts = rows.groupBy(*levels[-1]).agg(F.count(F.lit(1)).alias("c"))
     shared = counts.groupBy("key").agg(F.sum("c").alias("size0")).where("size0 > 1")
-    sized = counts.withColumnRenamed("c", f"size{len(deeper)}").join(shared, "key")
+    # prefixes of one document alone, most of all, are gone from here on
+    sized = durable(counts.withColumnRenamed("c", f"size{len(deeper)}").join(shared.hint("merge"), "key"),
+                    "forest-prefixes")
     for i in range(len(deeper) - 1, 0, -1):
         sums = sized.groupBy(*levels[i]).agg(F.sum(f"size{len(deeper)}").alias(f"size{i}"))
         sized = sized.join(sums, levels[i])
@@ -314,9 +316,9 @@ def open_pairs(members: DataFrame, labels: DataFrame, nodes: DataFrame, tested:
     def run(t: pa.Table) -> pa.Table:
         side, node, comp, n = (t.column(c).to_numpy() for c in ("side", "node", "component", "n"))
         sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
-        l, r = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        mine, r = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         out = [[], [], []]
-        for k in l.tolist():
+        for k in mine.tolist():
             fits = r[(comp[r] != comp[k]) & (100 * np.minimum(n[r], n[k]) >= percent * np.maximum(n[r], n[k]))]
             if not len(fits):
                 continue
