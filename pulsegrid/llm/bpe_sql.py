@@ -105,7 +105,7 @@ def encode_words(words: list[bytes], ranks_path: str) -> list[tuple[bytes, bytes
         "word": np.repeat(np.arange(len(words), dtype=np.int32), sizes),
         "pos": (np.arange(int(sizes.sum())) - np.repeat(first, sizes)).astype(np.int32),
         "token": single[np.frombuffer(b"".join(words), np.uint8)]}))
-    got = con.execute(ENCODE).to_arrow_table().combine_chunks()
+    got = con.sql(ENCODE).to_arrow_table().combine_chunks()
     con.unregister("fresh")
     lists = got.column("ids").chunk(0)
     flat, cut = lists.flatten().to_numpy().astype("<u4"), lists.offsets.to_numpy() - lists.offsets[0].as_py()
