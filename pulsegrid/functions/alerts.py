@@ -7,10 +7,12 @@ temperature, glucose; the result array keeps that order.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .vocab import CRITICAL_ALERTS
+from .vocab import ALERT_RULES, CRITICAL_ALERTS
 
 
 def compact(items: list[Column], elem_type: str = "string") -> Column:
@@ -23,37 +25,27 @@ def compact(items: list[Column], elem_type: str = "string") -> Column:
     return F.concat(*[F.when(x.isNotNull(), F.array(x)).otherwise(empty) for x in items])
 
 
-def heart_rate_alert(hr: Column) -> Column:
-    return F.when(hr > 120, F.lit("tachycardia")).when(hr < 50, F.lit("bradycardia"))
-
-
-def oxygen_alert(o2: Column) -> Column:
-    return F.when(o2 < 92, F.lit("hypoxemia")).when(o2 < 95, F.lit("low_oxygen_warning"))
-
-
-def blood_pressure_alert(sys_bp: Column, dia_bp: Column) -> Column:
-    """Only when both values are present."""
-    both = sys_bp.isNotNull() & dia_bp.isNotNull()
-    return F.when(
-        both,
-        F.when((sys_bp > 180) | (dia_bp > 120), F.lit("hypertensive_crisis"))
-        .when((sys_bp > 140) | (dia_bp > 90), F.lit("high_blood_pressure"))
-        .when((sys_bp < 90) | (dia_bp < 60), F.lit("low_blood_pressure")))
-
-
-def temperature_alert(t: Column) -> Column:
-    return F.when(t > 38.5, F.lit("fever")).when(t < 35, F.lit("hypothermia"))
-
+def vital_alert(vitals: dict[str, Column], rules: list) -> Column:
+    """The first alert of a vital whose bounds one of its values crosses."""
+    def crossed(column: str, comparison: str, bound: float) -> Column:
+        return vitals[column] > bound if comparison == ">" else vitals[column] < bound
 
-def glucose_alert(g: Column) -> Column:
-    return F.when(g > 180, F.lit("hyperglycemia")).when(g < 70, F.lit("hypoglycemia"))
+    out = None
+    for name, bounds in rules:
+        hit = reduce(lambda x, y: x | y, [crossed(*b) for b in bounds])
+        out = F.when(hit, F.lit(name)) if out is None else out.when(hit, F.lit(name))
+    used = {c for _, bounds in rules for c, _, _ in bounds}
+    if len(used) > 1:  # only when all values are present
+        out = F.when(reduce(lambda x, y: x & y, [vitals[c].isNotNull() for c in sorted(used)]), out)
+    return out
 
 
 def validate_readings(hr: Column, o2: Column, sys_bp: Column, dia_bp: Column,
                       temp: Column, glucose: Column) -> Column:
     """array<string> of alerts in rule order (empty when all normal)."""
-    return compact([heart_rate_alert(hr), oxygen_alert(o2), blood_pressure_alert(sys_bp, dia_bp),
-                    temperature_alert(temp), glucose_alert(glucose)])
+    vitals = {"heart_rate": hr, "blood_oxygen": o2, "systolic_bp": sys_bp, "diastolic_bp": dia_bp,
+              "temperature": temp, "blood_glucose": glucose}
+    return compact([vital_alert(vitals, rules) for _, rules in ALERT_RULES])
 
 
 def validate_readings_basic(hr: Column, o2: Column) -> Column:

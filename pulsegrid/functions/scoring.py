@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import vocab as V
 from .vocab import (FEATURE_DEFAULTS, READMISSION_RECOMMENDATIONS,
                     SCORER_THRESHOLDS)
 
@@ -85,8 +86,8 @@ def _count_sev(anomalies: Column, sev: str) -> Column:
 
 def risk_tenths(anomalies: Column) -> Column:
     """Risk in integer tenths: 4 per critical, 2 per warning, capped at 10."""
-    return F.least(F.lit(10), _count_sev(anomalies, "CRITICAL") * 4
-                   + _count_sev(anomalies, "WARNING") * 2)
+    return F.least(F.lit(V.RISK_MOST), _count_sev(anomalies, "CRITICAL") * V.RISK_PER_CRITICAL
+                   + _count_sev(anomalies, "WARNING") * V.RISK_PER_WARNING)
 
 
 def risk_score(anomalies: Column) -> Column:
@@ -95,7 +96,8 @@ def risk_score(anomalies: Column) -> Column:
 
 def alert_level(anomalies: Column) -> Column:
     t = risk_tenths(anomalies)
-    return (F.when(t >= 6, F.lit("CRITICAL")).when(t >= 3, F.lit("WARNING"))
+    return (F.when(t >= V.RISK_CRITICAL_FROM, F.lit("CRITICAL"))
+            .when(t >= V.RISK_WARNING_FROM, F.lit("WARNING"))
             .otherwise(F.lit("NORMAL")))
 
 
@@ -112,64 +114,72 @@ def readmission_score(age: Column, chronic: Column, hosp: Column,
                       adherence: Column) -> Column:
     """0.2 baseline + age band + capped chronic and hospital terms + adherence gap,
     capped at 1.0; summed in the same order as the source (IEEE parity)."""
-    s = F.lit(0.2)
-    s = F.when(age > 75, s + F.lit(0.15)).when(age > 65, s + F.lit(0.1)).otherwise(s)
-    s = s + F.least(chronic * F.lit(0.08), F.lit(0.3))
-    s = s + F.least(hosp * F.lit(0.15), F.lit(0.3))
-    s = s + (F.lit(1) - adherence) * F.lit(0.2)
+    base = F.lit(V.READMISSION_BASE)
+    s = base
+    for above, added in reversed(V.READMISSION_AGE):  # the highest age band wins
+        s = F.when(age > above, base + F.lit(added)).otherwise(s)
+    s = s + F.least(chronic * F.lit(V.READMISSION_CHRONIC[0]), F.lit(V.READMISSION_CHRONIC[1]))
+    s = s + F.least(hosp * F.lit(V.READMISSION_STAYS[0]), F.lit(V.READMISSION_STAYS[1]))
+    s = s + (F.lit(1) - adherence) * F.lit(V.READMISSION_ADHERENCE)
     return F.least(s, F.lit(1.0))
 
 
+def _by_level(score: Column, levels: tuple, high: str, medium: str, low: str) -> Column:
+    return (F.when(score > levels[0], F.lit(high)).when(score > levels[1], F.lit(medium))
+            .otherwise(F.lit(low)))
+
+
 def readmission_level(score: Column) -> Column:
-    return (F.when(score > 0.7, F.lit("HIGH")).when(score > 0.4, F.lit("MEDIUM"))
-            .otherwise(F.lit("LOW")))
+    return _by_level(score, V.READMISSION_LEVELS, "HIGH", "MEDIUM", "LOW")
 
 
 def readmission_recommendation(score: Column) -> Column:
-    high, medium, low = READMISSION_RECOMMENDATIONS
-    return (F.when(score > 0.7, F.lit(high)).when(score > 0.4, F.lit(medium))
-            .otherwise(F.lit(low)))
+    return _by_level(score, V.READMISSION_LEVELS, *READMISSION_RECOMMENDATIONS)
 
 
 def deterioration_score(hr_var: Column, bp_var: Column, chronic: Column) -> Column:
-    s = F.lit(0.15) + hr_var / F.lit(100)
-    s = s + bp_var / F.lit(100)
-    s = s + F.least(chronic * F.lit(0.1), F.lit(0.3))
+    s = F.lit(V.DETERIORATION_BASE) + hr_var / F.lit(V.DETERIORATION_VARIANCE)
+    s = s + bp_var / F.lit(V.DETERIORATION_VARIANCE)
+    s = s + F.least(chronic * F.lit(V.DETERIORATION_CHRONIC[0]), F.lit(V.DETERIORATION_CHRONIC[1]))
     return F.least(s, F.lit(1.0))
 
 
 def deterioration_level(score: Column) -> Column:
-    return (F.when(score > 0.6, F.lit("HIGH")).when(score > 0.3, F.lit("MEDIUM"))
-            .otherwise(F.lit("LOW")))
+    return _by_level(score, V.DETERIORATION_LEVELS, "HIGH", "MEDIUM", "LOW")
 
 
 def deterioration_horizon_days(score: Column) -> Column:
-    return F.when(score > 0.6, F.lit(7)).otherwise(F.lit(14))
+    soon, later = V.DETERIORATION_DAYS
+    return F.when(score > V.DETERIORATION_LEVELS[0], F.lit(soon)).otherwise(F.lit(later))
 
 
 # ------------------------------------------------------ patient / device risk
-def heart_rate_risk(avg_hr: Column) -> Column:
-    return (F.when(avg_hr > 100, F.lit("elevated")).when(avg_hr < 60, F.lit("low"))
+def _outside(value: Column, bands: tuple) -> Column:
+    (above, high), (below, low) = bands
+    return (F.when(value > above, F.lit(high)).when(value < below, F.lit(low))
             .otherwise(F.lit("normal")))
 
 
+def heart_rate_risk(avg_hr: Column) -> Column:
+    return _outside(avg_hr, V.HEART_RATE_BANDS)
+
+
 def oxygen_risk(avg_o2: Column, strict: bool = False) -> Column:
-    """Default keeps the source's order (<95 first, so 'critical' never fires);
-    strict tests <92 first."""
-    if strict:
-        return (F.when(avg_o2 < 92, F.lit("critical")).when(avg_o2 < 95, F.lit("concerning"))
-                .otherwise(F.lit("normal")))
-    return (F.when(avg_o2 < 95, F.lit("concerning")).when(avg_o2 < 92, F.lit("critical"))
-            .otherwise(F.lit("normal")))
+    """Default keeps the source's order (the wider band first, so 'critical'
+    never fires); strict tests the lowest bound first."""
+    out = None
+    for below, name in sorted(V.OXYGEN_BANDS) if strict else V.OXYGEN_BANDS:
+        out = (F.when(avg_o2 < below, F.lit(name)) if out is None
+               else out.when(avg_o2 < below, F.lit(name)))
+    return out.otherwise(F.lit("normal"))
 
 
 def bp_risk(avg_sys: Column) -> Column:
-    return (F.when(avg_sys > 140, F.lit("hypertension")).when(avg_sys < 90, F.lit("hypotension"))
-            .otherwise(F.lit("normal")))
+    return _outside(avg_sys, V.PRESSURE_BANDS)
 
 
 def device_health_score(critical_alerts: Column, hr_stddev: Column) -> Column:
     """clamp(100 - 5 * critical - (20 if HR stddev > 30), 0, 100); null stddev: no penalty."""
-    penalty = F.when(hr_stddev > 30, F.lit(20)).otherwise(F.lit(0))
-    return F.least(F.lit(100), F.greatest(F.lit(0),
-                                          F.lit(100) - critical_alerts * 5 - penalty))
+    penalty = F.when(hr_stddev > V.HEALTH_SPREAD_ABOVE, F.lit(V.HEALTH_SPREAD)).otherwise(F.lit(0))
+    start = F.lit(V.HEALTH_START)
+    return F.least(start, F.greatest(F.lit(0), start - critical_alerts * V.HEALTH_PER_CRITICAL - penalty))

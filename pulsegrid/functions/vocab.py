@@ -107,6 +107,55 @@ NOTIFY_SUBJECT_PREFIX = "Healthcare Alert: "
 TRAIN_MAX_DEPTH = 5
 TRAIN_N_ESTIMATORS = 100
 TRAIN_LEARNING_RATE = 0.1
+
+# Alert rules per vital, tested in this order: (alert, [(column, comparison, bound)]);
+# several bounds of one alert are alternatives. Blood pressure needs both values.
+ALERT_RULES = [
+    ("heart_rate", [("tachycardia", [("heart_rate", ">", 120)]),
+                    ("bradycardia", [("heart_rate", "<", 50)])]),
+    ("blood_oxygen", [("hypoxemia", [("blood_oxygen", "<", 92)]),
+                      ("low_oxygen_warning", [("blood_oxygen", "<", 95)])]),
+    ("blood_pressure", [
+        ("hypertensive_crisis", [("systolic_bp", ">", 180), ("diastolic_bp", ">", 120)]),
+        ("high_blood_pressure", [("systolic_bp", ">", 140), ("diastolic_bp", ">", 90)]),
+        ("low_blood_pressure", [("systolic_bp", "<", 90), ("diastolic_bp", "<", 60)])]),
+    ("temperature", [("fever", [("temperature", ">", 38.5)]),
+                     ("hypothermia", [("temperature", "<", 35)])]),
+    ("blood_glucose", [("hyperglycemia", [("blood_glucose", ">", 180)]),
+                       ("hypoglycemia", [("blood_glucose", "<", 70)])]),
+]
+
+# Risk of a scored message, in tenths: per critical and per warning anomaly, most,
+# and the levels from which it is critical and a warning.
+RISK_PER_CRITICAL, RISK_PER_WARNING, RISK_MOST = 4, 2, 10
+RISK_CRITICAL_FROM, RISK_WARNING_FROM = 6, 3
+
+# Readmission: baseline; (age above, added); (per condition, most); (per stay, most);
+# weight of missing adherence; most; score above which the level is HIGH, MEDIUM.
+READMISSION_BASE = 0.2
+READMISSION_AGE = [(75, 0.15), (65, 0.1)]
+READMISSION_CHRONIC = (0.08, 0.3)
+READMISSION_STAYS = (0.15, 0.3)
+READMISSION_ADHERENCE = 0.2
+READMISSION_LEVELS = (0.7, 0.4)
+
+# Deterioration: baseline; divisor of the variances; (per condition, most); score
+# above which the level is HIGH, MEDIUM; days to the alert when HIGH, otherwise.
+DETERIORATION_BASE = 0.15
+DETERIORATION_VARIANCE = 100
+DETERIORATION_CHRONIC = (0.1, 0.3)
+DETERIORATION_LEVELS = (0.6, 0.3)
+DETERIORATION_DAYS = (7, 14)
+
+# Patient risk bands: (above, name), (below, name). Oxygen: (below, name) in the
+# order in which they are tested.
+HEART_RATE_BANDS = ((100, "elevated"), (60, "low"))
+OXYGEN_BANDS = [(95, "concerning"), (92, "critical")]
+PRESSURE_BANDS = ((140, "hypertension"), (90, "hypotension"))
+
+# Device health: start; off per critical alert; off where the heart rate's
+# deviation is above the bound.
+HEALTH_START, HEALTH_PER_CRITICAL, HEALTH_SPREAD, HEALTH_SPREAD_ABOVE = 100, 5, 20, 30
 # ------------------------------------------------------------ end FIXED VALUES
 
 READING_KEYS = [c[0] for c in LOINC_COMPONENTS]
