@@ -11,9 +11,9 @@ hashes long, and longer (up to ``DEEPEST``) where a region holds more than
   join most near copies;
 * then, until nothing is left, the pairs of a region that lie in different
   components so far and were not tested yet.  Members are compared in blocks, by
-  size and by a small sketch; per document and other component the best few pairs
-  go to the test, the rest wait for the next round, which takes ``WIDEN`` times as
-  many, and a pair is dropped only when a test has linked its components.
+  size and by a small sketch; the best few pairs of a document go to the test, the
+  others wait: most of them lie in one component after it. Each further round
+  takes ``WIDEN`` times as many, until one has left no pair out.
 
 Every candidate is confirmed on the full sets.  Equal sets are one node from the
 start, so copies are never expanded into pairs.  Regions without a second
@@ -35,7 +35,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_conf, durable, free_name, id_text
@@ -49,7 +49,7 @@ REGION = 64
 SKETCH = 64           # bytes of a node's sketch
 SKETCH_AGREE = 42     # of these, for similarity 0.85: 54.7 expected, deviation 2.8
 BLOCK = 2048          # members compared at once
-BEST = 4              # pairs per document and other component in the first round
+BEST = 4              # pairs per document of a region in the first round
 WIDEN = 8             # times as many in each further round
 
 _rng = np.random.default_rng(20240229)
@@ -287,9 +287,10 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def open_pairs(members: DataFrame, labels: DataFrame, nodes: DataFrame, tested: DataFrame,
-               percent: int) -> DataFrame:
-    """a, b, agree: likely untested pairs of different components inside a region."""
+def open_pairs(members: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int,
+               most: int) -> DataFrame:
+    """a, b, more: likely pairs of different components inside a region, the
+    ``most`` best per member and block; ``more`` says that the member has others."""
     placed = (members.select("region", "node").join(labels.hint("merge"), "node", "left")
               .withColumn("component", F.coalesce("component", "node")))
     mixed_up = (placed.groupBy("region").agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
@@ -324,25 +325,15 @@ def open_pairs(members: DataFrame, labels: DataFrame, nodes: DataFrame, tested:
                 continue
             agree = (sketch[fits] == sketch[k]).sum(axis=1)
             fits, agree = fits[agree >= SKETCH_AGREE], agree[agree >= SKETCH_AGREE]
-            out[0].append(np.minimum(node[fits], node[k]))
-            out[1].append(np.maximum(node[fits], node[k]))
-            out[2].append(agree)
-        cols = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in out]
-        return pa.table([pa.array(c.astype(np.int64)) for c in cols], names=["a", "b", "agree"])
+            best = fits[np.argsort(-agree, kind="stable")[:most]]
+            out[0].append(np.minimum(node[best], node[k]))
+            out[1].append(np.maximum(node[best], node[k]))
+            out[2].append(np.full(len(best), len(fits) > most))
+        a, b, more = [np.concatenate(x) if x else np.zeros(0) for x in out]
+        return pa.table([pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64)),
+                         pa.array(more.astype(bool))], names=["a", "b", "more"])
 
-    found = cells.groupBy("region", "i", "j").applyInArrow(run, "a long, b long, agree long")
-    return found.dropDuplicates(["a", "b"]).join(tested.hint("merge"), ["a", "b"], "left_anti")
-
-
-def best_pairs(likely: DataFrame, labels: DataFrame, tested: DataFrame, most: int) -> DataFrame:
-    """The ``most`` best untested pairs per document and other component."""
-    side = lambda x: labels.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
-    still = (likely.join(side("a").hint("merge"), "a", "left").join(side("b").hint("merge"), "b", "left")
-             .withColumns({"c_a": F.coalesce("c_a", "a"), "c_b": F.coalesce("c_b", "b")}).where("c_a <> c_b")
-             .join(tested.hint("merge"), ["a", "b"], "left_anti"))
-    best = Window.partitionBy("a", "c_b").orderBy(F.desc("agree"), "b")
-    return (still.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= most)
-            .select("a", "b"))
+    return cells.groupBy("region", "i", "j").applyInArrow(run, "a long, b long, more boolean")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id",
@@ -370,17 +361,21 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
     tested = durable(_likely(first_pairs(members), nodes, percent), "forest-pairs")
     links = durable(confirm(tested, sets, percent).unionByName(twice), "forest-links")
     labels, most = components(links), BEST
-    likely = durable(open_pairs(members, labels, nodes, tested, percent), "forest-open")
     while True:
-        pairs = durable(best_pairs(likely, labels, tested, most), "forest-pairs")
+        found = durable(open_pairs(members, labels, nodes, percent, most)
+                        .groupBy("a", "b").agg(F.max("more").alias("more")), "forest-open")
+        pairs = durable(found.join(tested.hint("merge"), ["a", "b"], "left_anti").select("a", "b"),
+                        "forest-pairs")
         if pairs.isEmpty():
-            break
-        tested, most = tested.unionByName(pairs), most * WIDEN
-        more = durable(confirm(pairs, sets, percent), "forest-links")
-        if more.isEmpty():
-            continue
-        links = links.unionByName(more)
-        labels = components(links)
+            if found.where("more").isEmpty():
+                break  # every likely pair of different components was tested
+        else:
+            tested = tested.unionByName(pairs)
+            more = durable(confirm(pairs, sets, percent), "forest-links")
+            if not more.isEmpty():
+                links = links.unionByName(more)
+                labels = components(links)
+        most *= WIDEN
 
     owner = ids.join(labels.hint("merge"), "node", "left").select(
         "doc_id", F.coalesce("component", "node").alias("component")).groupBy("doc_id").agg(
