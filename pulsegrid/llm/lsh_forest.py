@@ -3,17 +3,18 @@
 Every document's set of word shingles gives ``TREES`` signatures of ``DEEPEST``
 minimum hashes.  Each tree is one sorted order of signatures.  Documents whose
 signatures share a prefix in some tree form a region; the prefix is ``SHALLOWEST``
-hashes long, and longer (up to ``DEEPEST``) where a region holds more than
-``REGION`` documents.  Candidates come from regions in two ways:
-
-* first, neighbours in the sorted order (longest common prefix) and the pairs of
-  each member with the region's smallest document: a few per document, enough to
-  join most near copies;
-* then, until nothing is left, the pairs of a region that lie in different
-  components so far and were not tested yet.  Members are compared in blocks, by
-  size and by a small sketch; the best few pairs of a document go to the test, the
-  others wait: most of them lie in one component after it. Each further round
-  takes ``WIDEN`` times as many, until one has left no pair out.
+hashes long.  Candidates come from regions in two ways:
+
+* first, in regions cut deeper (up to ``DEEPEST`` hashes) where they hold more than
+  ``REGION`` documents, neighbours in the sorted order (longest common prefix) and
+  the pairs of each member with the region's smallest document: a few per document,
+  enough to join most near copies;
+* then, until nothing is left, the pairs of a whole region (``SHALLOWEST`` hashes,
+  whatever its size) that lie in different components so far and were not tested
+  yet.  Members are compared in blocks, by size and by a small sketch; the best few
+  pairs of a document go to the test, the others wait: most of them lie in one
+  component after it. Each further round takes ``WIDEN`` times as many, until one
+  has left no pair out.
 
 Every candidate is confirmed on the full sets.  Equal sets are one node from the
 start, so copies are never expanded into pairs.  Regions without a second
@@ -22,7 +23,7 @@ of other regions only.  Components come from minimum labels with pointer jumping
 links and labels stay distributed.
 
 Chance of missing a link of similarity 0.85: (1 - 0.85**5)**16 < 0.0001 for one
-pair at the shallowest depth, and the sketch test lets go fewer than 0.0001.
+pair, in regions of any size, and the sketch test lets go fewer than 0.0001.
 
 Defined results: null, empty and blank texts have no shingles and stay alone; a
 text of fewer than ``WORDS`` words is one shingle; rows that share an id are one
@@ -137,7 +138,9 @@ def tree_rows(nodes: DataFrame) -> DataFrame:
 
 
 def region_members(nodes: DataFrame) -> DataFrame:
-    """region, node, key, d1..: members of regions with two or more nodes."""
+    """key, d1.., node, region: members of prefixes with two or more nodes. ``key`` is
+    the whole region; ``region``, deeper where that is large, is for the first pairs
+    only and may hold one node."""
     deeper = [f"d{i + 1}" for i in range(DEEPEST - SHALLOWEST)]
     levels = [["key", *deeper[:i]] for i in range(len(deeper) + 1)]
     rows = tree_rows(nodes)
@@ -153,11 +156,9 @@ def region_members(nodes: DataFrame) -> DataFrame:
     depth = F.lit(len(deeper))
     for i in range(len(deeper) - 1, -1, -1):
         depth = F.when(F.col(f"size{i}") <= REGION, F.lit(i)).otherwise(depth)
-    size = F.coalesce(*[F.when(F.col("depth") == i, F.col(f"size{i}")) for i in range(len(deeper) + 1)])
     region = F.coalesce(*[F.when(F.col("depth") == i, F.xxhash64(F.lit(i), *levels[i]))
                           for i in range(len(deeper) + 1)])
-    regions = (sized.withColumn("depth", depth).withColumn("size", size)
-               .where("size > 1").withColumn("region", region).select(*levels[-1], "region"))
+    regions = sized.withColumn("depth", depth).withColumn("region", region).select(*levels[-1], "region")
     return durable(rows.join(regions.hint("merge"), levels[-1]), "forest-members")
 
 
@@ -289,9 +290,9 @@ def components(links: DataFrame) -> DataFrame:
 
 def open_pairs(members: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int,
                most: int) -> DataFrame:
-    """a, b, more: likely pairs of different components inside a region, the
+    """a, b, more: likely pairs of different components inside a whole region, the
     ``most`` best per member and block; ``more`` says that the member has others."""
-    placed = (members.select("region", "node").join(labels.hint("merge"), "node", "left")
+    placed = (members.select(F.col("key").alias("region"), "node").join(labels.hint("merge"), "node", "left")
               .withColumn("component", F.coalesce("component", "node")))
     mixed_up = (placed.groupBy("region").agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
                                              F.count(F.lit(1)).alias("size"))

@@ -119,6 +119,21 @@ def test_near_duplicates_tiny_regions_and_blocks(spark, monkeypatch):
     check_near(spark, near_rows()[:60])
 
 
+def test_near_links_of_large_regions_share_few_hashes(spark, monkeypatch):
+    """Pairs that no deep region holds: in a large region they are found as in a small one."""
+    rows = []
+    for seed in range(1000, 1400):
+        base = prose(seed, 200).split()
+        pair = [" ".join(base), " ".join(w + "x" * (k in (40, 120, 160)) for k, w in enumerate(base))]
+        x, y = lsh_forest.shingle_sets(pair)
+        a, b = (lsh_forest.minimum_hashes(s).reshape(lsh_forest.TREES, lsh_forest.DEEPEST) for s in (x, y))
+        if (a == b)[:, :5].all(axis=1).any() and not (a == b).all(axis=1).any():
+            rows += [(len(rows) + k, t) for k, t in enumerate(pair)]
+    assert rows
+    monkeypatch.setattr(lsh_forest, "REGION", 1)
+    check_near(spark, rows)
+
+
 def test_near_edge_cases(edge, nothing):
     assert lsh_forest.near_duplicates(nothing).count() == 0
     got = lsh_forest.near_duplicates(edge).collect()
