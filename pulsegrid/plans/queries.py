@@ -771,12 +771,13 @@ def q_search_stored(spark, sf_dir):
     write_observations(Q.create_by_type(o.where("event_id % 10 = 0").withColumn(
         "id", F.concat(F.lit("api-"), F.col("event_id").cast("string"))), "Observation"), path)
     stored = spark.read.parquet(path)
-    dates = dict(SEARCHES["search_by_date"], count=1_000_000)
-    found = [Q.search_observations(stored, prune=p, **d).groupBy("source").agg(
+    dates = SEARCHES["search_by_date"]
+    # every hit counts: no page limit
+    found = [stored.where(Q.search_predicate(prune=p, **d)).groupBy("source").agg(
         F.count(F.lit(1)).alias("n"), F.count("effectiveDateTime").alias("dated")).select(
         F.lit(name).alias("search"), F.lit(p).alias("pruned"), "source", "n", "dated")
         for p in (True, False) for name, d in (
-            ("between", dates), ("until", {"date_to": dates["date_to"], "count": 1_000_000}))]
+            ("between", dates), ("until", {"date_to": dates["date_to"]}))]
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
