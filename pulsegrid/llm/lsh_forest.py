@@ -26,8 +26,9 @@ Chance of missing a link of similarity 0.85: (1 - 0.85**5)**16 < 0.0001 for one
 pair, in regions of any size, and the sketch test lets go fewer than 0.0001.
 
 Defined results: null, empty and blank texts have no shingles and stay alone; a
-text of fewer than ``WORDS`` words is one shingle; rows that share an id are one
-document; rows with a null id are not linked (component null, kept).
+text of fewer than ``WORDS`` words is one shingle; rows that share an id and differ
+in text are compared and kept each on its own, a component is named by its smallest
+id; rows with a null id are not linked (component null, kept).
 """
 
 from __future__ import annotations
@@ -95,7 +96,7 @@ def _print_of(shingles: np.ndarray) -> bytes:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n, print (of the set), forest (entry per tree), sketch."""
+    """doc_id, text_hash, n, print (of the set), forest (entry per tree), sketch."""
     def run(batches):
         for b in batches:
             rows = []
@@ -113,11 +114,12 @@ def signatures(docs: DataFrame) -> DataFrame:
                 rows.append((len(s), _print_of(s), entry.tobytes(), sketch.tobytes()))
             n, prints, forests, sketches = zip(*rows) if rows else ([], [], [], [])
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int64()), pa.array(prints, pa.binary()),
+                [b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(prints, pa.binary()),
                  pa.array(forests, pa.binary()), pa.array(sketches, pa.binary())],
-                names=["doc_id", "n", "print", "forest", "sketch"])
+                names=["doc_id", "text_hash", "n", "print", "forest", "sketch"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, print binary, forest binary, sketch binary")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(
+        run, "doc_id long, text_hash long, n long, print binary, forest binary, sketch binary")
 
 
 def tree_rows(nodes: DataFrame) -> DataFrame:
@@ -232,8 +234,9 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def member_sets(docs: DataFrame, nodes: DataFrame, members: DataFrame) -> DataFrame:
     """node, members (sorted 64-bit shingle hashes) of the nodes in some region."""
     wanted = (members.select("node").distinct()
-              .join(nodes.select("node", "print"), "node"))
-    texts = docs.join(wanted.hint("merge"), docs["doc_id"] == wanted["node"]).select("node", "print", "text")
+              .join(nodes.select("node", "print", "first.doc_id", "first.text_hash"), "node"))
+    texts = (docs.withColumn("text_hash", F.xxhash64("text"))
+             .join(wanted.hint("merge"), ["doc_id", "text_hash"]).select("node", "print", "text"))
 
     def run(batches):
         for b in batches:
@@ -243,7 +246,7 @@ def member_sets(docs: DataFrame, nodes: DataFrame, members: DataFrame) -> DataFr
                 [b.column(0), pa.array([None if s is None else s.tobytes() for s in out], pa.binary())],
                 names=["node", "members"])
 
-    # rows that repeat an id: the one text that has the node's set, once
+    # rows that repeat an id and a text: once
     return durable(texts.mapInArrow(run, "node long, members binary").where("members IS NOT NULL")
                    .dropDuplicates(["node"]), "forest-sets")
 
@@ -337,30 +340,23 @@ def open_pairs(members: DataFrame, labels: DataFrame, nodes: DataFrame, percent:
     return cells.groupBy("region", "i", "j").applyInArrow(run, "a long, b long, more boolean")
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id",
-                    text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row per input row."""
+def _judged(docs: DataFrame, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text_hash, n_shingles, component_id, kept: one row per input row."""
     spark = docs.sparkSession
     arrow_conf(spark)
     docs = id_text(docs, id_col, text_col)
     signed = durable(signatures(docs), "forest-signatures")
     named = signed.where("n > 0 AND doc_id IS NOT NULL")
-    # equal sets are one node: the smallest document that has the set
-    by_print = named.groupBy("print").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"),
-                                          F.first("forest").alias("forest"),
-                                          F.first("sketch").alias("sketch"))
-    by_print = durable(by_print, "forest-nodes")
-    nodes = by_print.dropDuplicates(["node"])
+    # equal sets are one node, numbered when stored; its first row has the smallest id
+    nodes = durable(named.groupBy("print").agg(
+        F.min(F.struct("doc_id", "text_hash")).alias("first"), F.first("n").alias("n"),
+        F.first("forest").alias("forest"), F.first("sketch").alias("sketch"))
+        .withColumn("node", F.monotonically_increasing_id()), "forest-nodes")
     members = region_members(nodes)
     sets = member_sets(docs, nodes, members)
 
-    # documents that are one by id (an id with several texts) are linked from the start
-    ids = named.select("doc_id", "print").distinct().join(
-        by_print.select("print", "node").hint("merge"), "print").select("doc_id", "node")
-    twice = (ids.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b"))
-             .where("a < b").select("a", "b"))
     tested = durable(_likely(first_pairs(members), nodes, percent), "forest-pairs")
-    links = durable(confirm(tested, sets, percent).unionByName(twice), "forest-links")
+    links = durable(confirm(tested, sets, percent), "forest-links")
     labels, most = components(links), BEST
     while True:
         found = durable(open_pairs(members, labels, nodes, percent, most)
@@ -378,18 +374,29 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
                 labels = components(links)
         most *= WIDEN
 
-    owner = ids.join(labels.hint("merge"), "node", "left").select(
-        "doc_id", F.coalesce("component", "node").alias("component")).groupBy("doc_id").agg(
-        F.min("component").alias("component"))
-    return (signed.select("doc_id", F.col("n").alias("n_shingles")).join(owner.hint("merge"), "doc_id", "left")
-            .select("doc_id", "n_shingles",
-                    F.coalesce("component", "doc_id").alias("component_id"))
+    # a component is named by its smallest id
+    placed = nodes.select("node", "print", F.col("first.doc_id").alias("id")).join(
+        labels.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    owner = placed.join(placed.groupBy("component").agg(F.min("id").alias("name")).hint("merge"),
+                        "component").select("print", "name")
+    return (signed.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "print")
+            .join(owner.hint("merge"), "print", "left")
+            .select("doc_id", "text_hash", "n_shingles", F.when(
+                F.col("doc_id").isNotNull(), F.coalesce("name", "doc_id")).alias("component_id"))
             .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))))
 
 
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id",
+                    text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: one row per input row."""
+    return _judged(docs, percent, id_col, text_col).drop("text_hash")
+
+
 def drop_near(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """docs with one document, the smallest id, of every component."""
-    name = free_name(docs, "_gone")
-    gone = (near_duplicates(docs, percent).where("NOT kept")
-            .select(F.col("doc_id").alias(name)).distinct())
-    return docs.join(gone.hint("merge"), F.col("doc_id").cast("long") == F.col(name), "left_anti")
+    name, text = free_name(docs, "_gone"), free_name(docs, "_gone_text")
+    gone = (_judged(docs, percent).where("NOT kept")
+            .select(F.col("doc_id").alias(name), F.col("text_hash").alias(text)).distinct())
+    own = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    return docs.join(gone.hint("merge"), (F.col("doc_id").cast("long") == F.col(name))
+                     & (own == F.col(text)), "left_anti")

@@ -134,6 +134,20 @@ def test_near_links_of_large_regions_share_few_hashes(spark, monkeypatch):
     check_near(spark, rows)
 
 
+def test_near_texts_that_share_an_id(spark):
+    """Every text of an id is compared and kept or removed on its own."""
+    def copy(seed):
+        return prose(seed, 200) + " end"
+    rows = [(3, prose(701, 200)), (3, prose(702, 200)), (7, copy(701)), (8, copy(702)),
+            (2, prose(703, 200)), (4, copy(703)), (4, prose(704, 200)), (4, prose(704, 200)), (9, copy(704))]
+    docs = small_docs(spark, rows)
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in lsh_forest.near_duplicates(docs).collect())
+    assert got == [(2, 2, True), (3, 3, True), (3, 3, True), (4, 2, False), (4, 4, True), (4, 4, True),
+                   (7, 3, False), (8, 3, False), (9, 4, False)]
+    left = sorted((r.doc_id, r.text) for r in lsh_forest.drop_near(docs).collect())
+    assert left == sorted([rows[4], rows[0], rows[1], rows[6], rows[7]])
+
+
 def test_near_edge_cases(edge, nothing):
     assert lsh_forest.near_duplicates(nothing).count() == 0
     got = lsh_forest.near_duplicates(edge).collect()
