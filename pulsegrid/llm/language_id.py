@@ -165,6 +165,14 @@ def judge(texts: list[str], names: list[str], p: np.ndarray | None):
                 yield names[int((own[at] @ np.log(p[at, :-1])).argmax())], 0.0, {}, 1.0
 
 
+def lettered(texts: list[str]) -> list[bool]:
+    out: list[bool] = []
+    for lo, hi in batches_of(texts):
+        doc = trigrams(texts[lo:hi])[1]
+        out += (np.bincount(doc, minlength=hi - lo) > 0).tolist()
+    return out
+
+
 def _share(docs: DataFrame, model: dict[str, np.ndarray]):
     """The model in every task: languages x BUCKETS numbers."""
     return docs.sparkSession.sparkContext.broadcast(distributions(model) if model else None)
@@ -206,7 +214,8 @@ def report(docs: DataFrame) -> DataFrame:
 
 def keep_identified(docs: DataFrame, most_background: float = 0.5,
                     text_col: str = "text") -> DataFrame:
-    """docs without rows of no language: no letter, or mostly background.
+    """docs without rows of no language: no letter, or mostly background. Where no
+    row has a language to learn from, every text with a letter is kept.
 
     Whole rows pass through the task that judges them; nothing is shuffled.
     """
@@ -217,8 +226,9 @@ def keep_identified(docs: DataFrame, most_background: float = 0.5,
     def run(batches):
         for b in batches:
             texts = [t or "" for t in b.column(at).to_pylist()]
-            yield b.filter(pa.array([lang != UNKNOWN and back <= most_background
-                                     for lang, _, _, back in judge(texts, names, shared.value)],
-                                    pa.bool_()))
+            keep = lettered(texts) if shared.value is None else [
+                lang != UNKNOWN and back <= most_background
+                for lang, _, _, back in judge(texts, names, shared.value)]
+            yield b.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -72,3 +72,13 @@ def test_oracles(spark):
         want = con.sql(sql).to_arrow_table().to_pylist()
         key = lambda r: sorted((k, str(v)) for k, v in r.items())
         assert sorted(map(key, got)) == sorted(map(key, want)), name
+
+
+def test_language_stage_without_any_language(spark):
+    """Nothing to learn from: texts with a letter stay, whatever their script."""
+    texts = ["plain words here", "école", "中文 文字", "12345 !!!", "", None, "a"]
+    docs = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)],
+                                 "doc_id long, text string, lang string")
+    kept = language_id.keep_identified(docs).collect()
+    assert sorted(r.doc_id for r in kept) == [0, 1, 2, 6]
+    assert language_id.keep_identified(docs.limit(0)).count() == 0
