@@ -737,8 +737,8 @@ def q_train_model(spark, sf_dir):
 
 @query("model_latest")
 def q_model_latest(spark, sf_dir):
-    """Two real training runs (a few trees each) over the messages so far: the
-    latest record per model type wins."""
+    """Two real training runs, the first over the messages up to its time, the second
+    over all: the latest record per model type wins."""
     from datetime import datetime, timezone
 
     from ..operators import ml
@@ -746,10 +746,9 @@ def q_model_latest(spark, sf_dir):
     from ..sinks import registry as R
     msgs = testdata.load_messages(spark, sf_dir)
     root = scratch_path(spark, "registry")
-    ml.train_and_register(spark, msgs.where("event_id % 3 = 0"), root, trees=2,
-                          at=datetime(2024, 2, 1, 2, tzinfo=timezone.utc))
-    reg = ml.train_and_register(spark, msgs, root, trees=2,
-                                at=datetime(2024, 2, 2, 2, tzinfo=timezone.utc))
+    first = datetime(2024, 2, 1, 2, tzinfo=timezone.utc)
+    ml.train_and_register(spark, msgs.where(F.try_to_timestamp("timestamp") <= F.lit(first)), root, at=first)
+    reg = ml.train_and_register(spark, msgs, root, at=datetime(2024, 2, 2, 2, tzinfo=timezone.utc))
     latest = R.latest(reg)
     return ntz(latest.select("model_type", "model_id", "training_samples", "updated_at"),
                "updated_at")
