@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import (bpe_sql, exact_dedup, language_id, lsh_forest, packing, piece_bpe, projected_search,
-               secrets, substring_dedup, token_counts, toxicity)
+from . import (bpe_sql, exact_dedup, language_id, lsh_forest, merkle, packing, piece_bpe,
+               projected_search, secrets, substring_dedup, token_counts, toxicity)
 from .common import table
 
 
@@ -50,6 +50,10 @@ def op10_token_counts(spark, sf_dir):
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark, sf_dir):
+    return merkle.tamper_report(table(spark, sf_dir, "documents"))
+
+
 def op13_piece_codec(spark, sf_dir):
     return piece_bpe.encode_documents(table(spark, sf_dir, "documents"), digests=True)
 
@@ -65,10 +69,12 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_secret_scan": op9_secret_scan,
     "op10_token_counts": op10_token_counts,
+    "op11_merkle_manifest": op11_merkle_manifest,
     "op13_piece_codec": op13_piece_codec,
 }
 
 ORACLES = {
     "op8_exact_dedup": exact_dedup.SQL,
     "op9_secret_scan": secrets.SQL,
+    "op11_merkle_manifest": merkle.SQL,
 }
