@@ -63,6 +63,12 @@ class Pieces:
         self.unknown = lib.unk_id()
         self.byte = np.array([int(self.text[i][3:5], 16) if lib.is_byte(i) else -1 for i in every])
         self.end = lib.eos_id()
+        self.names = [str(i) for i in every]
+        # what a piece that is no byte adds to a text
+        self.plain = ["" if self.silent[i] else " ⁇ " if i == self.unknown else t.replace(MARK, " ")
+                      for i, t in enumerate(self.text)]
+        # every id from here on is an ordinary piece
+        self.beyond = 1 + max(i for i in every if self.byte[i] >= 0 or self.silent[i] or i == self.unknown)
         self.byte_id = {int(b): i for i, b in enumerate(self.byte) if b >= 0}
         if len(self.byte_id) != 256:
             raise ValueError(f"{model_path}: no byte pieces")
@@ -96,9 +102,10 @@ class Pieces:
             if len(ch) == 1:
                 self.char[ord(ch)] = s
         self.beside = np.unique([self.char[ord(a)] * self.width + self.char[ord(b)] for a, b in beside])
-        # white space that no piece holds ends a word as well
-        alone = "".join(c for c in "\n\r\t" if self.char[ord(c)] == self.stranger)
-        self.words = re.compile(f"{MARK}*[^{MARK}{alone}]+|{MARK}+" + (f"|[{alone}]" if alone else ""))
+        # white space and digits that stand beside nothing in any piece are cut off as well
+        near = set(np.concatenate([self.beside // self.width, self.beside % self.width]).tolist())
+        alone = "".join(c for c in "\n\r\t0123456789" if self.char[ord(c)] not in near)
+        self.words = re.compile(f"{MARK}*[^{MARK}{alone}]+|{MARK}+" + (f"|[{alone}]{{1,3}}" if alone else ""))
         self.known: dict[str, tuple[int, str, str]] = {}
 
     def pair(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -172,7 +179,10 @@ def merge_rounds(p: Pieces, codes: np.ndarray, word: np.ndarray) -> tuple[np.nda
         to = np.cumsum(rest) - 1
         sym, run, place, rank, made = (x[rest] for x in (sym, run, place, rank, made))
         at = to[hit]
-        touched = np.unique(np.concatenate([at, at[at > 0] - 1]))
+        marked = np.zeros(len(sym), bool)
+        marked[at] = True
+        marked[at[at > 0] - 1] = True
+        touched = np.flatnonzero(marked)
         inside = np.zeros(len(touched), bool)
         ok = touched + 1 < len(sym)
         inside[ok] = run[touched[ok]] == run[touched[ok] + 1]
@@ -215,10 +225,8 @@ def decode_ids(p: Pieces, ids: list[int], start: bool = True) -> str:
             raw, seen = bytearray(), True
         if p.silent[i]:
             continue
-        piece = " ⁇ " if i == p.unknown else p.text[i]
-        if not seen:
-            piece, seen = piece.removeprefix(MARK), True
-        out.append(piece.replace(MARK, " "))
+        out.append(p.plain[i] if seen or i == p.unknown else p.plain[i].removeprefix(" "))
+        seen = True
     if raw:
         out.append(raw.decode("utf-8", "each-byte"))
     return "".join(out)
@@ -229,17 +237,20 @@ def encode_texts(texts: list[str], model_path: str) -> list[list[tuple[int, str,
     text with the leading space mark as a space)."""
     p = pieces(model_path)
     split = [p.words.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-    if len(p.known) > MAX_WORDS:
-        p.known.clear()
-    fresh = list(dict.fromkeys(w for words in split for w in words if w not in p.known))
-    now = {}
-    if fresh:
-        for w, ids in zip(fresh, encode_words(p, fresh)):
-            got = (len(ids), " ".join(map(str, ids)), decode_ids(p, ids, start=False))
-            (p.known if len(w) <= MAX_WORD_CHARS else now)[w] = got
-    if not now:
-        return [[p.known[w] for w in words] for words in split]
-    return [[now[w] if w in now else p.known[w] for w in words] for words in split]
+    known = p.known
+    if len(known) > MAX_WORDS:
+        known.clear()
+    fresh = list({w for words in split for w in words if w not in known})
+    for lo, hi in batches_of(fresh, BATCH_CHARS):
+        for w, ids in zip(fresh[lo:hi], encode_words(p, fresh[lo:hi])):
+            known[w] = (len(ids), " ".join([p.names[i] for i in ids]),
+                        "".join([p.plain[i] for i in ids]) if min(ids) >= p.beyond
+                        else decode_ids(p, ids, start=False))
+    out = [[known[w] for w in words] for words in split]
+    for w in fresh:
+        if len(w) > MAX_WORD_CHARS:
+            del known[w]
+    return out
 
 
 def encode_documents(docs: DataFrame, model: str | None = None, id_col: str = "doc_id",
@@ -257,9 +268,10 @@ def encode_documents(docs: DataFrame, model: str | None = None, id_col: str = "d
             counts, ids, bodies = [], [], []
             for lo, hi in batches_of(texts, BATCH_CHARS):
                 for words in encode_texts(texts[lo:hi], model):
-                    counts.append(sum(n for n, _, _ in words) + 1)
-                    line = " ".join([*[i for _, i, _ in words], end])
-                    body = "".join([d for _, _, d in words]).removeprefix(" ")
+                    n, parts, text = zip(*words) if words else ((), (), ())
+                    counts.append(sum(n) + 1)
+                    line = " ".join([*parts, end])
+                    body = "".join(text).removeprefix(" ")
                     ids.append(sha(line) if digests else np.array(line.split(), np.int32))
                     bodies.append(sha(body) if digests else body)
             cols = ([pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(bodies, pa.string())]
