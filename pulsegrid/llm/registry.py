@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import (bpe_sql, exact_dedup, language_id, lsh_forest, merkle, packing, piece_bpe,
-               projected_search, secrets, substring_dedup, token_counts, toxicity)
+from . import (bpe_sql, exact_dedup, language_id, lsh_forest, merkle, multi_index, packing,
+               piece_bpe, projected_search, secrets, substring_dedup, token_counts, toxicity)
 from .common import table
 
 
@@ -54,6 +54,10 @@ def op11_merkle_manifest(spark, sf_dir):
     return merkle.tamper_report(table(spark, sf_dir, "documents"))
 
 
+def op12_hard_negatives(spark, sf_dir):
+    return multi_index.mined(table(spark, sf_dir, "embeddings"))
+
+
 def op13_piece_codec(spark, sf_dir):
     return piece_bpe.encode_documents(table(spark, sf_dir, "documents"), digests=True)
 
@@ -70,6 +74,7 @@ QUERIES = {
     "op9_secret_scan": op9_secret_scan,
     "op10_token_counts": op10_token_counts,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_piece_codec": op13_piece_codec,
 }
 
@@ -77,4 +82,5 @@ ORACLES = {
     "op8_exact_dedup": exact_dedup.SQL,
     "op9_secret_scan": secrets.SQL,
     "op11_merkle_manifest": merkle.SQL,
+    "op12_hard_negatives": multi_index.SQL,
 }
