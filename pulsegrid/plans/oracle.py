@@ -622,3 +622,29 @@ SELECT 'Observation' AS resource_type, observation_id AS resource_id FROM o
 UNION ALL
 SELECT 'Patient', 'patient-' || CAST(c_custkey AS VARCHAR) FROM customer
 WHERE c_custkey % 2 <> 0 AND c_nationkey = 7"""
+
+SQL["etl_resume"] = OBS + """
+SELECT 'device_analytics' AS table_name, device_id AS key, count(*) AS n, max(ts) AS last_at,
+  round(avg(heart_rate), 6) AS avg_heart_rate
+FROM flat GROUP BY device_id, device_type
+UNION ALL
+SELECT 'patient_summary', patient_reference, count(*), max(ts), round(avg(heart_rate), 6) FROM obsk GROUP BY 2
+UNION ALL
+SELECT 'hourly_trends', concat_ws('/', hour, device_type), count(*), CAST(date AS TIMESTAMP), round(avg(heart_rate), 6)
+FROM flat GROUP BY date, hour, device_type
+UNION ALL
+SELECT 'device_readings', NULL, count(*), max(ts), round(avg(heart_rate), 6) FROM flat"""
+
+SQL["etl_new_files"] = """
+WITH k AS (SELECT event_id % 2 AS day, event_id % 97 <> 0 AS good FROM events),
+runs AS (SELECT unnest([1, 2, 3]) AS run)
+SELECT CAST(run AS INTEGER) AS run, count(*) FILTER (good AND day = run - 1) AS added,
+  count(*) FILTER (NOT good AND day = run - 1) AS rejected, run < 3 AS read_files,
+  (SELECT count(*) FROM k WHERE good) AS stored
+FROM k, runs GROUP BY run"""
+
+SQL["gold_sketch"] = BASE + """
+SELECT date, hour, device_type, count(*) AS reading_count, round(avg(heart_rate), 6) AS avg_heart_rate,
+  CAST(sum(alert_count) AS BIGINT) AS total_alerts, count(DISTINCT device_id) AS devices,
+  count(DISTINCT patient_id) AS patients, TRUE AS devices_within, TRUE AS patients_within
+FROM flat GROUP BY date, hour, device_type"""

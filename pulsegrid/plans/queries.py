@@ -581,6 +581,82 @@ def q_etl_incremental(spark, sf_dir):
                       "heart_rate_stddev"), "first_seen", "last_seen")
 
 
+@query("etl_resume")
+def q_etl_resume(spark, sf_dir):
+    """A run that stops after silver and is repeated: silver and gold equal one whole
+    run. Every message of the second increment comes twice in it."""
+    from ..session import scratch_path
+    from . import etl
+    msgs, obs = testdata.load_messages(spark, sf_dir), observations(spark, sf_dir)
+    out = scratch_path(spark, "etl-resume")
+    half = lambda df, k: df.where(F.col("event_id") % 2 == k)
+    etl.run_etl(spark, out, messages=half(msgs, 0), observations=half(obs, 0), incremental=True)
+    again = {"messages": half(msgs, 1).unionByName(half(msgs, 1)), "observations": half(obs, 1), "incremental": True}
+    etl.run_etl(spark, out, until="publish", **again)
+    res = etl.run_etl(spark, out, **again)
+    table = lambda t, key, n, at, mean: spark.read.parquet(res.path(t)).select(
+        F.lit(t).alias("table_name"), key.alias("key"), F.col(n).alias("n"), F.col(at).alias("last_at"),
+        F.round(mean, 6).alias("avg_heart_rate"))
+    rows = table("device_analytics", F.col("device_id"), "total_readings", "last_seen", F.col("avg_heart_rate_reading"))
+    rows = rows.unionByName(table("patient_summary", F.col("patient_reference"), "total_observations",
+                                  "last_reading", F.col("avg_heart_rate")))
+    trends = spark.read.parquet(res.path("hourly_trends")).withColumn("at", F.col("date").cast("timestamp"))
+    rows = rows.unionByName(trends.select(
+        F.lit("hourly_trends").alias("table_name"), F.concat_ws("/", "hour", "device_type").alias("key"),
+        F.col("reading_count").alias("n"), F.col("at").alias("last_at"), F.round("avg_heart_rate", 6).alias("avg_heart_rate")))
+    silver = spark.read.parquet(res.path("device_readings")).agg(
+        F.lit("device_readings").alias("table_name"), F.lit(None).cast("string").alias("key"),
+        F.count(F.lit(1)).alias("n"), F.max("ts").alias("last_at"), F.round(F.avg("heart_rate"), 6).alias("avg_heart_rate"))
+    return ntz(rows.unionByName(silver), "last_at")
+
+
+@query("etl_new_files")
+def q_etl_new_files(spark, sf_dir):
+    """Landing files over three incremental runs, the last one without new files: every
+    run reads only the files that none before it took."""
+    from ..session import scratch_path
+    from ..sinks.runlog import RunLog
+    from . import etl
+    msgs = testdata.load_messages(spark, sf_dir)
+    landing, out = scratch_path(spark, "landing"), scratch_path(spark, "etl-files")
+    for step in range(3):
+        if step < 2:
+            testdata.write_message_files(msgs.where(F.col("event_id") % 2 == step), f"{landing}/day={step}",
+                                         corrupt_every=97)
+        res = etl.run_etl(spark, out, raw_path=landing, incremental=True, tables=("device_readings",))
+    log = RunLog(spark, out)
+    runs = spark.createDataFrame(
+        [(int(r.number), f["rows"].get("device_readings", 0), f["rejects"].get("device_readings", 0))
+         for r in log.runs() for f in [log.facts(r.number, "commit")]], "run int, added long, rejected long")
+    files_of = spark.read.parquet(f"{log.root}/taken/raw").groupBy("run").agg(F.count(F.lit(1)).alias("files"))
+    stored = spark.read.parquet(res.path("device_readings")).agg(F.count(F.lit(1)).alias("stored"))
+    return runs.join(files_of, "run", "left").select(
+        "run", "added", "rejected", (F.coalesce("files", F.lit(0)) > 0).alias("read_files")).crossJoin(stored)
+
+
+@query("gold_sketch")
+def q_gold_sketch(spark, sf_dir):
+    """Hourly trends from sketch states stored and merged over three runs: exact
+    measures, and distinct counts within four standard errors of the exact ones."""
+    from ..session import scratch_path
+    from . import etl
+    msgs = testdata.load_messages(spark, sf_dir)
+    out = scratch_path(spark, "etl-sketch")
+    for part in range(3):
+        res = etl.run_etl(spark, out, messages=msgs.where(F.col("event_id") % 3 == part), incremental=True,
+                          tables=("hourly_trends",), sketch=True)
+    exact = gold.hourly_trends(readings(spark, sf_dir)).select(
+        "date", "hour", "device_type", F.col("active_devices").alias("devices"), F.col("active_patients").alias("patients"))
+    est = spark.read.parquet(res.path("hourly_trends"))
+    same = (est["date"].eqNullSafe(exact["date"]) & est["hour"].eqNullSafe(exact["hour"])
+            & est["device_type"].eqNullSafe(exact["device_type"]))
+    within = lambda e, x: F.abs(F.col(e) - F.col(x)) <= 4 * gold.sketch_error() * F.col(x) + 0.5
+    return est.join(exact, same).select(
+        est["date"], est["hour"], est["device_type"], "reading_count", F.round("avg_heart_rate", 6).alias("avg_heart_rate"),
+        "total_alerts", "devices", "patients", within("active_devices", "devices").alias("devices_within"),
+        within("active_patients", "patients").alias("patients_within"))
+
+
 @query("etl_rejects")
 def q_etl_rejects(spark, sf_dir):
     """Every 97th landed line is cut in half: kept in quarantine and counted."""
