@@ -648,3 +648,16 @@ SELECT date, hour, device_type, count(*) AS reading_count, round(avg(heart_rate)
   CAST(sum(alert_count) AS BIGINT) AS total_alerts, count(DISTINCT device_id) AS devices,
   count(DISTINCT patient_id) AS patients, TRUE AS devices_within, TRUE AS patients_within
 FROM flat GROUP BY date, hour, device_type"""
+
+SQL["stream_resend"] = SQL["stream_observations"]
+
+SQL["quarantine_replay"] = with_ctes(READINGS) + """
+SELECT 'released' AS state, 'unsubscribed' AS reason, CAST(1 AS INTEGER) AS tries, count(*) AS messages
+FROM readings WHERE event_id % 2 = 0 AND event_id % 97 <> 0 AND split_part(topic, '/', 2) = 'home-health'
+HAVING count(*) > 0
+UNION ALL
+SELECT CASE event_id % 2 WHEN 0 THEN 'set aside' ELSE 'open' END, 'unparseable',
+  CAST(CASE event_id % 2 WHEN 0 THEN 3 ELSE 1 END AS INTEGER), count(*)
+FROM readings WHERE event_id % 97 = 0 GROUP BY event_id % 2
+UNION ALL
+SELECT 'enriched', NULL, NULL, count(*) FROM readings WHERE event_id % 97 <> 0"""

@@ -707,22 +707,22 @@ def q_catalog_sql(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- streaming
-def _ingest(spark, sf_dir, bronze: bool = False, quarantine: bool = False, corrupt_every: int = 0):
+def _ingest(spark, sf_dir, quarantine: bool = False, corrupt_every: int = 0):
     """Land the messages as published -- below <channel>/<device group>/ folders,
-    without a topic in the body -- then run the enriched stream (and the bronze
-    and quarantine streams when the query reports on them)."""
+    without a topic in the body -- then run the bronze and the enriched stream (and
+    the quarantine stream when the query reports on it)."""
     from ..session import scratch_path
     from ..streaming import pipeline as P
     landing = testdata.write_published_files(testdata.load_messages(spark, sf_dir),
                                              scratch_path(spark, "landing"), corrupt_every)
-    return P.run_ingest(spark, landing, bronze=bronze, quarantine=quarantine)
+    return P.run_ingest(spark, landing, quarantine=quarantine)
 
 
 @query("stream_silver")
 def q_stream_silver(spark, sf_dir):
-    """Landing files -> availableNow streams (enriched + bronze + quarantine in
-    parallel) -> enriched sink, read back flat."""
-    paths = _ingest(spark, sf_dir, bronze=True, quarantine=True)
+    """Landing files -> availableNow streams (bronze, then enriched and quarantine
+    in parallel) -> enriched sink, read back flat."""
+    paths = _ingest(spark, sf_dir, quarantine=True)
     flat = enrich.flatten_messages(spark.read.parquet(paths.sink("enriched")))
     return ntz(flat.select("message_id", "device_id", "device_type", "patient_id", "ts",
                            "alert_types", "alert_severity", "channel"), "ts")
@@ -737,7 +737,7 @@ def q_stream_quarantine(spark, sf_dir):
 
 @query("stream_bronze")
 def q_stream_bronze(spark, sf_dir):
-    paths = _ingest(spark, sf_dir, bronze=True, corrupt_every=97)
+    paths = _ingest(spark, sf_dir, corrupt_every=97)
     b = spark.read.parquet(paths.sink("bronze"))
     return b.groupBy("channel").agg(F.count(F.lit(1)).alias("n"),
                                     F.count_if(~F.col("parsed")).alias("unparsed"),
@@ -754,6 +754,57 @@ def q_stream_observations(spark, sf_dir):
                     F.size("component").alias("n_components"), "object_key")
 
 
+@query("stream_resend")
+def q_stream_resend(spark, sf_dir):
+    """Two thirds of the messages, then in a later run all of them again with the third
+    that is late: every message is stored once, none is dropped."""
+    from ..session import scratch_path
+    from ..streaming import pipeline as P
+    msgs = testdata.load_messages(spark, sf_dir)
+    landing = scratch_path(spark, "landing")
+    paths = P.new_paths(spark, landing)
+    for part, rows in (("first", msgs.where("event_id % 3 <> 0")), ("again", msgs)):
+        testdata.write_published_files(rows, f"{landing}/{part}")
+        P.run_ingest(spark, landing, paths, quarantine=False)
+        P.run_to_completion(P.start_observations(P.enriched_source(spark, paths), paths))
+    o = spark.read.parquet(paths.sink("observations"))
+    return o.select(F.col("id").alias("observation_id"), "device_type", "observation_date",
+                    F.size("component").alias("n_components"), "object_key")
+
+
+@query("quarantine_replay")
+def q_quarantine_replay(spark, sf_dir):
+    """Half of the messages, every 97th cut, with one channel unsubscribed; then that channel is
+    subscribed and the quarantine replayed twice, the other half comes in, and a third
+    replay follows: released messages are stored once, those cut are tried until they are
+    set aside, those cut last are still open."""
+    from datetime import datetime, timezone
+
+    from ..functions.vocab import TOPIC_FILTERS
+    from ..session import scratch_path
+    from ..streaming import pipeline as P
+    from . import replay
+    msgs = testdata.load_messages(spark, sf_dir)
+    landing = scratch_path(spark, "landing")
+    paths = P.new_paths(spark, landing)
+    at = lambda day: datetime(2024, 3, day, tzinfo=timezone.utc)
+
+    def land(half, filters):
+        testdata.write_published_files(msgs.where(F.col("event_id") % 2 == half), f"{landing}/{half}", 97)
+        P.run_ingest(spark, landing, paths, filters=filters)
+    land(0, TOPIC_FILTERS[:1])
+    for day in (1, 2):
+        replay.replay(spark, paths, at(day))
+    land(1, TOPIC_FILTERS)
+    replay.replay(spark, paths, at(3))
+    P.run_ingest(spark, landing, paths)  # what the replays gave back
+    states = replay.ledger(spark, paths).groupBy("state", "reason", "tries").agg(F.sum("copies").alias("messages"))
+    stored = spark.read.parquet(paths.sink("enriched")).agg(
+        F.lit("enriched").alias("state"), F.lit(None).cast("string").alias("reason"),
+        F.lit(None).cast("int").alias("tries"), F.count_distinct("messageId").alias("messages"))
+    return states.unionByName(stored)
+
+
 @query("stream_alerts")
 def q_stream_alerts(spark, sf_dir):
     from ..streaming import pipeline as P

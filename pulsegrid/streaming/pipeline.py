@@ -1,17 +1,20 @@
 """Structured Streaming pipelines (the device -> Observation path).
 
-    landing JSON ──> bronze (raw copy, by channel / ingest date)
-                └──> enriched messages (validated, alerts, severity) ──> observations
-                └──> quarantine (unparseable, unsubscribed)       ├──> alert notifications
-                                                                  └──> hourly partial states
+    landing JSON ──> bronze (raw copy + parsed message, by channel / ingest date)
+                       ├──> enriched messages (validated, alerts, severity) ──> observations
+                       └──> quarantine (unparseable, unsubscribed)       ├──> alert notifications
+                                                                         └──> hourly partial states
 
+* The text is read and parsed once, into bronze; enriched messages and quarantine
+  read the parsed columns from there.
 * Every stage is a separate query with its own checkpoint, so each can be
   restarted independently; a restart replays from the checkpoint.
 * Parquet file sinks are exactly-once (the sink's commit log); the
   ``foreachBatch`` sinks write one folder per batch id in overwrite mode, so
   a replayed batch replaces its own output instead of duplicating it.
-* Observation ids are deterministic, and ``dropDuplicatesWithinWatermark``
-  removes a message the producer sent twice.
+* Observation ids are deterministic. A message the producer sends again, in
+  the same batch or months later, is found by its id in the days of the store that
+  the batch touches; there is no watermark, so no row is ever too late.
 * ``trigger(availableNow=True)`` gives the incremental-batch behaviour: each
   run processes only files not seen before, then stops.
 """
@@ -24,11 +27,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.vocab import TOPIC_FILTERS
 from ..operators import enrich, gold
 from ..operators import observations as O
-from ..schemas import RAW_MESSAGE_WITH_CORRUPT, ROLLUPS
+from ..schemas import RAW_MESSAGE, RAW_MESSAGE_WITH_CORRUPT, ROLLUPS
 from ..session import scratch_path
-from ..sinks.tables import OBSERVATION_PARTITIONS
+from ..sinks.tables import OBSERVATION_PARTITIONS, table_exists
 from ..sources import files, topics
 
 
@@ -69,9 +73,9 @@ def raw_stream(spark: SparkSession, landing: str,
     return parsed.withColumn("topic", topics.landed_topic(F.col("topic"), F.col("_path"))).drop("_path")
 
 
-def enriched_stream(raw: DataFrame, rules: str = "full") -> DataFrame:
+def enriched_stream(raw: DataFrame, rules: str = "full", filters=TOPIC_FILTERS) -> DataFrame:
     """Readable messages on the subscribed topics -> enriched envelope."""
-    msgs = topics.subscribe(files.valid_rows(raw).drop("raw"))
+    msgs = topics.subscribe(files.valid_rows(raw).drop("raw"), filters)
     return enrich.enrich_messages(msgs, rules=rules)
 
 
@@ -81,39 +85,67 @@ def enriched_schema(spark: SparkSession):
     return enriched_stream(raw).schema
 
 
-def start_bronze(raw: DataFrame, paths: StreamPaths, available_now: bool = True,
-                 interval: str | None = None) -> StreamingQuery:
-    """Raw copy keyed by channel and arrival date (device id stays a column)."""
+def bronze_rows(raw: DataFrame) -> DataFrame:
+    """Raw copy keyed by channel and arrival date (device id stays a column), with the
+    parsed message beside its text."""
     parsed = F.col(files.CORRUPT).isNull()
     topic = F.col("topic")  # of an unreadable record: what its folder says
-    bronze = raw.select(
+    return raw.select(
         "raw", parsed.alias("parsed"), F.when(parsed, F.col("deviceId")).alias("deviceId"),
         topic.alias("topic"),
+        F.when(parsed, F.struct(*[c for c in RAW_MESSAGE.names if c != "topic"])).alias("message"),
         F.coalesce(topics.topic_segment(topic, 2), F.lit("unknown")).alias("channel"),
         F.current_date().alias("ingest_date"),
         F.unix_millis(F.current_timestamp()).alias("arrival_ms"))
-    w = (bronze.writeStream.format("parquet").partitionBy("channel", "ingest_date")
+
+
+def start_bronze(raw: DataFrame, paths: StreamPaths, available_now: bool = True,
+                 interval: str | None = None) -> StreamingQuery:
+    w = (bronze_rows(raw).writeStream.format("parquet").partitionBy("channel", "ingest_date")
          .option("path", paths.sink("bronze"))
          .option("checkpointLocation", paths.checkpoint("bronze")))
     return _trigger(w, available_now, interval).start()
 
 
+def _sink_stream(spark: SparkSession, path: str, schema, max_files_per_trigger: int | None) -> DataFrame:
+    """A sink's table as a stream (reads its commit log); it may still be empty."""
+    r = spark.readStream.schema(schema)
+    if max_files_per_trigger:
+        r = r.option("maxFilesPerTrigger", str(max_files_per_trigger))
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).mkdirs(folder)
+    return r.parquet(path)
+
+
+def bronze_source(spark: SparkSession, paths: StreamPaths,
+                  max_files_per_trigger: int | None = None) -> DataFrame:
+    """Bronze as a stream with the columns of ``raw_stream``: nothing is parsed again."""
+    empty = spark.createDataFrame([], RAW_MESSAGE_WITH_CORRUPT).withColumn("raw", F.lit(""))
+    b = _sink_stream(spark, paths.sink("bronze"), bronze_rows(empty).schema, max_files_per_trigger)
+    return b.select("raw", *[F.col("topic") if c == "topic" else F.col(f"message.{c}").alias(c)
+                             for c in RAW_MESSAGE.names],
+                    F.when(~F.col("parsed"), F.col("raw")).alias(files.CORRUPT))
+
+
 def start_enriched(raw: DataFrame, paths: StreamPaths, available_now: bool = True,
-                   interval: str | None = None, rules: str = "full") -> StreamingQuery:
-    w = (enriched_stream(raw, rules).writeStream.format("parquet")
+                   interval: str | None = None, rules: str = "full", filters=TOPIC_FILTERS) -> StreamingQuery:
+    w = (enriched_stream(raw, rules, filters).writeStream.format("parquet")
          .option("path", paths.sink("enriched"))
          .option("checkpointLocation", paths.checkpoint("enriched")))
     return _trigger(w, available_now, interval).start()
 
 
+def refusal(filters=TOPIC_FILTERS) -> F.Column:
+    """Why a parsed record goes no further; null if it does."""
+    return (F.when(F.col(files.CORRUPT).isNotNull(), F.lit("unparseable"))
+            .when(~topics.topic_matches(F.col("topic"), filters), F.lit("unsubscribed")))
+
+
 def start_quarantine(raw: DataFrame, paths: StreamPaths, available_now: bool = True,
-                     interval: str | None = None) -> StreamingQuery:
-    """Records that go no further, with a reason and the batch id (not retried:
-    both reasons are deterministic): unparseable text, and messages on no
-    subscribed topic."""
-    bad = raw.select("raw", F.when(F.col(files.CORRUPT).isNotNull(), F.lit("unparseable"))
-                     .when(~topics.topic_matches(F.col("topic")), F.lit("unsubscribed"))
-                     .alias("reason")).where(F.col("reason").isNotNull())
+                     interval: str | None = None, filters=TOPIC_FILTERS) -> StreamingQuery:
+    """Records that go no further, with a reason, their topic and the batch id: unparseable
+    text, and messages on no subscribed topic. ``plans/replay.py`` tries them again."""
+    bad = raw.select("raw", "topic", refusal(filters).alias("reason")).where(F.col("reason").isNotNull())
     target = paths.sink("quarantine")
 
     def write(batch: DataFrame, batch_id: int):
@@ -128,30 +160,42 @@ def enriched_source(spark: SparkSession, paths: StreamPaths,
                     max_files_per_trigger: int | None = None) -> DataFrame:
     """The enriched-message table as a stream (reads the sink's commit log); the
     schema is declared, so the sink may still be empty."""
-    r = spark.readStream.schema(enriched_schema(spark))
-    if max_files_per_trigger:
-        r = r.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    spark._jvm.org.apache.hadoop.fs.Path(paths.sink("enriched")).getFileSystem(
-        spark._jsparkSession.sessionState().newHadoopConf()).mkdirs(
-        spark._jvm.org.apache.hadoop.fs.Path(paths.sink("enriched")))
-    return r.parquet(paths.sink("enriched"))
+    return _sink_stream(spark, paths.sink("enriched"), enriched_schema(spark), max_files_per_trigger)
+
+
+def not_stored(obs: DataFrame, store: str, batch_id: int) -> DataFrame:
+    """Each Observation once, without those that other batches of the store hold.
+
+    Equal ids lie in the same type and date, so only the id column of the partitions
+    that the batch touches is read; its own folder, of an earlier try, does not count."""
+    spark = obs.sparkSession
+    obs = obs.dropDuplicates(["id"])
+    if not table_exists(spark, store):
+        return obs
+    touched = obs.select(*OBSERVATION_PARTITIONS).distinct().collect()
+    held = spark.read.schema("id string, batch long, device_type string, observation_date date").parquet(store)
+    kind, day = (sorted({r[i] for r in touched if r[i] is not None}) for i in (0, 1))
+    near = lambda c, values, null: (F.col(c).isin(values) if values else F.lit(False)) | (
+        F.col(c).isNull() if null else F.lit(False))
+    held = held.where((F.col("batch") != batch_id) & near("device_type", kind, any(r[0] is None for r in touched))
+                      & near("observation_date", day, any(r[1] is None for r in touched)))
+    return obs.join(held.select("id"), "id", "left_anti").select(obs.columns)
 
 
 def start_observations(enriched: DataFrame, paths: StreamPaths, available_now: bool = True,
-                       interval: str | None = None, dedupe_delay: str = "1 hour") -> StreamingQuery:
-    """Enriched messages -> Observations, partitioned by type and event date.
+                       interval: str | None = None) -> StreamingQuery:
+    """Enriched messages -> Observations, partitioned by type and event date, each
+    message once whenever it is sent again.
 
     Each micro-batch is rebalanced on the partition columns before it is written
     under its batch id (a replay overwrites it): a hot (type, date) is split over
     as many tasks as its volume needs, small ones share one.
     """
-    obs = O.build_observations(enriched.withWatermark("processedAt", dedupe_delay),
-                               keep=("processedAt",))
-    obs = obs.withColumn("processed_at", F.current_timestamp()).dropDuplicatesWithinWatermark(["id"])
+    obs = O.build_observations(enriched).withColumn("processed_at", F.current_timestamp())
     target = paths.sink("observations")
 
     def write(batch: DataFrame, batch_id: int):
-        (batch.hint("rebalance", *OBSERVATION_PARTITIONS).write.mode("overwrite")
+        (not_stored(batch, target, batch_id).hint("rebalance", *OBSERVATION_PARTITIONS).write.mode("overwrite")
          .partitionBy(*OBSERVATION_PARTITIONS).parquet(f"{target}/batch={batch_id}"))
     w = (obs.writeStream.foreachBatch(write)
          .option("checkpointLocation", paths.checkpoint("observations")))
@@ -223,15 +267,13 @@ def run_to_completion(*queries: StreamingQuery) -> None:
 
 
 def run_ingest(spark: SparkSession, landing: str, paths: StreamPaths | None = None,
-               bronze: bool = True, quarantine: bool = True) -> StreamPaths:
-    """Landing -> (bronze, quarantine,) enriched; availableNow, waits for completion."""
+               quarantine: bool = True, filters=TOPIC_FILTERS) -> StreamPaths:
+    """Landing -> bronze -> enriched (and quarantine); availableNow, waits for completion."""
     paths = paths or new_paths(spark, landing)
-    raw = raw_stream(spark, landing)
-    qs = [start_enriched(raw, paths)]
-    if bronze:
-        qs.append(start_bronze(raw, paths))
+    run_to_completion(start_bronze(raw_stream(spark, landing), paths))
+    qs = [start_enriched(bronze_source(spark, paths), paths, filters=filters)]
     if quarantine:
-        qs.append(start_quarantine(raw, paths))
+        qs.append(start_quarantine(bronze_source(spark, paths), paths, filters=filters))
     run_to_completion(*qs)
     return paths
 
@@ -252,22 +294,18 @@ def main(argv=None) -> int:
     spark = build_session(app="pulsegrid-stream")
     paths = StreamPaths(a.landing, a.root)
     once = a.continuous is None
-    raw = raw_stream(spark, a.landing, a.max_files_per_trigger)
-    qs = [start_enriched(raw, paths, once, a.continuous),
-          start_bronze(raw, paths, once, a.continuous),
-          start_quarantine(raw, paths, once, a.continuous)]
     if once:
-        run_to_completion(*qs)
-        enriched = enriched_source(spark, paths)
-        run_to_completion(start_observations(enriched, paths),
+        run_ingest(spark, a.landing, paths)
+        run_to_completion(start_observations(enriched_source(spark, paths), paths),
                           start_alerts(enriched_source(spark, paths), paths),
                           start_scoring(enriched_source(spark, paths), paths),
                           start_hourly(enriched_source(spark, paths), paths))
         return 0
-    qs += [start_observations(enriched_source(spark, paths), paths, False, a.continuous),
-           start_alerts(enriched_source(spark, paths), paths, False, a.continuous),
-           start_scoring(enriched_source(spark, paths), paths, False, a.continuous),
-           start_hourly(enriched_source(spark, paths), paths, False, a.continuous)]
+    start_bronze(raw_stream(spark, a.landing, a.max_files_per_trigger), paths, False, a.continuous)
+    start_enriched(bronze_source(spark, paths), paths, False, a.continuous)
+    start_quarantine(bronze_source(spark, paths), paths, False, a.continuous)
+    for stage in (start_observations, start_alerts, start_scoring, start_hourly):
+        stage(enriched_source(spark, paths), paths, False, a.continuous)
     spark.streams.awaitAnyTermination()
     return 0
 
