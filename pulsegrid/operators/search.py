@@ -138,6 +138,36 @@ def read_by_id(table: DataFrame, requests: DataFrame, resource_type: str,
                                 F.lit(" not found"))).alias("outcome_diagnostics"))
 
 
+def observation_index(spark, store: str, root: str):
+    """Index of an Observation store: ranges of key, device and date per file, id -> file."""
+    from ..sinks.storeindex import StoreIndex
+    return StoreIndex(spark, store, root, {
+        "object_key": F.col("object_key"), "device": F.col("device.identifier.value"),
+        "effective": F.col("effectiveDateTime")}, id_col="id", key="object_key")
+
+
+def search_page(index, patient: str | None = None, device: str | None = None, date_from: str | None = None,
+                date_to: str | None = None, count: int | str = 100, strict: bool = False) -> tuple[DataFrame, int]:
+    """``search_observations`` through the store's index: the same page, read file by file in
+    key order until it is full; with it the number of files read."""
+    pred = search_predicate(patient, device, date_from, date_to, strict, prune=True)
+    files = index.may_hold(equal={"device": device} if device else {}, least={"effective": date_from} if date_from else {},
+                           most={"effective": date_to} if date_to else {}, null_passes=("effective",) if not date_from else ())
+    if int(count) <= 0:
+        rows, _ = index.page(1, F.lit(False), F.lit(False))
+        return rows, 0
+    return index.page(int(count), pred, files)
+
+
+def read_located(index, requests: DataFrame, resource_type: str, id_col: str = "requested_id") -> tuple[DataFrame, int]:
+    """``read_by_id`` that opens only the files that hold a requested id; with it their number."""
+    paths = index.holding(requests, id_col)
+    if not paths:
+        some, _ = index.page(1, F.lit(False), F.lit(False))
+        return read_by_id(some, requests, resource_type, id_col), 0
+    return read_by_id(index.read(paths), requests, resource_type, id_col), len(paths)
+
+
 def create_resources(resources: DataFrame, resource_type: str,
                      fill_id: bool = True) -> DataFrame:
     """Force resourceType; fill a missing id with a random UUID."""

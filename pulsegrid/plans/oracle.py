@@ -661,3 +661,27 @@ SELECT CASE event_id % 2 WHEN 0 THEN 'set aside' ELSE 'open' END, 'unparseable',
 FROM readings WHERE event_id % 97 = 0 GROUP BY event_id % 2
 UNION ALL
 SELECT 'enriched', NULL, NULL, count(*) FROM readings WHERE event_id % 97 <> 0"""
+
+
+def _page(name: str, few: str) -> str:
+    body = SQL[name].split("SELECT observation_id, patient_reference, device_id, effective_date_time, object_key")[1]
+    return (f"(SELECT '{name}' AS search, observation_id, patient_reference, device_id, effective_date_time, "
+            f"object_key, {few} AS few_files{body})")
+
+
+SQL["search_page"] = OBS + " UNION ALL ".join(
+    _page(name, few) for name, few in (
+        ("search_by_patient", "TRUE"), ("search_by_device", "CAST(NULL AS BOOLEAN)"), ("search_by_date", "TRUE"),
+        ("search_combined", "CAST(NULL AS BOOLEAN)"), ("search_strict_patient", "CAST(NULL AS BOOLEAN)")))
+
+SQL["read_located"] = OBS + """
+SELECT CASE WHEN event_id % 5 = 0 THEN 'missing-' || CAST(event_id AS VARCHAR) ELSE observation_id END AS requested_id,
+  event_id % 5 <> 0 AS found, CASE WHEN event_id % 5 <> 0 THEN device_id END AS device_id,
+  CASE WHEN event_id % 5 <> 0 THEN object_key END AS object_key,
+  CASE WHEN event_id % 5 = 0 THEN 'not-found' END AS outcome_code, TRUE AS at_most_a_file_each
+FROM obsk WHERE device_id = 'device-42'"""
+
+SQL["bronze_device_history"] = with_ctes(READINGS) + """
+SELECT device_id AS device, split_part(topic, '/', 2) AS channel, TRUE AS parsed,
+  CAST(event_id AS VARCHAR) AS message_id, TRUE AS few_files
+FROM readings WHERE device_id = 'device-42' AND event_id % 97 <> 0"""

@@ -59,6 +59,17 @@ def plan_cache(kind: str, spark: SparkSession, sf_dir: str, build) -> DataFrame:
     return df
 
 
+_KEPT: dict = {}
+
+
+def kept(kind: str, spark: SparkSession, sf_dir: str, build):
+    """What one session builds once and several queries read (a stored table, its index)."""
+    key = (kind, id(spark), sf_dir)
+    if key not in _KEPT or _KEPT[key][0] is not spark:
+        _KEPT[key] = (spark, build())
+    return _KEPT[key][1]
+
+
 def readings(spark: SparkSession, sf_dir: str, rules: str = "full") -> DataFrame:
     """events -> device messages -> flat enriched readings."""
     return plan_cache(f"readings:{rules}", spark, sf_dir, lambda: enrich.flatten_messages(
@@ -341,8 +352,8 @@ SEARCHES = {
 }
 
 
-def stored_observations(spark, sf_dir) -> DataFrame:
-    """The Observation store: written once per session and folder, then read.
+def _store_path(spark, sf_dir) -> str:
+    """The Observation store: written once per session and folder.
 
     Within a date the files are sorted by id and carry a Bloom filter on it, so
     reads by id skip row groups; dates and types are partitions."""
@@ -352,8 +363,12 @@ def stored_observations(spark, sf_dir) -> DataFrame:
     def build():
         path = scratch_path(spark, "observation_store")
         write_observations(observations(spark, sf_dir), path)
-        return spark.read.parquet(path)
-    return plan_cache("stored_observations", spark, sf_dir, build)
+        return path
+    return kept("observation_store", spark, sf_dir, build)
+
+
+def stored_observations(spark, sf_dir) -> DataFrame:
+    return spark.read.parquet(_store_path(spark, sf_dir))
 
 
 def _search_query(params):
@@ -400,6 +415,53 @@ def q_read_observation(spark, sf_dir):
                     "outcome_severity", "outcome_code", "outcome_diagnostics")
 
 
+def _store_index(spark, sf_dir):
+    """The index of the stored Observations, built once per session and folder."""
+    from ..operators import search as Q
+    from ..session import scratch_path
+
+    def build():
+        index = Q.observation_index(spark, _store_path(spark, sf_dir), scratch_path(spark, "store_index"))
+        index.refresh()
+        return index
+    return kept("store_index", spark, sf_dir, build)
+
+
+@query("search_page")
+def q_search_page(spark, sf_dir):
+    """Every search again through the index of the store: the same pages; a page in key order
+    that fills early and one with a date bound open few files."""
+    from ..operators import search as Q
+    index = _store_index(spark, sf_dir)
+    total = index.files().count()
+    out = []
+    for name, params in SEARCHES.items():
+        rows, files = Q.search_page(index, **params)
+        few = files * 2 <= total if name in ("search_by_patient", "search_by_date") else None
+        out.append(rows.select(F.lit(name).alias("search"), *search_cols(), F.lit(few).cast("boolean").alias("few_files")))
+    found = out[0]
+    for f in out[1:]:
+        found = found.unionByName(f)
+    return found
+
+
+@query("read_located")
+def q_read_located(spark, sf_dir):
+    """One device's messages read by id, every fifth id missing: only the files that hold
+    one of them are opened."""
+    from ..functions import fhir as H
+    from ..operators import search as Q
+    index = _store_index(spark, sf_dir)
+    msgs = testdata.load_messages(spark, sf_dir).where(F.col("deviceId") == "device-42")
+    req = msgs.select(F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("missing-"), F.col("event_id").cast("string")))
+                      .otherwise(H.observation_id(F.col("deviceId"), F.col("timestamp"), F.col("messageId")))
+                      .alias("requested_id"))
+    rows, files = Q.read_located(index, req, "Observation")
+    asked = req.count()
+    return rows.select("requested_id", "found", F.col("device.identifier.value").alias("device_id"), "object_key",
+                       "outcome_code", F.lit(files <= asked).alias("at_most_a_file_each"))
+
+
 def _posted(spark, sf_dir) -> DataFrame:
     """POSTed Observations, every 4th without an id."""
     o = observations(spark, sf_dir)
@@ -772,6 +834,28 @@ def q_stream_resend(spark, sf_dir):
                     F.size("component").alias("n_components"), "object_key")
 
 
+@query("bronze_device_history")
+def q_bronze_device_history(spark, sf_dir):
+    """Bronze of two ingests, clustered by device after each: one device's history from
+    at most half of the files."""
+    from ..session import scratch_path
+    from ..streaming import bronze
+    from ..streaming import pipeline as P
+    msgs = testdata.load_messages(spark, sf_dir)
+    landing = scratch_path(spark, "landing")
+    paths = P.new_paths(spark, landing)
+    index = bronze.device_index(spark, paths)
+    size = max(testdata.load_table(spark, sf_dir, "events").count() // 40, 1)
+    for half in (0, 1):
+        testdata.write_published_files(msgs.where(F.col("event_id") % 2 == half), f"{landing}/{half}", 97)
+        P.run_to_completion(P.start_bronze(P.raw_stream(spark, landing), paths))
+        bronze.cluster(spark, paths, rows_per_file=size)
+        index.refresh()
+    rows, files = bronze.device_history(index, "device-42")
+    return rows.select("device", "channel", "parsed", F.col("message.messageId").alias("message_id"),
+                       F.lit(files * 2 <= index.files().count()).alias("few_files"))
+
+
 @query("quarantine_replay")
 def q_quarantine_replay(spark, sf_dir):
     """Half of the messages, every 97th cut, with one channel unsubscribed; then that channel is

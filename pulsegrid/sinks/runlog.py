@@ -98,13 +98,20 @@ class RunLog:
     def take(self, number: str, area: str, paths: str | list[str]) -> list[str]:
         """Files of a landing area that no staged or committed run took, recorded as
         taken by this one. A file that was rewritten counts as new."""
-        new = list_files(self.spark, paths)
+        return self._take(number, area, list_files(self.spark, paths), FILE_FIELDS)
+
+    def take_names(self, number: str, area: str, names: list[str]) -> list[str]:
+        """The same for files named by a sink's own commit log, which never rewrites one."""
+        listed = self.spark.createDataFrame([(n,) for n in names], "path string")
+        return self._take(number, area, listed, ("path",))
+
+    def _take(self, number: str, area: str, new: DataFrame, fields: tuple[str, ...]) -> list[str]:
         taken = f"{self.root}/taken/{area}"
         p, fs = _fs(self.spark, taken)
         if fs.exists(p):
             void = [int(r.number) for r in self.runs() if r.state in ("begin", "dropped")]
             before = self.spark.read.parquet(taken).where(~F.col("run").isin(void) if void else F.lit(True))
-            new = new.join(before.select(*FILE_FIELDS), list(FILE_FIELDS), "left_anti")
+            new = new.join(before.select(*fields), list(fields), "left_anti")
         target = f"{taken}/run={number}"
         new.write.mode("overwrite").parquet(target)
         # names only; Spark's own file index holds the same list on the driver
