@@ -1,11 +1,14 @@
-"""Model (re)training as a Spark ML job.
-
-Label: whether the device's *next* reading is abnormal (threshold scorer
-level not NORMAL). Features: the seven vitals (absent = -1), alert count
-and hour of the current reading. Gradient-boosted trees with the fixed
-hyper-parameters (depth 5, 100 trees, rate 0.1); a deterministic hash split
-of message ids holds out ~20% for validation. Metrics: accuracy, precision,
-recall and F1 of the abnormal class, ROC AUC.
+"""Model (re)training and scoring as Spark ML jobs.
+
+Label: a statement about the device's *next* reading (``TARGETS``, one per model
+type; by default that it is abnormal, threshold scorer level not NORMAL). Features:
+the seven vitals (absent = -1), alert count and hour of the current reading.
+Gradient-boosted trees with the fixed hyper-parameters (depth 5, 100 trees, rate
+0.1); a deterministic hash split of message ids holds out ~20% for validation.
+Metrics: accuracy, precision, recall and F1 of the positive class, ROC AUC.
+
+``score_latest`` scores messages with the model that the registry's latest pointer
+names for each type and stamps every row with its ``model_id``.
 """
 
 from __future__ import annotations
@@ -23,18 +26,28 @@ from .enrich import flatten_messages
 from .sequence import with_next
 
 FEATURES = [*VITAL_COLUMNS, "alert_count", "hour"]
+# what a model type predicts of the next reading, from its alert level
+TARGETS = {
+    "anomaly_detection": lambda level: level != F.lit("NORMAL"),
+    "critical_detection": lambda level: level == F.lit("CRITICAL"),
+}
+ROWS_PER_TASK = 200_000  # a booster runs hundreds of short jobs: no more tasks than the rows need
+
+
+def _features() -> list:
+    return [F.coalesce(F.col(c).cast("double"), F.lit(-1.0)).alias(c) for c in FEATURES]
 
 
-def training_set(messages: DataFrame, bucket: str = "1 hour") -> DataFrame:
+def training_set(messages: DataFrame, bucket: str = "1 hour", model_type: str = "anomaly_detection") -> DataFrame:
     """Device messages -> features of each reading + label of the device's next one."""
+    if model_type not in TARGETS:
+        raise ValueError(f"unknown model type: {model_type}")
     scored = flatten_messages(messages.withColumn(
-        "abnormal", S.alert_level(S.threshold_anomalies(F.col("readings")))
-        != F.lit("NORMAL")))
+        "abnormal", TARGETS[model_type](S.alert_level(S.threshold_anomalies(F.col("readings"))))))
     nxt = with_next(scored.where(F.col("ts").isNotNull()), "device_id", ["ts", "message_id"],
                     ["abnormal"], F.date_trunc(_unit(bucket), F.col("ts")))
-    feats = [F.coalesce(F.col(c).cast("double"), F.lit(-1.0)).alias(c) for c in FEATURES]
     return (nxt.where(F.col("next").isNotNull())
-            .select("message_id", "device_id", *feats,
+            .select("message_id", "device_id", *_features(),
                     F.col("next.abnormal").cast("double").alias("label")))
 
 
@@ -60,36 +73,35 @@ class TrainResult:
 
 def train(train_df: DataFrame, valid_df: DataFrame, predictions_path: str, seed: int = 42,
           trees: int = TRAIN_N_ESTIMATORS) -> TrainResult:
-    """Fit and evaluate; the validation predictions are written once and every
-    metric reads them."""
+    """Fit and evaluate; the validation predictions are written once, their counts by
+    label and prediction give all metrics but the area under the curve."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.evaluation import (BinaryClassificationEvaluator,
-                                       MulticlassClassificationEvaluator)
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
     from pyspark.ml.feature import VectorAssembler
 
+    rows = train_df.count()
     pipe = Pipeline(stages=[
         VectorAssembler(inputCols=FEATURES, outputCol="features"),
         GBTClassifier(labelCol="label", featuresCol="features", maxDepth=TRAIN_MAX_DEPTH,
                       maxIter=trees, stepSize=TRAIN_LEARNING_RATE, seed=seed),
     ])
-    model = pipe.fit(train_df)
+    model = pipe.fit(train_df.coalesce(max(-(-rows // ROWS_PER_TASK), 1)))
     (model.transform(valid_df).select("message_id", "label", "prediction", "rawPrediction")
      .write.mode("overwrite").parquet(predictions_path))
     pred = train_df.sparkSession.read.parquet(predictions_path)
-    mc = MulticlassClassificationEvaluator(labelCol="label", predictionCol="prediction")
+    n = {(r.label, r.prediction): r["count"] for r in pred.groupBy("label", "prediction").count().collect()}
+    hits, total = n.get((1.0, 1.0), 0), sum(n.values())
+    said, are = hits + n.get((0.0, 1.0), 0), hits + n.get((1.0, 0.0), 0)
+    share = lambda a, b: a / b if b else 0.0
     metrics = {
-        "accuracy": mc.evaluate(pred, {mc.metricName: "accuracy"}),
-        "precision": mc.evaluate(pred, {mc.metricName: "precisionByLabel",
-                                        mc.metricLabel: 1.0}),
-        "recall": mc.evaluate(pred, {mc.metricName: "recallByLabel", mc.metricLabel: 1.0}),
-        "f1_score": mc.evaluate(pred, {mc.metricName: "fMeasureByLabel",
-                                       mc.metricLabel: 1.0}),
+        "accuracy": share(hits + n.get((0.0, 0.0), 0), total),
+        "precision": share(hits, said), "recall": share(hits, are), "f1_score": share(2 * hits, said + are),
         "auc_roc": BinaryClassificationEvaluator(
             labelCol="label", rawPredictionCol="rawPrediction",
             metricName="areaUnderROC").evaluate(pred),
     }
-    return TrainResult(model, metrics, train_df.count(), pred.count())
+    return TrainResult(model, metrics, rows, total)
 
 
 def train_and_register(spark: SparkSession, messages: DataFrame, root: str,
@@ -103,7 +115,7 @@ def train_and_register(spark: SparkSession, messages: DataFrame, root: str,
     folder = f"{root.rstrip('/')}/models/{model_type}/{at:%Y%m%d-%H%M%S}"
     # Materialise the labelled set once (a durable table, not a cache): the
     # booster re-reads it instead of re-running the windows.
-    training_set(messages).write.mode("overwrite").parquet(f"{folder}/training_set")
+    training_set(messages, model_type=model_type).write.mode("overwrite").parquet(f"{folder}/training_set")
     tr, va = split(spark.read.parquet(f"{folder}/training_set"))
     res = train(tr, va, f"{folder}/predictions", trees=trees)
     res.model.write().overwrite().save(f"{folder}/model")
@@ -113,3 +125,24 @@ def train_and_register(spark: SparkSession, messages: DataFrame, root: str,
     R.write_info(record)
     R.append_records(record, f"{root}/registry")
     return spark.read.parquet(f"{root}/registry")
+
+
+def score_latest(registry: DataFrame, messages: DataFrame) -> DataFrame:
+    """message_id, device_id, model_type, model_id, probability, positive: every message
+    scored by the latest model of each type in the registry."""
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.functions import vector_to_array
+
+    from ..sinks import registry as R
+    rows = flatten_messages(messages).select("message_id", "device_id", *_features())
+    out = None
+    for r in R.latest(registry).orderBy("model_type").collect():  # one row per model type
+        model = PipelineModel.load(r["model_path"].rsplit("/", 1)[0] + "/model")
+        scored = model.transform(rows).select(
+            "message_id", "device_id", F.lit(r["model_type"]).alias("model_type"),
+            F.lit(r["model_id"]).alias("model_id"),
+            vector_to_array("probability")[1].alias("probability"), (F.col("prediction") == 1.0).alias("positive"))
+        out = scored if out is None else out.unionByName(scored)
+    if out is None:
+        raise ValueError("the registry holds no model")
+    return out

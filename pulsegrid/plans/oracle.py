@@ -576,9 +576,14 @@ SELECT 'anomaly_detection' AS model_type, count(*) FILTER (NOT held) AS training
 FROM samples"""
 
 SQL["model_latest"] = _RISK + _SAMPLES + """
-SELECT 'anomaly_detection' AS model_type, 'anomaly_detection-20240202-020000' AS model_id,
+SELECT kind AS model_type, kind || '-20240202-020000' AS model_id,
   count(*) FILTER (NOT held) AS training_samples, TIMESTAMP '2024-02-02 02:00:00' AS updated_at
-FROM samples"""
+FROM samples, (VALUES ('anomaly_detection'), ('critical_detection')) t(kind) GROUP BY kind"""
+
+SQL["score_latest"] = """
+SELECT kind AS model_type, kind || '-20240202-020000' AS model_id, count(*) AS scored, count(*) AS messages,
+  TRUE AS rates_agree
+FROM events, (VALUES ('anomaly_detection'), ('critical_detection')) t(kind) GROUP BY kind"""
 
 _STORE = OBS + """,
 store AS (
@@ -685,3 +690,38 @@ SQL["bronze_device_history"] = with_ctes(READINGS) + """
 SELECT device_id AS device, split_part(topic, '/', 2) AS channel, TRUE AS parsed,
   CAST(event_id AS VARCHAR) AS message_id, TRUE AS few_files
 FROM readings WHERE device_id = 'device-42' AND event_id % 97 <> 0"""
+
+SQL["catalog_refresh"] = OBS + """,
+drift(table_name, column_name, change, from_type, to_type) AS (VALUES
+  ('raw_messages', 'battery', 'widened', 'bigint', 'double'),
+  ('raw_messages', 'site', 'conflict', 'string', 'struct<name:string>'),
+  ('raw_messages', 'firmware', 'added', NULL, 'string'),
+  ('fhir_documents', 'note', 'added', NULL, 'string')),
+counted AS (
+  SELECT 'raw_messages' AS t, 'rows' AS c, count(*) AS n FROM obsk
+  UNION ALL SELECT 'raw_messages', 'firmware', count(*) FILTER (event_id % 2 = 1) FROM obsk
+  UNION ALL SELECT 'raw_messages', 'battery',
+    CAST(sum(2 * (event_id % 100) + event_id % 2) AS BIGINT) FROM obsk
+  UNION ALL SELECT 'raw_messages', 'site', count(*) FROM obsk
+  UNION ALL SELECT 'fhir_documents', 'rows', count(*) FROM obsk
+  UNION ALL SELECT 'fhir_documents', 'note', count(*) FILTER (observation_date > DATE '2024-01-15') FROM obsk
+  UNION ALL SELECT 'fhir_documents', 'partitions', count(DISTINCT (type_key, observation_date)) FROM obsk)
+SELECT *, CAST(NULL AS BIGINT) AS n FROM drift
+UNION ALL SELECT t, c, 'counted', NULL, NULL, n FROM counted"""
+
+SQL["deterioration_asof"] = with_ctes(READINGS, PATIENTS) + f""",
+req AS (SELECT event_id, patient_id, CAST(ts AS DATE) AS day FROM readings WHERE patient_id IS NOT NULL),
+hist AS (
+  SELECT q.event_id, var_samp(r.heart_rate) AS hv, var_samp(r.systolic_bp) AS bv, count(*) AS n
+  FROM req q JOIN readings r ON r.patient_id = q.patient_id
+    AND CAST(r.ts AS DATE) >= q.day - 7 AND CAST(r.ts AS DATE) < q.day
+  GROUP BY q.event_id),
+f AS (
+  SELECT q.event_id, q.patient_id, p.chronic_conditions, coalesce(h.hv, p.heart_rate_variance, 10e0) AS hrv,
+    coalesce(h.bv, p.bp_variance, 15e0) AS bpv, coalesce(h.n, 0) AS history_readings
+  FROM req q LEFT JOIN hist h ON h.event_id = q.event_id LEFT JOIN patients p ON p.patient_id = q.patient_id),
+s AS (SELECT *, {_DET} AS score FROM f)
+SELECT event_id, patient_id, round(score, 6) AS score, {_DET_LEVEL} AS risk_level,
+  CAST(CASE WHEN score > 0.6 THEN 7 ELSE 14 END AS INTEGER) AS alert_threshold_days,
+  round(hrv, 6) AS heart_rate_variance, round(bpv, 6) AS bp_variance, history_readings
+FROM s"""

@@ -220,6 +220,23 @@ def q_deterioration_risk(spark, sf_dir):
                   "score", "heart_rate_variance", "bp_variance")
 
 
+@query("deterioration_asof")
+def q_deterioration_asof(spark, sf_dir):
+    """Deterioration risk as of every message of a registered patient: variances over the
+    seven whole days before the message, not over all history."""
+    from ..operators import predict
+    r = readings(spark, sf_dir)
+    requests = r.where(F.col("patient_id").isNotNull() & F.col("ts").isNotNull()).select(
+        "event_id", "patient_id", F.col("ts").alias("requested_at"))
+    f = predict.features_asof(testdata.load_patients(spark, sf_dir), requests,
+                              predict.daily_states(r), days=7, keep=("event_id",))
+    p = predict.predict(f, F.lit("deterioration_risk"))
+    return round6(p.select("event_id", "patient_id", "score", "risk_level", "alert_threshold_days",
+                           F.col("f_hr_variance").alias("heart_rate_variance"),
+                           F.col("f_bp_variance").alias("bp_variance"), "history_readings"),
+                  "score", "heart_rate_variance", "bp_variance")
+
+
 @query("prediction_dispatch")
 def q_prediction_dispatch(spark, sf_dir):
     """Mixed request types per patient: readmission, deterioration, an unknown
@@ -768,6 +785,46 @@ def q_catalog_sql(spark, sf_dir):
         spark.sql(f"DROP DATABASE IF EXISTS {db} CASCADE")
 
 
+@query("catalog_refresh")
+def q_catalog_refresh(spark, sf_dir):
+    """Raw and FHIR area registered after a first landing and refreshed after a second one
+    with a new, a wider and a conflicting column and new partitions: the recorded drift,
+    and what SQL over the refreshed tables counts."""
+    from ..session import scratch_path
+    from ..sinks.tables import export_documents
+    from ..sources import catalog
+    msgs = testdata.load_messages(spark, sf_dir)
+    obs = observations(spark, sf_dir).withColumn("note", F.concat(F.lit("note "), "event_id"))
+    raw, fhir, logs = (scratch_path(spark, n) for n in ("raw_area", "fhir_area", "catalog_log"))
+    load = F.col("event_id") % 100
+    late = F.col("observation_date") > F.lit("2024-01-15")
+    db = catalog.create_database(spark)
+    try:
+        for part in (0, 1):
+            extra = [load.alias("battery"), F.lit("ward").alias("site")] if part == 0 else [
+                (load + 0.5).alias("battery"), F.struct(F.lit("ward").alias("name")).alias("site"),
+                F.lit("2.1").alias("firmware")]
+            body = F.struct(*testdata.MESSAGE_JSON_FIELDS, *extra)
+            (msgs.where(F.col("event_id") % 2 == part).select(F.to_json(body).alias("value"))
+             .write.text(f"{raw}/wearables/{part}"))
+            export_documents(obs.where(late if part else ~late), fhir, "append", ("note",) if part else ())
+            catalog.refresh(spark, db, "raw_messages", raw, logs)
+            catalog.refresh(spark, db, "fhir_documents", fhir, logs, partitions=["device_type", "observation_date"])
+        found = catalog.drift(spark, logs, "raw_messages").unionByName(catalog.drift(spark, logs, "fhir_documents"))
+        found = found.select("table_name", "column_name", "change", "from_type", "to_type", F.lit(None).cast("long").alias("n"))
+        counts = [("raw_messages", "rows", "count(*)"), ("raw_messages", "firmware", "count(firmware)"),
+                  ("raw_messages", "battery", "cast(sum(battery * 2) as bigint)"), ("raw_messages", "site", "count(site)"),
+                  ("fhir_documents", "rows", "count(*)"), ("fhir_documents", "note", "count(note)"),
+                  ("fhir_documents", "partitions", "count(distinct device_type, observation_date)")]
+        for t, name, what in counts:
+            found = found.unionByName(spark.sql(
+                f"SELECT '{t}' AS table_name, '{name}' AS column_name, 'counted' AS change, "
+                f"cast(null as string) AS from_type, cast(null as string) AS to_type, {what} AS n FROM {db}.{t}"))
+        return catalog.saved(found, scratch_path(spark, "catalog_refresh"))
+    finally:  # external tables: their files stay
+        spark.sql(f"DROP DATABASE IF EXISTS {db} CASCADE")
+
+
 # ---------------------------------------------------------------- streaming
 def _ingest(spark, sf_dir, quarantine: bool = False, corrupt_every: int = 0):
     """Land the messages as published -- below <channel>/<device group>/ folders,
@@ -925,16 +982,33 @@ def q_next_reading(spark, sf_dir):
                         F.col("next.ts").alias("next_ts")), "next_ts")
 
 
+def _model_root(spark, sf_dir) -> str:
+    """Three real training runs, once per session: one model type over the messages up to
+    the run's time and again over all of them, another type over all."""
+    from datetime import datetime, timezone
+
+    from ..operators import ml
+    from ..session import scratch_path
+
+    def build():
+        msgs = testdata.load_messages(spark, sf_dir)
+        root = scratch_path(spark, "models")
+        first = datetime(2024, 2, 1, 2, tzinfo=timezone.utc)
+        second = datetime(2024, 2, 2, 2, tzinfo=timezone.utc)
+        ml.train_and_register(spark, msgs.where(F.try_to_timestamp("timestamp") <= F.lit(first)), root, at=first)
+        ml.train_and_register(spark, msgs, root, at=second)
+        ml.train_and_register(spark, msgs, root, "critical_detection", at=second)
+        return root
+    return kept("models", spark, sf_dir, build)
+
+
 @query("train_model")
 def q_train_model(spark, sf_dir):
     """GBT on next-reading abnormality: sample and label counts, and whether the
     registered metrics are proper rates and the model can be loaded."""
     from pyspark.ml import PipelineModel
-
-    from ..operators import ml
-    from ..session import scratch_path
-    reg = ml.train_and_register(spark, testdata.load_messages(spark, sf_dir),
-                                scratch_path(spark, "models"))
+    reg = spark.read.parquet(f"{_model_root(spark, sf_dir)}/registry").where(
+        "model_id = 'anomaly_detection-20240202-020000'")
     folder = reg.first()["model_path"].rsplit("/", 1)[0]
     data = spark.read.parquet(f"{folder}/training_set")
     loaded = len(PipelineModel.load(f"{folder}/model").stages) == 2
@@ -948,23 +1022,26 @@ def q_train_model(spark, sf_dir):
 
 @query("model_latest")
 def q_model_latest(spark, sf_dir):
-    """Two real training runs, the first over the messages up to its time, the second
-    over all: the latest record per model type wins."""
-    from datetime import datetime, timezone
-
-    from ..operators import ml
-    from ..session import scratch_path
+    """Of the training runs of each model type the latest record wins."""
     from ..sinks import registry as R
-    msgs = testdata.load_messages(spark, sf_dir)
-    root = scratch_path(spark, "registry")
-    first = datetime(2024, 2, 1, 2, tzinfo=timezone.utc)
-    ml.train_and_register(spark, msgs.where(F.try_to_timestamp("timestamp") <= F.lit(first)), root, at=first)
-    reg = ml.train_and_register(spark, msgs, root, at=datetime(2024, 2, 2, 2, tzinfo=timezone.utc))
-    latest = R.latest(reg)
+    latest = R.latest(spark.read.parquet(f"{_model_root(spark, sf_dir)}/registry"))
     return ntz(latest.select("model_type", "model_id", "training_samples", "updated_at"),
                "updated_at")
 
 
+@query("score_latest")
+def q_score_latest(spark, sf_dir):
+    """Every message scored by the latest model of each type: rows per model, and whether a
+    message is called positive exactly where its probability is above one half."""
+    from ..operators import ml
+    registry = spark.read.parquet(f"{_model_root(spark, sf_dir)}/registry")
+    s = ml.score_latest(registry, testdata.load_messages(spark, sf_dir))
+    rate = F.col("probability").between(0.0, 1.0)
+    return s.groupBy("model_type", "model_id").agg(
+        F.count(F.lit(1)).alias("scored"), F.count_distinct("message_id").alias("messages"),
+        F.every(rate & (F.col("positive") == (F.col("probability") > 0.5))).alias("rates_agree"))
+
+
 @query("search_stored")
 def q_search_stored(spark, sf_dir):
     """One store with device documents, API-created ones (every 10th, without an id)

@@ -35,6 +35,7 @@ class StoreIndex:
         self.spark, self.store, self.root = spark, store.rstrip("/"), root.rstrip("/")
         self.columns, self.id_col, self.key, self.buckets = columns, id_col, key, buckets
         self.log = RunLog(spark, root)
+        self._schema = None
 
     # ----------------------------------------------------------------- reading
     def _parts(self, name: str) -> list[str]:
@@ -52,7 +53,10 @@ class StoreIndex:
 
     def read(self, paths: list[str]) -> DataFrame:
         """These files of the store, with its partition columns."""
-        return self.spark.read.option("basePath", self.store).parquet(*paths)
+        reader = self.spark.read.option("basePath", self.store)
+        if self._schema is None:  # looked up once, not for every page
+            self._schema = reader.parquet(*paths).schema
+        return reader.schema(self._schema).parquet(*paths)
 
     # ----------------------------------------------------------------- writing
     def _on_disk(self) -> DataFrame:
@@ -62,7 +66,7 @@ class StoreIndex:
 
     def refresh(self) -> int:
         """Bring the index up to date; returns how many files were new."""
-        run = self.log.open_run()
+        run, self._schema = self.log.open_run(), None
         if run is not None:
             self.log.mark(run.number, "dropped")
         known = self.files()

@@ -78,13 +78,14 @@ def write_observations(obs: DataFrame, path: str, mode: str = "append") -> int |
                        options={"parquet.bloom.filter.enabled#id": "true"})
 
 
-def export_documents(obs: DataFrame, path: str) -> None:
-    """Observation documents as JSON text (one per line), same partition layout."""
+def export_documents(obs: DataFrame, path: str, mode: str = "overwrite", extra: tuple = ()) -> None:
+    """Observation documents as JSON text (one per line), same partition layout;
+    ``extra`` names further columns of the document."""
     from ..operators.observations import OBSERVATION_FIELDS
     present = [c for c in OBSERVATION_FIELDS if c in obs.columns]
     docs = obs.select(*OBSERVATION_PARTITIONS,
-                      F.to_json(F.struct(*present)).alias("value"))
-    docs.hint("rebalance", *OBSERVATION_PARTITIONS).write.mode("overwrite") \
+                      F.to_json(F.struct(*present, *extra)).alias("value"))
+    docs.hint("rebalance", *OBSERVATION_PARTITIONS).write.mode(mode) \
         .partitionBy(*OBSERVATION_PARTITIONS).text(path)
 
 

@@ -10,15 +10,19 @@ from pulsegrid.sources import testdata
 def test_model_latest_runs_are_whole(spark, sf_small, monkeypatch):
     runs = []
 
-    def run(spark, messages, root, trees=ml.TRAIN_N_ESTIMATORS, at=None):
-        runs.append((trees, at, messages.count()))
-        return spark.createDataFrame([("m", "id", "path", at, 1)],
-                                     "model_type string, model_id string, model_path string, "
-                                     "updated_at timestamp, training_samples long")
+    def run(spark, messages, root, model_type="anomaly_detection", trees=ml.TRAIN_N_ESTIMATORS, at=None):
+        runs.append((trees, at, messages.count(), model_type))
+        one = spark.createDataFrame([(model_type, "id", "path", at, 1)],
+                                    "model_type string, model_id string, model_path string, "
+                                    "updated_at timestamp, training_samples long")
+        one.write.mode("append").parquet(f"{root}/registry")
 
     monkeypatch.setattr(ml, "train_and_register", run)
-    queries.q_model_latest(spark, sf_small)
+    monkeypatch.setattr(queries, "_KEPT", {})
+    assert queries.q_model_latest(spark, sf_small).count() == 2
     ts = F.try_to_timestamp("timestamp")
     messages = testdata.load_messages(spark, sf_small)
-    assert [n for _, _, n in runs] == [messages.where(ts <= F.lit(runs[0][1])).count(), messages.count()]
-    assert {trees for trees, _, _ in runs} == {ml.TRAIN_N_ESTIMATORS}
+    early, whole = messages.where(ts <= F.lit(runs[0][1])).count(), messages.count()
+    assert [(kind, n) for _, _, n, kind in runs] == [
+        ("anomaly_detection", early), ("anomaly_detection", whole), ("critical_detection", whole)]
+    assert {trees for trees, _, _, _ in runs} == {ml.TRAIN_N_ESTIMATORS}
