@@ -725,3 +725,9 @@ SELECT event_id, patient_id, round(score, 6) AS score, {_DET_LEVEL} AS risk_leve
   CAST(CASE WHEN score > 0.6 THEN 7 ELSE 14 END AS INTEGER) AS alert_threshold_days,
   round(hrv, 6) AS heart_rate_variance, round(bpv, 6) AS bp_variance, history_readings
 FROM s"""
+
+SQL["basic_documents"] = OBS + """
+SELECT observation_id,
+  CAST((heart_rate IS NOT NULL)::INT + (blood_oxygen IS NOT NULL)::INT AS INTEGER) AS n_components,
+  device_id, TRUE AS in_todays_folder
+FROM obsk"""

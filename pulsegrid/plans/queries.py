@@ -1085,6 +1085,24 @@ def q_observation_json_roundtrip(spark, sf_dir):
     return ntz(O.observations_wide(back), "effective_timestamp")
 
 
+@query("basic_documents")
+def q_basic_documents(spark, sf_dir):
+    """Documents of the basic variant exported below their processing date, read back and
+    parsed: every one lies in the folder of the day the job ran."""
+    from ..session import scratch_path
+    from ..sinks.tables import export_by_processing_date
+    from ..sources import files
+    from ..schemas import OBSERVATION_WITH_CORRUPT
+    path = scratch_path(spark, "basic_documents")
+    export_by_processing_date(observations(spark, sf_dir, basic=True), path)
+    lines = spark.read.schema("value string, year string, month string, day string").text(path)
+    day = F.to_date(F.concat_ws("-", "year", "month", "day"))
+    docs = files.valid_rows(files.parse_json_column(
+        lines.withColumn("recent", F.datediff(F.current_date(), day) <= 1), "value", OBSERVATION_WITH_CORRUPT))
+    return docs.select(F.col("id").alias("observation_id"), F.size("component").alias("n_components"),
+                       F.col("device.identifier.value").alias("device_id"), F.col("recent").alias("in_todays_folder"))
+
+
 @query("stream_metrics")
 def q_stream_metrics(spark, sf_dir):
     """Scoring stage of the stream: metric rows per evaluation, summarised."""
