@@ -9,21 +9,22 @@ hashes long.  Candidates come from regions in two ways:
   ``REGION`` documents, neighbours in the sorted order (longest common prefix) and
   the pairs of each member with the region's smallest document: a few per document,
   enough to join most near copies;
-* then, until nothing is left, the pairs of a whole region (``SHALLOWEST`` hashes,
-  whatever its size) that lie in different components so far and were not tested
-  yet.  Members are compared in blocks, by size and by a small sketch; the best few
-  pairs of a document go to the test, the others wait: most of them lie in one
-  component after it. Each further round takes ``WIDEN`` times as many, until one
-  has left no pair out.
-
-Every candidate is confirmed on the full sets.  Equal sets are one node from the
-start, so copies are never expanded into pairs.  Regions without a second
+* then the pairs of a whole region (``SHALLOWEST`` hashes, whatever its size) that
+  lie in different components so far. They are decided where they meet: the sets of
+  a region's members come together in blocks, an upper bound on the intersection
+  (counts by hash bucket, exact as a bound) leaves most pairs out, the others are
+  counted. A block keeps its own union-find and skips what is joined already, so
+  links leave it, at most one less than it has components, and never pairs.
+
+First pairs are confirmed on the full sets like the others. Equal sets are one node
+from the start, so copies are never expanded into pairs.  Regions without a second
 member, most of all, leave before any text is moved; sets are built for members
 of other regions only.  Components come from minimum labels with pointer jumping;
 links and labels stay distributed.
 
 Chance of missing a link of similarity 0.85: (1 - 0.85**5)**16 < 0.0001 for one
-pair, in regions of any size, and the sketch test lets go fewer than 0.0001.
+pair, in regions of any size; nothing else is left out. (The small sketch only
+chooses among first pairs.) Words and shingles are compared by 64-bit hashes.
 
 Defined results: null, empty and blank texts have no shingles and stay alone; a
 text of fewer than ``WORDS`` words is one shingle; rows that share an id and differ
@@ -51,8 +52,8 @@ REGION = 64
 SKETCH = 64           # bytes of a node's sketch
 SKETCH_AGREE = 42     # of these, for similarity 0.85: 54.7 expected, deviation 2.8
 BLOCK = 2048          # members compared at once
-BEST = 4              # pairs per document of a region in the first round
-WIDEN = 8             # times as many in each further round
+BLOCK_SHINGLES = 4_000_000  # and shingles on a side of a block, on average
+BUCKETS = 512         # counts per set in the bound on an intersection
 
 _rng = np.random.default_rng(20240229)
 _FACTORS = (_rng.integers(0, 1 << 32, TREES * DEEPEST, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)[:, None]
@@ -291,53 +292,86 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def open_pairs(members: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int,
-               most: int) -> DataFrame:
-    """a, b, more: likely pairs of different components inside a whole region, the
-    ``most`` best per member and block; ``more`` says that the member has others."""
+def decided(node: np.ndarray, comp: np.ndarray, sets: list[np.ndarray], mine: np.ndarray, others: np.ndarray,
+            percent: int) -> list[tuple[int, int]]:
+    """Links between members of different components: every pair of ``mine`` and ``others``
+    is decided on full sets, unless links of the block have joined its components before."""
+    n = np.array([len(x) for x in sets], np.int64)
+    counts = np.zeros((len(sets), BUCKETS), np.uint32)
+    shift = np.uint64(64 - BUCKETS.bit_length() + 1)
+    for i, x in enumerate(sets):
+        counts[i] = np.bincount((x >> shift).astype(np.int64), minlength=BUCKETS)
+    _, own = np.unique(comp, return_inverse=True)
+    root = np.arange(own.max() + 1 if len(own) else 0)  # of each component of the block
+    links = []
+    for k in mine.tolist():
+        at = others[(root[own[others]] != root[own[k]])]
+        at = at[100 * np.minimum(n[at], n[k]) >= percent * np.maximum(n[at], n[k])]
+        if not len(at):
+            continue
+        most = np.minimum(counts[at], counts[k]).sum(axis=1, dtype=np.int64)
+        ok = 100 * most >= percent * (n[at] + n[k] - most)
+        at = at[ok][np.argsort(-most[ok], kind="stable")]
+        while len(at):
+            step = max(int(np.searchsorted(np.cumsum(n[at]), 200_000)), 1)
+            now, at = at[:step], at[step:]
+            flat = np.concatenate([sets[i] for i in now])
+            place = np.minimum(np.searchsorted(sets[k], flat), n[k] - 1)
+            common = np.add.reduceat((sets[k][place] == flat).astype(np.int64), np.cumsum(n[now]) - n[now])
+            for i in now[100 * common >= percent * (n[now] + n[k] - common)].tolist():
+                x, y = root[own[k]], root[own[i]]
+                if x != y:
+                    links.append((int(min(node[k], node[i])), int(max(node[k], node[i]))))
+                    root[root == max(x, y)] = min(x, y)
+            at = at[root[own[at]] != root[own[k]]]
+    return links
+
+
+def region_links(members: DataFrame, labels: DataFrame, nodes: DataFrame, sets: DataFrame,
+                 percent: int) -> DataFrame:
+    """a, b: links between different components inside whole regions, enough to join
+    all that their members' pairs join."""
     placed = (members.select(F.col("key").alias("region"), "node").join(labels.hint("merge"), "node", "left")
-              .withColumn("component", F.coalesce("component", "node")))
+              .withColumn("component", F.coalesce("component", "node"))
+              .join(nodes.select("node", "n").hint("merge"), "node"))
     mixed_up = (placed.groupBy("region").agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
-                                             F.count(F.lit(1)).alias("size"))
+                                             F.count(F.lit(1)).alias("size"), F.sum("n").alias("volume"))
                 .where("lo < hi"))
     # the largest component of a region is compared with the others only, not with itself
-    sizes = (placed.join(mixed_up.select("region", "size").hint("merge"), "region")
-             .groupBy("region", "component").agg(F.count(F.lit(1)).alias("own"), F.max("size").alias("size")))
-    main = sizes.groupBy("region").agg(F.max_by("component", F.struct("own", "component")).alias("main"),
-                                       F.max("size").alias("size"), F.max("own").alias("own"))
+    sizes = (placed.join(mixed_up.select("region", "size", "volume").hint("merge"), "region")
+             .groupBy("region", "component").agg(F.count(F.lit(1)).alias("own"), F.max("size").alias("size"),
+                                                 F.sum("n").alias("mine"), F.max("volume").alias("volume")))
+    most = F.struct("own", "component")
+    main = sizes.groupBy("region").agg(F.max_by("component", most).alias("main"), F.max("size").alias("size"),
+                                       F.max("own").alias("own"), F.max("volume").alias("volume"),
+                                       F.max_by("mine", most).alias("mine"))
+    blocks = lambda members, shingles: F.expr(
+        f"CAST(greatest(ceil(({members}) / {BLOCK}), ceil(({shingles}) / {BLOCK_SHINGLES})) AS INT)")
     rows = (placed.join(main.hint("merge"), "region")
-            .join(nodes.select("node", "n", "sketch").hint("merge"), "node")
             .withColumn("rest", F.col("component") != F.col("main"))
-            .withColumn("rows", F.expr(f"CAST(ceil((size - own) / {BLOCK}) AS INT)"))
-            .withColumn("cols", F.expr(f"CAST(ceil(size / {BLOCK}) AS INT)")))
-    # block (i, j) of a region: rest members of row block i against all members of column block j
+            .withColumn("rows", blocks("size - own", "volume - mine"))
+            .withColumn("cols", blocks("size", "volume")))
+    # block (i, j) of a region: rest members of row block i against all members of column
+    # block j; where there is one block every member goes there once, as both
     salt = F.xxhash64("node")
-    left = (rows.where("rest").withColumn("i", F.pmod(salt, F.col("rows")).cast("int"))
+    one = F.expr("rows = 1 AND cols = 1")
+    left = (rows.where(F.col("rest") & ~one).withColumn("i", F.pmod(salt, F.col("rows")).cast("int"))
             .withColumn("j", F.explode(F.expr("sequence(0, cols - 1)"))).withColumn("side", F.lit(0)))
     right = (rows.withColumn("j", F.pmod(salt, F.col("cols")).cast("int"))
-             .withColumn("i", F.explode(F.expr("sequence(0, rows - 1)"))).withColumn("side", F.lit(1)))
-    cells = left.unionByName(right).select("region", "i", "j", "side", "node", "component", "n", "sketch")
+             .withColumn("i", F.explode(F.expr("sequence(0, rows - 1)")))
+             .withColumn("side", F.when(one & F.col("rest"), F.lit(2)).otherwise(F.lit(1))))
+    cells = left.unionByName(right).select("region", "i", "j", "side", "node", "component")
+    cells = cells.join(sets.hint("merge"), "node").select("region", "i", "j", "side", "node", "component", "members")
 
     def run(t: pa.Table) -> pa.Table:
-        side, node, comp, n = (t.column(c).to_numpy() for c in ("side", "node", "component", "n"))
-        sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
-        mine, r = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        out = [[], [], []]
-        for k in mine.tolist():
-            fits = r[(comp[r] != comp[k]) & (100 * np.minimum(n[r], n[k]) >= percent * np.maximum(n[r], n[k]))]
-            if not len(fits):
-                continue
-            agree = (sketch[fits] == sketch[k]).sum(axis=1)
-            fits, agree = fits[agree >= SKETCH_AGREE], agree[agree >= SKETCH_AGREE]
-            best = fits[np.argsort(-agree, kind="stable")[:most]]
-            out[0].append(np.minimum(node[best], node[k]))
-            out[1].append(np.maximum(node[best], node[k]))
-            out[2].append(np.full(len(best), len(fits) > most))
-        a, b, more = [np.concatenate(x) if x else np.zeros(0) for x in out]
-        return pa.table([pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64)),
-                         pa.array(more.astype(bool))], names=["a", "b", "more"])
-
-    return cells.groupBy("region", "i", "j").applyInArrow(run, "a long, b long, more boolean")
+        side = t.column("side").to_numpy()
+        found = decided(t.column("node").to_numpy(), t.column("component").to_numpy(),
+                        [np.frombuffer(x, np.uint64) for x in t.column("members").to_pylist()],
+                        np.flatnonzero(side != 1), np.flatnonzero(side != 0), percent)
+        a, b = zip(*found) if found else ((), ())
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return cells.groupBy("region", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def _judged(docs: DataFrame, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -355,24 +389,12 @@ def _judged(docs: DataFrame, percent: int, id_col: str = "doc_id", text_col: str
     members = region_members(nodes)
     sets = member_sets(docs, nodes, members)
 
-    tested = durable(_likely(first_pairs(members), nodes, percent), "forest-pairs")
-    links = durable(confirm(tested, sets, percent), "forest-links")
-    labels, most = components(links), BEST
-    while True:
-        found = durable(open_pairs(members, labels, nodes, percent, most)
-                        .groupBy("a", "b").agg(F.max("more").alias("more")), "forest-open")
-        pairs = durable(found.join(tested.hint("merge"), ["a", "b"], "left_anti").select("a", "b"),
-                        "forest-pairs")
-        if pairs.isEmpty():
-            if found.where("more").isEmpty():
-                break  # every likely pair of different components was tested
-        else:
-            tested = tested.unionByName(pairs)
-            more = durable(confirm(pairs, sets, percent), "forest-links")
-            if not more.isEmpty():
-                links = links.unionByName(more)
-                labels = components(links)
-        most *= WIDEN
+    near = durable(_likely(first_pairs(members), nodes, percent), "forest-pairs")
+    links = durable(confirm(near, sets, percent), "forest-links")
+    labels = components(links)
+    more = durable(region_links(members, labels, nodes, sets, percent), "forest-links")
+    if not more.isEmpty():
+        labels = components(links.unionByName(more))
 
     # a component is named by its smallest id
     placed = nodes.select("node", "print", F.col("first.doc_id").alias("id")).join(

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import numpy as np
 
-from .pretoken import _inverses, _powers, code_keys
-
 _SPACE = np.zeros(256, np.bool_)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 
@@ -18,6 +16,18 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def placed_sums(symbols: np.ndarray, sizes: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit sum per word over words laid end to end: every symbol counts with a
+    value drawn for it and its place in the word, so no arithmetic between places
+    (as in a polynomial) lets different words meet."""
+    ends = np.cumsum(sizes)
+    place = np.arange(len(symbols), dtype=np.uint64) - np.repeat((ends - sizes).astype(np.uint64), sizes)
+    with np.errstate(over="ignore"):
+        drawn = mixed((place << np.uint64(21)) + symbols + np.uint64(seed * 0x9E3779B97F4A7C15 % 2 ** 64))
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(drawn, dtype=np.uint64)])
+        return total[ends] - total[ends - sizes] + sizes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+
 def word_hashes(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(hash of every word in order, cuts): the words of body i are cuts[i]:cuts[i+1]."""
     data = np.frombuffer(b"".join(x for b in bodies for x in (b, b"\n")), np.uint8)
@@ -26,10 +36,6 @@ def word_hashes(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     inside = ~_SPACE[data]
     edge = np.flatnonzero(np.diff(inside, prepend=False))
     starts, ends = edge[::2], edge[1::2]  # the last byte is a space, so edges pair up
-    with np.errstate(over="ignore"):
-        keys = code_keys()[:256][data] * _powers(len(data))
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(keys, dtype=np.uint64)])
-        raw = (total[ends] - total[starts]) * _inverses(len(data))[starts]
-        raw += (ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    raw = placed_sums(data[inside], ends - starts)
     bounds = np.cumsum([0, *[len(b) + 1 for b in bodies]])
     return mixed(raw), np.searchsorted(starts, bounds)

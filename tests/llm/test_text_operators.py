@@ -115,7 +115,9 @@ def test_near_duplicates(spark):
 def test_near_duplicates_tiny_regions_and_blocks(spark, monkeypatch):
     monkeypatch.setattr(lsh_forest, "REGION", 2)
     monkeypatch.setattr(lsh_forest, "BLOCK", 3)
-    monkeypatch.setattr(lsh_forest, "BEST", 1)
+    check_near(spark, near_rows()[:60])
+    monkeypatch.setattr(lsh_forest, "BLOCK", 2048)
+    monkeypatch.setattr(lsh_forest, "BLOCK_SHINGLES", 700)
     check_near(spark, near_rows()[:60])
 
 
@@ -134,6 +136,61 @@ def test_near_links_of_large_regions_share_few_hashes(spark, monkeypatch):
     check_near(spark, rows)
 
 
+def test_near_links_are_decided_inside_a_block():
+    import numpy as np
+    rnd = np.random.default_rng(4)
+    for buckets in (512, 8):
+        base = rnd.integers(0, 2 ** 63, 120, dtype=np.uint64)
+        sets = []
+        for k in range(60):
+            x = base.copy()
+            at = rnd.choice(120, rnd.integers(0, 22), replace=False)
+            x[at] = rnd.integers(0, 2 ** 63, len(at), dtype=np.uint64)
+            sets.append(np.unique(x[:rnd.integers(90, 121)]))
+        comp = rnd.integers(0, 40, 60)
+        old, lsh_forest.BUCKETS = lsh_forest.BUCKETS, buckets
+        links = lsh_forest.decided(np.arange(60) * 3, comp, sets, np.arange(60), np.arange(60), 85)
+        lsh_forest.BUCKETS = old
+
+        def joined(edges):
+            root = {i: i for i in range(60)}
+            for a, b in [*edges, *[(i, j) for i in range(60) for j in range(60) if comp[i] == comp[j]]]:
+                ra, rb = root[a], root[b]
+                root = {i: min(ra, rb) if r in (ra, rb) else r for i, r in root.items()}
+            return root
+        every = [(i, j) for i in range(60) for j in range(i)
+                 if 100 * len(np.intersect1d(sets[i], sets[j])) >= 85 * len(np.union1d(sets[i], sets[j]))]
+        assert joined([(a // 3, b // 3) for a, b in links]) == joined(every)
+        assert len(links) < len(set(comp)) and set((b // 3, a // 3) for a, b in links) <= set(every)
+
+
+def test_near_links_not_pairs_leave_a_large_group(spark, monkeypatch):
+    """Texts of one template, half of their pairs below the bar: links stay below the texts."""
+    base = prose(77, 100).split()
+    rows = []
+    for i in range(150):
+        words = list(base)
+        for k in range(5):
+            words[(i * 7 + k * 37) % 100] = f"w{i}x{k}"
+        rows.append((i, " ".join(words)))
+    found = []
+    real = lsh_forest.region_links
+    monkeypatch.setattr(lsh_forest, "region_links", lambda *a: found.append(real(*a)) or found[-1])
+    check_near(spark, rows)
+    regions = 16 * 150  # a text lies in at most so many
+    assert found[0].count() < regions
+
+
+def test_near_words_that_polynomials_confuse(spark):
+    """Different words, one fingerprint modulo 2**64 with any odd base."""
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rows = [(1, f"one two three four {word}"), (2, f"one two three four {other}")]
+    check_near(spark, rows)
+    got = lsh_forest.near_duplicates(small_docs(spark, rows)).collect()
+    assert all(r.kept for r in got)
+
+
 def test_near_texts_that_share_an_id(spark):
     """Every text of an id is compared and kept or removed on its own."""
     def copy(seed):
