@@ -16,8 +16,11 @@ merge never opens a pair of lower rank than its own.
 Encoded words stay in the worker for later batches, ``MAX_WORDS`` at most; then
 the store starts afresh, which changes no result.
 
+A long word is encoded in runs, cut where two bytes stand side by side in no token,
+which no merge can cross. Words are told apart by 128 bits of fingerprint.
+
 Defined results: null text is the empty text (no ids); special strings are
-ordinary text; repeated rows are encoded each.
+ordinary text; repeated rows are encoded each; a null id stays null.
 """
 
 from __future__ import annotations
@@ -37,6 +40,7 @@ from .token_counts import batches_of
 MAX_WORDS = 600_000
 BATCH_BYTES = 400_000  # of new words in one recursive query
 BATCH_CHARS = 1_000_000
+LONG_WORD = 64  # bytes; longer words are cut into runs first
 
 ENCODE = """
 WITH RECURSIVE rounds(word, pos, token, done) AS (
@@ -93,12 +97,12 @@ def engine(ranks_path: str):
         con.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
         con.unregister("given")
     single = np.array([ranks[bytes((i,))] for i in range(256)], np.int32)
-    return con, single, {}
+    return con, (single, pretoken.byte_pairs(ranks)), {}
 
 
 def encode_words(words: list[bytes], ranks_path: str) -> list[tuple[bytes, bytes]]:
     """(ids as little-endian unsigned 32-bit integers, bytes they decode to) per word."""
-    con, single, _ = engine(ranks_path)
+    con, (single, _), _ = engine(ranks_path)
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     first = np.cumsum(sizes) - sizes
     con.register("fresh", pa.table({
@@ -116,23 +120,30 @@ def encode_words(words: list[bytes], ranks_path: str) -> list[tuple[bytes, bytes
 
 def encode_texts(texts: list[str], ranks_path: str) -> list[tuple[bytes, bytes]]:
     """(ids, decoded bytes) per text."""
-    known = engine(ranks_path)[2]
+    _, (_, beside), known = engine(ranks_path)
     starts, ends, doc, prints = pretoken.words(texts)
     if not len(starts):
         return [(b"", b"")] * len(texts)
-    _, first, where = np.unique(prints, return_index=True, return_inverse=True)
+    keys, first, where = pretoken.distinct(prints)
     if len(known) > MAX_WORDS:
         known.clear()
-    keys = prints[first].tolist()
     missing = [i for i, k in enumerate(keys) if k not in known]
     if missing:
         joined = "\0".join(texts)  # one separator where the layout has its sentinel
         fresh = [joined[starts[first[i]]:ends[first[i]]].encode() for i in missing]
-        fill = np.cumsum([len(w) for w in fresh]) // BATCH_BYTES
-        for lo, hi in zip(*(lambda c: (c, [*c[1:], len(fresh)]))(
+        # a long word goes in runs, which no merge crosses
+        parts = [pretoken.runs(w, beside) if len(w) > LONG_WORD else [w] for w in fresh]
+        flat = [r for p in parts for r in p]
+        fill = np.cumsum([len(r) for r in flat]) // BATCH_BYTES
+        done = []
+        for lo, hi in zip(*(lambda c: (c, [*c[1:], len(flat)]))(
                 [0, *(np.flatnonzero(np.diff(fill)) + 1).tolist()])):
-            for i, pair in zip(missing[lo:hi], encode_words(fresh[lo:hi], ranks_path)):
-                known[keys[i]] = pair
+            done += encode_words(flat[lo:hi], ranks_path)
+        at = 0
+        for i, p in zip(missing, parts):
+            mine = done[at:at + len(p)]
+            known[keys[i]] = mine[0] if len(p) == 1 else tuple(b"".join(x) for x in zip(*mine))
+            at += len(p)
     pairs = [known[k] for k in keys]
     ids = np.empty(len(pairs), object)
     bodies = np.empty(len(pairs), object)

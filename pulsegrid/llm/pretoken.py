@@ -14,6 +14,8 @@ from functools import lru_cache
 
 import numpy as np
 
+from .wordhash import placed_sums
+
 # symbols: character classes, with the lookahead the pattern needs folded in
 L, N, SPACE, WHITE, OTHER, END, APOS1, APOS2, SPACE_LAST, WHITE_LAST = range(10)
 # states: what the character just read belongs to
@@ -46,16 +48,6 @@ def class_table() -> np.ndarray:
     return table
 
 
-@lru_cache(maxsize=1)
-def code_keys() -> np.ndarray:
-    """A fixed 64-bit key per code point, for word fingerprints."""
-    x = np.arange(END_CODE + 1, dtype=np.uint64) + np.uint64(0x9E3779B97F4A7C15)
-    with np.errstate(over="ignore"):
-        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
-    return x ^ (x >> np.uint64(31))
-
-
 @lru_cache(maxsize=1)
 def transducer() -> tuple[np.ndarray, np.ndarray]:
     """next state and start mark, both indexed by symbol * STATES + state."""
@@ -142,44 +134,36 @@ def lay_out(texts: list[str]) -> np.ndarray:
 
 def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """start, end (code points over the laid-out texts), text number and
-    fingerprint of every word, in order."""
+    fingerprint (two times 64 bits) of every word, in order."""
     codes = lay_out(texts)
     sym = symbols(codes)
     starts = np.flatnonzero(word_marks(sym))
     ends = np.append(starts[1:], len(codes))
     real = sym[starts] != END
     doc = np.cumsum(sym[starts] == END)
-    starts, ends, doc = starts[real], ends[real], doc[real]
-    with np.errstate(over="ignore"):
-        keys = code_keys()[codes]
-        keys *= _powers(len(codes))
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(keys, dtype=np.uint64)])
-        prints = (total[ends] - total[starts]) * _inverses(len(codes))[starts]
-    return starts, ends, doc, prints
-
-
-FACTOR = 0x9E3779B97F4A7C15 | 1
-_tables: dict[int, np.ndarray] = {}
+    prints = np.stack([placed_sums(codes, ends - starts, seed) for seed in (1, 2)], axis=1)
+    return starts[real], ends[real], doc[real], prints[real]
 
 
-def _geometric(factor: int, n: int) -> np.ndarray:
-    """1, f, f*f, ... modulo 2**64, at least n of them (kept, grown by doubling)."""
-    have = _tables.get(factor)
-    if have is None or len(have) < n:
-        size = 1 << max(16, (n - 1).bit_length())
-        have = np.ones(size, np.uint64)
-        done, power = 1, factor
-        with np.errstate(over="ignore"):
-            while done < size:
-                have[done:2 * done] = have[:done] * np.uint64(power)
-                done, power = 2 * done, power * power % 2 ** 64
-        _tables[factor] = have
-    return have[:n]
+def distinct(prints: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray]:
+    """Different fingerprints, the first word of each, and which one every word has."""
+    _, first, where = np.unique(prints[:, 0], return_index=True, return_inverse=True)
+    if (prints[first, 1][where] != prints[:, 1]).any():  # the first halves do not suffice
+        _, first, where = np.unique(prints, axis=0, return_index=True, return_inverse=True)
+    return list(zip(prints[first, 0].tolist(), prints[first, 1].tolist())), first, where.ravel()
 
 
-def _powers(n: int) -> np.ndarray:
-    return _geometric(FACTOR, n)
+def byte_pairs(tokens) -> np.ndarray:
+    """[a, b]: whether byte b follows byte a inside some token."""
+    beside = np.zeros((256, 256), bool)
+    for t in tokens:
+        x = np.frombuffer(t, np.uint8)
+        beside[x[:-1], x[1:]] = True
+    return beside
 
 
-def _inverses(n: int) -> np.ndarray:
-    return _geometric(pow(FACTOR, -1, 2 ** 64), n)
+def runs(word: bytes, beside: np.ndarray) -> list[bytes]:
+    """The word cut between bytes that no token holds together: no merge crosses a cut."""
+    x = np.frombuffer(word, np.uint8)
+    cuts = [0, *(np.flatnonzero(~beside[x[:-1], x[1:]]) + 1).tolist(), len(word)]
+    return [word[a:b] for a, b in zip(cuts, cuts[1:])]

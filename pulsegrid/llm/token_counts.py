@@ -13,10 +13,13 @@ The future depends only on the longest suffix that begins some token and, for
 the positions inside that suffix, on their last tokens and relative counts; that
 finite tuple is the state.  States are compiled when first reached and kept per
 worker process, up to ``MAX_STATES``; then compilation starts afresh, which
-changes no result.
+changes no result. A long word is read in runs, cut where two bytes stand side by side
+in no token, which no merge can cross.
+
+Words are told apart by 128 bits of fingerprint.
 
 Defined results: null text is the empty text (0 tokens); special strings inside
-texts count one token each; repeated rows are counted each.
+texts count one token each; repeated rows are counted each; a null id stays null.
 """
 
 from __future__ import annotations
@@ -34,6 +37,7 @@ from .common import arrow_conf, id_text
 MAX_STATES = 150_000
 MAX_WORDS = 400_000
 BATCH_CHARS = 1_000_000
+LONG_WORD = 64  # bytes; longer words are cut into runs first
 
 
 class MergeTransducer:
@@ -44,6 +48,7 @@ class MergeTransducer:
         self.starts = {t[:i] for t in ranks for i in range(1, len(t) + 1)}
         self.bytes_of = {i: t for t, i in ranks.items()}
         self.halves: dict[int, tuple[int, int] | None] = {}
+        self.beside = pretoken.byte_pairs(ranks)
         self.reset()
 
     def reset(self) -> None:
@@ -120,6 +125,10 @@ class MergeTransducer:
         return to, added
 
     def count(self, word: bytes) -> int:
+        """Tokens of a word: of its runs, which no token crosses, one after the other."""
+        return sum(map(self.run, pretoken.runs(word, self.beside) if len(word) > LONG_WORD else [word]))
+
+    def run(self, word: bytes) -> int:
         if len(self.states) > MAX_STATES:
             self.reset()
         state = total = 0
@@ -132,7 +141,7 @@ class MergeTransducer:
 
 
 @lru_cache(maxsize=2)
-def transducer(tokenizer: str) -> tuple[MergeTransducer, dict[int, int], tuple[str, ...]]:
+def transducer(tokenizer: str) -> tuple[MergeTransducer, dict[tuple[int, int], int], tuple[str, ...]]:
     """The compiled tokenizer of this worker, counts by word, and special strings."""
     ranks, special = read_json(tokenizer)
     return MergeTransducer(ranks), {}, tuple(special)
@@ -150,10 +159,9 @@ def count_tokens(texts: list[str], tokenizer: str) -> np.ndarray:
         parts = [p for s in split for p in s]
         owner = np.repeat(np.arange(len(texts)), [len(s) for s in split])
     starts, ends, doc, prints = pretoken.words(parts)
-    _, first, where = np.unique(prints, return_index=True, return_inverse=True)
+    keys, first, where = pretoken.distinct(prints)
     if len(known) > MAX_WORDS:
         known.clear()
-    keys = prints[first].tolist()
     sizes = [known.get(k) for k in keys]
     missing = [i for i, n in enumerate(sizes) if n is None]
     if missing:

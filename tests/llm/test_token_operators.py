@@ -163,3 +163,33 @@ def test_little_padding(spark, sf_small):
     rows = registry.QUERIES["op1_packing"](spark, "/root/testdata/sf0.01").collect()
     n = check_pack(rows, 2048)
     assert n * 2048 <= 1.02 * sum(r.length for r in rows) + 2048
+
+
+def test_words_that_polynomials_confuse(library, core):
+    """Different words, one fingerprint modulo 2**64 with any odd base."""
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    other = word.translate(str.maketrans("ab", "ba"))
+    texts = [word, other, f"{word} {other}"]
+    want = [core.encode_ordinary(t) for t in texts]
+    assert [np.frombuffer(i, "<u4").tolist() for i, _ in bpe_sql.encode_texts(texts, RANKS)] == want
+    assert [b.decode() for _, b in bpe_sql.encode_texts(texts, RANKS)] == texts
+    assert token_counts.count_tokens(texts, JSON).tolist() == [len(x) for x in want]
+
+
+def test_first_halves_of_fingerprints_need_not_suffice():
+    prints = np.array([[1, 5], [1, 6], [2, 5], [1, 5]], np.uint64)
+    keys, first, where = pretoken.distinct(prints)
+    assert [keys[i] for i in where] == [(1, 5), (1, 6), (2, 5), (1, 5)] and len(keys) == 3
+    assert all(tuple(prints[f].tolist()) == k for k, f in zip(keys, first))
+
+
+def test_a_megabyte_without_a_space(library, core):
+    import random
+    rnd = random.Random(5)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    for text in ("".join(rnd.choice(letters) for _ in range(1_000_000)), "ab" * 20_000,
+                 "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(50_000))):
+        want = core.encode_ordinary(text)
+        assert token_counts.count_tokens([text], JSON).tolist() == [len(want)]
+        (ids, body), = bpe_sql.encode_texts([text], RANKS)
+        assert np.frombuffer(ids, "<u4").tolist() == want and body == text.encode()
