@@ -19,8 +19,9 @@ that radius only.  Queries that meet many in a cell are dealt out in blocks.
 
 Defined results: vectors that are null, zero, or hold null or non-finite numbers
 take no part, nor do vectors of another dimension than the most frequent one;
-equal queries are searched once; repeated rows count once; with fewer than k
-candidates all are returned.
+equal queries are searched once; repeated rows count once; rows with a null id take
+no part; equal scores go by id, vectors of one direction and any length included; with
+fewer than k candidates all are returned.
 """
 
 from __future__ import annotations
@@ -41,6 +42,7 @@ CELL = 8192
 BUCKET = 128
 SAMPLE = 20_000        # projected points that place the upper splits
 QUERY_BLOCK = 20_000
+ROUNDING = 1e-12       # squared distances this close are told apart by score and id
 
 
 def chi_square_quantile(p: float, freedom: int) -> float:
@@ -123,34 +125,37 @@ class CellIndex:
         self.low = np.array([self.projected[a:b].min(axis=0) for a, b in self.spans])
         self.high = np.array([self.projected[a:b].max(axis=0) for a, b in self.spans])
 
-    def nearest(self, unit: np.ndarray, projected: np.ndarray, weights: np.ndarray, k: int,
+    def nearest(self, unit: np.ndarray, projected: np.ndarray, score, first_id: list, k: int,
                 bound: float, reach: float) -> list[tuple[float, int]]:
-        """(squared distance, point) of the k nearest found; a point of weight w
-        fills w places.  ``bound``: squared distance of k places known already."""
+        """(score, point) of the k nearest found, ties to the smaller ``first_id``; ``score``
+        gives a point's exact measure. ``bound``: squared distance of k places known already.
+
+        Distances only choose what is scored: within ``ROUNDING`` of the k-th they are a tie."""
         gap = np.maximum(0, np.maximum(self.low - projected, projected - self.high))
         near = (gap ** 2).sum(axis=1)
-        best: list[tuple[float, int]] = []  # largest distance on top
-        places, kth = 0, bound
+        best: list[tuple[float, int, int]] = []  # worst on top
+        kth = bound
         for i in np.argsort(near, kind="stable").tolist():
-            if near[i] > reach * kth:  # the stopping test
+            if near[i] > reach * kth + ROUNDING:  # the stopping test
                 break
             a, b = self.spans[i]
             apart = ((self.projected[a:b] - projected) ** 2).sum(axis=1)
-            at = np.flatnonzero(apart <= reach * kth) if kth < np.inf else np.arange(b - a)
+            at = np.flatnonzero(apart <= reach * kth + ROUNDING) if kth < np.inf else np.arange(b - a)
             at = at[np.argsort(apart[at], kind="stable")]
             true = ((self.unit[a:b][at] - unit) ** 2).sum(axis=1)
             for d, p, far in zip(true.tolist(), (at + a).tolist(), apart[at].tolist()):
-                if far > reach * kth:
+                if far > reach * kth + ROUNDING:
                     break
-                if d <= kth or places < k:
+                if d <= kth + ROUNDING:
                     point = int(self.order[p])
-                    heapq.heappush(best, (-d, -point))
-                    places += int(weights[point])
-                    while best and places - int(weights[-best[0][1]]) >= k and -best[0][0] > d:
-                        places -= int(weights[-heapq.heappop(best)[1]])
-                    if places >= k:
-                        kth = min(kth, -best[0][0])
-        return [(-d, -p) for d, p in best]
+                    entry = (score(point), -first_id[point], point)
+                    if len(best) < k:
+                        heapq.heappush(best, entry)
+                    elif entry > best[0]:
+                        heapq.heapreplace(best, entry)
+                    if len(best) == k:
+                        kth = min(kth, max(2 - 2 * best[0][0], 0.0))
+        return [(s, p) for s, _, p in best]
 
 
 def _valid(vec: Column) -> Column:
@@ -229,14 +234,14 @@ def nearest_neighbours(vectors: DataFrame, queries: Column, k: int = 5, id_col:
             p = np.frombuffer(b"".join(t.column("projected").to_pylist())).reshape(-1, PROJECTED)
             index = CellIndex(x / norms[:, None], p)
             ids = t.column("ids").to_pylist()
-            weights = np.array([len(i) for i in ids])
+            first_id = [i[0] for i in ids]
             for seeker, vec, proj, bound in zip(*(q.column(c).to_pylist() for c in
                                                   ("seeker", "vec", "projected", "bound"))):
                 v = np.frombuffer(vec)
                 length = np.linalg.norm(v)
-                for _, i in index.nearest(v / length, np.frombuffer(proj), weights, k + 1,
-                                          np.inf if bound is None else bound, reach):
-                    score = float(np.dot(v, x[i]) / (length * norms[i]))
+                for score, i in index.nearest(
+                        v / length, np.frombuffer(proj), lambda i: float(np.dot(v, x[i]) / (length * np.linalg.norm(x[i]))),  # noqa: B023
+                        first_id, k + 1, np.inf if bound is None else bound, reach):
                     for one in ids[i]:
                         for col, value in zip(out, (seeker, one, score)):
                             col.append(value)
@@ -264,7 +269,7 @@ def nearest_neighbours(vectors: DataFrame, queries: Column, k: int = 5, id_col:
     first = durable(visit(seekers.withColumn("bound", F.lit(None).cast("double")))
                     .withColumn("nth", F.row_number().over(by_score)).where(F.col("nth") <= k + 1), "ann-first")
     kth = (first.groupBy("seeker").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("score"))
-           .select("seeker", F.expr(f"CASE WHEN n > {k} THEN greatest(2 - 2 * score, 1e-12) END").alias("bound")))
+           .select("seeker", F.expr(f"CASE WHEN n > {k} THEN greatest(2 - 2 * score, 0) END").alias("bound")))
 
     def further(batches):
         for b in batches:
@@ -273,7 +278,7 @@ def nearest_neighbours(vectors: DataFrame, queries: Column, k: int = 5, id_col:
                 p = np.frombuffer(proj)
                 gap = np.maximum(0, np.maximum(low - p, p - high))
                 near = (gap ** 2).sum(axis=1)
-                cells = np.flatnonzero(near <= (np.inf if bound is None else reach * bound))
+                cells = np.flatnonzero(near <= (np.inf if bound is None else reach * bound + ROUNDING))
                 cells = cells[cells != home]
                 out[0] += [seeker] * len(cells)
                 out[1] += cells.tolist()

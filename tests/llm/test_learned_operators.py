@@ -145,6 +145,21 @@ def test_neighbours_many_cells(spark, monkeypatch):
     assert sum(len(set(want[q]) & found[q]) for q in want) >= 0.9 * 5 * len(want)
 
 
+def test_neighbours_of_one_direction(spark, monkeypatch):
+    """Scaled copies of a vector differ by a rounding step or not at all: score, then id."""
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=16)
+    data = [(i, v * (1 + 0.37 * i)) for i in range(60)] + [(100 + i, rng.normal(size=16)) for i in range(40)]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in data], "vec_id long, embedding array<double>")
+    want = brute_neighbours(data, [d for d in data if d[0] % 50 == 0], 5)
+    for cell in (8192, 16):
+        monkeypatch.setattr(projected_search, "CELL", cell)
+        monkeypatch.setattr(projected_search, "BUCKET", 8)
+        got = projected_search.nearest_neighbours(df, F.col("vec_id") % 50 == 0).collect()
+        for q in (0, 50):
+            assert [r.vec_id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] == want[q]
+
+
 def test_neighbours_ties_and_odd_vectors(spark):
     rows = [(0, [1.0, 0.0]), *[(i, [2.0, 0.0]) for i in range(1, 30)], (50, [0.0, 1.0]), (51, [0.0, 0.0]),
             (52, None), (53, [float("nan"), 1.0]), (54, [None, 1.0]), (55, [1.0, 2.0, 3.0]),
