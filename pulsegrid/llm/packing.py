@@ -1,14 +1,16 @@
 """Packing token sequences by cutting-stock column generation.
 
-Documents longer than a sequence are cut into full sequences and a remainder;
-the lengths of all pieces, rounded up to ``quantum`` tokens, form a histogram.
+Documents longer than a sequence are cut into full sequences and a remainder; the
+lengths of all pieces, rounded up to ``quantum`` tokens, form a histogram.  Rounding
+would cost much on pieces of up to ``FINE`` tokens: they are packed among themselves, by
+their exact lengths.
 A linear program over patterns (multisets of lengths that fit one sequence)
 covers the histogram with the fewest sequences: its columns come from knapsack
 dynamic programming on the current prices until Farley's bound shows that the
 relaxation is within ``gap`` of the optimum.  Fractional pattern counts are
 rounded down and the residual lengths packed best-fit decreasing.
 
-The program sees only the histogram, at most ``capacity / quantum`` numbers
+The program sees only the histogram, at most ``FINE + capacity / quantum`` numbers
 whatever the input size, so it runs on the driver.  Documents never do: pieces
 are ranked inside their length class in salted groups (a class with a third of
 all pieces is spread over many tasks), and a rank range of a class names the
@@ -16,7 +18,9 @@ pattern, its copy and thereby the sequence.  Tokens are not shuffled, only
 (id, start, length, checksum) rows.
 
 Defined results: null text counts as empty; every document gets the end id, so
-an empty document is one piece of length 1; repeated rows are packed each.
+an empty document is one piece of length 1; repeated rows are packed each; a null
+id stays null; equal pieces are interchangeable; a text of any length is cut into as
+many pieces as it needs.
 """
 
 from __future__ import annotations
@@ -34,7 +38,9 @@ from .common import arrow_conf, durable, id_text
 CAPACITY = 2048
 QUANTUM = 8
 END_ID = 1
+FINE = 64           # pieces up to this length are packed by themselves, exactly
 GAP = 0.0005
+STALLED = 4         # times the number of lengths: pivots without progress before it stops
 ROWS_PER_SALT = 20_000
 
 
@@ -95,7 +101,13 @@ def solve_patterns(sizes: np.ndarray, demand: np.ndarray, room: int, gap: float
     base = np.diag((room // sizes).astype(float))
     inverse = np.diag(1.0 / np.diag(base))
     amount = inverse @ demand
+    least, stalled = np.inf, 0
     while True:
+        total = float(amount.sum())
+        stalled = 0 if total < least - 1e-9 * max(total, 1.0) else stalled + 1
+        least = min(least, total)
+        if stalled > STALLED * m:  # degenerate pivots may go round in circles; this basis covers all
+            return base, amount
         prices = inverse.sum(axis=0)
         worth, taken = knapsack(sizes, prices, room)
         if worth <= 1.0 + gap:  # Farley: no solution is below total / worth
@@ -166,13 +178,17 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, quantum: int = QUANTUM,
          gap: float = GAP) -> DataFrame:
     """pieces (doc_id, start, length, ...) -> the same rows with sequence_id and offset."""
     spark = pieces.sparkSession
-    room = capacity // quantum
-    pieces = durable(pieces.withColumn("size", F.expr(f"CAST(ceil(length / {quantum}) AS INT)")),
-                     "pack-pieces")
+    # classes: minus the length of a short piece, else the length in quanta
+    pieces = durable(pieces.withColumn("size", F.expr(
+        f"CAST(CASE WHEN length <= {FINE} THEN -length ELSE ceil(length / {quantum}) END AS INT)")), "pack-pieces")
     histogram = {r["size"]: r["n"] for r in
-                 pieces.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()}  # <= room rows
+                 pieces.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()}  # <= FINE + capacity / quantum
     total = sum(histogram.values())
-    ranges = pack_plan(histogram, room, gap)
+    ranges = [(-size, *rest) for size, *rest in
+              pack_plan({-s: n for s, n in histogram.items() if s < 0}, capacity, gap)]
+    used = max((first + -(-(hi - lo) // per) for _, lo, hi, per, first in ranges), default=0)
+    ranges += [(size, lo, hi, per, first + used) for size, lo, hi, per, first in
+               pack_plan({s: n for s, n in histogram.items() if s > 0}, capacity // quantum, gap)]
     plan = spark.createDataFrame(ranges, "size int, lo long, hi long, per long, first long")
 
     salts = max(1, -(-total // ROWS_PER_SALT))

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from pulsegrid.llm import bpe_files, bpe_sql, packing, pretoken, token_counts
 
@@ -193,3 +194,36 @@ def test_a_megabyte_without_a_space(library, core):
         assert token_counts.count_tokens([text], JSON).tolist() == [len(want)]
         (ids, body), = bpe_sql.encode_texts([text], RANKS)
         assert np.frombuffer(ids, "<u4").tolist() == want and body == text.encode()
+
+
+def padding(rows):
+    used = {}
+    for r in rows:
+        used[r.sequence_id] = used.get(r.sequence_id, 0) + r.length
+    assert max(used.values()) <= 2048
+    return 1 - sum(used.values()) / (2048 * len(used))
+
+
+@pytest.mark.parametrize("text,n", [(None, 10_000), ("one two three four five six seven eight nine ten", 5_000)])
+def test_little_padding_of_short_texts(spark, text, n):
+    docs = spark.range(n).selectExpr("id AS doc_id").withColumn("text", F.lit(text).cast("string"))
+    rows = packing.pack_documents(docs).collect()
+    assert len(rows) == n and padding(rows) < 0.05
+
+
+def test_degenerate_programs_end():
+    """Lengths that leave many equal ratios; and a stall stops with a basis that covers all."""
+    for histogram, room in (({1024: 8, 512: 16, 256: 32, 128: 64}, 2048), ({k: 64 for k in range(1, 65)}, 64),
+                            ({2048: 3, 1: 1}, 2048)):
+        ranges = packing.pack_plan(histogram, room)
+        packed = {}
+        for size, lo, hi, per, first in ranges:
+            for rank in range(lo, hi):
+                packed.setdefault(first + (rank - lo) // per, []).append(size)
+        assert max(map(sum, packed.values())) <= room
+        assert {s: sum(v.count(s) for v in packed.values()) for s in histogram} == histogram
+    old, packing.STALLED = packing.STALLED, 0
+    try:
+        assert sum(hi - lo for _, lo, hi, _, _ in packing.pack_plan({3: 7, 5: 9}, 16)) == 16
+    finally:
+        packing.STALLED = old
