@@ -16,11 +16,12 @@ best term per word, as they are and per word of the text, fitted on at most
 
 Bounded by parameters, not by the input: the labelled rows learned from
 (``TRAIN_ROWS``), so that their ids can be broadcast and no text is shuffled to
-find them; the lexicon (``MAX_TERMS``), the phrases (``MAX_PHRASES``) and the rows
-of the logistic fit (``FIT_ROWS``). Every document is scored.
+find them, and with them lexicon and phrases, whose terms occur in ``LEAST_TEXTS`` of
+them at least; and the rows of the logistic fit (``FIT_ROWS``). Every document is scored.
 
 Defined results: null and empty texts get the score of a text without hits; with
-no toxic training row every score is 0; repeated rows are scored each.
+no toxic training row every score is 0; repeated rows are scored each, under a null id
+as well; a score of exactly one half is predicted 1; words of any length are terms.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import re
 import unicodedata
 from collections import Counter
 from dataclasses import dataclass, field
-from functools import lru_cache
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -42,11 +43,8 @@ TRAIN_ROWS = 100_000
 STEMS = (4, 5, 6, 7)
 LEAST_WEIGHT = 2.0
 LEAST_TEXTS = 5
-MAX_TERMS = 20_000
-MAX_PHRASES = 20_000
 FIT_ROWS = 40_000
 HELD_TERMS = 250_000   # terms a task counts before it emits its partial sums
-LONGEST_WORD = 40      # longer words are no lexicon terms; their beginnings still are
 
 # FIXED VALUES: letters of other scripts, and digits and signs, that pass for a
 # Latin letter.  l, 1, | and ! all read as i.
@@ -76,8 +74,7 @@ def fold(text: str) -> str:
 
 def terms_of(word: str) -> list[str]:
     """`` word `` and its beginnings `` wor``, as they stand in folded text."""
-    out = [f" {word} "] if len(word) <= LONGEST_WORD else []
-    return out + [f" {word[:k]}" for k in STEMS if len(word) > k]
+    return [f" {word} ", *[f" {word[:k]}" for k in STEMS if len(word) > k]]
 
 
 @dataclass
@@ -87,16 +84,18 @@ class Lexicon:
     curve: tuple[float, float, float, float] = (0.0, 0.0, 0.0, -40.0)
     centre: tuple[tuple[float, ...], tuple[float, ...]] = ((0.0,) * 3, (1.0,) * 3)
 
-
-@lru_cache(maxsize=2)
-def _automaton(terms: tuple[tuple[str, float], ...]):
-    import ahocorasick
-    machine = ahocorasick.Automaton()
-    for term, weight in terms:
-        machine.add_word(term, (len(term), weight))
-    if terms:
+    @cached_property
+    def automaton(self):
+        """Built once where it is used; it does not travel to the workers."""
+        import ahocorasick
+        machine = ahocorasick.Automaton()
+        for term, weight in self.weights.items():
+            machine.add_word(term, (len(term), weight))
         machine.make_automaton()
-    return machine
+        return machine
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "automaton"}
 
 
 def hits(folded: str, lexicon: Lexicon) -> dict[int, float]:
@@ -104,7 +103,7 @@ def hits(folded: str, lexicon: Lexicon) -> dict[int, float]:
     if not lexicon.weights:
         return {}
     best: dict[int, float] = {}
-    for end, (size, weight) in _automaton(tuple(lexicon.weights.items())).iter(folded):
+    for end, (size, weight) in lexicon.automaton.iter(folded):
         at = end - size + 1
         if weight > best.get(at, 0.0):
             best[at] = weight
@@ -186,7 +185,7 @@ def learn(labelled: DataFrame) -> Lexicon:
     bound = _bound(F.col("toxic"), F.col("clean"), n1, n0)
     found = (_count(pairs, "string", words_in).where(F.col("toxic") >= LEAST_TEXTS)
              .withColumn("weight", bound).where(F.col("weight") >= LEAST_WEIGHT)
-             .orderBy(F.desc(F.col("weight") * F.log1p("toxic")), "term").limit(MAX_TERMS).collect())
+             .orderBy("term").collect())  # bounded by the training rows
     weights = {r["term"]: r["weight"] for r in found}
     # a longer beginning or word says nothing that its beginning does not say as well
     for term in sorted(weights, key=len, reverse=True):
@@ -204,7 +203,7 @@ def learn(labelled: DataFrame) -> Lexicon:
     odds = _bound(F.col("clean"), F.col("toxic"), n0, n1)
     rare = (_count(pairs, "string", phrases_in).where(F.col("clean") >= LEAST_TEXTS)
             .withColumn("weight", odds).where(F.col("weight") > 0)
-            .orderBy(F.desc("weight"), "term").limit(MAX_PHRASES).collect())
+            .orderBy("term").collect())
     lexicon.phrases = frozenset(tuple(r["term"].split(" ", 1)) for r in rare)
 
     share = min(1.0, FIT_ROWS / (n0 + n1))

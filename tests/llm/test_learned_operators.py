@@ -176,3 +176,94 @@ def test_neighbours_ties_and_odd_vectors(spark):
 def test_chi_square_quantile():
     draws = np.random.default_rng(0).chisquare(8, 200_000)
     assert abs((draws <= projected_search.chi_square_quantile(0.95, 8)).mean() - 0.95) < 0.005
+
+
+# ---------------------------------------------------------------- slow versions
+def slow_features(text, weights, phrases):
+    """Every word against every term, without an automaton."""
+    import math
+    words = toxicity.fold(text).split()
+    best = []
+    for i, w in enumerate(words):
+        found = [x for t, x in weights.items() if x > 0 and (t.strip() == w if t.endswith(" ") else w.startswith(t[1:]))]
+        pairs = {(words[i - 1], w)} if i else set()
+        pairs |= {(w, words[i + 1])} if i + 1 < len(words) else set()
+        if found and not pairs & phrases:
+            best.append(max(found))
+    return math.log1p(sum(best)), 100 * sum(best) / max(1, len(words)), max(best, default=0.0)
+
+
+def test_toxicity_features_equal_a_slow_version():
+    from .conftest import WORDS, prose
+    weights = {f" {w[:k]}": 0.5 + i / 7 + k for i, w in enumerate(WORDS[:12]) for k in (4, 5)}
+    weights |= {f" {w} ": 3.0 + i for i, w in enumerate(WORDS[8:])} | {f" {'x' * 60} ": 9.0}
+    phrases = frozenset({("river", "stone"), ("copper", "morning")})
+    lexicon = toxicity.Lexicon(weights, phrases)
+    texts = [*[prose(k, 40).translate(str.maketrans("", "", "0123456789")) for k in range(30)],
+             "river stone river", "stone river", "R1ver st0ne", "", "x" * 60, "x" * 61, "c0pper morning copper"]
+    for t in texts:
+        assert toxicity.features(t, lexicon) == pytest.approx(slow_features(t, weights, phrases))
+
+
+def test_the_automaton_stays_where_it_was_built():
+    import pickle
+    lexicon = toxicity.Lexicon({" bad ": 2.0})
+    assert toxicity.hits(" bad ", lexicon) == {0: 2.0} and "automaton" in vars(lexicon)
+    again = pickle.loads(pickle.dumps(lexicon))
+    assert "automaton" not in vars(again) and toxicity.hits(" bad ", again) == {0: 2.0}
+
+
+def slow_language(text, names, p):
+    """The same inference with dictionaries and loops."""
+    import math
+    low = language_id._lower_table()
+    codes = [0, *[int(low[ord(c)]) for c in text], 0]
+    counts = {}
+    for a, b, c in zip(codes, codes[1:], codes[2:]):
+        if b:
+            key = (a * 0x9E3779B97F4A7C15 ^ b * 0xC2B2AE3D27D4EB4F ^ c * 0x165667B19E3779F9) % 2 ** 64
+            key = key * 0xD6E8FEB86659FD93 % 2 ** 64 >> 48
+            counts[key] = counts.get(key, 0) + 1
+    if not counts:
+        return "und", 0.0
+    total = sum(counts.values())
+
+    def em(cols):
+        share = [1 / len(cols)] * len(cols)
+        for _ in range(language_id.ROUNDS):
+            new = [0.0] * len(cols)
+            for key, n in counts.items():
+                joint = [p[key][c] * s for c, s in zip(cols, share)]
+                for i, j in enumerate(joint):
+                    new[i] += n * j / sum(joint) / total
+            moved, share = max(abs(x - y) for x, y in zip(new, share)), new
+            if moved < language_id.TOLERANCE:
+                break
+        return share, sum(n * math.log(sum(p[k][c] * s for c, s in zip(cols, share))) for k, n in counts.items())
+    every = list(range(len(names) + 1))
+    alone = [sum(n * math.log(p[k][c]) for k, n in counts.items()) for c in every]
+    chosen = [max(every, key=lambda c: alone[c])]
+    best, share = max(alone), [1.0]
+    rough = em(every)[0]
+    for c in sorted(every, key=lambda c: -rough[c]):
+        if c not in chosen and rough[c] >= 0.01:
+            wider = sorted([*chosen, c])
+            new, value = em(wider)
+            if value - best > language_id.PENALTY * math.log(total + 1):
+                chosen, best, share = wider, value, new
+    found = {names[c]: s for c, s in zip(chosen, share) if c < len(names)}
+    if not found:
+        return max(names, key=lambda n: alone[names.index(n)]), 0.0
+    lang = max(found, key=found.get)
+    return lang, found[lang]
+
+
+def test_language_equals_a_slow_version(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("length(text) < 1500")
+    model = language_id.train(docs.where("doc_id % 2 = 0"))
+    names, p = list(model), language_id.distributions(model)
+    texts = [r.text for r in docs.where("doc_id % 2 = 1").orderBy("doc_id").limit(40).collect()]
+    texts += ["", "123 !!", "a", texts[0][:200] + texts[1][:200], "zzqx zzqx qqq"]
+    for t, (lang, score, _, _) in zip(texts, language_id.judge(texts, names, p)):
+        want, share = slow_language(t, names, p)
+        assert lang == want and score == pytest.approx(min(1.0, share), abs=1e-6)
