@@ -38,8 +38,9 @@ from .common import arrow_conf, id_text
 from .token_counts import batches_of
 
 MAX_WORDS = 600_000
-BATCH_BYTES = 400_000  # of new words in one recursive query
-BATCH_CHARS = 1_000_000
+BATCH_BYTES = 1_200_000  # of new words in one recursive query
+BATCH_CHARS = 3_000_000
+BATCH_ROWS = 1536
 LONG_WORD = 64  # bytes; longer words are cut into runs first
 
 ENCODE = """
@@ -97,7 +98,7 @@ def engine(ranks_path: str):
         con.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
         con.unregister("given")
     single = np.array([ranks[bytes((i,))] for i in range(256)], np.int32)
-    return con, (single, pretoken.byte_pairs(ranks)), {}
+    return con, (single, pretoken.byte_pairs(ranks)), pretoken.WordStore(MAX_WORDS)
 
 
 def encode_words(words: list[bytes], ranks_path: str) -> list[tuple[bytes, bytes]]:
@@ -118,33 +119,29 @@ def encode_words(words: list[bytes], ranks_path: str) -> list[tuple[bytes, bytes
             zip(cut[:-1].tolist(), cut[1:].tolist(), got.column("body").to_pylist())]
 
 
+def encode_long(words: list[bytes], ranks_path: str) -> list[tuple[bytes, bytes]]:
+    """``encode_words`` in bounded batches; a long word goes in runs, which no merge crosses."""
+    beside = engine(ranks_path)[1][1]
+    parts = [pretoken.runs(w, beside) if len(w) > LONG_WORD else [w] for w in words]
+    flat = [r for p in parts for r in p]
+    fill = np.cumsum([len(r) for r in flat]) // BATCH_BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(fill)) + 1).tolist(), len(flat)]
+    done = [x for lo, hi in zip(cuts, cuts[1:]) for x in encode_words(flat[lo:hi], ranks_path)]
+    if len(flat) == len(words):
+        return done
+    ends = np.cumsum([len(p) for p in parts]).tolist()
+    return [tuple(b"".join(x) for x in zip(*done[a:z])) for a, z in zip([0, *ends], ends)]
+
+
 def encode_texts(texts: list[str], ranks_path: str) -> list[tuple[bytes, bytes]]:
     """(ids, decoded bytes) per text."""
-    _, (_, beside), known = engine(ranks_path)
-    starts, ends, doc, prints = pretoken.words(texts)
+    known = engine(ranks_path)[2]
+    starts, ends, doc, prints, checks = pretoken.words(texts)
     if not len(starts):
         return [(b"", b"")] * len(texts)
-    keys, first, where = pretoken.distinct(prints)
-    if len(known) > MAX_WORDS:
-        known.clear()
-    missing = [i for i, k in enumerate(keys) if k not in known]
-    if missing:
-        joined = "\0".join(texts)  # one separator where the layout has its sentinel
-        fresh = [joined[starts[first[i]]:ends[first[i]]].encode() for i in missing]
-        # a long word goes in runs, which no merge crosses
-        parts = [pretoken.runs(w, beside) if len(w) > LONG_WORD else [w] for w in fresh]
-        flat = [r for p in parts for r in p]
-        fill = np.cumsum([len(r) for r in flat]) // BATCH_BYTES
-        done = []
-        for lo, hi in zip(*(lambda c: (c, [*c[1:], len(flat)]))(
-                [0, *(np.flatnonzero(np.diff(fill)) + 1).tolist()])):
-            done += encode_words(flat[lo:hi], ranks_path)
-        at = 0
-        for i, p in zip(missing, parts):
-            mine = done[at:at + len(p)]
-            known[keys[i]] = mine[0] if len(p) == 1 else tuple(b"".join(x) for x in zip(*mine))
-            at += len(p)
-    pairs = [known[k] for k in keys]
+    joined = "\0".join(texts)  # one separator where the layout has its sentinel
+    pairs, where = known.values(prints, checks, lambda at: encode_long(
+        [joined[starts[i]:ends[i]].encode() for i in at], ranks_path))
     ids = np.empty(len(pairs), object)
     bodies = np.empty(len(pairs), object)
     ids[:] = [p[0] for p in pairs]
@@ -158,7 +155,7 @@ def encode_documents(docs: DataFrame, ranks: str | None = None, id_col: str = "d
                      text_col: str = "text", digests: bool = False) -> DataFrame:
     """doc_id, ids (array<int>), decoded (binary); with ``digests`` the count and
     SHA-256 of both instead, so that ids need not leave the worker."""
-    arrow_conf(docs.sparkSession)
+    arrow_conf(docs.sparkSession, rows=BATCH_ROWS)
     ranks = ranks or default_path("byte_bpe_50k.tiktoken")
 
     def run(batches):

@@ -132,7 +132,7 @@ def lay_out(texts: list[str]) -> np.ndarray:
     return codes
 
 
-def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """start, end (code points over the laid-out texts), text number and
     fingerprint (two times 64 bits) of every word, in order."""
     codes = lay_out(texts)
@@ -141,16 +141,35 @@ def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     ends = np.append(starts[1:], len(codes))
     real = sym[starts] != END
     doc = np.cumsum(sym[starts] == END)
-    prints = np.stack([placed_sums(codes, ends - starts, seed) for seed in (1, 2)], axis=1)
-    return starts[real], ends[real], doc[real], prints[real]
-
-
-def distinct(prints: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray]:
-    """Different fingerprints, the first word of each, and which one every word has."""
-    _, first, where = np.unique(prints[:, 0], return_index=True, return_inverse=True)
-    if (prints[first, 1][where] != prints[:, 1]).any():  # the first halves do not suffice
-        _, first, where = np.unique(prints, axis=0, return_index=True, return_inverse=True)
-    return list(zip(prints[first, 0].tolist(), prints[first, 1].tolist())), first, where.ravel()
+    prints, checks = (placed_sums(codes, ends - starts, seed)[real] for seed in (1, 2))
+    return starts[real], ends[real], doc[real], prints, checks
+
+
+class WordStore:
+    """What is known of words, by their fingerprints: looked up by the first half, and
+    taken only if the second agrees."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self.held: dict = {}
+
+    def values(self, prints: np.ndarray, checks: np.ndarray, make) -> tuple[list, np.ndarray]:
+        """Values of the different words, and which of them every word has; ``make`` gives
+        those of words not known yet from the places where they first stand."""
+        _, first, where = np.unique(prints, return_index=True, return_inverse=True)
+        if (checks[first][where] != checks).any():  # the first halves do not suffice
+            both = np.stack([prints, checks], axis=1)
+            _, first, where = np.unique(both, axis=0, return_index=True, return_inverse=True)
+            where = where.ravel()
+        if len(self.held) > self.most:
+            self.held.clear()
+        keys, second = prints[first].tolist(), checks[first].tolist()
+        got = [self.held.get(k) for k in keys]
+        missing = [i for i, (g, c) in enumerate(zip(got, second)) if g is None or g[0] != c]
+        if missing:
+            for i, value in zip(missing, make(first[missing].tolist())):
+                got[i] = self.held[keys[i]] = (second[i], value)
+        return [g[1] for g in got], where
 
 
 def byte_pairs(tokens) -> np.ndarray:

@@ -141,10 +141,10 @@ class MergeTransducer:
 
 
 @lru_cache(maxsize=2)
-def transducer(tokenizer: str) -> tuple[MergeTransducer, dict[tuple[int, int], int], tuple[str, ...]]:
+def transducer(tokenizer: str) -> tuple[MergeTransducer, pretoken.WordStore, tuple[str, ...]]:
     """The compiled tokenizer of this worker, counts by word, and special strings."""
     ranks, special = read_json(tokenizer)
-    return MergeTransducer(ranks), {}, tuple(special)
+    return MergeTransducer(ranks), pretoken.WordStore(MAX_WORDS), tuple(special)
 
 
 def count_tokens(texts: list[str], tokenizer: str) -> np.ndarray:
@@ -158,19 +158,11 @@ def count_tokens(texts: list[str], tokenizer: str) -> np.ndarray:
         extra = np.array([len(s) - 1 for s in split])
         parts = [p for s in split for p in s]
         owner = np.repeat(np.arange(len(texts)), [len(s) for s in split])
-    starts, ends, doc, prints = pretoken.words(parts)
-    keys, first, where = pretoken.distinct(prints)
-    if len(known) > MAX_WORDS:
-        known.clear()
-    sizes = [known.get(k) for k in keys]
-    missing = [i for i, n in enumerate(sizes) if n is None]
-    if missing:
-        joined = "\0".join(parts)  # one separator where the layout has its sentinel
-        for i in missing:
-            at = first[i]
-            sizes[i] = known[keys[i]] = machine.count(
-                joined[starts[at]:ends[at]].encode("utf-8", "surrogatepass"))
-    per_word = np.array(sizes, np.int64)[where] if len(keys) else np.zeros(0, np.int64)
+    starts, ends, doc, prints, checks = pretoken.words(parts)
+    joined = "\0".join(parts)  # one separator where the layout has its sentinel
+    sizes, where = known.values(prints, checks, lambda at: [
+        machine.count(joined[starts[i]:ends[i]].encode("utf-8", "surrogatepass")) for i in at])
+    per_word = np.array(sizes, np.int64)[where] if sizes else np.zeros(0, np.int64)
     if owner is not None:
         doc = owner[doc]
     return extra + np.bincount(doc, weights=per_word, minlength=len(texts)).astype(np.int64)

@@ -21,10 +21,18 @@ def placed_sums(symbols: np.ndarray, sizes: np.ndarray, seed: int = 0) -> np.nda
     value drawn for it and its place in the word, so no arithmetic between places
     (as in a polynomial) lets different words meet."""
     ends = np.cumsum(sizes)
-    place = np.arange(len(symbols), dtype=np.uint64) - np.repeat((ends - sizes).astype(np.uint64), sizes)
+    drawn = np.arange(len(symbols), dtype=np.uint64)
+    drawn -= np.repeat((ends - sizes).astype(np.uint64), sizes)  # place in the word
     with np.errstate(over="ignore"):
-        drawn = mixed((place << np.uint64(21)) + symbols + np.uint64(seed * 0x9E3779B97F4A7C15 % 2 ** 64))
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(drawn, dtype=np.uint64)])
+        drawn <<= np.uint64(21)
+        drawn += symbols
+        drawn += np.uint64(seed * 0x9E3779B97F4A7C15 % 2 ** 64)
+        for shift, factor in ((33, 0xFF51AFD7ED558CCD), (33, 0xC4CEB9FE1A85EC53), (33, None)):
+            drawn ^= drawn >> np.uint64(shift)
+            if factor:
+                drawn *= np.uint64(factor)
+        total = np.zeros(len(drawn) + 1, np.uint64)
+        np.cumsum(drawn, out=total[1:])
         return total[ends] - total[ends - sizes] + sizes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 

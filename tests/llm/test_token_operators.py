@@ -42,7 +42,7 @@ TEXT = st.text(alphabet=st.one_of(st.sampled_from("ab c'stmdrevl\n\t 09!-é中
 def test_words_are_the_pattern_matches(texts):
     from tokenizers import pre_tokenizers
     cut = pre_tokenizers.ByteLevel(add_prefix_space=False).pre_tokenize_str
-    starts, ends, doc, _ = pretoken.words(texts) if texts else ([], [], [], None)
+    starts, ends, doc, *_ = pretoken.words(texts) if texts else ([], [], [])
     joined = "\0".join(texts)
     got = [[] for _ in texts]
     for a, b, k in zip(starts, ends, doc):
@@ -178,10 +178,13 @@ def test_words_that_polynomials_confuse(library, core):
 
 
 def test_first_halves_of_fingerprints_need_not_suffice():
-    prints = np.array([[1, 5], [1, 6], [2, 5], [1, 5]], np.uint64)
-    keys, first, where = pretoken.distinct(prints)
-    assert [keys[i] for i in where] == [(1, 5), (1, 6), (2, 5), (1, 5)] and len(keys) == 3
-    assert all(tuple(prints[f].tolist()) == k for k, f in zip(keys, first))
+    prints, checks = np.array([1, 1, 2, 1], np.uint64), np.array([5, 6, 5, 5], np.uint64)
+    store, asked = pretoken.WordStore(10), []
+    for _ in range(2):
+        values, where = store.values(prints, checks, lambda at: asked.append(at) or [int(checks[i]) for i in at])
+        assert [values[i] for i in where] == [5, 6, 5, 5]
+    alone, where = store.values(prints[1:2], checks[1:2], lambda at: [6 for _ in at])
+    assert alone == [6]
 
 
 def test_a_megabyte_without_a_space(library, core):
