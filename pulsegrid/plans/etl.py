@@ -135,20 +135,22 @@ class IncrementalRun:
             w = Window.partitionBy(F.coalesce(key, content.cast("string"))).orderBy(content)
             rows = (rows.withColumn("_nth", F.row_number().over(w))
                     .where((F.col("_nth") == 1) | F.col(key).isNull()).drop("_nth"))
-            known = self._known_keys(table, rows)
-            if known is not None:
-                rows = rows.join(known, key, "left_anti")
-            kept[table] = write_table(rows, self._staged(table))
+            if not table_exists(self.spark, self.res.path(table)):
+                kept[table] = write_table(rows, self._staged(table))
+                continue
+            # the input is parsed once: days and new rows come from the stored copy
+            arrived = f"{self.log.folder(self.number)}/arrived/{table}"
+            write_table(rows, arrived)
+            rows = self.spark.read.parquet(arrived)
+            kept[table] = write_table(rows.join(self._known_keys(table, rows), key, "left_anti"), self._staged(table))
         self.facts = {"rows": kept, "rejects": refused, "wanted": sorted(wanted), "sketch": self.sketch}
         self.log.mark(self.number, "staged", **self.facts)
 
-    def _known_keys(self, table: str, rows: DataFrame) -> DataFrame | None:
+    def _known_keys(self, table: str, rows: DataFrame) -> DataFrame:
         """Keys the table holds on the days the increment touches: a list of days,
         so that whole partitions are left out before anything is read."""
         key, partitions, _ = SILVER[table]
         path = self.res.path(table)
-        if not table_exists(self.spark, path):
-            return None
         if partitions:
             store, day = self.spark.read.parquet(path), "date"
         else:
