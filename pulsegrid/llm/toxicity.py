@@ -21,7 +21,8 @@ them at least; and the rows of the logistic fit (``FIT_ROWS``). Every document i
 
 Defined results: null and empty texts get the score of a text without hits; with
 no toxic training row every score is 0; repeated rows are scored each, under a null id
-as well; a score of exactly one half is predicted 1; words of any length are terms.
+as well; a score of exactly one half is predicted 1; a word of more than
+``LONGEST_WORD`` letters is a term by its beginnings only.
 """
 
 from __future__ import annotations
@@ -45,6 +46,7 @@ LEAST_WEIGHT = 2.0
 LEAST_TEXTS = 5
 FIT_ROWS = 40_000
 HELD_TERMS = 250_000   # terms a task counts before it emits its partial sums
+LONGEST_WORD = 40      # a longer word is a term by its beginnings only
 
 # FIXED VALUES: letters of other scripts, and digits and signs, that pass for a
 # Latin letter.  l, 1, | and ! all read as i.
@@ -74,7 +76,8 @@ def fold(text: str) -> str:
 
 def terms_of(word: str) -> list[str]:
     """`` word `` and its beginnings `` wor``, as they stand in folded text."""
-    return [f" {word} ", *[f" {word[:k]}" for k in STEMS if len(word) > k]]
+    out = [f" {word} "] if len(word) <= LONGEST_WORD else []
+    return out + [f" {word[:k]}" for k in STEMS if len(word) > k]
 
 
 @dataclass
