@@ -66,7 +66,8 @@ def test_stages_take_edge_cases(spark, edge, nothing):
 
 def test_oracles(spark):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF}/documents.parquet')")
+    for t in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     for name, sql in registry.ORACLES.items():
         got = registry.QUERIES[name](spark, SF).toArrow().to_pylist()
         want = con.sql(sql).to_arrow_table().to_pylist()
