@@ -826,22 +826,22 @@ def q_catalog_refresh(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- streaming
-def _ingest(spark, sf_dir, quarantine: bool = False, corrupt_every: int = 0):
+def _ingest(spark, sf_dir, bronze: bool = False, quarantine: bool = False, corrupt_every: int = 0):
     """Land the messages as published -- below <channel>/<device group>/ folders,
-    without a topic in the body -- then run the bronze and the enriched stream (and
-    the quarantine stream when the query reports on it)."""
+    without a topic in the body -- then run the enriched stream (and the bronze
+    and quarantine streams when the query reports on them)."""
     from ..session import scratch_path
     from ..streaming import pipeline as P
     landing = testdata.write_published_files(testdata.load_messages(spark, sf_dir),
                                              scratch_path(spark, "landing"), corrupt_every)
-    return P.run_ingest(spark, landing, quarantine=quarantine)
+    return P.run_ingest(spark, landing, bronze=bronze, quarantine=quarantine)
 
 
 @query("stream_silver")
 def q_stream_silver(spark, sf_dir):
     """Landing files -> availableNow streams (bronze, then enriched and quarantine
     in parallel) -> enriched sink, read back flat."""
-    paths = _ingest(spark, sf_dir, quarantine=True)
+    paths = _ingest(spark, sf_dir, bronze=True, quarantine=True)
     flat = enrich.flatten_messages(spark.read.parquet(paths.sink("enriched")))
     return ntz(flat.select("message_id", "device_id", "device_type", "patient_id", "ts",
                            "alert_types", "alert_severity", "channel"), "ts")
@@ -849,14 +849,14 @@ def q_stream_silver(spark, sf_dir):
 
 @query("stream_quarantine")
 def q_stream_quarantine(spark, sf_dir):
-    paths = _ingest(spark, sf_dir, quarantine=True, corrupt_every=97)
+    paths = _ingest(spark, sf_dir, bronze=True, quarantine=True, corrupt_every=97)
     q = spark.read.parquet(paths.sink("quarantine"))
     return q.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("stream_bronze")
 def q_stream_bronze(spark, sf_dir):
-    paths = _ingest(spark, sf_dir, corrupt_every=97)
+    paths = _ingest(spark, sf_dir, bronze=True, corrupt_every=97)
     b = spark.read.parquet(paths.sink("bronze"))
     return b.groupBy("channel").agg(F.count(F.lit(1)).alias("n"),
                                     F.count_if(~F.col("parsed")).alias("unparsed"),

@@ -267,13 +267,16 @@ def run_to_completion(*queries: StreamingQuery) -> None:
 
 
 def run_ingest(spark: SparkSession, landing: str, paths: StreamPaths | None = None,
-               quarantine: bool = True, filters=TOPIC_FILTERS) -> StreamPaths:
-    """Landing -> bronze -> enriched (and quarantine); availableNow, waits for completion."""
+               bronze: bool = True, quarantine: bool = True, filters=TOPIC_FILTERS) -> StreamPaths:
+    """Landing -> bronze -> enriched (and quarantine); availableNow, waits for completion.
+    Without bronze the stages read the landing files themselves."""
     paths = paths or new_paths(spark, landing)
-    run_to_completion(start_bronze(raw_stream(spark, landing), paths))
-    qs = [start_enriched(bronze_source(spark, paths), paths, filters=filters)]
+    if bronze:
+        run_to_completion(start_bronze(raw_stream(spark, landing), paths))
+    source = lambda: bronze_source(spark, paths) if bronze else raw_stream(spark, landing)
+    qs = [start_enriched(source(), paths, filters=filters)]
     if quarantine:
-        qs.append(start_quarantine(bronze_source(spark, paths), paths, filters=filters))
+        qs.append(start_quarantine(source(), paths, filters=filters))
     run_to_completion(*qs)
     return paths
 
