@@ -413,10 +413,11 @@ def main(argv=None) -> int:
     ap.add_argument("--incremental", action="store_true")
     ap.add_argument("--multiline", action="store_true", help="one observation document per file")
     ap.add_argument("--missing-ok", action="store_true", help="a missing landing path is no error")
+    ap.add_argument("--sketch", action="store_true", help="distinct counts from sketches")
     a = ap.parse_args(argv)
     spark = build_session(app="pulsegrid-etl")
     res = run_etl(spark, a.out, raw_path=a.raw, fhir_path=a.fhir, incremental=a.incremental,
-                  multiline=a.multiline, missing_ok=a.missing_ok)
+                  multiline=a.multiline, missing_ok=a.missing_ok, sketch=a.sketch)
     print(json.dumps({"output": res.output, "rows": res.rows, "rejects": res.rejects}))
     return 0
 

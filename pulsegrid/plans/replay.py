@@ -116,3 +116,26 @@ def _give_back(spark: SparkSession, paths: StreamPaths, place: str, number: str,
     for channel in sorted({f.split("/")[1] for f in filters}):
         lines.where(F.col("channel") == channel).select("value").write.mode("overwrite").text(
             f"{paths.landing}/replay-{number}/{channel}/given-back")
+
+
+def main(argv=None) -> int:
+    """spark-submit entry: python -m pulsegrid.plans.replay --landing L --root R"""
+    import argparse
+    import json
+    from datetime import timezone
+
+    from ..session import build_session
+    ap = argparse.ArgumentParser(description="try quarantined messages again")
+    ap.add_argument("--landing", required=True)
+    ap.add_argument("--root", required=True, help="sinks and checkpoints root")
+    a = ap.parse_args(argv)
+    spark = build_session(app="pulsegrid-replay")
+    paths = StreamPaths(a.landing, a.root)
+    replay(spark, paths, datetime.now(timezone.utc))
+    print(json.dumps({r["state"]: r["n"] for r in ledger(spark, paths).groupBy("state").agg(
+        F.sum("copies").alias("n")).collect()}))
+    return 0
+
+
+if __name__ == "__main__":
+    raise SystemExit(main())

@@ -57,3 +57,24 @@ def device_history(index: StoreIndex, device: str) -> tuple[DataFrame, int]:
     if not paths:
         return index.page(1, F.lit(False), F.lit(False))[0], 0
     return index.read(paths).where(F.col("device") == device), len(paths)
+
+
+def main(argv=None) -> int:
+    """spark-submit entry: python -m pulsegrid.streaming.bronze --landing L --root R"""
+    import argparse
+
+    from ..session import build_session
+    ap = argparse.ArgumentParser(description="cluster committed bronze files by device")
+    ap.add_argument("--landing", required=True)
+    ap.add_argument("--root", required=True, help="sinks and checkpoints root")
+    ap.add_argument("--rows-per-file", type=int, default=ROWS_PER_FILE)
+    a = ap.parse_args(argv)
+    spark = build_session(app="pulsegrid-bronze")
+    paths = StreamPaths(a.landing, a.root)
+    rows = cluster(spark, paths, a.rows_per_file)
+    print(f"{rows} rows clustered, {device_index(spark, paths).refresh()} new files indexed")
+    return 0
+
+
+if __name__ == "__main__":
+    raise SystemExit(main())
