@@ -31,7 +31,7 @@ TARGETS = {
     "anomaly_detection": lambda level: level != F.lit("NORMAL"),
     "critical_detection": lambda level: level == F.lit("CRITICAL"),
 }
-ROWS_PER_TASK = 200_000  # a booster runs hundreds of short jobs: no more tasks than the rows need
+ROWS_PER_TASK = 500_000  # a booster runs hundreds of short jobs: no more tasks than the rows need
 
 
 def _features() -> list:
@@ -71,20 +71,21 @@ class TrainResult:
     validation_samples: int
 
 
-def train(train_df: DataFrame, valid_df: DataFrame, predictions_path: str, seed: int = 42,
+def train(train_df: DataFrame, valid_df: DataFrame, predictions_path: str,
           trees: int = TRAIN_N_ESTIMATORS) -> TrainResult:
     """Fit and evaluate; the validation predictions are written once, their counts by
     label and prediction give all metrics but the area under the curve."""
     from pyspark.ml import Pipeline
-    from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.evaluation import BinaryClassificationEvaluator
     from pyspark.ml.feature import VectorAssembler
 
+    from .boosting import HistogramBoosting
+
     rows = train_df.count()
     pipe = Pipeline(stages=[
         VectorAssembler(inputCols=FEATURES, outputCol="features"),
-        GBTClassifier(labelCol="label", featuresCol="features", maxDepth=TRAIN_MAX_DEPTH,
-                      maxIter=trees, stepSize=TRAIN_LEARNING_RATE, seed=seed),
+        HistogramBoosting(labelCol="label", featuresCol="features", maxDepth=TRAIN_MAX_DEPTH,
+                          maxIter=trees, stepSize=TRAIN_LEARNING_RATE),
     ])
     model = pipe.fit(train_df.coalesce(max(-(-rows // ROWS_PER_TASK), 1)))
     (model.transform(valid_df).select("message_id", "label", "prediction", "rawPrediction")
