@@ -14,7 +14,7 @@ for inputs where one Observation id may be split over several rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fhir as H
@@ -27,6 +27,32 @@ WIDE_KEYS = ["observation_id", "status", "effective_timestamp", "patient_referen
              "device_id"]
 
 
+# of an enriched message, what an Observation is built from
+SOURCE_FIELDS = ["deviceId", "deviceType", "patientId", "timestamp", "messageId", "readings", "alerts"]
+STORAGE_KEYS = ["device_type", "observation_date", "id"]
+
+
+def _readings() -> Column:
+    return F.coalesce(F.col("readings"), F.create_map().cast("map<string,double>"))
+
+
+def _observation_id(enriched: DataFrame) -> Column:
+    message_id = F.col("messageId") if "messageId" in enriched.columns else F.lit(None)
+    return H.observation_id(F.col("deviceId"), F.col("timestamp"), message_id, _readings())
+
+
+def keyed_messages(enriched: DataFrame, keep: tuple = ()) -> DataFrame:
+    """What ``build_observations`` needs of each message, with the keys of its document.
+
+    A document is many times as large as its message: what shuffles or sorts does so on
+    these rows, and the documents are built from them afterwards."""
+    return enriched.select(
+        *keep, *[c for c in SOURCE_FIELDS if c in enriched.columns],
+        H.partition_key(F.col("deviceType")).alias("device_type"),
+        H.event_date(F.col("timestamp")).alias("observation_date"),
+        _observation_id(enriched).alias("id"))
+
+
 def build_observations(enriched: DataFrame, basic: bool = False,
                        keep: tuple = ()) -> DataFrame:
     """Enriched message -> Observation row + storage columns.
@@ -35,11 +61,11 @@ def build_observations(enriched: DataFrame, basic: bool = False,
     no interpretation, stored under the processing date without a type level.
     """
     ts = F.col("timestamp")
-    readings = F.coalesce(F.col("readings"), F.create_map().cast("map<string,double>"))
+    readings = _readings()
+    keyed = not basic and set(STORAGE_KEYS) <= set(enriched.columns)  # by ``keyed_messages``
     alerts = (F.coalesce(F.col("alerts"), F.array().cast("array<string>"))
               if "alerts" in enriched.columns else F.array().cast("array<string>"))
-    message_id = F.col("messageId") if "messageId" in enriched.columns else F.lit(None)
-    obs_id = H.observation_id(F.col("deviceId"), ts, message_id, readings)
+    obs_id = F.col("id") if keyed else _observation_id(enriched)
     no_struct = F.lit(None)
     cols = {
         "resourceType": F.lit("Observation"),
@@ -63,6 +89,7 @@ def build_observations(enriched: DataFrame, basic: bool = False,
     }
     out = enriched.select(*keep, *[c.alias(n) for n, c in cols.items()],
                           F.col("deviceType").alias("_device_type"),
+                          *(STORAGE_KEYS[:2] if keyed else ()),
                           F.col("deviceId").alias("_device_id"),
                           F.col("patientId").alias("_patient_id"))
     if basic:
@@ -77,9 +104,11 @@ def build_observations(enriched: DataFrame, basic: bool = False,
         tkey = H.partition_key(F.col("_device_type"))
         # the pruning column is exact: rows without an event date stand in the
         # null partition, whatever date their key carries
-        storage = {
+        storage = {} if keyed else {
             "device_type": tkey,
             "observation_date": H.event_date(F.col("effectiveDateTime")),
+        }
+        storage |= {
             "object_key": H.object_key(tkey, H.storage_date(F.col("effectiveDateTime")), F.col("id")),
         }
     storage.update({

@@ -256,13 +256,18 @@ def q_prediction_dispatch(spark, sf_dir):
 
 
 # ------------------------------------------------------------- observations
+def enriched(spark, sf_dir) -> DataFrame:
+    """events -> messages -> enriched messages."""
+    return plan_cache("enriched", spark, sf_dir, lambda: enrich.enrich_messages(
+        testdata.load_messages(spark, sf_dir)))
+
+
 def observations(spark, sf_dir, basic: bool = False) -> DataFrame:
     """events -> messages -> enriched -> Observation rows (+ event_id)."""
     from ..operators import observations as O
 
     def build():
-        e = enrich.enrich_messages(testdata.load_messages(spark, sf_dir))
-        return O.build_observations(e, basic=basic, keep=("event_id",))
+        return O.build_observations(enriched(spark, sf_dir), basic=basic, keep=("event_id",))
     return plan_cache(f"observations:{basic}", spark, sf_dir, build)
 
 
@@ -375,11 +380,11 @@ def _store_path(spark, sf_dir) -> str:
     Within a date the files are sorted by id and carry a Bloom filter on it, so
     reads by id skip row groups; dates and types are partitions."""
     from ..session import scratch_path
-    from ..sinks.tables import write_observations
+    from ..sinks.tables import write_messages_as_observations
 
     def build():
         path = scratch_path(spark, "observation_store")
-        write_observations(observations(spark, sf_dir), path)
+        write_messages_as_observations(enriched(spark, sf_dir), path, keep=("event_id",))
         return path
     return kept("observation_store", spark, sf_dir, build)
 

@@ -68,6 +68,9 @@ def quarantine_rows(df: DataFrame, reason: str, raw_col: str = "_corrupt_record"
 
 
 OBSERVATION_PARTITIONS = ["device_type", "observation_date"]
+# ids are hexadecimal digits, which only an entropy coder makes shorter
+STORE_OPTIONS = {"parquet.bloom.filter.enabled#id": "true", "compression": "zstd"}
+EXPORT_ROWS = 250_000  # documents of about 2 KB in one compressed file
 
 
 def write_observations(obs: DataFrame, path: str, mode: str = "append") -> int | None:
@@ -75,12 +78,25 @@ def write_observations(obs: DataFrame, path: str, mode: str = "append") -> int |
     metadata columns), the layout search prunes on; inside, files are sorted by
     id and carry a Bloom filter on it, so a read by id skips row groups."""
     return write_table(obs, path, mode=mode, partition_cols=OBSERVATION_PARTITIONS, sort_cols=["id"],
-                       options={"parquet.bloom.filter.enabled#id": "true"})
+                       options=STORE_OPTIONS)
 
 
-def export_documents(obs: DataFrame, path: str, mode: str = "overwrite", extra: tuple = ()) -> None:
+def write_messages_as_observations(enriched: DataFrame, path: str, mode: str = "append",
+                                   keep: tuple = ()) -> int | None:
+    """The same store from enriched messages: they are dealt and sorted as messages, and
+    the documents built where they are written."""
+    from ..operators import observations as O
+    dealt = (O.keyed_messages(enriched, keep).hint("rebalance", *OBSERVATION_PARTITIONS)
+             .sortWithinPartitions(*OBSERVATION_PARTITIONS, "id"))
+    return write_table(O.build_observations(dealt, keep=keep), path, mode=mode, rebalance=False,
+                       partition_cols=OBSERVATION_PARTITIONS, options=STORE_OPTIONS)
+
+
+def export_documents(obs: DataFrame, path: str, mode: str = "overwrite", extra: tuple = (),
+                     compression: str = "none") -> None:
     """Observation documents as JSON text (one per line), same partition layout;
-    ``extra`` names further columns of the document."""
+    ``extra`` names further columns of the document. ``compression``: a codec of Spark's
+    text files; a compressed file is read by one task, so files are kept to ``EXPORT_ROWS``."""
     from ..operators.observations import OBSERVATION_FIELDS
     present = [c for c in OBSERVATION_FIELDS if c in obs.columns]
     docs = obs.select(*OBSERVATION_PARTITIONS,
