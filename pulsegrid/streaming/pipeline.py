@@ -32,7 +32,7 @@ from ..operators import enrich, gold
 from ..operators import observations as O
 from ..schemas import RAW_MESSAGE, RAW_MESSAGE_WITH_CORRUPT, ROLLUPS
 from ..session import scratch_path
-from ..sinks.tables import OBSERVATION_PARTITIONS, table_exists
+from ..sinks.tables import OBSERVATION_PARTITIONS, STORE_OPTIONS, table_exists
 from ..sources import files, topics
 
 
@@ -164,7 +164,8 @@ def enriched_source(spark: SparkSession, paths: StreamPaths,
 
 
 def not_stored(obs: DataFrame, store: str, batch_id: int) -> DataFrame:
-    """Each Observation once, without those that other batches of the store hold.
+    """Each Observation (or its keyed message) once, without those that other batches of
+    the store hold.
 
     Equal ids lie in the same type and date, so only the id column of the partitions
     that the batch touches is read; its own folder, of an earlier try, does not count."""
@@ -189,15 +190,18 @@ def start_observations(enriched: DataFrame, paths: StreamPaths, available_now: b
 
     Each micro-batch is rebalanced on the partition columns before it is written
     under its batch id (a replay overwrites it): a hot (type, date) is split over
-    as many tasks as its volume needs, small ones share one.
+    as many tasks as its volume needs, small ones share one. Copies are looked for and
+    rows dealt and sorted as messages; the documents are built where they are written.
     """
-    obs = O.build_observations(enriched).withColumn("processed_at", F.current_timestamp())
     target = paths.sink("observations")
 
     def write(batch: DataFrame, batch_id: int):
-        (not_stored(batch, target, batch_id).hint("rebalance", *OBSERVATION_PARTITIONS).write.mode("overwrite")
+        dealt = (not_stored(batch, target, batch_id).hint("rebalance", *OBSERVATION_PARTITIONS)
+                 .sortWithinPartitions(*OBSERVATION_PARTITIONS))
+        obs = O.build_observations(dealt).withColumn("processed_at", F.current_timestamp())
+        (obs.write.mode("overwrite").option("compression", STORE_OPTIONS["compression"])
          .partitionBy(*OBSERVATION_PARTITIONS).parquet(f"{target}/batch={batch_id}"))
-    w = (obs.writeStream.foreachBatch(write)
+    w = (O.keyed_messages(enriched).writeStream.foreachBatch(write)
          .option("checkpointLocation", paths.checkpoint("observations")))
     return _trigger(w, available_now, interval).start()
 
