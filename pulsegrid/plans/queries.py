@@ -812,7 +812,7 @@ def q_catalog_refresh(spark, sf_dir):
             body = F.struct(*testdata.MESSAGE_JSON_FIELDS, *extra)
             (msgs.where(F.col("event_id") % 2 == part).select(F.to_json(body).alias("value"))
              .write.text(f"{raw}/wearables/{part}"))
-            export_documents(obs.where(late if part else ~late), fhir, "append", ("note",) if part else ())
+            export_documents(obs.where(late if part else ~late), fhir, "append", ("note",) if part else (), "gzip")
             catalog.refresh(spark, db, "raw_messages", raw, logs)
             catalog.refresh(spark, db, "fhir_documents", fhir, logs, partitions=["device_type", "observation_date"])
         found = catalog.drift(spark, logs, "raw_messages").unionByName(catalog.drift(spark, logs, "fhir_documents"))
@@ -1085,7 +1085,7 @@ def q_observation_json_roundtrip(spark, sf_dir):
     from ..sinks.tables import export_documents
     from ..sources import files
     path = scratch_path(spark, "observation_json")
-    export_documents(observations(spark, sf_dir), path)
+    export_documents(observations(spark, sf_dir), path, compression="gzip")
     back = files.valid_rows(files.read_observations(spark, path, multiline=False))
     return ntz(O.observations_wide(back), "effective_timestamp")
 

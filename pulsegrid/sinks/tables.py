@@ -101,8 +101,10 @@ def export_documents(obs: DataFrame, path: str, mode: str = "overwrite", extra:
     present = [c for c in OBSERVATION_FIELDS if c in obs.columns]
     docs = obs.select(*OBSERVATION_PARTITIONS,
                       F.to_json(F.struct(*present, *extra)).alias("value"))
-    docs.hint("rebalance", *OBSERVATION_PARTITIONS).write.mode(mode) \
-        .partitionBy(*OBSERVATION_PARTITIONS).text(path)
+    w = docs.hint("rebalance", *OBSERVATION_PARTITIONS).write.mode(mode)
+    if compression != "none":
+        w = w.option("compression", compression).option("maxRecordsPerFile", str(EXPORT_ROWS))
+    w.partitionBy(*OBSERVATION_PARTITIONS).text(path)
 
 
 def export_by_processing_date(obs: DataFrame, path: str) -> None:
