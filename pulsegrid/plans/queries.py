@@ -960,6 +960,13 @@ def q_stream_alerts(spark, sf_dir):
     return a.select("message_id", "severity", "subject", "alerts_sent")
 
 
+def _files_a_batch(spark, paths) -> int:
+    """Files of the enriched sink in a bounded batch: a wave of the session's tasks (a file is
+    one task's work), but so few that there are at least four batches, if there are four files."""
+    written = len(spark.read.parquet(paths.sink("enriched")).inputFiles())  # those the sink committed
+    return max(min(spark.sparkContext.defaultParallelism, written // 4), 1)
+
+
 @query("stream_hourly")
 def q_stream_hourly(spark, sf_dir):
     """Partial states of several bounded batches, in shuffled time order, merged:
@@ -970,7 +977,7 @@ def q_stream_hourly(spark, sf_dir):
     landing = testdata.write_message_files(msgs, scratch_path(spark, "landing"), corrupt_every=0)
     paths = P.new_paths(spark, landing)
     P.run_to_completion(P.start_enriched(P.raw_stream(spark, landing, 1), paths))
-    P.run_to_completion(P.start_hourly(P.enriched_source(spark, paths, 1), paths))
+    P.run_to_completion(P.start_hourly(P.enriched_source(spark, paths, _files_a_batch(spark, paths)), paths))
     return round6(P.hourly_trends(spark, paths), "avg_heart_rate", "avg_blood_oxygen",
                   "avg_systolic_bp", "avg_diastolic_bp")
 

@@ -124,3 +124,13 @@ def test_a_stopped_replay_is_repeated_under_its_number(spark, paths, tmp_path, m
 def test_replay_without_a_quarantine(spark, paths):
     assert replay.replay(spark, paths, DAY) == "00000001"
     assert replay.ledger(spark, paths).isEmpty()
+
+
+def test_hourly_batches_grow_with_the_cluster_not_with_the_files(spark, tmp_path):
+    from pulsegrid.plans import queries
+    paths = P.StreamPaths("", str(tmp_path))
+    cores = spark.sparkContext.defaultParallelism
+    for files, want in ((3, 1), (8, 2), (20 * cores, cores)):
+        spark.range(files).repartition(files, "id").write.mode("overwrite").option("maxRecordsPerFile", 1).parquet(
+            paths.sink("enriched"))
+        assert queries._files_a_batch(spark, paths) == want
