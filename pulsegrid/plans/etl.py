@@ -162,7 +162,7 @@ class IncrementalRun:
         touched = F.col(day).isin(dated) if dated else F.lit(False)
         if None in days:
             touched = touched | F.col(day).isNull()
-        return store.where(touched).select(key).distinct()
+        return store.where(touched).select(key)  # of an anti join: copies do not matter
 
     def _write_keys(self, table: str, rows: DataFrame, number: str) -> None:
         write_table(rows.select(SILVER[table][0], _day(table).alias("day")), self._keys(table, number),

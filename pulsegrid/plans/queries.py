@@ -669,13 +669,14 @@ def q_etl_incremental(spark, sf_dir):
 def q_etl_resume(spark, sf_dir):
     """A run that stops after silver and is repeated: silver and gold equal one whole
     run. Every message of the second increment comes twice in it."""
+    from ..operators import observations as O
     from ..session import scratch_path
     from . import etl
-    msgs, obs = testdata.load_messages(spark, sf_dir), observations(spark, sf_dir)
     out = scratch_path(spark, "etl-resume")
-    half = lambda df, k: df.where(F.col("event_id") % 2 == k)
-    etl.run_etl(spark, out, messages=half(msgs, 0), observations=half(obs, 0), incremental=True)
-    again = {"messages": half(msgs, 1).unionByName(half(msgs, 1)), "observations": half(obs, 1), "incremental": True}
+    msgs = [testdata.load_messages(spark, sf_dir, f"event_id % 2 = {k}") for k in (0, 1)]
+    obs = [O.build_observations(enrich.enrich_messages(m), keep=("event_id",)) for m in msgs]
+    etl.run_etl(spark, out, messages=msgs[0], observations=obs[0], incremental=True)
+    again = {"messages": msgs[1].unionByName(msgs[1]), "observations": obs[1], "incremental": True}
     etl.run_etl(spark, out, until="publish", **again)
     res = etl.run_etl(spark, out, **again)
     table = lambda t, key, n, at, mean: spark.read.parquet(res.path(t)).select(
@@ -724,11 +725,10 @@ def q_gold_sketch(spark, sf_dir):
     measures, and distinct counts within four standard errors of the exact ones."""
     from ..session import scratch_path
     from . import etl
-    msgs = testdata.load_messages(spark, sf_dir)
     out = scratch_path(spark, "etl-sketch")
     for part in range(3):
-        res = etl.run_etl(spark, out, messages=msgs.where(F.col("event_id") % 3 == part), incremental=True,
-                          tables=("hourly_trends",), sketch=True)
+        res = etl.run_etl(spark, out, messages=testdata.load_messages(spark, sf_dir, f"event_id % 3 = {part}"),
+                          incremental=True, tables=("hourly_trends",), sketch=True)
     exact = gold.hourly_trends(readings(spark, sf_dir)).select(
         "date", "hour", "device_type", F.col("active_devices").alias("devices"), F.col("active_patients").alias("patients"))
     est = spark.read.parquet(res.path("hourly_trends"))

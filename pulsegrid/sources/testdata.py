@@ -148,9 +148,13 @@ def _memo(kind: str, spark: SparkSession, sf_dir: str, build) -> DataFrame:
     return df
 
 
-def load_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _memo("messages", spark, sf_dir,
-                 lambda: messages_from_events(load_table(spark, sf_dir, "events")))
+def load_messages(spark: SparkSession, sf_dir: str, events: str | None = None) -> DataFrame:
+    """Messages of all events, or of those that the condition ``events`` keeps: it is applied
+    to the table, as no filter on messages gets past the mapping."""
+    def build():
+        table = load_table(spark, sf_dir, "events")
+        return messages_from_events(table.where(events) if events else table)
+    return _memo(f"messages:{events or ''}", spark, sf_dir, build)
 
 
 def load_patients(spark: SparkSession, sf_dir: str) -> DataFrame:

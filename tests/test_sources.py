@@ -107,3 +107,13 @@ def test_batch_alert_and_metric_writers(spark, sf_small, tmp_path):
     assert m == 2 * scored.count()
     s = enrich.message_summary(enrich.enrich_messages(testdata.load_messages(spark, sf_small)))
     assert s.columns == ["deviceId", "alerts", "alertSeverity", "messageId"]
+
+
+def test_messages_of_some_events(spark, sf_small):
+    """The condition is applied to the table, below the mapping; the rows are the same."""
+    from pulsegrid.sources import testdata
+    some = testdata.load_messages(spark, sf_small, "event_id % 3 = 1")
+    plan = some._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Filter")
+    text = lambda df: sorted(r.value for r in testdata.message_lines(df, 0).collect())
+    assert text(some) == text(testdata.load_messages(spark, sf_small).where("event_id % 3 = 1")) != []
