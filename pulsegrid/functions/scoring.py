@@ -90,12 +90,32 @@ def risk_tenths(anomalies: Column) -> Column:
                    + _count_sev(anomalies, "WARNING") * V.RISK_PER_WARNING)
 
 
+def reading_tenths(readings: Column) -> Column:
+    """``risk_tenths`` of the map's anomalies, from its entries without building the anomalies."""
+    def points(key: Column, v: Column) -> Column:
+        out = F.lit(0)
+        for name, _col, cmin, mn, mx, cmax in SCORER_THRESHOLDS:
+            keys = [name, *[k for k, m in KEY_TO_METRIC.items() if m == name and k != name]]
+            worth = F.lit(0)
+            for low, high, tenths in ((mn, mx, V.RISK_PER_WARNING), (cmin, cmax, V.RISK_PER_CRITICAL)):
+                for hit in ([v < F.lit(float(low))] if low is not None else []) + (
+                        [v > F.lit(float(high))] if high is not None else []):
+                    worth = F.when(hit, tenths).otherwise(worth)
+            out = F.when(key.isin(keys), worth).otherwise(out)
+        return out
+    return F.least(F.lit(V.RISK_MOST), F.aggregate(
+        F.map_entries(readings), F.lit(0), lambda sum_, e: sum_ + points(e["key"], e["value"])))
+
+
 def risk_score(anomalies: Column) -> Column:
     return risk_tenths(anomalies) / F.lit(10.0)
 
 
 def alert_level(anomalies: Column) -> Column:
-    t = risk_tenths(anomalies)
+    return level_of(risk_tenths(anomalies))
+
+
+def level_of(t: Column) -> Column:
     return (F.when(t >= V.RISK_CRITICAL_FROM, F.lit("CRITICAL"))
             .when(t >= V.RISK_WARNING_FROM, F.lit("WARNING"))
             .otherwise(F.lit("NORMAL")))

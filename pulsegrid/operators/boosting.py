@@ -5,9 +5,11 @@ most ``maxBins`` quantile bins, leaves hold the mean residual, first tree with w
 on columns of bin numbers instead of one object per row: a row is 19 bytes for nine
 features, and a level costs two additions per pair of features.
 
-Rows lie in blocks of ``BLOCK``. Every task adds up its blocks' histograms (rows and
+Rows lie in blocks of ``BLOCK``, dealt evenly over as many tasks as there are cores (more
+only beyond ``TASK_MOST`` rows each). Every task adds up its blocks' histograms (rows and
 residuals per node, feature and bin); only their sums reach the driver, which chooses the
-splits of the level. Residuals are rounded to 2**-18, so that sums are exact and a model
+splits of the level. Of two sibling nodes only the one with fewer rows is added up, the
+other is their parent without it. Residuals are rounded to 2**-18, so that sums are exact and a model
 does not depend on how the rows are dealt to tasks.
 """
 
@@ -25,7 +27,9 @@ from pyspark.sql import functions as F
 BLOCK = 32_768         # rows; a block's sums of rounded residuals and its row counts share one double
 BINS = 32              # of two features, a pair of bin numbers is one code
 CHECKPOINT_EVERY = 20  # trees
-DIRECT = 64            # tasks whose sums (74 KB each at the lowest level) the driver adds up itself
+DIRECT = 64            # tasks whose sums (at most 37 KB each for nine features) the driver adds up itself
+TASK_LEAST, TASK_MOST = 150_000, 2_000_000  # rows a task
+STORED = StorageLevel.MEMORY_AND_DISK_DESER  # pickled blocks as they are, not serialized once more
 
 
 class _HasTrees(Params):
@@ -40,12 +44,13 @@ def _numbers(df: DataFrame, features: str) -> DataFrame:
     return df.withColumn("_x", vector_to_array(features))
 
 
-def bin_edges(df: DataFrame, features: str, n: int) -> list[list[float]]:
-    """Upper ends of each feature's bins but the last: between its values if there are at
-    most ``BINS``, else quantiles."""
+def bin_edges(df: DataFrame, features: str, n: int) -> tuple[list[list[float]], int]:
+    """Upper ends of each feature's bins but the last (between its values if there are at
+    most ``BINS``, else quantiles), and the number of rows."""
     def distinct(batches):
-        found = [np.empty(0)] * n
+        found, rows = [np.empty(0)] * n, 0
         for b in batches:
+            rows += b.num_rows
             x = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
             for i in range(n):
                 if found[i] is not None:
@@ -55,14 +60,15 @@ def bin_edges(df: DataFrame, features: str, n: int) -> list[list[float]]:
         import pyarrow as pa
         yield pa.RecordBatch.from_pydict({
             "feature": pa.array(range(n), pa.int32()),
-            "few": pa.array([None if f is None else f.tolist() for f in found], pa.list_(pa.float64()))})
+            "few": pa.array([None if f is None else f.tolist() for f in found], pa.list_(pa.float64())),
+            "rows": pa.array([rows] * n, pa.int64())})
 
     x = _numbers(df, features).select("_x")
     # a null list (too many values in some task) counts as one that is too long
-    few = (x.mapInArrow(distinct, "feature int, few array<double>").groupBy("feature")
-           .agg(F.bool_or(F.col("few").isNull()).alias("many"),
-                F.array_distinct(F.flatten(F.collect_list("few"))).alias("few")))
-    values = {r.feature: r.few for r in few.collect() if not r.many and len(r.few) <= BINS}
+    few = (x.mapInArrow(distinct, "feature int, few array<double>, rows long").groupBy("feature")
+           .agg(F.bool_or(F.col("few").isNull()).alias("many"), F.sum("rows").alias("rows"),
+                F.array_distinct(F.flatten(F.collect_list("few"))).alias("few"))).collect()
+    values = {r.feature: r.few for r in few if not r.many and len(r.few) <= BINS}
     rest = [i for i in range(n) if i not in values]
     cols = x.select(*[F.get("_x", F.lit(i)).alias(f"x{i}") for i in rest]) if rest else None
     ends = cols.approxQuantile([f"x{i}" for i in rest], [k / BINS for k in range(1, BINS)], 0.001) if rest else []
@@ -72,18 +78,27 @@ def bin_edges(df: DataFrame, features: str, n: int) -> list[list[float]]:
         out[i] = ((v[1:] + v[:-1]) / 2).tolist()
     for i, e in zip(rest, ends):
         out[i] = sorted(set(e))
-    return out
+    return out, few[0].rows
+
+
+def _tasks(rows: int, cores: int) -> int:
+    """One wave of even tasks if the rows allow, else whole waves."""
+    wanted = max(-(-rows // TASK_LEAST), 1)
+    return wanted if wanted <= cores else cores * -(-rows // (cores * TASK_MOST))
 
 
-def _walk(codes, splits, depth, start=0):
-    """Node of each row at ``depth``: ``splits[level]`` holds feature and last left bin per node."""
-    n = codes.shape[1]
-    flat, at, node = codes.ravel(), np.arange(n), np.zeros(n, np.int64)
+def _members(codes, splits, depth):
+    """Per node at ``depth`` the rows in it: ``splits[level]`` holds feature and last left bin
+    per node. A few operations on whole columns per node, no look-up per row."""
+    low, nodes = codes & np.uint16(BINS - 1), [np.ones(codes.shape[1], bool)]
     for feature, last in splits[:depth]:
-        place, shift = (feature // 2) * n, 5 * (feature % 2)
-        b = (flat[place[node] + at] >> shift[node]) & 31
-        node = 2 * node + (b > last[node])
-    return node
+        below = []
+        for rows, f, b in zip(nodes, feature.tolist(), last.tolist()):
+            # the bin of an odd feature stands above that of the feature before it
+            right = codes[f // 2] > (b << 5 | 31) if f % 2 else low[f // 2] > b
+            below += [rows > right, rows & right]
+        nodes = below
+    return nodes
 
 
 def _by_value(fn):
@@ -115,20 +130,23 @@ class HistogramBoosting(Estimator, _HasTrees, DefaultParamsReadable, DefaultPara
         if first is None:
             raise ValueError("no rows to learn from")
         n = len(first[0])
-        edges = bin_edges(df, features, n)
-        state = self._blocks(df, features, label, n, edges).persist(StorageLevel.MEMORY_AND_DISK)
+        edges, rows = bin_edges(df, features, n)
+        tasks = _tasks(rows, df.sparkSession.sparkContext.defaultParallelism)
+        state = self._blocks(df, features, label, n, edges, tasks).persist(STORED)
         old, trees = [], []
         for t in range(self.getOrDefault("maxIter")):
             if t:
                 state = state.mapPartitions(_by_value(_updater(*trees[-1], 1.0 if t == 1 else step)), True)
-                state.persist(StorageLevel.MEMORY_AND_DISK)
+                state.persist(STORED)
                 if t % CHECKPOINT_EVERY == 0 and state.ctx.getCheckpointDir():
                     state.checkpoint()
-            splits, values = [], None
+            splits, values, sums, fewer = [], None, None, None
             for level in range(depth):
-                sums = state.mapPartitions(_by_value(_histogram(list(splits), level, n))).treeReduce(
-                    np.add, depth=1 if state.getNumPartitions() <= DIRECT else 2)
+                part = state.mapPartitions(_by_value(_histogram(list(splits), level, n, fewer))).treeReduce(
+                    np.add, depth=1 if tasks <= DIRECT else 2)
+                sums = part if fewer is None else _with_siblings(sums, part, fewer)
                 feature, last, values = _best_splits(sums, values)
+                fewer = _fewer(sums[0], feature, last)
                 splits.append((feature, last))
             trees.append((splits, values))
             old.append(state)  # the first job of a tree has stored its state: the one before can go
@@ -143,9 +161,9 @@ class HistogramBoosting(Estimator, _HasTrees, DefaultParamsReadable, DefaultPara
         return model._set(edges=edges, trees=flat)
 
     @staticmethod
-    def _blocks(df: DataFrame, features: str, label: str, n: int, edges):
-        """Rows as blocks: codes of feature pairs, label, margin, residual (of the first
-        tree: the label as -1 or 1)."""
+    def _blocks(df: DataFrame, features: str, label: str, n: int, edges, tasks: int):
+        """Rows as blocks, dealt over the tasks: codes of feature pairs, label, margin, residual
+        (of the first tree: the label as -1 or 1)."""
         ends = [np.asarray(e) for e in edges]
 
         def blocks(batches):
@@ -158,11 +176,9 @@ class HistogramBoosting(Estimator, _HasTrees, DefaultParamsReadable, DefaultPara
                 codes = np.zeros(((n + 1) // 2, len(y)), np.uint16)
                 for i in range(n):
                     codes[i // 2] |= np.searchsorted(ends[i], x[:, i]).astype(np.uint16) << np.uint16(5 * (i % 2))
-                margin, g = np.zeros(len(y), np.float32), np.where(y, 1, -1).astype(np.float32)
                 return pa.RecordBatch.from_pydict({
                     "rows": pa.array([len(y)], pa.int32()),
-                    **{k: pa.array([v.tobytes()], pa.binary()) for k, v in
-                       (("codes", codes), ("y", y), ("margin", margin), ("g", g))}})
+                    **{k: pa.array([v.tobytes()], pa.binary()) for k, v in (("codes", codes), ("y", y))}})
             for b in batches:
                 while b.num_rows:
                     take = b.slice(0, BLOCK - rows)
@@ -176,29 +192,40 @@ class HistogramBoosting(Estimator, _HasTrees, DefaultParamsReadable, DefaultPara
                 yield emit(pa.Table.from_batches(left))
 
         stored = _numbers(df, features).select("_x", F.col(label).cast("double")).mapInArrow(
-            blocks, "rows int, codes binary, y binary, margin binary, g binary")
+            blocks, "rows int, codes binary, y binary")
 
         def arrays(r):
-            return (np.frombuffer(r.codes, np.uint16).reshape(-1, r.rows), np.frombuffer(r.y, np.bool_),
-                    np.frombuffer(r.margin, np.float32), np.frombuffer(r.g, np.float32))
-        return stored.rdd.map(arrays)
+            y = np.frombuffer(r.y, np.bool_)
+            return (np.frombuffer(r.codes, np.uint16).reshape(-1, r.rows), y,
+                    np.zeros(r.rows, np.float32), np.where(y, 1, -1).astype(np.float32))
+        return stored.repartition(tasks).rdd.map(arrays)
 
 
-def _histogram(splits, level, n):
-    """Blocks -> rows and residuals per (node, feature, bin) of the level."""
+def _histogram(splits, level, n, nodes=None):
+    """Blocks -> rows and residuals per (node, feature, bin) of the level, or of these nodes of it."""
+    nodes = np.arange(2 ** level) if nodes is None else nodes
+
     def run(blocks):
-        nodes, pairs, size = 2 ** level, (n + 1) // 2, BINS * BINS
+        pairs, size = (n + 1) // 2, BINS * BINS
         one = float(2 ** 19)  # a row; |residual| < 4, so a block's residuals stay below half of it
-        out = np.zeros((2, nodes, 2 * pairs, BINS))
+        out = np.zeros((2, len(nodes), 2 * pairs, BINS))
         for codes, _, _, g in blocks:
-            base = _walk(codes, splits, level) * size
-            w = g.astype(np.float64) + one
+            w, base, rows = g.astype(np.float64) + one, 0, None
+            if level:
+                members = _members(codes, splits, level)
+                found = [np.flatnonzero(members[i]) for i in nodes]
+                rows = np.concatenate(found)
+                if not len(rows):
+                    continue
+                w, base = w.take(rows), np.repeat(np.arange(len(nodes)) * size, [len(f) for f in found])
             for p in range(pairs):
-                both = np.bincount(base + codes[p], w, nodes * size).reshape(nodes, BINS, BINS)
-                rows = np.rint(both / one)
-                for k, part in enumerate((rows, both - rows * one)):
-                    out[k, :, 2 * p] += part.sum(1)
-                    out[k, :, 2 * p + 1] += part.sum(2)
+                code = codes[p] if rows is None else codes[p].take(rows)
+                both = np.bincount(base + code, w, len(nodes) * size).reshape(-1, BINS, BINS)
+                for k in (0, 1):  # sums over a block's rows are exact
+                    bins = both.sum(1 + k)
+                    count = np.rint(bins / one)
+                    out[0, :, 2 * p + k] += count
+                    out[1, :, 2 * p + k] += bins - count * one
         yield out[:, :, :n]
     return run
 
@@ -207,13 +234,29 @@ def _updater(splits, values, weight):
     """Blocks -> blocks with this tree's values added to the margins."""
     def run(blocks):
         for codes, y, margin, _ in blocks:
-            margin = margin + np.float32(weight) * values.astype(np.float32)[_walk(codes, splits, len(splits))]
+            leaf = np.zeros(len(y), np.min_scalar_type(len(values) - 1))
+            for i, rows in enumerate(_members(codes, splits, len(splits))):
+                leaf += rows * leaf.dtype.type(i)
+            margin = margin + np.float32(weight) * values.astype(np.float32)[leaf]
             sign = np.where(y, 1.0, -1.0)
             g = 4.0 * sign / (1.0 + np.exp(np.minimum(2.0 * sign * margin, 700.0)))
             yield codes, y, margin, (np.rint(g * 2 ** 18) / 2 ** 18).astype(np.float32)
     return run
 
 
+def _fewer(rows, feature, last):
+    """Of each node's two children the one with fewer rows."""
+    left = np.array([r[f, :b + 1].sum() for r, f, b in zip(rows, feature, last)])
+    return 2 * np.arange(len(rows)) + (left > rows[:, 0].sum(1) - left)
+
+
+def _with_siblings(parents, part, nodes):
+    """The sums of all children from their parents' and one child's each."""
+    out = np.empty((2, 2 * len(nodes), *part.shape[2:]))
+    out[:, nodes], out[:, nodes ^ 1] = part, parents - part
+    return out
+
+
 def _best_splits(sums, before):
     """Per node the split with the greatest gain in variance, and the values of both sides;
     a node without gain sends all rows left and keeps its value."""

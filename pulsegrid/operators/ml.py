@@ -31,24 +31,32 @@ TARGETS = {
     "anomaly_detection": lambda level: level != F.lit("NORMAL"),
     "critical_detection": lambda level: level == F.lit("CRITICAL"),
 }
-ROWS_PER_TASK = 500_000  # a booster runs hundreds of short jobs: no more tasks than the rows need
 
 
 def _features() -> list:
     return [F.coalesce(F.col(c).cast("double"), F.lit(-1.0)).alias(c) for c in FEATURES]
 
 
-def training_set(messages: DataFrame, bucket: str = "1 hour", model_type: str = "anomaly_detection") -> DataFrame:
-    """Device messages -> features of each reading + label of the device's next one."""
+def own_targets(messages: DataFrame, model_type: str = "anomaly_detection") -> DataFrame:
+    """Device messages -> time, features and target of each reading itself."""
     if model_type not in TARGETS:
         raise ValueError(f"unknown model type: {model_type}")
     scored = flatten_messages(messages.withColumn(
-        "abnormal", TARGETS[model_type](S.alert_level(S.threshold_anomalies(F.col("readings"))))))
-    nxt = with_next(scored.where(F.col("ts").isNotNull()), "device_id", ["ts", "message_id"],
-                    ["abnormal"], F.date_trunc(_unit(bucket), F.col("ts")))
+        "abnormal", TARGETS[model_type](S.level_of(S.reading_tenths(F.col("readings"))))))
+    return (scored.where(F.col("ts").isNotNull())
+            .select("message_id", "device_id", "ts", "abnormal", *_features()))
+
+
+def next_targets(own: DataFrame, bucket: str = "1 hour") -> DataFrame:
+    """Features of each reading + label of the device's next one."""
+    nxt = with_next(own, "device_id", ["ts", "message_id"], ["abnormal"], F.date_trunc(_unit(bucket), F.col("ts")))
     return (nxt.where(F.col("next").isNotNull())
-            .select("message_id", "device_id", *_features(),
-                    F.col("next.abnormal").cast("double").alias("label")))
+            .select("message_id", "device_id", *FEATURES, F.col("next.abnormal").cast("double").alias("label")))
+
+
+def training_set(messages: DataFrame, bucket: str = "1 hour", model_type: str = "anomaly_detection") -> DataFrame:
+    """Device messages -> features of each reading + label of the device's next one."""
+    return next_targets(own_targets(messages, model_type), bucket)
 
 
 def _unit(bucket: str) -> str:
@@ -87,7 +95,7 @@ def train(train_df: DataFrame, valid_df: DataFrame, predictions_path: str,
         HistogramBoosting(labelCol="label", featuresCol="features", maxDepth=TRAIN_MAX_DEPTH,
                           maxIter=trees, stepSize=TRAIN_LEARNING_RATE),
     ])
-    model = pipe.fit(train_df.coalesce(max(-(-rows // ROWS_PER_TASK), 1)))
+    model = pipe.fit(train_df)
     (model.transform(valid_df).select("message_id", "label", "prediction", "rawPrediction")
      .write.mode("overwrite").parquet(predictions_path))
     pred = train_df.sparkSession.read.parquet(predictions_path)
@@ -114,9 +122,10 @@ def train_and_register(spark: SparkSession, messages: DataFrame, root: str,
 
     at = at or datetime.now(timezone.utc)
     folder = f"{root.rstrip('/')}/models/{model_type}/{at:%Y%m%d-%H%M%S}"
-    # Materialise the labelled set once (a durable table, not a cache): the
-    # booster re-reads it instead of re-running the windows.
-    training_set(messages, model_type=model_type).write.mode("overwrite").parquet(f"{folder}/training_set")
+    # Materialise the scored readings and the labelled set once (durable tables, not a
+    # cache): the windows read the readings on two branches, the booster the set many times.
+    own_targets(messages, model_type).write.mode("overwrite").parquet(f"{folder}/readings")
+    next_targets(spark.read.parquet(f"{folder}/readings")).write.mode("overwrite").parquet(f"{folder}/training_set")
     tr, va = split(spark.read.parquet(f"{folder}/training_set"))
     res = train(tr, va, f"{folder}/predictions", trees=trees)
     res.model.write().overwrite().save(f"{folder}/model")
