@@ -37,18 +37,22 @@ def _features() -> list:
     return [F.coalesce(F.col(c).cast("double"), F.lit(-1.0)).alias(c) for c in FEATURES]
 
 
-def own_targets(messages: DataFrame, model_type: str = "anomaly_detection") -> DataFrame:
-    """Device messages -> time, features and target of each reading itself."""
+def _target(model_type: str):
     if model_type not in TARGETS:
         raise ValueError(f"unknown model type: {model_type}")
+    return TARGETS[model_type]
+
+
+def scored_readings(messages: DataFrame) -> DataFrame:
+    """Device messages -> time, features and own alert level of each, one row per message."""
     scored = flatten_messages(messages.withColumn(
-        "abnormal", TARGETS[model_type](S.level_of(S.reading_tenths(F.col("readings"))))))
-    return (scored.where(F.col("ts").isNotNull())
-            .select("message_id", "device_id", "ts", "abnormal", *_features()))
+        "alert_level", S.level_of(S.reading_tenths(F.col("readings")))))
+    return scored.select("message_id", "device_id", "ts", "alert_level", *_features())
 
 
-def next_targets(own: DataFrame, bucket: str = "1 hour") -> DataFrame:
-    """Features of each reading + label of the device's next one."""
+def next_targets(scored: DataFrame, bucket: str = "1 hour", model_type: str = "anomaly_detection") -> DataFrame:
+    """Scored readings -> features of each + label of the device's next one."""
+    own = scored.where(F.col("ts").isNotNull()).withColumn("abnormal", _target(model_type)(F.col("alert_level")))
     nxt = with_next(own, "device_id", ["ts", "message_id"], ["abnormal"], F.date_trunc(_unit(bucket), F.col("ts")))
     return (nxt.where(F.col("next").isNotNull())
             .select("message_id", "device_id", *FEATURES, F.col("next.abnormal").cast("double").alias("label")))
@@ -56,7 +60,7 @@ def next_targets(own: DataFrame, bucket: str = "1 hour") -> DataFrame:
 
 def training_set(messages: DataFrame, bucket: str = "1 hour", model_type: str = "anomaly_detection") -> DataFrame:
     """Device messages -> features of each reading + label of the device's next one."""
-    return next_targets(own_targets(messages, model_type), bucket)
+    return next_targets(scored_readings(messages), bucket, model_type)
 
 
 def _unit(bucket: str) -> str:
@@ -117,15 +121,19 @@ def train_and_register(spark: SparkSession, messages: DataFrame, root: str,
                        model_type: str = "anomaly_detection", trees: int = TRAIN_N_ESTIMATORS,
                        at: datetime | None = None) -> DataFrame:
     """Train, save the model and its info file, append a registry record; return
-    the registry. ``at``: time of the run (now), the same in all of them."""
+    the registry. ``messages``: device messages, or stored ``scored_readings`` of them,
+    which several runs can read. ``at``: time of the run (now), the same in all of them."""
     from ..sinks import registry as R
 
+    _target(model_type)  # an unknown type ends here, before anything is written
     at = at or datetime.now(timezone.utc)
     folder = f"{root.rstrip('/')}/models/{model_type}/{at:%Y%m%d-%H%M%S}"
     # Materialise the scored readings and the labelled set once (durable tables, not a
     # cache): the windows read the readings on two branches, the booster the set many times.
-    own_targets(messages, model_type).write.mode("overwrite").parquet(f"{folder}/readings")
-    next_targets(spark.read.parquet(f"{folder}/readings")).write.mode("overwrite").parquet(f"{folder}/training_set")
+    if "alert_level" not in messages.columns:
+        scored_readings(messages).write.mode("overwrite").parquet(f"{folder}/readings")
+        messages = spark.read.parquet(f"{folder}/readings")
+    next_targets(messages, model_type=model_type).write.mode("overwrite").parquet(f"{folder}/training_set")
     tr, va = split(spark.read.parquet(f"{folder}/training_set"))
     res = train(tr, va, f"{folder}/predictions", trees=trees)
     res.model.write().overwrite().save(f"{folder}/model")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.functions import scoring as S
 from pulsegrid.operators import boosting, ml
+from pulsegrid.plans import queries
 from pulsegrid.sources import testdata
 
 
@@ -35,6 +36,28 @@ def test_messages_are_evaluated_once(spark, sf_small, tmp_path, monkeypatch):
     assert stored.exceptAll(whole).count() == 0
 
 
+def test_runs_share_one_evaluation(spark, sf_small, monkeypatch):
+    """The three trainings read stored scores, the same rows as those of the messages."""
+    seen, sets = spark.sparkContext.accumulator(0), []
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    messages = testdata.load_messages(spark, sf_small)
+    counted = messages.mapInArrow(count, messages.schema)
+    monkeypatch.setattr(queries, "_KEPT", {})
+    monkeypatch.setattr(testdata, "load_messages", lambda *a: counted)
+    monkeypatch.setattr(ml, "train_and_register", lambda spark, msgs, root, model_type="anomaly_detection", at=None:
+                        sets.append((ml.next_targets(msgs, model_type=model_type).collect(), model_type, at)))
+    queries._model_root(spark, sf_small)
+    assert seen.value == messages.count()
+    for rows, kind, at in sets:
+        until = messages.where(F.try_to_timestamp("timestamp") <= F.lit(at))
+        assert sorted(rows) == sorted(ml.training_set(until, model_type=kind).collect())
+
+
 def test_lean_score_equals_that_of_the_anomalies(spark):
     keys = [*S.KEY_TO_METRIC, *S.KEY_TO_METRIC.values(), "unknown"]
     maps = [None, {}, {"heartRate": None}, {"heartRate": 200.0, "heart_rate": 30.0, "temperature": float("nan")},
